@@ -17,7 +17,6 @@ because sequence ids are made of the task's partition number and a counter.
 from __future__ import annotations
 
 import os
-from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -33,7 +32,7 @@ from .common import narrow, quiet, raw, sized
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_length", pa.int64())])
 #: Cached words of a worker in each of two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 Piece = tuple[int | None, int, int, bytes]  # doc_id, start, tokens of its document, little-endian ids
 
 
@@ -45,12 +44,14 @@ class WordTokens(dict):
     between a letter and the signs after it, so ``word`` and ``Word&&`` share their letters' ids."""
 
     SIGNS = b".,!?;:&$%#*|"
+    MARK = b" \x01 "
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.batch = Tokenizer.from_file(path).encode_batch_fast
+        (self.mark,) = self.batch([self.MARK.decode()], add_special_tokens=False)[0].ids
         self.old: dict[bytes, bytes] = {}
 
     def add(self, words: set[bytes]) -> None:
@@ -66,19 +67,34 @@ class WordTokens(dict):
                 self[word] = got
                 continue
             body = word.rstrip(self.SIGNS)
-            if body and body != word and normalize("NFC", body.decode()).lower()[-1].isalpha():
+            if body and body != word and (body[-1:].isalpha() if body.isascii() else normalize("NFC", body.decode()).lower()[-1].isalpha()):
                 joined.append((word, body, word[len(body) :]))
                 todo.update(joined[-1][1:])
             else:
                 todo.add(word)
-        todo = [w for w in todo if w not in self]
-        for i in range(0, len(todo), 4096):
-            part = todo[i : i + 4096]
-            for word, got in zip(part, self.batch([w.decode() for w in part], add_special_tokens=False)):
-                self[word] = array("I", got.ids).tobytes()
+        self.encode([w for w in todo if w not in self])
         for word, body, signs in joined:
             self[word] = self[body] + self[signs]
 
+    def encode(self, words: list[bytes]) -> None:
+        """Many words go through the tokenizer as one text, with a mark between each two."""
+        groups = [words[i : i + 128] for i in range(0, len(words), 128)]
+        for i in range(0, len(groups), 32):
+            part = groups[i : i + 32]
+            texts = [self.MARK.join(g).decode() for g in part]
+            for group, got in zip(part, self.batch(texts, add_special_tokens=False)):
+                ids = np.array(got.ids, "<u4")
+                ends = np.flatnonzero(ids == self.mark)
+                if len(ends) == len(group) - 1:
+                    ids, at = ids.tobytes(), 0
+                    for word, end in zip(group, (4 * ends).tolist()):
+                        self[word] = ids[at:end]
+                        at = end + 4
+                    self[group[-1]] = ids[at:]
+                else:  # a word holds the mark
+                    for word, one in zip(group, self.batch([w.decode() for w in group], add_special_tokens=False)):
+                        self[word] = np.array(one.ids, "<u4").tobytes()
+
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """The ids of each text, as bytes."""
         split, todo, size = [], set(), 0
