@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import narrow, quiet, sized
 
 #: Bounds of a worker's memory; what is full is emptied and built again as needed.
-CACHE_WORDS, CACHE_STATES, CACHE_PAIRS = 600_000, 200_000, 600_000
+CACHE_WORDS, CACHE_STATES, CACHE_PAIRS = 450_000, 150_000, 400_000
 ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, ids array<int>, decoded binary"
 
