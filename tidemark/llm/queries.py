@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html, langid, ngram_join, packing, quality, sharding
+from . import bpe, chat, fingerprint, html, langid, ngram_join, packing, quality, sharding, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -63,6 +67,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
     "op3_ngram_join": op3_ngram_join,
     "op4_sharding": op4_sharding,
     "op5_langid": op5_langid,
