@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, quiet, remainder, sized
+from .common import column, narrow, quiet, remainder, sized
 
 SCHEMA = "doc_id long, lang_pred string, score double, bits double, chars long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64()), ("chars", pa.int64())])
@@ -157,30 +157,50 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         quiet()
-        scorer = Scorer(sent.value) if sent.value.langs else None
-
-        def rows():
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a in range(0, len(ids), 200):
-                    split = [t.lower().split() if t and scorer and has_letter(t) else None for t in texts[a : a + 200]]
-                    if scorer:
-                        scorer.add({w for words in split if words for w in words})
-                    for doc, text, words in zip(ids[a : a + 200], texts[a : a + 200], split):
-                        yield verdict(doc, text, words), 24
-
-        def verdict(doc, text, words):
-            if not words:
-                return doc, "und", 0.0, 0.0, len(text or "")
-            bits = scorer.bits(words)
-            best = int(np.argmin(bits))
-            return doc, scorer.model.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best]), len(text)
-
-        yield from sized(rows(), ARROW)
+        verdicts = identifier(sent.value)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            yield from sized((((doc, *got, len(text or "")), 24) for doc, text, got in zip(batch.column(0).to_pylist(), texts, verdicts(texts))), ARROW)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def identifier(model: Model):
+    """From texts to (language, score, bits) of each."""
+    scorer = Scorer(model) if model.langs else None
+
+    def verdict(words):
+        if not words:
+            return "und", 0.0, 0.0
+        bits = scorer.bits(words)
+        best = int(np.argmin(bits))
+        return model.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best])
+
+    def verdicts(texts: list[str | None]):
+        for a in range(0, len(texts), 200):
+            split = [t.lower().split() if t and scorer and has_letter(t) else None for t in texts[a : a + 200]]
+            if scorer:
+                scorer.add({w for words in split if words for w in words})
+            yield from map(verdict, split)
+
+    return verdicts
+
+
+def filtered(docs: DataFrame) -> DataFrame:
+    """The documents (all their columns) whose language can be told; learned from those not held out."""
+    narrow(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, remainder("doc_id", 3) != 1))
+
+    def run(batches):
+        quiet()
+        verdicts = identifier(sent.value)
+        for batch in batches:
+            texts = column(batch, "text").to_pylist()
+            yield batch.filter(pa.array([got[0] != "und" for got in verdicts(texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame) -> DataFrame:
     """Learn from the documents that are not held out (crc32(doc_id) mod 3 is not 1), then identify all."""
     held = remainder("doc_id", 3) == 1

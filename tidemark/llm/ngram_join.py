@@ -329,3 +329,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     label = classes.join(found.select(F.col("u").alias("first"), F.col("v").alias("component")), "first", "left").select("n", "digest", F.coalesce("component", "first").alias("component_id"))
     out = rows.select("doc_id", "n", "digest").join(label, ["n", "digest"])
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents (all their columns) but those that are linked to one of smaller doc_id, directly or not.
+
+    Rows with a null doc_id stay; of rows that repeat a doc_id one stays."""
+    spark = docs.sparkSession
+    found, path = written(near_duplicates(docs, width=width, num=num, den=den).select("doc_id", "component_id"), "join-found")
+    gone, _ = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    dropped(spark, path)
+    out = docs.join(F.broadcast(gone) if gone.count() <= SEND_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    return out.filter("doc_id is null").unionByName(out.filter("doc_id is not null").dropDuplicates(["doc_id"])) if again else out

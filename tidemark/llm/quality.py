@@ -156,6 +156,18 @@ def assess(docs: DataFrame, langs: list[str], chars: np.ndarray, words: np.ndarr
     """Base counts, distances to the nearest language and the verdict of every document (doc_id, text)."""
     narrow(docs.sparkSession)
 
+    def run(batches):
+        quiet()
+        verdict = verdicts(langs, chars, words, max_char, max_word, word_slack, min_chars, min_words)
+        for batch in batches:
+            yield from sized((((doc, *verdict(text)), 64) for doc, text in zip(batch.column(0).to_pylist(), raw(batch, "text"))), ARROW)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BASE)
+
+
+def verdicts(langs, chars, words, max_char: float = 0.27, max_word: float = 0.25, word_slack: float = 1.2, min_chars: int = 200, min_words: int = 50):
+    """From a text to its base counts, distances, nearest language and verdict."""
+
     def verdict(text: bytes | None):
         text = text or b""
         split = text.split()
@@ -171,14 +183,23 @@ def assess(docs: DataFrame, langs: list[str], chars: np.ndarray, words: np.ndarr
             passed = bool((ok_char & ok_word).any())
         return (*counts, by_char, by_word, near, passed and not counts[-1])
 
-    def run(batches):
-        quiet()
-        for batch in batches:
-            yield from sized((((doc, *verdict(text)), 64) for doc, text in zip(batch.column(0).to_pylist(), raw(batch, "text"))), ARROW)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BASE)
+    return verdict
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Gather the references from all documents (text, lang), then assess every one."""
     return assess(docs, *references(docs))
+
+
+def filtered(docs: DataFrame) -> DataFrame:
+    """The documents (all their columns) that pass; references come from all of them (text, lang)."""
+    narrow(docs.sparkSession)
+    known = references(docs)
+
+    def run(batches):
+        quiet()
+        verdict = verdicts(*known)
+        for batch in batches:
+            yield batch.filter(pa.array([verdict(text)[-1] for text in raw(batch, "text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
