@@ -30,6 +30,13 @@ class Family:
             df = df.selectExpr("*", *(f"{e} AS {n}" for n, e in stage.items()))
         return df
 
+    def select(self, d: Dialect, base: str) -> str:
+        """The family over the SQL query ``base``, in a dialect."""
+        q = base
+        for stage in self.stages(d):
+            q = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in stage.items())} FROM ({q}) q"
+        return q
+
     def rounded(self, df: DataFrame, digits: int = 6) -> DataFrame:
         return self.apply(df).selectExpr(*self.keys, *(f"round({k}, {digits}) AS {k}" for k in self.keep))
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import features, labels
+from tidemark.functions.dialect import DUCK, SPARK
+from tidemark import streaming
+from tidemark.operators import analogs, audit, backtest, cross_section, events, features, labels, metrics, models, selection, sequential
 from tidemark.sources import bars as source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +29,100 @@ for _h in (5, 20):
     add(f"first_touch_{_h}", lambda s, d, f=labels.TOUCH[_h], q=_atr: f.rounded(s.sql(q + "{bars}", bars=source.from_trades(s, d))), labels.TOUCH[_h].sql(f"{_atr} ({source.oracle_bars()})"))
 for _h in (5, 10):
     add(f"legacy_labels_{_h}", lambda s, d, f=labels.LEGACY[_h]: f.rounded(source.from_trades(s, d)), labels.LEGACY[_h].sql(source.oracle_bars()))
+
+add("indicators_ranges", lambda s, d: sequential.ranges(source.from_trades(s, d), 6), sequential.ranges_sql(source.oracle_bars()))
+add("indicators_macd", lambda s, d: sequential.macd(source.from_trades(s, d), 6), sequential.macd_sql(source.oracle_bars()))
+add("indicators_rsi", lambda s, d: sequential.rsi_family(source.from_trades(s, d), (2, 14, 50), digits=6), sequential.rsi_sql(source.oracle_bars(), (2, 14, 50)))
+add("indicators_rsi_all", lambda s, d: sequential.rsi_family(source.from_trades(s, d), digits=6))
+for _n, _v in cross_section.VIEWS.items():
+    add(f"cross_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, "SELECT * FROM {bars}", "SELECT * FROM {universe}"), bars=source.from_trades(s, d), universe=source.universe(s)), _v(DUCK, source.oracle_bars(), source.universe_sql()))
+for _m, _p in ((metrics, "metric"), (selection, "select")):
+    for _n, _v in _m.VIEWS.items():
+        add(
+            f"{_p}_{_n}",
+            lambda s, d, v=_v: s.sql(v(SPARK, metrics.scored(SPARK, "SELECT * FROM {bars}", "SELECT * FROM {universe}")), bars=source.from_trades(s, d), universe=source.universe(s)),
+            _v(DUCK, metrics.scored(DUCK, source.oracle_bars(), source.universe_sql())),
+        )
+
+
+def scored_sql(d, bars: str, universe: str) -> str:
+    return metrics.scored(d, bars, universe)
+
+
+_B, _U = "SELECT * FROM {bars}", "SELECT * FROM {universe}"
+RULE = backtest.Rule(length=5, lower_level=40.0)
+for _n, _v in backtest.VIEWS.items():
+    add(f"backtest_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, "SELECT * FROM {t}"), t=backtest.ledgers(source.from_trades(s, d), [RULE])), _v(DUCK, backtest.ledger_sql(source.oracle_bars(), RULE)))
+add("backtest_grid", lambda s, d: backtest.grid_search(source.from_trades(s, d), backtest.grid()))
+add("backtest_walk_forward", lambda s, d: backtest.walk_forward(source.from_trades(s, d), backtest.grid(lengths=(5, 9), trends=("none",))))
+
+
+def portfolio(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bars = source.from_trades(spark, sf_dir)
+    config = backtest.Portfolio()
+    found = backtest.admitted(backtest.planned_trades(bars, backtest.demo_candidates(spark, bars, source.universe(spark)), config), config)
+    return bars, found
+
+
+def taken(df: DataFrame) -> DataFrame:
+    return df.filter("audit_reason = 'included'").drop("audit_reason")
+
+
+add("portfolio_admission", lambda s, d: portfolio(s, d)[1])
+add("portfolio_equity", lambda s, d: (lambda b, f: backtest.daily_equity(b, taken(f)))(*portfolio(s, d)))
+add("portfolio_metrics", lambda s, d: (lambda b, f: backtest.portfolio_metrics(backtest.daily_equity(b, taken(f)), taken(f)))(*portfolio(s, d)))
+add("portfolio_by_sector", lambda s, d: backtest.group_returns(taken(portfolio(s, d)[1]), "sector"))
+for _n, _v in analogs.VIEWS.items():
+    add(f"analogs_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, metrics.scored(SPARK, _B, _U)), bars=source.from_trades(s, d), universe=source.universe(s)), _v(DUCK, metrics.scored(DUCK, source.oracle_bars(), source.universe_sql())))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return analogs.nearest_vectors(v, v.filter("vec_id % 20 = 0")).selectExpr("target_id", "vec_id", "round(distance, 4) AS distance", "rk")
+
+
+add("analogs_vectors", vectors, analogs.VECTORS_SQL)
+for _n, _v in events.VIEWS.items():
+    add(f"events_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, metrics.scored(SPARK, _B, _U), _B), bars=source.from_trades(s, d), universe=source.universe(s)), _v(DUCK, metrics.scored(DUCK, source.oracle_bars(), source.universe_sql()), source.oracle_bars()))
+for _n, _v in audit.VIEWS.items():
+    add(f"audit_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, _B), bars=source.from_trades(s, d)), _v(DUCK, source.oracle_bars()))
+for _n, _v in streaming.VIEWS.items():
+    add(f"stream_{_n}", lambda s, d, v=_v: v(s.read.parquet(f"{d}/events.parquet")), streaming.ORACLES[_n])
+
+
+def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(metrics.scored(SPARK, _B, _U), bars=source.from_trades(spark, sf_dir), universe=source.universe(spark))
+
+
+def _predictions(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
+    rows = scored_rows(spark, sf_dir)
+    return models.fit_predict(rows.filter("year(Date) < 1996"), rows.filter("year(Date) >= 1996"), ["x1", "x2"], family).select("symbol", "Date", "probability_up")
+
+
+for _f in ("base_rate", "logistic", "boosting"):
+    add(f"model_{_f}", lambda s, d, f=_f: _predictions(s, d, f))
+for _f in ("identity", "sigmoid", "isotonic"):
+    add(f"calibrate_{_f}", lambda s, d, f=_f: (lambda r: models.calibrated(r.filter("year(Date) < 1996"), r.filter("year(Date) >= 1996"), f).select("symbol", "Date", "calibrated"))(scored_rows(s, d)))
+add("model_screen", lambda s, d: models.screen(scored_rows(s, d), ["x1", "x2"]))
+
+
+def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, universe = source.from_trades(spark, sf_dir), source.universe(spark)
+    breadth = spark.sql(cross_section.breadth(SPARK, _B, _U), bars=bars, universe=universe)
+    market = spark.sql(cross_section.regimes(SPARK, _B, _U), bars=bars, universe=universe).groupBy("Date").agg({"market_regime_trend_score": "max", "market_regime_volatility_score": "max"}).toDF("Date", "trend", "vol")
+    return models.expanding_regimes(market.join(breadth, "Date").select("Date", "trend", "vol", "breadth_advance_pct", "breadth_dispersion_20"), ["trend", "vol", "breadth_advance_pct", "breadth_dispersion_20"])
+
+
+add("model_regimes", regimes)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars, trailing returns and trend, rank of a date, forward return: the two strongest of each date."""
+    return spark.sql(FLAGSHIP.format(bars="{bars}", d="try_divide"), bars=source.from_trades(spark, sf_dir, 4))
+
+
+FLAGSHIP = """WITH f AS (SELECT symbol, Date, Close / lag(Close, 20) OVER w - 1 AS return_20, Close / lag(Close, 5) OVER w - 1 AS return_5, CASE WHEN count(*) OVER (PARTITION BY symbol ORDER BY Date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 THEN Close / avg(Close) OVER (PARTITION BY symbol ORDER BY Date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) - 1 END AS distance_sma_20,
+lead(Close, 5) OVER w / lead(Open) OVER w - 1 AS forward_return_5 FROM {bars} b WINDOW w AS (PARTITION BY symbol ORDER BY Date)),
+r AS (SELECT *, row_number() OVER (PARTITION BY Date ORDER BY return_20 DESC, symbol) AS rk FROM f WHERE return_20 IS NOT NULL)
+SELECT symbol, Date, round(return_5, 6) AS return_5, round(return_20, 6) AS return_20, round(distance_sma_20, 6) AS distance_sma_20, round(forward_return_5, 6) AS forward_return_5, CAST(rk AS INT) AS rk FROM r WHERE rk <= 2"""
+add("flagship", flagship, FLAGSHIP.format(bars=f"({source.oracle_bars(4)})", d=""))
