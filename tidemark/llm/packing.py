@@ -20,6 +20,7 @@ import os
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 from unicodedata import normalize
 
 import numpy as np
@@ -54,27 +55,28 @@ class WordTokens(dict):
         (self.mark,) = self.batch([self.MARK.decode()], add_special_tokens=False)[0].ids
         self.old: dict[bytes, bytes] = {}
 
-    def add(self, words: set[bytes]) -> None:
-        """Make sure that all these words are known."""
-        new = words.difference(self.keys())
-        if len(self) + len(new) > CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-            new = words
-        todo, joined = set(), []
+    def add(self, new: set[bytes]) -> None:
+        """Learn words that are not known yet."""
+        todo, joined, old = [], [], self.old.get
         for word in new:
-            if (got := self.old.get(word)) is not None:
+            if (got := old(word)) is not None:
                 self[word] = got
                 continue
             body = word.rstrip(self.SIGNS)
             if body and body != word and (body[-1:].isalpha() if body.isascii() else normalize("NFC", body.decode()).lower()[-1].isalpha()):
-                joined.append((word, body, word[len(body) :]))
-                todo.update(joined[-1][1:])
+                signs = word[len(body) :]
+                joined.append((word, body, signs))
+                todo += (x for x in (body, signs) if x not in self and x not in new)
             else:
-                todo.add(word)
-        self.encode([w for w in todo if w not in self])
+                todo.append(word)
+        self.encode(list(dict.fromkeys(todo)))
         for word, body, signs in joined:
-            self[word] = self[body] + self[signs]
+            self[word] = self.known(body) + self.known(signs)
+
+    def known(self, word: bytes) -> bytes:
+        if word not in self:
+            self.encode([word])
+        return self[word]
 
     def encode(self, words: list[bytes]) -> None:
         """Many words go through the tokenizer as one text, with a mark between each two."""
@@ -102,14 +104,18 @@ class WordTokens(dict):
             text = text or b""
             words = (text if b"<|" in text else text.lower()).split()  # case matters in the names of added tokens
             split.append(words)
-            todo.update(words)
+            todo.update(filterfalse(self.__contains__, words))
             size += len(words)
-            if size > 200_000:
+            if size > 500_000:
                 yield from self._joined(split, todo)
                 split, todo, size = [], set(), 0
         yield from self._joined(split, todo)
 
     def _joined(self, split: list[list[bytes]], todo: set[bytes]) -> Iterator[bytes]:
+        if len(self) + len(todo) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+            todo = {w for words in split for w in words}
         self.add(todo)
         get = self.__getitem__
         for words in split:
