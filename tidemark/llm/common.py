@@ -53,6 +53,13 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more: it does so when the
+    driver's JVM collects garbage, which a driver with much memory does late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

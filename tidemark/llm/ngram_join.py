@@ -4,12 +4,14 @@
    equal sets form a class (number of shingles and a 64-bit digest of the set); the rest works on
    classes, so groups of exact copies cost one row per task.
 2. Cells. Sets of similar size share a size range; within a range two sets that reach the threshold
-   differ in at most D elements, so of D + 1 + ``SPARE`` slices of the hash space at least one that
-   is not empty is equal in both (a set with more than ``SPARE`` empty slices gets one cell more, for
-   such sets of its range). Every non-empty slice's content is a cell key: no pair above the threshold is lost, and
-   a frequent passage alone does not make slices equal. In each cell all classes are joined to the
-   smallest one (as many edges as members, never all pairs); connected components of these edges are
-   the candidate clusters.
+   differ in at most D elements, so of any D + 1 slices of the hash space at least one is equal in
+   both. The space is cut into about D / 5 slices more than that, so that thin slices can be left out
+   (one shared passage could fill them): a set whose other slices are D + 1 or more uses those alone,
+   another one uses all that are not empty, and if these are too few, one cell more, for such sets of
+   its range. Each slice's content is a cell key: no pair above the threshold is lost. A set has cells
+   in its own size range and the next; a cell counts if a set of the range itself is in it. All
+   classes of a cell are joined to the smallest of those (as many edges as members, never all pairs);
+   connected components of these edges are the candidate clusters.
 3. Signature trees. A cluster's sets go to blocks of bounded size; for each pair of blocks (one for
    nearly all clusters) a tree is built over either block: a node holds the OR (and the AND) of the
    token bitmaps below it and their size range. Both trees are traversed together; a pair of nodes is
@@ -28,6 +30,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import dropped, narrow, quiet, raw, sized, written
+from .common import dropped, narrow, quiet, raw, released, sized, written
 from .graph import components
 
 SPARE = 3
@@ -107,8 +110,21 @@ def slices(k: int) -> np.ndarray:
     return np.array([-(-(j << 64) // k) for j in range(1, k)], dtype=np.uint64)
 
 
+@lru_cache(maxsize=4096)
+def thin(mean: float) -> int:
+    """Elements up to which a slice is too thin to tell sets apart: few slices of this mean have so few."""
+    c, term = 0, math.exp(-mean)
+    below = term
+    while c < 8:
+        term *= mean / (c + 1)
+        if below + term > 0.08:
+            return c
+        below, c = below + term, c + 1
+    return c
+
+
 def cell_keys(s: np.ndarray, ranges: Ranges) -> np.ndarray:
-    """Keys of all cells of a set, in its own size range and the next."""
+    """Keys of all cells of a set, in its own size range (lowest bit 1) and the next (lowest bit 0)."""
     n = len(s)
     if not n:
         return np.zeros(0, np.int64)
@@ -119,16 +135,19 @@ def cell_keys(s: np.ndarray, ranges: Ranges) -> np.ndarray:
         apart = ranges.apart(tag)
         if not apart:
             continue  # only equal sets are similar here
-        k = apart + 1 + SPARE
+        k = apart + 1 + max(SPARE, (apart + 1) // 5)
         at = np.zeros(k + 1, np.int64)
         at[1:-1] = np.searchsorted(s, slices(k))
         at[-1] = n
         count = np.diff(at)
-        full = np.flatnonzero(count)
+        full = np.flatnonzero(count > thin(round(ranges.ends[tag - 1] / k, 2) if tag else 0.0))
+        if len(full) <= apart:
+            full = np.flatnonzero(count)
         key = mixed(sums[at[full + 1]] - sums[at[full]] + count[full].astype(np.uint64) * M2)
-        out.append(mixed(key + full.astype(np.uint64) * M1 + np.array([tag], np.uint64) * M3))
-        if k - len(full) > SPARE:
-            out.append(mixed(np.array([tag], np.uint64) * M1 + np.uint64(1)))
+        keys = [mixed(key + full.astype(np.uint64) * M1 + np.array([tag], np.uint64) * M3)]
+        if len(full) <= apart:
+            keys.append(mixed(np.array([tag], np.uint64) * M1 + np.uint64(1)))
+        out.append(np.concatenate(keys) & ~np.uint64(1) | np.uint64(tag == own))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -254,8 +273,8 @@ def keyed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cluster, digest, doc_id, shingles as bytes) of the wanted (cluster, digest, doc_id)."""
-    schema = pa.schema([("cluster", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+    """Adds shingles (as bytes) to the wanted (cluster, digest, doc_id, blocks)."""
+    schema = pa.schema([("cluster", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("blocks", pa.int32()), ("shingles", pa.binary())])
 
     def run(batches):
         quiet()
@@ -263,20 +282,20 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
         def rows():
             for batch in batches:
-                for doc, text, cluster, d in zip(batch.column(0).to_pylist(), raw(batch, "text"), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                ids, texts, *rest = batch.column(0).to_pylist(), raw(batch, "text"), *(batch.column(k).to_pylist() for k in (2, 3, 4))
+                for doc, text, cluster, d, blocks in zip(ids, texts, *rest):
                     s = shingles(text, width, words)
                     if digest(s) == d:
-                        yield (cluster, d, doc, len(s), s.tobytes()), 8 * len(s)
+                        yield (cluster, d, doc, blocks, s.tobytes()), 8 * len(s)
 
         yield from sized(rows(), schema)
 
-    return base(docs).join(wanted, "doc_id").select("doc_id", "text", "cluster", "digest").mapInArrow(run, "cluster long, digest long, doc_id long, n long, shingles binary")
+    return base(docs).join(wanted, "doc_id").select("doc_id", "text", "cluster", "digest", "blocks").mapInArrow(run, "cluster long, digest long, doc_id long, blocks int, shingles binary")
 
 
 def blocked_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) of each cluster's sets (cluster, digest, doc_id, n, shingles)."""
-    size = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = sets.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    """Links (u, v) of each cluster's sets (cluster, digest, doc_id, blocks, shingles)."""
+    rows = sets.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "doc_id", "shingles")
     ordered = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
@@ -314,18 +333,22 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     """doc_id, n_shingles, component_id of every document; num / den is the least similarity of a link."""
     spark = docs.sparkSession
     narrow(spark)
-    rows, keys_path = written(keyed(docs, width, num, den), "join-sets")
-    cells = rows.select("digest", F.explode("keys").alias("key"))
-    least = Window.partitionBy("key")
-    edges = cells.withColumn("least", F.min("digest").over(least)).filter("digest <> least").select(F.col("digest").alias("u"), F.col("least").alias("v"))
+    found_keys, keys_path = written(keyed(docs, width, num, den), "join-keys")
+    cells = found_keys.select("digest", F.explode("keys").alias("key")).select("digest", F.shiftright("key", 1).alias("cell"), (F.col("key").bitwiseAND(F.lit(1)) == 1).alias("own"))
+    first = F.min(F.when(F.col("own"), F.col("digest"))).over(Window.partitionBy("cell"))
+    edges = cells.withColumn("first", first).filter("digest <> first").select(F.col("digest").alias("u"), F.col("first").alias("v"))
     clusters, clusters_path = components(edges, "join-clusters")
+    rows, _ = written(found_keys.select("doc_id", "n", "digest"), "join-sets")
+    dropped(spark, keys_path)
     members = clusters.select(F.col("u").alias("digest"), F.col("v").alias("cluster")).unionByName(clusters.select(F.col("v").alias("digest"), F.col("v").alias("cluster")).distinct())
     classes = rows.groupBy("n", "digest").agg(F.min("doc_id").alias("first"))
-    wanted, wanted_path = written(members.join(classes, "digest").filter("first is not null").select(F.col("first").alias("doc_id"), "cluster", "digest"), "join-wanted")
+    chosen = members.join(classes, "digest").filter("first is not null")
+    size = chosen.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    wanted, wanted_path = written(chosen.join(size, "cluster").select(F.col("first").alias("doc_id"), "cluster", "digest", "blocks"), "join-wanted")
+    released(spark)
     few = wanted.count() <= SEND_IDS
-    sets, sets_path = written(sets_of(docs, F.broadcast(wanted) if few else wanted, width), "join-shingles")
-    found, found_path = components(blocked_links(sets, num, den), "join-links")
-    dropped(spark, clusters_path, wanted_path, sets_path)
+    found, found_path = components(blocked_links(sets_of(docs, F.broadcast(wanted) if few else wanted, width), num, den), "join-links")
+    dropped(spark, clusters_path, wanted_path)
     label = classes.join(found.select(F.col("u").alias("first"), F.col("v").alias("component")), "first", "left").select("n", "digest", F.coalesce("component", "first").alias("component_id"))
     out = rows.select("doc_id", "n", "digest").join(label, ["n", "digest"])
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
