@@ -112,7 +112,7 @@ def test_tree_drops_no_pair():
             s.add(rnd.randrange(1 << 40))
         sets.append((k, np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         sets[-1][1].sort()
-    tree = ngram_join.Tree([s for _, s in sets])
+    tree = ngram_join.Tree.of([s for _, s in sets])
     found = {(int(i), int(j)) for a, b, _ in ngram_join.traverse(tree, tree, True, 80, 100) for i, j in zip(a, b)}
     for i in range(90):
         for j in range(i + 1, 90):

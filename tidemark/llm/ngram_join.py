@@ -9,15 +9,16 @@
    (one shared passage could fill them): a set whose other slices are D + 1 or more uses those alone,
    another one uses all that are not empty, and if these are too few, one cell more, for such sets of
    its range. Each slice's content is a cell key: no pair above the threshold is lost. A set has cells
-   in its own size range and the next; a cell counts if a set of the range itself is in it. All
-   classes of a cell are joined to the smallest of those (as many edges as members, never all pairs);
-   connected components of these edges are the candidate clusters.
-3. Signature trees. A cluster's sets go to blocks of bounded size; for each pair of blocks (one for
-   nearly all clusters) a tree is built over either block: a node holds the OR (and the AND) of the
+   in its own size range and the next; a cell counts if a set of the range itself is in it.
+3. Signature trees. The classes of a group go to blocks of bounded size; for each pair of blocks (one
+   for nearly all groups) a tree is built over either block: a node holds the OR (and the AND) of the
    token bitmaps below it and their size range. Both trees are traversed together; a pair of nodes is
-   dropped when the largest overlap that bitmaps and sizes allow is below the threshold. Surviving
-   pairs of sets are compared exactly, best bound first, unless links found before already connect
-   them. So only links that join components are emitted.
+   dropped when the largest overlap that bitmaps and sizes allow is below the threshold.
+   First the groups are cells, and pairs that bitmaps allow make candidate clusters: in each cell all
+   classes are tried with its first one, and trees are built where that leaves several components.
+   Then the groups are clusters, and surviving pairs of sets are compared exactly, best bound first.
+   Either time a pair is skipped if pairs found before already connect it, so only edges that join
+   components are emitted, never all pairs of a group.
 4. Components of these links give each class its smallest doc_id.
 
 Shingles and sets are told apart by 64-bit hashes.
@@ -160,9 +161,7 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 class Tree:
     """Levels of nodes from the sets up to the root; a node stands over FAN nodes below it."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        low = np.array([bitmap(s) for s in sets]).reshape(len(sets), BITS // 64)
-        size = np.array([len(s) for s in sets])
+    def __init__(self, low: np.ndarray, size: np.ndarray):
         self.levels = [(low, low, size, size)]
         while len(self.levels[-1][0]) > 1:
             some, every, least, most = self.levels[-1]
@@ -170,6 +169,11 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(some, at), np.bitwise_and.reduceat(every, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
 
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Tree:
+        return cls(np.array([bitmap(s) for s in sets]).reshape(len(sets), BITS // 64), np.array([len(s) for s in sets]))
+
+
 def possible(a, i: np.ndarray, b, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Of node pairs: the largest overlap that any pair of sets below them may have, and whether it may reach the threshold."""
     some_a, every_a, least_a, most_a = (x[i] for x in a)
@@ -217,6 +221,23 @@ def below(i: np.ndarray, down: bool, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.arange(FAN)
 
 
+class Union:
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        self.root[x] = y
+        return x != y
+
+
 def links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, num: int, den: int) -> Iterator[tuple[int, int]]:
     """Links (of node names) that join components: among left, or between left and right."""
     left = sorted(left, key=lambda x: (int(x[1][0]), len(x[1])))
@@ -225,23 +246,34 @@ def links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]
     if not left or not right:
         return
     sets_a, sets_b = [s for _, s in left], [s for _, s in right]
-    tree = Tree(sets_a)
-    over, root = 0 if same else len(left), list(range(len(left) + (0 if same else len(right))))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for i, j, bound in traverse(tree, tree if same else Tree(sets_b), same, num, den):
+    tree, over, union = Tree.of(sets_a), 0 if same else len(left), Union(len(left) + len(right))
+    for i, j, bound in traverse(tree, tree if same else Tree.of(sets_b), same, num, den):
         for k in np.argsort(-bound, kind="stable").tolist():
             p, q = int(i[k]), int(j[k])
-            x, y = find(p), find(over + q)
-            if x == y:
+            if union.find(p) == union.find(over + q):
                 continue
             shared = len(np.intersect1d(sets_a[p], sets_b[q], assume_unique=True))
             if shared * (num + den) >= num * (len(sets_a[p]) + len(sets_b[q])):
-                root[x] = y
+                union.join(p, over + q)
+                yield left[p][0], right[q][0]
+
+
+Mark = tuple[int, int, int, bytes]  # digest, component so far, elements, bitmap
+
+
+def bridges(left: list[Mark], right: list[Mark] | None, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs whose bitmaps allow the threshold, as far as they join components of such pairs."""
+    same = right is None
+    right = left if same else right
+    if not left or not right:
+        return
+    trees = [Tree(np.frombuffer(b"".join(m[3] for m in side), np.uint64).reshape(len(side), -1), np.array([m[2] for m in side])) for side in ((left,) if same else (left, right))]
+    over, union, first = 0 if same else len(left), Union(len(left) + len(right)), {}
+    for k, mark in enumerate(left if same else left + right):
+        union.join(k, first.setdefault(mark[1], k))
+    for i, j, _ in traverse(trees[0], trees[-1], same, num, den):
+        for p, q in zip(i.tolist(), j.tolist()):
+            if union.join(p, over + q):
                 yield left[p][0], right[q][0]
 
 
@@ -250,8 +282,8 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, digest, keys (only for the first document of a class in a task)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, n, digest, and (only for the first document of a class in a task) keys and bitmap."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("keys", pa.list_(pa.int64())), ("bitmap", pa.binary())])
 
     def run(batches):
         quiet()
@@ -262,14 +294,15 @@ def keyed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 for doc, text in zip(batch.column(0).to_pylist(), raw(batch, "text")):
                     s = shingles(text, width, words)
                     d = digest(s)
-                    keys = () if d in seen or doc is None else cell_keys(s, ranges)
+                    new = doc is not None and d not in seen
+                    keys = cell_keys(s, ranges) if new else ()
                     if len(seen) < CACHE_WORDS and doc is not None:
                         seen.add(d)
-                    yield (doc, len(s), d, keys), 8 * len(keys)
+                    yield (doc, len(s), d, keys, bitmap(s).tobytes() if len(keys) else None), 8 * len(keys) + 256
 
         yield from sized(rows(), schema)
 
-    return base(docs).mapInArrow(run, "doc_id long, n long, digest long, keys array<long>")
+    return base(docs).mapInArrow(run, "doc_id long, n long, digest long, keys array<long>, bitmap binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -293,40 +326,89 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return base(docs).join(wanted, "doc_id").select("doc_id", "text", "cluster", "digest", "blocks").mapInArrow(run, "cluster long, digest long, doc_id long, blocks int, shingles binary")
 
 
-def blocked_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) of each cluster's sets (cluster, digest, doc_id, blocks, shingles)."""
-    rows = sets.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "doc_id", "shingles")
-    ordered = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def grouped(rows: DataFrame, keys: list[str], work, schema: pa.Schema, ddl: str) -> DataFrame:
+    """``work`` over the rows of each group, one group at a time; a task streams through its sorted groups."""
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches):
         quiet()
 
         def groups():
-            now, held = None, {}
+            now, held = None, []
             for batch in batches:
-                for cluster, i, j, block, d, doc, s in zip(*(c.to_pylist() for c in batch.columns)):
-                    if (cluster, i, j) != now:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if row[: len(keys)] != now:
                         if held:
                             yield now, held
-                        now, held = (cluster, i, j), {}
-                    held.setdefault(d, (block, doc, np.frombuffer(s, np.uint64)))
+                        now, held = row[: len(keys)], []
+                    held.append(row[len(keys) :])
             if held:
                 yield now, held
 
-        def rows():
-            for (_, i, j), held in groups():
-                if len(held) > 1:
-                    left = [(doc, s) for block, doc, s in held.values() if block == i]
-                    right = None if i == j else [(doc, s) for block, doc, s in held.values() if block == j]
-                    for link in links(left, right, num, den):
-                        yield link, 16
+        yield from sized(((out, 16) for key, held in groups() for out in work(key, held)), schema)
 
-        yield from sized(rows(), schema)
+    return ordered.mapInArrow(run, ddl)
+
+
+EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def paired(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Rows with ``blocks`` dealt to every pair of blocks of their group: group, i, j, block, and the columns."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *columns)
+
+
+def sides(key: tuple, held: list[tuple], make) -> tuple[list, list | None]:
+    """The members of the two blocks of a group (one if they are the same), each class once."""
+    _, i, j = key
+    once = {row[1]: row for row in held}.values()
+    return [make(row) for row in once if row[0] == i], None if i == j else [make(row) for row in once if row[0] == j]
+
+
+def blocked_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) of each cluster's sets (cluster, digest, doc_id, blocks, shingles)."""
 
-    return ordered.mapInArrow(run, "u long, v long")
+    def work(key, held):
+        return links(*sides(key, held, lambda r: (r[2], np.frombuffer(r[3], np.uint64))), num, den) if len(held) > 1 else ()
+
+    return grouped(paired(sets, "cluster", "digest", "doc_id", "shingles"), ["cluster", "i", "j"], work, EDGE, "u long, v long")
+
+
+def allowed(edges: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """The edges (u, v) whose sets' bitmaps allow the threshold; marks: digest, n, bitmap."""
+    both = edges.join(marks.toDF("u", "nu", "bu"), "u").join(marks.toDF("v", "nv", "bv"), "v").select("u", "v", "nu", "bu", "nv", "bv")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = ((np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1), batch.column(k - 1).to_numpy()) for k in (3, 5))
+                at = np.arange(batch.num_rows)
+                _, fits = possible((a[0], a[0], a[1], a[1]), at, (b[0], b[0], b[1], b[1]), at, num, den)
+                yield batch.select([0, 1]).filter(pa.array(fits))
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def clustered(cells: DataFrame, marks: DataFrame, num: int, den: int) -> tuple[DataFrame, list[str]]:
+    """Candidate clusters (u, v: smallest digest) of cells (cell, digest, first), and tables to drop.
+
+    Clusters are the components of pairs that share a cell and whose bitmaps allow the threshold. In a
+    first step only the pairs with a cell's first member are looked at. Most cells then lie in one
+    component; in the others, trees of bitmaps find the pairs that join components."""
+    stars, stars_path = components(allowed(cells.filter("digest <> first").select(F.col("digest").alias("u"), F.col("first").alias("v")).distinct(), marks, num, den), "join-stars")
+    tagged = cells.join(stars.toDF("digest", "v"), "digest", "left").select("cell", "digest", F.coalesce("v", "digest").alias("part"))
+    open_ = tagged.groupBy("cell").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.min("digest").alias("c"), F.max("digest").alias("d"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("digest")).alias("members"))
+    # cells of two classes are settled; of cells with the same members one is enough
+    open_ = open_.filter("a <> b AND k > 2").groupBy("k", "c", "d", "members").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("k") / BLOCK_SETS).cast("int").alias("blocks"))
+    rows = tagged.join(open_, "cell").join(marks, "digest")
+
+    def work(key, held):
+        return bridges(*sides(key, held, lambda r: r[1:]), num, den) if len(held) > 1 else ()
+
+    more = grouped(paired(rows, "cell", "digest", "part", "n", "bitmap"), ["cell", "i", "j"], work, EDGE, "u long, v long")
+    out, path = components(stars.unionByName(more), "join-clusters")
+    return out, [stars_path, path]
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -334,21 +416,26 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     spark = docs.sparkSession
     narrow(spark)
     found_keys, keys_path = written(keyed(docs, width, num, den), "join-keys")
-    cells = found_keys.select("digest", F.explode("keys").alias("key")).select("digest", F.shiftright("key", 1).alias("cell"), (F.col("key").bitwiseAND(F.lit(1)) == 1).alias("own"))
-    first = F.min(F.when(F.col("own"), F.col("digest"))).over(Window.partitionBy("cell"))
-    edges = cells.withColumn("first", first).filter("digest <> first").select(F.col("digest").alias("u"), F.col("first").alias("v"))
-    clusters, clusters_path = components(edges, "join-clusters")
+    keys = found_keys.select("digest", F.explode("keys").alias("key")).select("digest", F.shiftright("key", 1).alias("cell"), (F.col("key").bitwiseAND(F.lit(1)) == 1).alias("own"))
+    w = Window.partitionBy("cell")
+    shared = keys.withColumns({"first": F.min(F.when(F.col("own"), F.col("digest"))).over(w), "least": F.min("digest").over(w), "most": F.max("digest").over(w)})
+    cells, cells_path = written(shared.filter("first IS NOT NULL AND least <> most").select("cell", "digest", "first"), "join-cells")
+    marks, marks_path = written(found_keys.filter("bitmap IS NOT NULL").groupBy("digest").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "join-marks")
     rows, _ = written(found_keys.select("doc_id", "n", "digest"), "join-sets")
     dropped(spark, keys_path)
+    del found_keys, keys, shared
+    released(spark)
+    clusters, paths = clustered(cells, marks, num, den)
     members = clusters.select(F.col("u").alias("digest"), F.col("v").alias("cluster")).unionByName(clusters.select(F.col("v").alias("digest"), F.col("v").alias("cluster")).distinct())
     classes = rows.groupBy("n", "digest").agg(F.min("doc_id").alias("first"))
     chosen = members.join(classes, "digest").filter("first is not null")
     size = chosen.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted, wanted_path = written(chosen.join(size, "cluster").select(F.col("first").alias("doc_id"), "cluster", "digest", "blocks"), "join-wanted")
+    dropped(spark, cells_path, marks_path)
     released(spark)
     few = wanted.count() <= SEND_IDS
     found, found_path = components(blocked_links(sets_of(docs, F.broadcast(wanted) if few else wanted, width), num, den), "join-links")
-    dropped(spark, clusters_path, wanted_path)
+    dropped(spark, *paths, wanted_path)
     label = classes.join(found.select(F.col("u").alias("first"), F.col("v").alias("component")), "first", "left").select("n", "digest", F.coalesce("component", "first").alias("component_id"))
     out = rows.select("doc_id", "n", "digest").join(label, ["n", "digest"])
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
