@@ -20,7 +20,6 @@ import os
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import filterfalse
 from unicodedata import normalize
 
 import numpy as np
@@ -98,28 +97,32 @@ class WordTokens(dict):
                         self[word] = np.array(one.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """The ids of each text, as bytes."""
-        split, todo, size = [], set(), 0
+        """The ids of each text, as bytes. Each word is looked up once; words that were missing are
+        learned many at a time and filled in."""
+        held, todo, size = [], set(), 0
         for text in texts:
             text = text or b""
             words = (text if b"<|" in text else text.lower()).split()  # case matters in the names of added tokens
-            split.append(words)
-            todo.update(filterfalse(self.__contains__, words))
+            found = list(map(self.get, words))
+            holes = [k for k, ids in enumerate(found) if ids is None]
+            new = [words[k] for k in holes]
+            todo.update(new)
+            held.append((found, holes, new))
             size += len(words)
             if size > 500_000:
-                yield from self._joined(split, todo)
-                split, todo, size = [], set(), 0
-        yield from self._joined(split, todo)
+                yield from self._filled(held, todo)
+                held, todo, size = [], set(), 0
+        yield from self._filled(held, todo)
 
-    def _joined(self, split: list[list[bytes]], todo: set[bytes]) -> Iterator[bytes]:
+    def _filled(self, held: list[tuple[list, list[int], list[bytes]]], todo: set[bytes]) -> Iterator[bytes]:
         if len(self) + len(todo) > CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-            todo = {w for words in split for w in words}
         self.add(todo)
-        get = self.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        for found, holes, new in held:
+            for k, word in zip(holes, new):
+                found[k] = self[word]
+            yield b"".join(found)
 
 
 @lru_cache(maxsize=2)
