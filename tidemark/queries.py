@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.dialect import DUCK, SPARK
 from tidemark import streaming
-from tidemark.operators import analogs, audit, backtest, cross_section, events, features, labels, metrics, models, selection, sequential
+from tidemark.operators import analogs, audit, backtest, cross_section, events, features, governance, labels, metrics, models, selection, sequential
 from tidemark.sources import bars as source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,5 @@ lead(Close, 5) OVER w / lead(Open) OVER w - 1 AS forward_return_5 FROM {bars} b
 r AS (SELECT *, row_number() OVER (PARTITION BY Date ORDER BY return_20 DESC, symbol) AS rk FROM f WHERE return_20 IS NOT NULL)
 SELECT symbol, Date, round(return_5, 6) AS return_5, round(return_20, 6) AS return_20, round(distance_sma_20, 6) AS distance_sma_20, round(forward_return_5, 6) AS forward_return_5, CAST(rk AS INT) AS rk FROM r WHERE rk <= 2"""
 add("flagship", flagship, FLAGSHIP.format(bars=f"({source.oracle_bars(4)})", d=""))
+for _n, _v in governance.VIEWS.items():
+    add(f"govern_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, metrics.scored(SPARK, _B, _U), _B), bars=source.from_trades(s, d), universe=source.universe(s)), _v(DUCK, metrics.scored(DUCK, source.oracle_bars(), source.universe_sql()), source.oracle_bars()))
