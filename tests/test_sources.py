@@ -9,11 +9,12 @@ from tidemark.sources import bars, providers, state
 BODY = json.dumps({"historical": [{"date": f"2024-01-0{k}", "open": k, "high": k + 1, "low": k - 0.5, "close": k + 0.5, "volume": 10} for k in (3, 2, 4)]})
 
 
-def answer(url):
-    return (200, BODY) if "AAA" in url else (404, "")
+def test_provider(spark):
+    body = BODY
 
+    def answer(url):
+        return (200, body) if "AAA" in url else (404, "")
 
-def test_provider(spark):
     providers.register(spark, "canned", answer)
     got = providers.download(spark, "canned", ["AAA"], "https://x/{symbol}", "2024-01-02", "2024-01-03")
     assert [r.Date.day for r in got.orderBy("Date").collect()] == [2, 3]
