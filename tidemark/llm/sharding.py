@@ -97,7 +97,7 @@ def shard(docs: DataFrame, *, shards: int = 16, bits: int = 8, tolerance: float
     """
     rows, path = written(keyed(docs), "shard-keys")
     if cell_rows is None:
-        cell_rows = max(4096, rows.count() // 2048)
+        cell_rows = max(512, rows.count() // 2048)
     found = cells(rows, shards, bits, tolerance, cell_rows)
     total, at, table, slots = sum(c.size for c in found), 0, [], [0] * shards
     for c in found:
