@@ -437,6 +437,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     found, found_path = components(blocked_links(sets_of(docs, F.broadcast(wanted) if few else wanted, width), num, den), "join-links")
     dropped(spark, *paths, wanted_path)
     label = classes.join(found.select(F.col("u").alias("first"), F.col("v").alias("component")), "first", "left").select("n", "digest", F.coalesce("component", "first").alias("component_id"))
+    # a table of its own, so that Spark sees a plain join of two exchanges and can split a class of very many copies
+    label, _ = written(label, "join-labels")
     out = rows.select("doc_id", "n", "digest").join(label, ["n", "digest"])
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
