@@ -57,8 +57,8 @@ class Dialect:
     def explode_range(self, lo: str, hi: str) -> str:
         return f"explode(sequence({lo}, {hi}))"
 
-    def boolean(self, x: str) -> str:
-        return x
+    def begins(self, x: str, prefix: str) -> str:
+        return f"startswith({x}, '{prefix}')"
 
     def lit_array(self, *xs) -> str:
         return f"array({', '.join(map(str, xs))})"
@@ -111,6 +111,9 @@ class Oracle(Dialect):
     def explode_range(self, lo: str, hi: str) -> str:
         return f"unnest(range({lo}, {hi} + 1))"
 
+    def begins(self, x: str, prefix: str) -> str:
+        return f"starts_with({x}, '{prefix}')"
+
     def lit_array(self, *xs) -> str:
         return f"[{', '.join(map(str, xs))}]"
 

@@ -54,9 +54,10 @@ def policy_outcomes(d: Dialect, bars: str, h: int = 10) -> str:
 def exit_utility(d: Dialect, bars: str, h: int = 10) -> str:
     """Net return at the time exit over the larger of adverse excursion and range, and its quality bucket."""
     from tidemark.functions.dialect import frame, lead
+    from tidemark.operators.governance import exit_bucket
 
     q = f"SELECT symbol, Date, {d.div(lead('Close', h), lead('Open'))} - 1 - 0.0005 AS net, {d.div(f'min(Low) OVER {frame(1, h)}', lead('Open'))} - 1 AS mae, {d.div('High - Low', 'Close')} AS span FROM ({bars}) b"
-    return f"""SELECT symbol, Date, round(net, 6) AS net, round(net / greatest(abs(mae), span, 1e-6), 4) AS utility, CASE WHEN net >= 0.02 THEN 'strong_positive' WHEN net >= 0 THEN 'positive' WHEN net >= -0.002 THEN 'near_flat' WHEN net >= -0.05 THEN 'negative' ELSE 'severe_negative' END AS bucket,
+    return f"""SELECT symbol, Date, round(net, 6) AS net, round(net / greatest(abs(mae), span, 1e-6), 4) AS utility, {exit_bucket('net')} AS bucket,
 CASE WHEN net > 0 AND mae <= -0.03 THEN 1 ELSE 0 END AS early_adverse_recovery FROM ({q}) q WHERE net IS NOT NULL"""
 
 

@@ -12,6 +12,11 @@ def share(test: str) -> str:
     return f"avg(CASE WHEN {test} THEN {ONE} ELSE {ZERO} END)"
 
 
+def exit_bucket(x: str) -> str:
+    """Quality of a time exit by its net return (fixed names and bounds)."""
+    return f"CASE WHEN {x} IS NULL THEN '' WHEN {x} >= 0.02 THEN 'STRONG_POSITIVE_TIME_EXIT' WHEN {x} > 0 THEN 'MODEST_POSITIVE_TIME_EXIT' WHEN {x} >= -0.002 THEN 'FLAT_TIME_EXIT' WHEN {x} <= -0.05 THEN 'SEVERE_NEGATIVE_TIME_EXIT' ELSE 'NEGATIVE_TIME_EXIT' END"
+
+
 def effective_policy(d: Dialect, t: str, bars: str) -> str:
     """A policy with a run's settings on top: minimums can only rise, caps only fall; a missing setting changes nothing."""
     rows = " UNION ALL ".join(f"SELECT '{n}' AS setting, '{k}' AS kind, CAST({a} AS DOUBLE) AS base, CAST({b} AS DOUBLE) AS runtime" for n, k, a, b in (("probability", "minimum", 0.55, 0.6), ("expected_return", "minimum", 0.01, 0.0), ("liquidity", "minimum", 0.5, "NULL"), ("per_date", "cap", 5, 3), ("total", "cap", 50, 80)))
@@ -32,28 +37,42 @@ def integrity(d: Dialect, t: str, bars: str) -> str:
     return f"SELECT scope, count(*) AS n, count(CASE WHEN p IS NULL THEN 1 END) AS p_missing, count(CASE WHEN p < 0 OR p > 1 THEN 1 END) AS p_outside, count(CASE WHEN mfe < 0 THEN 1 END) AS mfe_negative, count(CASE WHEN mae > 0 THEN 1 END) AS mae_positive FROM ({t}) s GROUP BY scope"
 
 
+# Feature families and what puts a feature into them; the first rule that fits decides.
 FAMILY_RULES = (
-    ("rsi_%", "rsi"), ("%volume%", "volume_participation"), ("%obv%", "volume_participation"), ("breadth_%", "breadth"), ("%sector%", "sector_relative"), ("relationship_%", "relationship"), ("inverse_%", "relationship"),
-    ("market_regime%", "regime"), ("%_vs_%", "benchmark_relative"), ("%vol_%", "volatility_range"), ("atr_%", "volatility_range"), ("%return%", "returns_momentum"), ("%sma%", "trend_structure"), ("%wick%", "candle"), ("%_bar", "candle"),
-)
+    ("trend_structure", "is", "Open High Low Close"),
+    ("volume_participation", "is", "Volume"),
+    ("returns_momentum", "begins", "return_ log_return_ momentum_ up_streak down_streak"),
+    ("trend_structure", "begins", "distance_sma sma_ trend_ pullback recovery gap_ support resistance range_position distance_prior"),
+    ("volatility_range", "begins", "atr_ atr_pct realized_vol upside_vol downside_vol range_pct range_percentile volatility overnight"),
+    ("volume_participation", "contains", "volume"),
+    ("volume_participation", "begins", "obv price_volume"),
+    ("candle_geometry", "begins", "body upper_wick lower_wick close_position inside_bar outside_bar expansion_bar lower_rejection"),
+    ("rsi_family", "begins", "rsi_"),
+    ("technical_primitives", "begins", "roc_ stochastic macd bollinger keltner cci mfi adx_ plus_di_ minus_di_"),
+    ("market_relative", "begins", "relative_return_vs_spy relative_return_vs_qqq relative_return_vs_iwm relative_return_vs_dia rolling_beta rolling_corr residual_return"),
+    ("sector_relative", "contains", "sector"),
+    ("inverse_leveraged", "begins", "inverse_"),
+    ("relationship_graph", "begins", "relationship_"),
+    ("breadth", "begins", "breadth_"),
+    ("regime", "begins", "market_regime"),
+)
+OTHER = "technical_primitives"
 
 
 def family_of(feature: str) -> str:
-    """A feature's family: the first rule that fits decides, so order matters."""
-    import fnmatch
-
-    return next((f for p, f in FAMILY_RULES if fnmatch.fnmatchcase(feature, p.replace("%", "*"))), "technical_primitives")
+    fits = {"is": feature.__eq__, "begins": feature.startswith, "contains": feature.__contains__}
+    return next((family for family, how, words in FAMILY_RULES if any(map(fits[how], words.split()))), OTHER)
 
 
 def families(d: Dialect, t: str, bars: str) -> str:
+    """Every feature's family."""
     from tidemark.operators.features import FAMILIES
 
-    names = sorted({k for f in FAMILIES.values() for k in f.keep} | {"rsi_14", "breadth_up_volume_pct", "market_regime_label", "relative_return_vs_sector_20"})
-    case = " ".join(f"WHEN feature LIKE '{p.replace('_', chr(92) + '_')}' ESCAPE '{chr(92) * (2 if d.spark else 1)}' THEN '{f}'" for p, f in FAMILY_RULES)
-    if d.spark:
-        case = case.replace(chr(92) + "_", chr(92) * 2 + "_")
+    names = sorted({k for f in FAMILIES.values() for k in f.keep} | {"rsi_14", "breadth_up_volume_pct", "market_regime_label", "relative_return_vs_sector_20", "spy_return_5", "inverse_confirmation_63", "adx_14", "rolling_beta_vs_spy_63"})
+    test = {"is": lambda w: f"feature = '{w}'", "begins": lambda w: d.begins("feature", w), "contains": lambda w: f"contains(feature, '{w}')"}
+    case = " ".join(f"WHEN {' OR '.join(map(test[how], words.split()))} THEN '{family}'" for family, how, words in FAMILY_RULES)
     rows = " UNION ALL ".join(f"SELECT '{n}' AS feature" for n in names)
-    return f"SELECT feature, CASE {case} ELSE 'technical_primitives' END AS family FROM ({rows}) n"
+    return f"SELECT feature, CASE {case} ELSE '{OTHER}' END AS family FROM ({rows}) n"
 
 
 def fold_aggregate(d: Dialect, t: str, bars: str) -> str:
@@ -181,7 +200,7 @@ def diagnostic_state(d: Dialect, t: str, bars: str) -> str:
 
 def exit_calibration(d: Dialect, t: str, bars: str) -> str:
     """Per split and exit bucket: rows, mean probability and return."""
-    part = f"SELECT *, CASE WHEN year(Date) < 1995 THEN 'train' WHEN year(Date) < 1997 THEN 'calibration' ELSE 'holdout' END AS part, CASE WHEN r >= 0.02 THEN 'strong' WHEN r >= 0 THEN 'positive' WHEN r >= -0.002 THEN 'flat' WHEN r >= -0.05 THEN 'negative' ELSE 'severe' END AS bucket FROM ({t}) s"
+    part = f"SELECT *, CASE WHEN year(Date) < 1995 THEN 'train' WHEN year(Date) < 1997 THEN 'calibration' ELSE 'holdout' END AS part, {exit_bucket('r')} AS bucket FROM ({t}) s"
     return f"SELECT part, bucket, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(r), 6) AS mean_r, round(avg(mae), 6) AS mean_mae FROM ({part}) p GROUP BY part, bucket"
 
 

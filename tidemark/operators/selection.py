@@ -30,8 +30,10 @@ def scanner_caps(d: Dialect, t: str, cap: int = 1) -> str:
 
 def decisions(d: Dialect, t: str) -> str:
     """The decision ladder: out of bounds, probability, path, value, score, else act."""
+    from tidemark.operators.governance import exit_bucket
+
     return f"""SELECT symbol, Date, CASE WHEN abs(x1) > 0.5 THEN 'NO_TRADE_OOD' WHEN p < 0.5 THEN 'NO_TRADE_PROBABILITY' WHEN mae < -0.05 THEN 'NO_TRADE_PATH' WHEN r <= 0 THEN 'NO_TRADE_VALUE' WHEN p * r < 0.002 THEN 'NO_TRADE_SCORE' ELSE 'BUY' END AS decision,
-round(p * r, 6) AS composite_utility, CASE WHEN r >= 0.02 THEN 'strong' WHEN r > 0 THEN 'positive' WHEN r >= -0.002 THEN 'flat' WHEN r >= -0.05 THEN 'negative' ELSE 'severe' END AS exit_bucket FROM ({t}) s"""
+round(p * r, 6) AS composite_utility, {exit_bucket('r')} AS exit_bucket FROM ({t}) s"""
 
 
 def blockers(d: Dialect, t: str) -> str:
