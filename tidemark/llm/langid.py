@@ -82,47 +82,60 @@ class Model:
         return out
 
 
+class Table:
+    """Rows of numbers by key; grows as needed."""
+
+    def __init__(self, width: int):
+        self.at: dict = {}
+        self.rows = np.zeros((4096, width))
+
+    def room(self, n: int) -> None:
+        """Make room for n more rows."""
+        used = len(self.at)
+        if used + n > len(self.rows):
+            grown = np.zeros((max(2 * len(self.rows), used + n), self.rows.shape[1]))
+            grown[:used] = self.rows[:used]
+            self.rows = grown
+
+
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.n = model, len(model.langs)
-        self.costs: dict[bytes, list[float]] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.rows = np.zeros((4096, self.n))
+        self.words, self.grams = Table(self.n), Table(self.n)
 
     def add(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.index]
-        if len(self.index) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list(words)
-        base, order, costs = len(self.index), self.model.order, self.costs
-        if base + len(new) > len(self.rows):
-            grown = np.zeros((max(2 * len(self.rows), base + len(new)), self.n))
-            grown[:base] = self.rows[:base]
-            self.rows = grown
-        if len(costs) > CACHE_WORDS:
-            costs.clear()
-        flat, ends = [], []
-        for k, word in enumerate(new):
+        new = [w for w in words if w not in self.words.at]
+        if len(self.words.at) + len(new) > CACHE_WORDS:
+            self.words, new = Table(self.n), list(words)
+        if not new:
+            return
+        if len(self.grams.at) > CACHE_WORDS:
+            self.grams = Table(self.n)
+        order, known, flat, ends = self.model.order, self.grams.at, [], []
+        get = known.get
+        for word in new:
             text = b" " + word.encode("utf-8", "surrogatepass")
             for at in range(1, len(text)):
                 gram = text[max(0, at - order) : at + 1]
-                if (got := costs.get(gram)) is None:
-                    got = costs[gram] = self.model.cost(gram)
-                flat.append(got)
+                k = get(gram)
+                if k is None:
+                    k = len(known)
+                    self.grams.room(1)
+                    self.grams.rows[k] = self.model.cost(gram)
+                    known[gram] = k
+                flat.append(k)
             ends.append(len(flat))
-            self.index[word] = base + k
-        if new:
-            sums = np.vstack([np.zeros(self.n), np.cumsum(np.array(flat), axis=0)])
-            at = np.array(ends)
-            self.rows[base : base + len(new)] = sums[at] - sums[np.concatenate([[0], at[:-1]])]
+        sums = np.zeros((len(flat) + 1, self.n))
+        np.cumsum(self.grams.rows[np.array(flat, np.int64)], axis=0, out=sums[1:])
+        at, base = np.array(ends), len(self.words.at)
+        self.words.room(len(new))
+        self.words.rows[base : base + len(new)] = sums[at] - sums[np.concatenate([[0], at[:-1]])]
+        self.words.at.update(zip(new, range(base, base + len(new))))
 
     def bits(self, words: list[str]) -> np.ndarray:
         """Code lengths of a text's words, by language."""
-        get = self.index.__getitem__
-        return self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0)
+        get = self.words.at.__getitem__
+        return self.words.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0)
 
 
 def has_letter(text: str) -> bool:
@@ -180,7 +193,7 @@ def identifier(model: Model):
         for a in range(0, len(texts), 200):
             split = [t.lower().split() if t and scorer and has_letter(t) else None for t in texts[a : a + 200]]
             if scorer:
-                scorer.add({w for words in split if words for w in words})
+                scorer.add(set().union(*filter(None, split)))
             yield from map(verdict, split)
 
     return verdicts
