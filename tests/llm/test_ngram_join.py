@@ -112,7 +112,7 @@ def test_tree_drops_no_pair():
             s.add(rnd.randrange(1 << 40))
         sets.append((k, np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         sets[-1][1].sort()
-    tree = ngram_join.Tree.of([s for _, s in sets])
+    tree = ngram_join.Tree.of([s for _, s in sets], 2048)
     found = {(int(i), int(j)) for a, b, _ in ngram_join.traverse(tree, tree, True, 80, 100) for i, j in zip(a, b)}
     for i in range(90):
         for j in range(i + 1, 90):
@@ -126,3 +126,23 @@ def test_long_chain(spark):
     got = {r.u: r.v for r in graph.components(edges)[0].collect()}
     assert got == {**{k: 0 for k in range(1, 201)}, 501: 500}
     assert graph.components(edges.limit(0))[0].count() == 0
+
+
+def test_folded_bitmaps():
+    s = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 3000, dtype=np.uint64))
+    assert ngram_join.bits_of(3000) == 16384 and ngram_join.bits_of(5) == 2048
+    wide, narrow = ngram_join.bitmap(s, 16384), ngram_join.bitmap(s, 2048)
+    assert (ngram_join.folded([wide.tobytes(), narrow.tobytes()]) == narrow).all()
+
+
+def test_long_documents(spark):
+    rnd = random.Random(8)
+    base = [rnd.choices(WORDS, k=6000) for _ in range(3)]
+    rows = []
+    for k in range(24):
+        words = base[k % 3][:]
+        for _ in range(rnd.choice([0, 20, 60, 250])):
+            words[rnd.randrange(len(words))] = rnd.choice(WORDS)
+        rows.append((k, " ".join(words[: len(words) - rnd.randrange(300)])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=90, den=100).collect()}
+    assert got == brute(rows, 3, 90, 100)

@@ -51,7 +51,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 2_000_000
 #: Ids up to which the wanted documents are sent to all executors instead of exchanging all texts.
 SEND_IDS = 1_000_000
 CACHE_WORDS = 400_000
-BITS, FAN = 2048, 16
+BITS, MOST_BITS, FAN = 2048, 1 << 17, 16
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -152,10 +152,27 @@ def cell_keys(s: np.ndarray, ranges: Ranges) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s >> np.uint64(17)) % np.uint64(BITS)] = 1
-    return np.packbits(bits).view(np.uint64)
+def bits_of(n: int) -> int:
+    """Bits of the bitmap of a set of n: a power of two, four for each element, within bounds."""
+    return min(MOST_BITS, max(BITS, 1 << (4 * n - 1).bit_length()))
+
+
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits, np.uint8)
+    out[(s >> np.uint64(17)) & np.uint64(bits - 1)] = 1
+    return np.packbits(out).view(np.uint64)
+
+
+def folded(marks: list[bytes], size: int | None = None) -> np.ndarray:
+    """Bitmaps as rows, all folded to the narrowest one's width (or to ``size`` bytes): the bitmap of fewer bits."""
+    size = size or min(map(len, marks))
+    rows = []
+    for mark in marks:
+        x = np.frombuffer(mark, np.uint64)
+        while x.nbytes > size:
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        rows.append(x)
+    return np.array(rows).reshape(len(marks), -1)
 
 
 class Tree:
@@ -170,8 +187,8 @@ class Tree:
 
 
     @classmethod
-    def of(cls, sets: list[np.ndarray]) -> Tree:
-        return cls(np.array([bitmap(s) for s in sets]).reshape(len(sets), BITS // 64), np.array([len(s) for s in sets]))
+    def of(cls, sets: list[np.ndarray], bits: int) -> Tree:
+        return cls(np.array([bitmap(s, bits) for s in sets]).reshape(len(sets), bits // 64), np.array([len(s) for s in sets]))
 
 
 def possible(a, i: np.ndarray, b, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,8 +263,9 @@ def links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]
     if not left or not right:
         return
     sets_a, sets_b = [s for _, s in left], [s for _, s in right]
-    tree, over, union = Tree.of(sets_a), 0 if same else len(left), Union(len(left) + len(right))
-    for i, j, bound in traverse(tree, tree if same else Tree.of(sets_b), same, num, den):
+    bits = bits_of(max(len(x) for x in sets_a + sets_b))
+    tree, over, union = Tree.of(sets_a, bits), 0 if same else len(left), Union(len(left) + len(right))
+    for i, j, bound in traverse(tree, tree if same else Tree.of(sets_b, bits), same, num, den):
         for k in np.argsort(-bound, kind="stable").tolist():
             p, q = int(i[k]), int(j[k])
             if union.find(p) == union.find(over + q):
@@ -267,7 +285,8 @@ def bridges(left: list[Mark], right: list[Mark] | None, num: int, den: int) -> I
     right = left if same else right
     if not left or not right:
         return
-    trees = [Tree(np.frombuffer(b"".join(m[3] for m in side), np.uint64).reshape(len(side), -1), np.array([m[2] for m in side])) for side in ((left,) if same else (left, right))]
+    size = min(len(m[3]) for m in (*left, *right))
+    trees = [Tree(folded([m[3] for m in side], size), np.array([m[2] for m in side])) for side in ((left,) if same else (left, right))]
     over, union, first = 0 if same else len(left), Union(len(left) + len(right)), {}
     for k, mark in enumerate(left if same else left + right):
         union.join(k, first.setdefault(mark[1], k))
@@ -298,7 +317,7 @@ def keyed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     keys = cell_keys(s, ranges) if new else ()
                     if len(seen) < CACHE_WORDS and doc is not None:
                         seen.add(d)
-                    yield (doc, len(s), d, keys, bitmap(s).tobytes() if len(keys) else None), 8 * len(keys) + 256
+                    yield (doc, len(s), d, keys, bitmap(s, bits_of(len(s))).tobytes() if len(keys) else None), 8 * len(keys) + bits_of(len(s)) // 8
 
         yield from sized(rows(), schema)
 
@@ -381,11 +400,13 @@ def allowed(edges: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                a, b = ((np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1), batch.column(k - 1).to_numpy()) for k in (3, 5))
-                at = np.arange(batch.num_rows)
-                _, fits = possible((a[0], a[0], a[1], a[1]), at, (b[0], b[0], b[1], b[1]), at, num, den)
-                yield batch.select([0, 1]).filter(pa.array(fits))
+            bu, nu, bv, nv = (batch.column(k).to_pylist() for k in (3, 2, 5, 4))
+            for size in {min(len(x), len(y)) for x, y in zip(bu, bv)}:
+                at = [k for k in range(len(bu)) if min(len(bu[k]), len(bv[k])) == size]
+                sides = [(m, m, n, n) for m, n in ((folded([b[k] for k in at], size), np.array([n[k] for k in at])) for b, n in ((bu, nu), (bv, nv)))]
+                one = np.arange(len(at))
+                _, fits = possible(sides[0], one, sides[1], one, num, den)
+                yield batch.select([0, 1]).take(pa.array(np.array(at)[fits], pa.int64()))
 
     return both.mapInArrow(run, "u long, v long")
 
