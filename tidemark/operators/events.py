@@ -46,7 +46,7 @@ FROM ({fills(d, scored, bars)}) f JOIN ({numbered}) e ON e.symbol = f.symbol AND
     ranked = f"SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY CASE WHEN at_stop OR at_target THEN 0 ELSE 1 END, CASE WHEN at_stop OR at_target THEN k ELSE -k END) AS pick FROM ({held}) h"
     price = "CASE WHEN at_stop THEN stop_price WHEN at_target THEN target_price ELSE c END"
     return f"""SELECT symbol, as_of, direction, source_key, fill_date, d AS exit_date, CASE WHEN at_stop AND at_target THEN 'stop_intraday_ambiguous' WHEN at_stop THEN 'stop' WHEN at_target THEN 'target' ELSE 'time_exit' END AS reason, round({price}, 3) AS exit_price,
-round(CASE WHEN direction = 'Bullish' THEN {price} / fill_price - 1 ELSE fill_price / ({price}) - 1 END, 5) AS gross_return, round(CASE WHEN direction = 'Bullish' THEN {price} / fill_price - 1 ELSE fill_price / ({price}) - 1 END - 0.0005, 5) AS net_return FROM ({ranked}) r WHERE pick = 1"""
+round(CASE WHEN direction = 'Bullish' THEN {price} / fill_price - 1 ELSE fill_price / ({price}) - 1 END, 8) AS gross_return, round(CASE WHEN direction = 'Bullish' THEN {price} / fill_price - 1 ELSE fill_price / ({price}) - 1 END - 0.0005, 8) AS net_return FROM ({ranked}) r WHERE pick = 1"""
 
 
 def marks(d: Dialect, scored: str, bars: str, horizon: int = 5) -> str:
