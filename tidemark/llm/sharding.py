@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import dropped, written
+from .common import written
 
 #: Key bits taken from the text's hash; the rest come from the id's.
 TEXT_BITS = 40
@@ -95,7 +95,7 @@ def shard(docs: DataFrame, *, shards: int = 16, bits: int = 8, tolerance: float
     Returns doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard). A shard's bytes
     differ from an equal share by at most ``tolerance`` of it and two rows.
     """
-    rows, path = written(keyed(docs), "shard-keys")
+    rows, _ = written(keyed(docs), "shard-keys")
     if cell_rows is None:
         cell_rows = max(512, rows.count() // 2048)
     found = cells(rows, shards, bits, tolerance, cell_rows)
@@ -113,6 +113,3 @@ def shard(docs: DataFrame, *, shards: int = 16, bits: int = 8, tolerance: float
         out = part if out is None else out.unionByName(part)
     inside = Window.partitionBy("level", "prefix").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.row_number().over(inside) - 1).alias("slot"))
-
-
-__all__ = ["shard", "dropped"]
