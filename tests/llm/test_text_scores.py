@@ -52,6 +52,20 @@ def test_language_queries(spark, sf):
     assert langid.filtered(docs.unionByName(more)).filter("doc_id < 0").count() == 0
 
 
+def test_language_filter_rejects_unlearned_texts(spark):
+    rnd = random.Random(4)
+    words = {"en": ["".join(rnd.choices("etaoinsh", k=rnd.randrange(2, 8))) for _ in range(300)], "fr": ["".join(rnd.choices("éuraçlpm", k=rnd.randrange(2, 8))) for _ in range(300)], "xx": ["".join(rnd.choices("бгджзкфц", k=rnd.randrange(2, 8))) for _ in range(300)]}
+    text = lambda lang, n=60: " ".join(rnd.choices(words[lang], k=n))
+    rows = [(k, text(("en", "fr")[k % 2], 1500), ("en", "fr")[k % 2]) for k in range(160)]
+    rows += [(1000 + k, text("xx"), None) for k in range(20)]
+    rows += [(2000 + k, " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60)), None) for k in range(20)]
+    rows += [(3000 + k, text("en"), None) for k in range(20)] + [(4000, "zq xk", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in langid.filtered(docs).collect()}
+    assert kept == set(range(160)) | set(range(3000, 3020)) | {4000}
+    assert langid.filtered(docs.withColumn("lang", F.lit(None).cast("string"))).count() == len(rows)
+
+
 GRAMMAR = toxicity.Grammar(words={"idiot": 2.0}, stems={"lowei": 1.5}, threats={"kill": 1.0}, bias=-2.0, slope=3.0)
 
 
