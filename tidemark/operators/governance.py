@@ -180,21 +180,21 @@ def beats_benchmark(d: Dialect, t: str, bars: str) -> str:
     return f"SELECT s.scope, count(*) AS n, round(avg(CASE WHEN s.r > b.r THEN {ONE} ELSE {ZERO} END), 6) AS beats FROM ({t}) s JOIN ({t}) b ON b.Date = s.Date AND b.symbol = 'S0' WHERE s.symbol <> 'S0' GROUP BY s.scope"
 
 
-def positions(d: Dialect, t: str, bars: str) -> str:
+def positions(d: Dialect, t: str, bars: str, only: str = "") -> str:
     """State of each position by replay of its events."""
-    log = f"SELECT unique_key AS position_id, as_of AS moment, 1 AS k, 'PENDING' AS state FROM ({events.created(d, t)}) c WHERE event_type = 'ENTRY_PENDING' UNION ALL SELECT source_key AS position_id, fill_date AS moment, 2 AS k, 'OPEN' AS state FROM ({events.fills(d, t, bars)}) f UNION ALL SELECT source_key AS position_id, exit_date AS moment, 3 AS k, 'CLOSED' AS state FROM ({events.exits(d, t, bars)}) e"
+    log = f"SELECT unique_key AS position_id, as_of AS moment, 1 AS k, 'PENDING' AS state FROM ({events.created(d, t, only)}) c WHERE event_type = 'ENTRY_PENDING' UNION ALL SELECT source_key AS position_id, fill_date AS moment, 2 AS k, 'OPEN' AS state FROM ({events.fills(d, t, bars, only)}) f UNION ALL SELECT source_key AS position_id, exit_date AS moment, 3 AS k, 'CLOSED' AS state FROM ({events.exits(d, t, bars, only=only)}) e"
     return f"SELECT state, count(*) AS n, min(moment) AS earliest, max(moment) AS latest FROM (SELECT *, row_number() OVER (PARTITION BY position_id ORDER BY moment DESC, k DESC) AS rk FROM ({log}) l) r WHERE rk = 1 GROUP BY state"
 
 
-def lineage(d: Dialect, t: str, bars: str) -> str:
+def lineage(d: Dialect, t: str, bars: str, only: str = "") -> str:
     """Pending entries with their fill and exit; what is missing on the way."""
     return f"""SELECT c.symbol, count(*) AS pending, count(f.source_key) AS filled, count(e.source_key) AS closed, count(CASE WHEN f.source_key IS NULL THEN 1 END) AS unfilled, round(sum(e.net_return), 4) AS net_sum
-FROM ({events.created(d, t)}) c LEFT JOIN ({events.fills(d, t, bars)}) f ON f.source_key = c.unique_key LEFT JOIN ({events.exits(d, t, bars)}) e ON e.source_key = c.unique_key WHERE c.event_type = 'ENTRY_PENDING' GROUP BY c.symbol"""
+FROM ({events.created(d, t, only)}) c LEFT JOIN ({events.fills(d, t, bars, only)}) f ON f.source_key = c.unique_key LEFT JOIN ({events.exits(d, t, bars, only=only)}) e ON e.source_key = c.unique_key WHERE c.event_type = 'ENTRY_PENDING' GROUP BY c.symbol"""
 
 
-def diagnostic_state(d: Dialect, t: str, bars: str) -> str:
+def diagnostic_state(d: Dialect, t: str, bars: str, only: str = "") -> str:
     """Matured rows, span in months and status of a prospective diagnostic."""
-    q = f"SELECT count(*) AS matured, count(DISTINCT {d.ym('exit_date')}) AS months, min(exit_date) AS first_exit, max(exit_date) AS last_exit FROM ({events.exits(d, t, bars)}) e"
+    q = f"SELECT count(*) AS matured, count(DISTINCT {d.ym('exit_date')}) AS months, min(exit_date) AS first_exit, max(exit_date) AS last_exit FROM ({events.exits(d, t, bars, only=only)}) e"
     return f"SELECT matured, months, {d.days('last_exit', 'first_exit')} AS span_days, CASE WHEN matured = 0 THEN 'NO_MATURED_ROWS' WHEN matured < 50 OR months < 3 THEN 'COLLECTING' ELSE 'READY_FOR_REVIEW' END AS status FROM ({q}) q"
 
 
@@ -205,3 +205,5 @@ def exit_calibration(d: Dialect, t: str, bars: str) -> str:
 
 
 VIEWS = {f.__name__: f for f in (effective_policy, eligibility, integrity, families, fold_aggregate, policy_comparison, generation_summary, robustness, split_distributions, holdout_metrics, product_classes, scopes, history_percentile, position_sizes, registry, evidence, support, probability_audit, outcome_ranks, beats_benchmark, positions, lineage, diagnostic_state, exit_calibration)}
+#: Views of the event log, which may be restricted by ``only``.
+OF_EVENTS = (positions, lineage, diagnostic_state)

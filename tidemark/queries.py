@@ -83,7 +83,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("analogs_vectors", vectors, analogs.VECTORS_SQL)
 for _n, _v in events.VIEWS.items():
-    add(f"events_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, metrics.scored(SPARK, _B, _U), _B), bars=source.from_trades(s, d), universe=source.universe(s)), _v(DUCK, metrics.scored(DUCK, source.oracle_bars(), source.universe_sql()), source.oracle_bars()))
+    # the query takes every date; its oracle is as given and takes the 20th of each month only
+    add(f"events_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, metrics.scored(SPARK, _B, _U), _B), bars=source.from_trades(s, d), universe=source.universe(s)), _v(DUCK, metrics.scored(DUCK, source.oracle_bars(), source.universe_sql()), source.oracle_bars(), only=events.ORACLE_ONLY))
 for _n, _v in audit.VIEWS.items():
     add(f"audit_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, _B), bars=source.from_trades(s, d)), _v(DUCK, source.oracle_bars()))
 for _n, _v in streaming.VIEWS.items():
@@ -127,4 +128,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY Date ORDER BY return_20 DESC, sy
 SELECT symbol, Date, round(return_5, 6) AS return_5, round(return_20, 6) AS return_20, round(distance_sma_20, 6) AS distance_sma_20, round(forward_return_5, 6) AS forward_return_5, CAST(rk AS INT) AS rk FROM r WHERE rk <= 2"""
 add("flagship", flagship, FLAGSHIP.format(bars=f"({source.oracle_bars(4)})", d=""))
 for _n, _v in governance.VIEWS.items():
-    add(f"govern_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, metrics.scored(SPARK, _B, _U), _B), bars=source.from_trades(s, d), universe=source.universe(s)), _v(DUCK, metrics.scored(DUCK, source.oracle_bars(), source.universe_sql()), source.oracle_bars()))
+    _given = {"only": events.ORACLE_ONLY} if _v in governance.OF_EVENTS else {}
+    add(f"govern_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, metrics.scored(SPARK, _B, _U), _B), bars=source.from_trades(s, d), universe=source.universe(s)), _v(DUCK, metrics.scored(DUCK, source.oracle_bars(), source.universe_sql()), source.oracle_bars(), **_given))
