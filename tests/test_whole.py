@@ -6,7 +6,7 @@ from test_oracles import TABLES, rows
 
 from tidemark import queries
 from tidemark.functions.dialect import DUCK
-from tidemark.operators import events, governance, metrics
+from tidemark.operators import backtest, events, governance, metrics
 from tidemark.sources import bars as source
 
 EVENT_VIEWS = {f"events_{n}": v for n, v in events.VIEWS.items()} | {f"govern_{v.__name__}": v for v in governance.OF_EVENTS}
@@ -35,3 +35,10 @@ def test_every_scored_date_is_a_snapshot(spark, sf, con, name):
         scored = queries.scored_rows(spark, sf).select("Date").distinct().count()
         assert mine["as_of"].nunique() == scored
         assert set(rows(con.sql(queries.ORACLE_SQL[name]).df())["unique_key"]) < set(mine["unique_key"])
+
+
+def test_portfolio_candidates_on_every_date(spark, sf):
+    bars = source.from_trades(spark, sf)
+    got = backtest.demo_candidates(spark, bars, source.universe(spark)).select("Date").distinct()
+    want = spark.sql("SELECT DISTINCT Date FROM (SELECT Date, lag(Close, 20) OVER (PARTITION BY symbol ORDER BY Date) AS before FROM {b}) WHERE before <> 0", b=bars)
+    assert got.count() > 0 and want.exceptAll(got).count() == got.exceptAll(want).count() == 0

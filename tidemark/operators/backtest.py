@@ -309,10 +309,10 @@ def group_returns(taken: DataFrame, key: str) -> DataFrame:
 
 
 def demo_candidates(spark: SparkSession, bars: DataFrame, universe: DataFrame) -> DataFrame:
-    """Candidates for the portfolio query: the two strongest and the weakest symbol of every tenth date."""
+    """Candidates for the portfolio query: the two strongest and the weakest symbol of every date."""
     return spark.sql(
         """WITH f AS (SELECT symbol, Date, try_divide(Close, lag(Close, 20) OVER (PARTITION BY symbol ORDER BY Date)) - 1 AS m FROM {b}),
-r AS (SELECT *, row_number() OVER (PARTITION BY Date ORDER BY m DESC, symbol) AS hi, row_number() OVER (PARTITION BY Date ORDER BY m, symbol) AS lo FROM f WHERE m IS NOT NULL AND dayofyear(Date) % 10 = 0)
+r AS (SELECT *, row_number() OVER (PARTITION BY Date ORDER BY m DESC, symbol) AS hi, row_number() OVER (PARTITION BY Date ORDER BY m, symbol) AS lo FROM f WHERE m IS NOT NULL)
 SELECT r.symbol, Date, CASE WHEN hi <= 2 THEN 'Bullish' ELSE 'Bearish' END AS direction, abs(m) AS score, coalesce(u.sector, 'none') AS sector FROM r JOIN {u} u ON u.symbol = r.symbol WHERE hi <= 2 OR lo = 1""",
         b=bars,
         u=universe,
