@@ -6,7 +6,7 @@ from test_oracles import TABLES, rows
 
 from tidemark import queries
 from tidemark.functions.dialect import DUCK
-from tidemark.operators import backtest, events, governance, metrics
+from tidemark.operators import analogs, backtest, events, governance, metrics
 from tidemark.sources import bars as source
 
 EVENT_VIEWS = {f"events_{n}": v for n, v in events.VIEWS.items()} | {f"govern_{v.__name__}": v for v in governance.OF_EVENTS}
@@ -42,3 +42,11 @@ def test_portfolio_candidates_on_every_date(spark, sf):
     got = backtest.demo_candidates(spark, bars, source.universe(spark)).select("Date").distinct()
     want = spark.sql("SELECT DISTINCT Date FROM (SELECT Date, lag(Close, 20) OVER (PARTITION BY symbol ORDER BY Date) AS before FROM {b}) WHERE before <> 0", b=bars)
     assert got.count() > 0 and want.exceptAll(got).count() == got.exceptAll(want).count() == 0
+
+
+def test_more_targets_than_a_block(spark, sf, monkeypatch):
+    whole = sorted(queries.QUERIES["analogs_vectors"](spark, sf).collect())
+    assert len({r.target_id for r in whole}) > 3
+    monkeypatch.setattr(analogs, "BLOCK_TARGETS", 3, raising=False)
+    monkeypatch.setattr(analogs, "MOST_TARGETS", 3, raising=False)
+    assert sorted(queries.QUERIES["analogs_vectors"](spark, sf).collect()) == whole

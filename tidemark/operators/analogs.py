@@ -3,18 +3,22 @@
 Targets are few by construction (the latest rows, or blocked ones chosen by rank); history is all
 earlier rows. The join is a broadcast of the targets against one scan of history, so it costs
 targets times history and no shuffle of history; top-k keeps k rows a target in each task first.
+More targets than one broadcast should hold go block by block, each with a scan of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.dialect import Dialect
 
-#: Targets that may be broadcast; more are refused.
-MOST_TARGETS = 10_000
+#: Targets that are broadcast at a time, about.
+BLOCK_TARGETS = 10_000
 
 
 def nearest(d: Dialect, scored: str, k: int = 25) -> str:
@@ -45,9 +49,26 @@ VIEWS = {"listed": listed, "depths": depths}
 
 
 def nearest_vectors(vectors: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
-    """The k nearest vectors (vec_id, embedding) of each target by Euclidean distance, itself left out."""
-    if targets.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
-        raise ValueError("too many targets to broadcast")
+    """The k nearest vectors (vec_id, embedding) of each target by Euclidean distance, itself left out.
+
+    Targets are cut in blocks by a hash of their ids. If there are several, each block's result is
+    written before the next begins, so that one block at a time is broadcast."""
+    blocks = -(-targets.count() // BLOCK_TARGETS)
+    if blocks <= 1:
+        return _nearest(vectors, targets, k)
+    spark, out = vectors.sparkSession, f"{_shared(vectors.sparkSession)}/tidemark/analogs-{uuid.uuid4().hex}"
+    for b in range(blocks):
+        _nearest(vectors, targets.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), k).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one where the session names none."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (found or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
+
+
+def _nearest(vectors: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     t = F.broadcast(targets.select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("target")))
     square = F.aggregate(F.zip_with("embedding", "target", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     pairs = vectors.crossJoin(t).filter("vec_id <> target_id").select("target_id", "vec_id", F.sqrt(square).alias("distance"))
