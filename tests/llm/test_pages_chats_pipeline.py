@@ -48,6 +48,19 @@ def test_site_templates(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_templates_beside_different_articles(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    links, box = "<ul><li><a href='/a'>See this too</a></li><li>And this</li></ul>", "<p>Subscribe to our letter</p>"
+    small = [(k, f"https://small.example/{k}", f"<article><h1>Head</h1><p>{words(k)}</p>{links}{box}</article>") for k in range(6)]
+    large = [(1000 + k, f"https://large.example/{k}", f"<body>{'<div><b>Section menu</b></div>' if k % 8 == 0 else ''}<div><p>{words(1000 + k)}</p></div></body>") for k in range(400)]
+    copies = [(2000 + k, f"https://copies.example/{k}", f"<article><p>{words(0)}</p>{links}{box}<p>Short end</p></article>") for k in range(40)]
+    df = spark.createDataFrame(small + large + copies, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert [got[k] for k in range(6)] == [f"Head\n\n{words(k)}" for k in range(6)]
+    assert all(got[1000 + k] == words(1000 + k) for k in range(400))
+    assert all(got[2000 + k] == f"{words(0)}\n\nSee this too\n\nAnd this\n\nSubscribe to our letter\n\nShort end" for k in range(40))
+
+
 def test_send_or_join(spark, monkeypatch):
     pages = [(k, "https://a.example/", f"<div><b>menu here</b></div><p>text {k}") for k in range(12)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")

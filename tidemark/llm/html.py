@@ -2,14 +2,23 @@
 
 Pages are parsed into element trees. A first pass hashes element subtrees outside running text and
 counts, per host, on how many pages each occurs (counts are added up in each task before they are
-exchanged). Subtrees on at least ``min_pages`` pages and ``share`` of a host's pages are that host's
-template. A second pass deletes them, and elements that are never main text (menus, page headers,
+exchanged). A host's template are
+
+- subtrees outside running text on at least ``min_pages`` pages and ``share`` of the host's pages;
+- subtrees that recur beside different articles, wherever they stand: also lists, tables and short
+  paragraphs inside an article. The longest block of a page's main text stands for its article. The
+  bar is ``share`` of the host's pages, but 3 different articles at least and ``min_pages`` at most,
+  and ``LOW_SHARE`` of the pages; it hardly rises with the host.
+
+A second pass deletes them, and elements that are never main text (menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) by name, role or class;
 what remains of the article (else of main, else of body) is the text.
 
-Paragraphs, headings and other running text inside an article are never template: copies of an
-article on a host keep their text. A host's template has at most (subtrees of a page) / share entries,
-so its list is bounded. All lists together are sent to every executor only if they have at most
+Headings, long paragraphs and inline elements inside an article are never template, nor is what holds
+a page's longest block; blocks that recur only beside the same article are none by the second rule: so
+copies of an article on a host keep their text. Different articles are counted by two bit masks, which
+never count too many. A host's template has at most (subtrees of a page) / ``LOW_SHARE`` entries, so
+its list is bounded. All lists together are sent to every executor only if they have at most
 ``SEND`` entries; else pages are joined to them by host.
 
 Text: character references are decoded; white space inside a block becomes one space; blocks are
@@ -34,6 +43,13 @@ from pyspark.sql import functions as F
 from .common import narrow, quiet, sized
 
 SEND = 200_000
+# Fixed values of the second rule: least share of a host's pages, least number of different articles,
+# most characters of a paragraph, elements of running text that may be template, and a mark on their hashes.
+LOW_SHARE = 0.01
+LEAST_ARTICLES = 3
+SHORT = 200
+RECURRING = frozenset("p ul ol dl table figure".split())
+BESIDE = 0x5BD1E995_9E3779B9
 #: Elements nested deeper than this are read as if they ended at once, as browsers do.
 DEEPEST = 300
 # Element names of the HTML standard, by what they mean here.
@@ -183,12 +199,60 @@ def hashed(node: Node) -> int:
     return node.mark
 
 
-def candidates(root: Node) -> set[int]:
-    """Hashes of the subtrees that may be template: not what holds the article, nor its running text."""
+def longest(mains: list[Node], marked: bool) -> tuple[int, set[int]]:
+    """Hash of the longest block of the main text, and the ids of the elements that hold it."""
+    own: dict[int, list[str]] = {}
+    above: dict[int, tuple[Node, int]] = {}
+
+    def walk(node: Node, block: int):
+        for child in node.children:
+            if type(child) is str:
+                own.setdefault(block, []).append(child)
+            elif not aside(child, marked):
+                if child.tag in BLOCK:
+                    above[id(child)] = (child, block)
+                    walk(child, id(child))
+                else:
+                    walk(child, block)
+
+    for node in mains:
+        above[id(node)] = (node, 0)
+        walk(node, id(node))
+    texts = {k: " ".join("".join(x).split()) for k, x in own.items()}
+    best = max(texts, key=lambda k: len(texts[k]), default=0)
+    held, at = set(), best
+    while at:
+        held.add(at)
+        at = above[at][1]
+    return xxhash.xxh3_64_intdigest(texts.get(best, "").encode("utf-8", "surrogatepass")), held
+
+
+def size_of(node: Node, most: int) -> int:
+    """Characters of a subtree's text, counted up to about ``most``."""
+    n = 0
+    for child in node.children:
+        n += len(child) if type(child) is str else size_of(child, most - n)
+        if n > most:
+            break
+    return n
+
+
+def recurring(node: Node, held: set[int]) -> bool:
+    """Whether an element may be template if it recurs beside different articles."""
+    if id(node) in held or node.tag in CONTENT and node.tag not in RECURRING:
+        return False
+    return node.tag != "p" or size_of(node, SHORT) <= SHORT
+
+
+def candidates(root: Node) -> tuple[set[int], set[int], int]:
+    """Hashes of the subtrees that may be template by the first rule (not what holds the article, nor its
+    running text) and by the second, and the hash of the page's longest block."""
     hashed(root)
     mains, marked = main_of(root)
     holders = set(map(id, mains))
+    article, held = longest(mains, marked)
     out: set[int] = set()
+    beside: set[int] = set()
 
     def walk(node: Node, inside: bool) -> bool:
         holds = id(node) in holders
@@ -196,12 +260,15 @@ def candidates(root: Node) -> set[int]:
         for child in node.children:
             if type(child) is Node:
                 holds |= walk(child, inner)
-        if not holds and node.children and node.tag not in ("html", "body", "head") and not (inside and marked and node.tag in CONTENT):
-            out.add(node.mark)
+        if not holds and node.children and node.tag not in ("html", "body", "head"):
+            if not (inside and marked and node.tag in CONTENT):
+                out.add(node.mark)
+            if inside and recurring(node, held):
+                beside.add(node.mark)
         return holds
 
     walk(root, False)
-    return out
+    return out, beside, article
 
 
 def host_of(url: str | None) -> str:
@@ -214,6 +281,7 @@ def main_text(html: str | None, template: set[int]) -> str:
     if template:
         hashed(root)
     mains, marked = main_of(root)
+    _, article = longest(mains, marked) if template else (0, set())
     blocks: list[str] = []
     held: list[str] = []
 
@@ -229,7 +297,7 @@ def main_text(html: str | None, template: set[int]) -> str:
                 held.append(unescape(child) if "&" in child else child)
             elif child.tag == "br":
                 held.append("\n")
-            elif aside(child, inside) or template and child.mark in template and not (marked and child.tag in CONTENT):
+            elif aside(child, inside) or template and (child.mark in template and not (marked and child.tag in CONTENT) or child.mark ^ BESIDE in template and recurring(child, article)):
                 if child.tag in BLOCK:
                     flush()
             elif child.tag in BLOCK:
@@ -247,18 +315,24 @@ def main_text(html: str | None, template: set[int]) -> str:
 
 def templates(pages: DataFrame, *, min_pages: int = 10, share: float = 0.2) -> DataFrame:
     """(host, template): per host the hashes of subtrees on many of its pages."""
-    schema = pa.schema([("host", pa.string()), ("hash", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("hash", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         quiet()
-        counts: Counter = Counter()
+        counts: dict[tuple[str, int | None], list[int]] = {}
 
         def rows():
             for batch in batches:
                 for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     host = host_of(url)
-                    counts[host, None] += 1
-                    counts.update((host, h) for h in candidates(parse(html or "")))
+                    first, second, article = candidates(parse(html or ""))
+                    a, b = 1 << article % 63, 1 << article // 63 % 63
+                    counts.setdefault((host, None), [0, 0, 0, 0])[0] += 1
+                    for h in first:
+                        counts.setdefault((host, h), [0, 0, 0, 0])[0] += 1
+                    for h in second:
+                        row = counts.setdefault((host, h), [0, 0, 0, 0])
+                        row[1:] = row[1] + 1, row[2] | a, row[3] | b
                     if len(counts) > 100_000:
                         yield from done()
             yield from done()
@@ -266,16 +340,21 @@ def templates(pages: DataFrame, *, min_pages: int = 10, share: float = 0.2) -> D
         def done():
             got = list(counts.items())
             counts.clear()
-            for (host, h), n in got:
-                yield (host, h, n), 24
+            for (host, h), row in got:
+                yield (host, h, *row), 48
 
         yield from sized(rows(), schema)
 
-    counted = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, hash long, n long")
+    counted = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, hash long, n long, k long, a long, b long")
     # a host's number of pages (hash is null) stays with its frequent subtrees
-    often = counted.groupBy("host", "hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages)
+    often = counted.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.greatest(F.bit_count(F.bit_or("a")), F.bit_count(F.bit_or("b"))).alias("articles"))
+    often = often.filter((F.col("n") >= min_pages) | (F.col("articles") >= LEAST_ARTICLES) | F.col("hash").isNull())
     total = often.filter("hash is null").select("host", F.col("n").alias("pages"))
-    return often.filter("hash is not null").join(total, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("template"))
+    first = (F.col("n") >= min_pages) & (F.col("n") >= share * F.col("pages"))
+    bar = F.least(F.lit(min_pages), F.greatest(F.lit(LEAST_ARTICLES), F.ceil(share * F.col("pages"))))
+    second = (F.col("articles") >= bar) & (F.col("k") >= LOW_SHARE * F.col("pages"))
+    both = F.array_compact(F.array(F.when(first, F.col("hash")), F.when(second, F.col("hash").bitwiseXOR(F.lit(BESIDE)))))
+    return often.filter("hash is not null").join(total, "host").filter(first | second).groupBy("host").agg(F.flatten(F.collect_list(both)).alias("template"))
 
 
 def extract(pages: DataFrame, *, min_pages: int = 10, share: float = 0.2) -> DataFrame:
