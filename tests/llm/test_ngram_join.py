@@ -146,3 +146,16 @@ def test_long_documents(spark):
         rows.append((k, " ".join(words[: len(words) - rnd.randrange(300)])))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=90, den=100).collect()}
     assert got == brute(rows, 3, 90, 100)
+
+
+def test_cells_that_copies_make_look_alike(spark):
+    rng = np.random.default_rng(5)
+    alone, near = (np.sort(rng.integers(0, 1 << 62, 60).astype(np.uint64)) for _ in range(2))
+    x, z = near.copy(), near.copy()
+    x[0], z[1] = 1, 2
+    sets = {1: alone, 5: x, 6: z, 9: near}
+    marks = spark.createDataFrame([(k, len(s), bytearray(ngram_join.bitmap(s, ngram_join.bits_of(len(s))).tobytes())) for k, s in sets.items()], "digest long, n long, bitmap binary")
+    cells = spark.createDataFrame([(10, d, 1) for d in (1, 9, 5, 5)] + [(11, d, 1) for d in (1, 9, 6, 6)], "cell long, digest long, first long")
+    found, _ = ngram_join.clustered(cells, marks, 80, 100)
+    cluster = {r.u: r.v for r in found.collect()}
+    assert cluster[9] == cluster[6] == 5

@@ -419,10 +419,14 @@ def clustered(cells: DataFrame, marks: DataFrame, num: int, den: int) -> tuple[D
     component; in the others, trees of bitmaps find the pairs that join components."""
     stars, stars_path = components(allowed(cells.filter("digest <> first").select(F.col("digest").alias("u"), F.col("first").alias("v")).distinct(), marks, num, den), "join-stars")
     tagged = cells.join(stars.toDF("digest", "v"), "digest", "left").select("cell", "digest", F.coalesce("v", "digest").alias("part"))
-    open_ = tagged.groupBy("cell").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.min("digest").alias("c"), F.max("digest").alias("d"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("digest")).alias("members"))
+    open_ = tagged.groupBy("cell").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("k")).filter("a <> b AND k > 2").select("cell")
+    # a class has a row of a cell for each task that met it; those copies must neither count nor cancel out
+    rows = tagged.join(open_, "cell").groupBy("cell", "digest").agg(F.first("part").alias("part"))
+    same = ("k", "c", "d", "members", "again")
+    kept = rows.groupBy("cell").agg(F.count("*").alias("k"), F.min("digest").alias("c"), F.max("digest").alias("d"), F.bit_xor(F.xxhash64("digest")).alias("members"), F.bit_xor(F.xxhash64(F.lit(7), "digest")).alias("again"))
     # cells of two classes are settled; of cells with the same members one is enough
-    open_ = open_.filter("a <> b AND k > 2").groupBy("k", "c", "d", "members").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("k") / BLOCK_SETS).cast("int").alias("blocks"))
-    rows = tagged.join(open_, "cell").join(marks, "digest")
+    kept = kept.filter("k > 2").groupBy(*same).agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("k") / BLOCK_SETS).cast("int").alias("blocks"))
+    rows = rows.join(kept, "cell").join(marks, "digest")
 
     def work(key, held):
         return bridges(*sides(key, held, lambda r: r[1:]), num, den) if len(held) > 1 else ()
