@@ -11,32 +11,53 @@ from pyspark.sql import functions as F
 from tidemark.llm import fingerprint, langid, quality, toxicity
 
 
-def test_ppm_code_lengths_by_hand():
-    model = langid.Model(2)
-    model.learn("a", Counter({b"ab": 3, b"ac": 1}))
-    # after " a": b three times, c once; two followers
-    assert math.isclose(model.cost(b" ab")[0], -math.log2(3 / 6))
-    # x: escape " a" (2/6), escape "a" (2/6), escape "" (followers a, b, c: 3 of 8 + 3), then one of 256
-    assert math.isclose(model.cost(b" ax")[0], -2 * math.log2(2 / 6) - math.log2(3 / 11) + 8)
-    assert math.isclose(model.cost(b"zb")[0], -math.log2(3 / 11))
-
-
-def test_ppm_probabilities_sum_to_at_most_one():
+def brute_ppm(texts, order, text):
+    """Bits of a text by the definition: dictionaries, one symbol at a time, exclusion by sets of symbols."""
+    stream = lambda t: ["^"] * order + list(t) + ["$"]
+    seen = {}
+    for t in map(stream, texts):
+        for at in range(order, len(t)):
+            for k in range(order + 1):
+                seen.setdefault(tuple(t[at - k : at]), Counter())[t[at]] += 1
+    bits, t = [], stream(text)
+    for at in range(order, len(t)):
+        cost, out = 0.0, set()
+        for k in range(order, -1, -1):
+            here = {s: n for s, n in seen.get(tuple(t[at - k : at]), {}).items() if s not in out}
+            every = sum(here.values()) + len(here)
+            if t[at] in here:
+                cost -= math.log2(here[t[at]] / every)
+                break
+            if here:
+                cost -= math.log2(len(here) / every)
+            out |= set(seen.get(tuple(t[at - k : at]), ()))
+        else:
+            cost += math.log2(257 - len(out))
+        bits.append(cost)
+    return sum(bits)
+
+
+def test_ppm_code_lengths_by_brute_force(monkeypatch):
+    rnd = random.Random(7)
+    for order in (1, 2, 4):
+        model, learned = langid.Model(order), {}
+        for lang, letters in (("a", b"abc \n"), ("b", b"abx,"), ("c", bytes(range(256)))):
+            learned[lang] = [bytes(rnd.choices(letters, k=rnd.randrange(60))) for _ in range(12)]
+            model.learn(lang, learned[lang])
+        texts = [b"", b"a", b"zzz", b"\x00\xff", "Ünï cödé".encode()] + [bytes(rnd.choices(b"abcx \n,", k=rnd.randrange(80))) for _ in range(20)]
+        want = [[brute_ppm(learned[lang], order, t) for lang in "abc"] for t in texts]
+        assert np.allclose(model.lengths(texts), want)
+        monkeypatch.setattr(langid.stretches, "__defaults__", (7,))  # texts in pieces
+        assert np.allclose(model.lengths(texts), want)
+        monkeypatch.undo()
+
+
+def test_ppm_probabilities_sum_to_one():
     model = langid.Model(3)
-    model.learn("a", Counter({b"banana": 5, b"bandana": 2, b"nab": 1}))
-    for context in (b" ", b"an", b"nan", b"q"):
-        assert sum(2 ** -model.cost(context + bytes([b]))[0] for b in range(256)) <= 1 + 1e-9
-
-
-def test_scorer_equals_words_one_by_one():
-    model = langid.Model(4)
-    model.learn("a", Counter({b"the": 5, b"other": 2}))
-    model.learn("b", Counter({b"der": 4, b"andere": 2}))
-    scorer = langid.Scorer(model)
-    words = "the other thing dér".split()
-    scorer.add(set(words))
-    want = np.sum([model.cost(t[max(0, k - 4) : k + 1]) for w in words for t in [b" " + w.encode()] for k in range(1, len(t))], axis=0)
-    assert np.allclose(scorer.bits(words), want)
+    model.learn("a", [b"banana bandana", b"nab", b"nana"])
+    for context in ([0, 0, 0], [1 + x for x in b"ban"], [1 + x for x in b"qan"], [1 + x for x in b"xyz"]):
+        grams = np.array([sum(c << 9 * (3 - k) for k, c in enumerate([*context, s])) for s in range(1, 258)], np.int64)
+        assert math.isclose(np.exp2(-model.cost(grams)[:, 0]).sum(), 1)
 
 
 def test_language_queries(spark, sf):
@@ -50,19 +71,36 @@ def test_language_queries(spark, sf):
     assert all(0 <= r.score <= 1 for r in got.values())
     assert langid.predict(docs.limit(0)).count() == 0
     assert langid.filtered(docs.unionByName(more)).filter("doc_id < 0").count() == 0
+    # the query on whole tables against the operator's definition, text by text
+    model = langid.train(docs.unionByName(more), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    some = [r for r in docs.collect() if r.text][::9]
+    for r, bits in zip(some, model.lengths([langid.encoded(r.text) for r in some])):
+        assert got[r.doc_id].lang_pred == model.langs[int(np.argmin(bits))] and math.isclose(got[r.doc_id].bits, bits.min(), rel_tol=1e-9)
+
+
+def test_language_rows_of_any_kind(spark):
+    row = ("the of and that this " * 9, "en", "clash", 7.0)
+    rows = [(k, *row) for k in range(30)] + [(3, *row), (None, *row), (40, None, None, "x", 1.0), (41, "", "en", None, None), (42, "the of and " * 100_000, "en", "long", 2.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    got = langid.predict(docs).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} == {"en", "und"}
+    kept = langid.filtered(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == sorted([*range(30), 3, -1, 42])
+    assert langid.filtered(docs.limit(0)).count() == 0
 
 
 def test_language_filter_rejects_unlearned_texts(spark):
     rnd = random.Random(4)
     words = {"en": ["".join(rnd.choices("etaoinsh", k=rnd.randrange(2, 8))) for _ in range(300)], "fr": ["".join(rnd.choices("éuraçlpm", k=rnd.randrange(2, 8))) for _ in range(300)], "xx": ["".join(rnd.choices("бгджзкфц", k=rnd.randrange(2, 8))) for _ in range(300)]}
     text = lambda lang, n=60: " ".join(rnd.choices(words[lang], k=n))
+    # shorter than a verdict needs: kept
     rows = [(k, text(("en", "fr")[k % 2], 1500), ("en", "fr")[k % 2]) for k in range(160)]
     rows += [(1000 + k, text("xx"), None) for k in range(20)]
     rows += [(2000 + k, " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60)), None) for k in range(20)]
     rows += [(3000 + k, text("en"), None) for k in range(20)] + [(4000, "zq xk", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in langid.filtered(docs).collect()}
-    assert kept == set(range(160)) | set(range(3000, 3020)) | {4000}
+    assert kept == set(range(160)) | set(range(3000, 3020)) | {4000}, (kept, langid.train(docs, F.lit(True)).bounds)
     assert langid.filtered(docs.withColumn("lang", F.lit(None).cast("string"))).count() == len(rows)
 
 

@@ -22,15 +22,15 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import narrow, quiet, sized
+from .common import kept, narrow, quiet, sized
 
-#: Bounds of a worker's memory; what is full is emptied and built again as needed.
+#: Bounds of a worker's memory (about 350 bytes a match, 600 a state, 150 a pair); what is full is
+#: emptied and built again as needed.
 CACHE_WORDS, CACHE_STATES, CACHE_PAIRS = 450_000, 150_000, 400_000
 ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, ids array<int>, decoded binary"
@@ -58,8 +58,8 @@ class Transducer:
     """Bytes in, ids out. A state is a tuple of (trie node, last token): one for each prefix that a
     vocabulary token may still start from, with the token that ends there, the whole prefix last."""
 
-    #: Bytes after which a long piece's settled tokens are emitted.
-    EMIT = 4096
+    #: After every so many bytes the tokens that are settled by then are emitted.
+    EMIT = 256
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes = ranks, {i: b for b, i in ranks.items()}
@@ -181,14 +181,13 @@ class Transducer:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         state, lasts, out = self.start, [], []
-        for byte in piece:
-            state, last = state[byte]
-            lasts.append(last)
-            if len(lasts) >= self.EMIT:
-                if not (end := self.settled(lasts)):
-                    continue
+        for at in range(0, len(piece), self.EMIT):
+            if lasts and (end := self.settled(lasts)):
                 out += self.path(lasts, end)
                 del lasts[:end]
+            for byte in piece[at : at + self.EMIT]:
+                state, last = state[byte]
+                lasts.append(last)
         return out + self.path(lasts, len(lasts))
 
 
@@ -266,49 +265,75 @@ def decoded(ids: list[int], table: list[bytes], step: int = 1 << 16) -> bytes:
     return b"".join(chain((decoder.feed(ids[k : k + step]) for k in range(0, len(ids), step)), (decoder.finish(),)))
 
 
-@lru_cache(maxsize=2)
 def text_ids(ranks: str, pattern: str) -> TextIds:
     """One transducer and its caches for all tasks of a worker process."""
-    return TextIds(ranks, pattern)
+    return kept(__name__, (ranks, pattern), lambda: TextIds(ranks, pattern))
 
 
-@lru_cache(maxsize=2)
 def token_table(ranks: str) -> list[bytes]:
-    back = {i: b for b, i in load_ranks(ranks).items()}
-    return [back.get(i, b"") for i in range(max(back) + 1)]
+    def make() -> list[bytes]:
+        back = {i: b for b, i in load_ranks(ranks).items()}
+        return [back.get(i, b"") for i in range(max(back) + 1)]
+
+    return kept(__name__, ranks, make)
+
+
+IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+BOTH = IDS.append(pa.field("decoded", pa.binary()))
+
+
+def base(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Each document's ids: columns doc_id, ids."""
     narrow(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
+    @quiet
     def run(batches: Iterator[pa.RecordBatch]):
-        quiet()
         ids = text_ids(ranks, pattern)
         for batch in batches:
             rows = ((doc, ids(text or "")) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            yield from sized(((r, 4 * len(r[1])) for r in rows), schema)
+            yield from sized(((r, 4 * len(r[1])) for r in rows), IDS)
+
+    return base(docs).mapInArrow(run, ENCODED)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, ENCODED)
+
+def restored(ids: pa.ListArray, table: list[bytes]) -> pa.Array:
+    """The bytes that the ids of each row stand for."""
+    values, ends = ids.flatten().to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_pylist()
+    return pa.array([decoded(values[a - ends[0] : b - ends[0]], table) for a, b in zip(ends, ends[1:])], pa.binary())
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """Adds to (doc_id, ids) the bytes that the ids stand for."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+    narrow(encoded.sparkSession)
 
+    @quiet
     def run(batches: Iterator[pa.RecordBatch]):
-        quiet()
         table = token_table(ranks)
         for batch in batches:
-            values, ends = batch.column(1).flatten().to_numpy(zero_copy_only=False).tolist(), batch.column(1).offsets.to_pylist()
-            base = ends[0]
-            texts = [decoded(values[a - base : b - base], table) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(schema.field(1).type), pa.array(texts, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(BOTH.field(1).type), restored(batch.column(1), table)], schema=BOTH)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, DECODED)
 
 
+def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """``decode(encode(docs))`` in one pass of one worker: doc_id, ids, decoded."""
+    narrow(docs.sparkSession)
+
+    @quiet
+    def run(batches: Iterator[pa.RecordBatch]):
+        ids, table = text_ids(ranks, pattern), token_table(ranks)
+        for batch in batches:
+            rows = ((doc, ids(text or "")) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for out in sized(((r, 8 * len(r[1])) for r in rows), IDS):
+                yield pa.RecordBatch.from_arrays([*out.columns, restored(out.column(1), table)], schema=BOTH)
+
+    return base(docs).mapInArrow(run, DECODED)
+
+
 def digest(ids: Iterable[int]) -> str:
     """sha256 of the decimal ids joined by one space (what the query makes with SQL functions)."""
     return hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()

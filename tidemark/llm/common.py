@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,18 +24,72 @@ def narrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def quiet() -> None:
-    """In a worker: no cyclic garbage collection. The caches hold millions of objects without cycles, which each collection would visit."""
+#: What this worker process keeps from task to task, of one operator (its module's name) at a time.
+KEPT: dict = {}
+
+
+def kept(owner: str, key, make: Callable):
+    """A cache that outlives its task. A task of another operator in the same process drops it."""
+    if (owner, key) not in KEPT:
+        KEPT[owner, key] = make()
+    return KEPT[owner, key]
+
+
+def trimmed() -> None:
+    """Hand freed memory back to the system, for the next operator's workers and the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
+
+
+def begun(owner: str) -> bool:
+    """Drop what other operators left in this process, and stop cyclic collection; whether it was on."""
+    for key in [k for k in KEPT if k[0] != owner]:
+        del KEPT[key]
+    was = gc.isenabled()
     gc.disable()
+    return was
+
+
+def ended(was: bool) -> None:
+    if was:
+        gc.enable()
+    trimmed()
+
+
+def quiet(run: Callable) -> Callable:
+    """For the function of a Python operator: no cyclic garbage collection while it runs (tables hold
+    millions of objects without cycles, which each collection would visit), no cache of another
+    operator beside it, and what it freed is given back at its end."""
+    owner = run.__module__
+
+    @functools.wraps(run)
+    def calm(batches):
+        was = begun(owner)
+        try:
+            yield from run(batches)
+        finally:
+            ended(was)
+
+    return calm
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary
+    one in local mode (driver and executors are one process there); a cluster must name it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return own_dir()
+
+
+@functools.cache
+def own_dir() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -96,8 +96,8 @@ def next_edits(docs: DataFrame) -> DataFrame:
     kinds = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("text", pa.string()), *FIELDS])
     nothing = (None,) * (len(FIELDS) - 1)
 
+    @quiet
     def run(batches: Iterator[pa.RecordBatch]):
-        quiet()
         part, held = TaskContext.get().partitionId(), None
 
         def rows():

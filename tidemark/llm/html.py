@@ -317,8 +317,8 @@ def templates(pages: DataFrame, *, min_pages: int = 10, share: float = 0.2) -> D
     """(host, template): per host the hashes of subtrees on many of its pages."""
     schema = pa.schema([("host", pa.string()), ("hash", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
+    @quiet
     def run(batches):
-        quiet()
         counts: dict[tuple[str, int | None], list[int]] = {}
 
         def rows():
@@ -366,8 +366,8 @@ def extract(pages: DataFrame, *, min_pages: int = 10, share: float = 0.2) -> Dat
     few = (found.agg(F.sum(F.size("template")).alias("n")).first().n or 0) <= SEND
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
+    @quiet
     def run(batches):
-        quiet()
         for batch in batches:
             yield from sized((((page, url, text := main_text(html, set(template or ()))), len(text)) for page, url, html, template in zip(*(c.to_pylist() for c in batch.columns))), schema)
 

@@ -304,8 +304,8 @@ def keyed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, n, digest, and (only for the first document of a class in a task) keys and bitmap."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("keys", pa.list_(pa.int64())), ("bitmap", pa.binary())])
 
+    @quiet
     def run(batches):
-        quiet()
         words, ranges, seen = WordHash(), Ranges(num, den), set()
 
         def rows():
@@ -328,8 +328,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Adds shingles (as bytes) to the wanted (cluster, digest, doc_id, blocks)."""
     schema = pa.schema([("cluster", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("blocks", pa.int32()), ("shingles", pa.binary())])
 
+    @quiet
     def run(batches):
-        quiet()
         words = WordHash()
 
         def rows():
@@ -349,8 +349,8 @@ def grouped(rows: DataFrame, keys: list[str], work, schema: pa.Schema, ddl: str)
     """``work`` over the rows of each group, one group at a time; a task streams through its sorted groups."""
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys)
 
+    @quiet
     def run(batches):
-        quiet()
 
         def groups():
             now, held = None, []

@@ -19,7 +19,6 @@ from __future__ import annotations
 import os
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from unicodedata import normalize
 
 import numpy as np
@@ -27,11 +26,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import narrow, quiet, raw, sized
+from .common import kept, narrow, quiet, raw, sized
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_length", pa.int64())])
-#: Cached words of a worker in each of two generations.
+#: Cached words of a worker in each of two generations (about 200 bytes a word).
 CACHE_WORDS = 700_000
 Piece = tuple[int | None, int, int, bytes]  # doc_id, start, tokens of its document, little-endian ids
 
@@ -125,10 +124,9 @@ class WordTokens(dict):
             yield b"".join(found)
 
 
-@lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
-    """One cache for all tasks of a worker process."""
-    return WordTokens(path)
+    """One cache for all packing tasks of a worker process."""
+    return kept(__name__, path, lambda: WordTokens(path))
 
 
 class Levels:
@@ -254,8 +252,8 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2
     narrow(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    @quiet
     def run(batches):
-        quiet()
         base, encode = TaskContext.get().partitionId() << 36, None
 
         def ids():

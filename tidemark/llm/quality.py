@@ -128,8 +128,8 @@ def references(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     narrow(docs.sparkSession)
     schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
 
+    @quiet
     def run(batches):
-        quiet()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), raw(batch, "text")):
@@ -156,8 +156,8 @@ def assess(docs: DataFrame, langs: list[str], chars: np.ndarray, words: np.ndarr
     """Base counts, distances to the nearest language and the verdict of every document (doc_id, text)."""
     narrow(docs.sparkSession)
 
+    @quiet
     def run(batches):
-        quiet()
         verdict = verdicts(langs, chars, words, max_char, max_word, word_slack, min_chars, min_words)
         for batch in batches:
             yield from sized((((doc, *verdict(text)), 64) for doc, text in zip(batch.column(0).to_pylist(), raw(batch, "text"))), ARROW)
@@ -196,8 +196,8 @@ def filtered(docs: DataFrame) -> DataFrame:
     narrow(docs.sparkSession)
     known = references(docs)
 
+    @quiet
     def run(batches):
-        quiet()
         verdict = verdicts(*known)
         for batch in batches:
             yield batch.filter(pa.array([verdict(text)[-1] for text in raw(batch, "text")], pa.bool_()))

@@ -225,8 +225,8 @@ def assess(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, score, predicted, number of scoring clauses and the strongest one, of every document."""
     narrow(docs.sparkSession)
 
+    @quiet
     def run(batches):
-        quiet()
         machine = Machine(grammar)
 
         def rows():
