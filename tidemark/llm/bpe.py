@@ -31,7 +31,7 @@ from .common import kept, narrow, quiet, sized
 
 #: Bounds of a worker's memory (about 350 bytes a match, 600 a state, 150 a pair); what is full is
 #: emptied and built again as needed.
-CACHE_WORDS, CACHE_STATES, CACHE_PAIRS = 450_000, 150_000, 400_000
+CACHE_WORDS, CACHE_STATES, CACHE_PAIRS = 300_000, 80_000, 250_000
 ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, ids array<int>, decoded binary"
 
