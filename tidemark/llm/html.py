@@ -24,8 +24,11 @@ its list is bounded. All lists together are sent to every executor only if they
 Text: character references are decoded; white space inside a block becomes one space; blocks are
 joined in page order by two newlines.
 
-Defined cases: null html gives the empty text; a null url is a host of its own; broken markup is
-read to its end; repeated rows each get a row; an empty table gives no rows; other columns are
+A page is a flat list of elements and texts in order, each element with the place where it ends; all
+walks are loops over it, so elements may be nested to any depth.
+
+Defined cases: null html gives the empty text; pages without a url (null, or without a host) are one
+host; broken markup is read to its end; repeated rows each get a row; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -40,9 +44,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, quiet, sized
+from .common import narrow, quiet, sized, written
 
 SEND = 200_000
+#: Hosts whose templates a task keeps.
+HOSTS = 1000
 # Fixed values of the second rule: least share of a host's pages, least number of different articles,
 # most characters of a paragraph, elements of running text that may be template, and a mark on their hashes.
 LOW_SHARE = 0.01
@@ -50,8 +56,6 @@ LEAST_ARTICLES = 3
 SHORT = 200
 RECURRING = frozenset("p ul ol dl table figure".split())
 BESIDE = 0x5BD1E995_9E3779B9
-#: Elements nested deeper than this are read as if they ended at once, as browsers do.
-DEEPEST = 300
 # Element names of the HTML standard, by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
@@ -72,6 +76,9 @@ ASIDE = frozenset(
     "popup modal overlay footer header masthead toolbar pagination pager skip login search alert toast widget teaser outbrain taboola paywall".split()
 )
 MAIN = frozenset("article post entry content story main body title headline".split())
+# Marks that hold even beside a word of MAIN.
+MARKS = frozenset("comment comments sidebar related ad ads advert".split())
+P = frozenset({"p"})
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
@@ -83,10 +90,13 @@ NAMES = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "raw", "children", "mark", "_attributes")
+    """An element. ``at`` is its place among the page's items, ``end`` the first place after its subtree."""
+
+    __slots__ = ("tag", "raw", "at", "end", "mark", "_attributes", "_kind")
 
-    def __init__(self, tag: str, raw: str = ""):
-        self.tag, self.raw, self.children, self.mark, self._attributes = tag, raw, [], None, None
+    def __init__(self, tag: str, raw: str, at: int):
+        self.tag, self.raw, self.at, self.end = tag, raw, at, at + 1
+        self.mark = self._attributes = self._kind = None
 
     def attributes(self) -> dict[str, str]:
         if self._attributes is None:
@@ -94,181 +104,228 @@ class Node:
         return self._attributes
 
 
-def parse(html: str) -> Node:
-    root = Node("#root")
-    stack, at, n, lower = [root], 0, len(html), None
+class Page:
+    """A page while it is read: its items (elements and texts) in order, the place of each one's parent,
+    the open elements and how many of each name there are."""
+
+    def __init__(self):
+        root = Node("#root", "", 0)
+        self.items: list[Node | str] = [root]
+        self.parents = [0]
+        self.stack, self.names = [root], Counter()
+
+    def text(self, text: str) -> None:
+        self.items.append(text)
+        self.parents.append(self.stack[-1].at)
+
+    def element(self, tag: str, raw: str, opens: bool) -> None:
+        node = Node(tag, raw, len(self.items))
+        self.items.append(node)
+        self.parents.append(self.stack[-1].at)
+        if opens:
+            self.stack.append(node)
+            self.names[tag] += 1
+
+    def close(self, down_to: int) -> None:
+        while len(self.stack) > down_to:
+            node = self.stack.pop()
+            node.end = len(self.items)
+            self.names[node.tag] -= 1
+
+    def innermost(self, names, barrier: frozenset | set = frozenset()) -> int:
+        """Place on the stack of the innermost open element of these names, if no barrier is above it; else 0."""
+        if any(self.names[x] for x in names):
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k].tag in names:
+                    return k
+                if self.stack[k].tag in barrier:
+                    break
+        return 0
+
+    def implied(self, name: str) -> None:
+        """Close the elements that the start of this one ends."""
+        if name in LIKE and (k := self.innermost(*LIKE[name])):
+            self.close(k)
+        if name in CLOSES_P and (k := self.innermost(P, BLOCK)):
+            self.close(k)
+
+
+def parse(html: str) -> Page:
+    page, at, n, lower = Page(), 0, len(html), None
     match = TOKEN.search
     while at < n:
         m = match(html, at)
         if m is None:
-            stack[-1].children.append(html[at:])
+            page.text(html[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(html[at : m.start()])
+            page.text(html[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if name is None:
             if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:-3].replace("&", "&amp;"))
+                page.text(m[0][9:-3].replace("&", "&amp;"))
             continue
         name = name.lower()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
+            if k := page.innermost((name,)):
+                page.close(k)
             continue
-        implied(stack, name)
-        node = Node(name, m[3] or m[6] or "")
-        stack[-1].children.append(node)
+        page.implied(name)
+        page.element(name, m[3] or m[6] or "", name not in VOID)
         if name in RAW:
             if lower is None:
                 lower = html.lower() if len(html.lower()) == n else html
             end = lower.find(f"</{name}", at)
             end = n if end < 0 else end
-            node.children.append(html[at:end])
+            page.text(html[at:end])
             at = end
-            stack.append(node)
-        elif name not in VOID and len(stack) < DEEPEST:
-            stack.append(node)
-    return root
-
-
-def implied(stack: list[Node], name: str) -> None:
-    """Close the elements that the start of this one ends."""
-    if name in LIKE:
-        same, within = LIKE[name]
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in same:
-                del stack[k:]
-                break
-            if stack[k].tag in within:
-                break
-    if name in CLOSES_P:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == "p":
-                del stack[k:]
-                break
-            if stack[k].tag in BLOCK:
-                break
+    page.close(0)
+    return page
 
 
-def aside(node: Node, inside: bool) -> bool:
-    """Whether an element is never main text; inside: it lies in an article."""
+def kind(node: Node) -> int:
+    """2: never main text; 1: only inside an article; 0: main text."""
     tag = node.tag
-    if tag in NEVER or tag == "header" and not inside:
-        return True
+    if tag in NEVER:
+        return 2
+    own = int(tag == "header")
     if not node.raw:
-        return False
+        return own
     a = node.attributes()
     if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style", "")) or a.get("role", "").lower() in ROLES:
-        return True
+        return 2
     if tag in ("html", "body", "main") or not ("class" in a or "id" in a):
-        return False
+        return own
     words = {w.lower() for w in NAMES.split(f"{a.get('class', '')} {a.get('id', '')}") if w}
     found = words & ASIDE
-    return bool(found) and (not words & MAIN or bool(found & {"comment", "comments", "sidebar", "related", "ad", "ads", "advert"}))
+    return 2 if found and (not words & MAIN or found & MARKS) else own
+
+
+def aside(node: Node, inside: bool) -> bool:
+    """Whether an element is never main text; inside: it lies in an article."""
+    if node._kind is None:
+        node._kind = kind(node)
+    return node._kind == 2 or node._kind == 1 and not inside
 
 
-def articles(node: Node, tags: frozenset | set, inside: bool = False) -> list[Node]:
+def articles(page: Page, tags: set[str]) -> list[Node]:
     """The outermost elements of these kinds that are not set aside."""
-    out = []
-    for child in node.children:
-        if type(child) is Node and not aside(child, inside):
-            if child.tag in tags or "main" in tags and child.raw and (child.attributes().get("role") == "main" or child.attributes().get("itemprop") == "articleBody"):
-                out.append(child)
-            else:
-                out += articles(child, tags, inside)
+    out, at, items = [], 1, page.items
+    while at < len(items):
+        item = items[at]
+        at += 1
+        if type(item) is Node:
+            if aside(item, False):
+                at = item.end
+            elif item.tag in tags or "main" in tags and item.raw and (item.attributes().get("role") == "main" or item.attributes().get("itemprop") == "articleBody"):
+                out.append(item)
+                at = item.end
     return out
 
 
-def main_of(root: Node) -> tuple[list[Node], bool]:
+def main_of(page: Page) -> tuple[list[Node], bool]:
     """The elements that hold the main text, and whether the page itself marks them."""
-    return next(((found, True) for tags in ({"article"}, {"main"}) if (found := articles(root, tags))), (articles(root, {"body"}) or [root], False))
-
-
-def hashed(node: Node) -> int:
-    """Hash of a subtree: names, attributes, texts with white space made even."""
-    h = xxhash.xxh3_64(f"{node.tag} {' '.join(node.raw.split())}>".encode("utf-8", "surrogatepass"))
-    for child in node.children:
-        if type(child) is Node:
-            h.update(hashed(child).to_bytes(8, "little", signed=True))
-        elif not child.isspace():
-            h.update(" ".join(child.split()).encode("utf-8", "surrogatepass"))
-    node.mark = h.intdigest() - (1 << 63)
-    return node.mark
-
-
-def longest(mains: list[Node], marked: bool) -> tuple[int, set[int]]:
-    """Hash of the longest block of the main text, and the ids of the elements that hold it."""
-    own: dict[int, list[str]] = {}
-    above: dict[int, tuple[Node, int]] = {}
-
-    def walk(node: Node, block: int):
-        for child in node.children:
-            if type(child) is str:
-                own.setdefault(block, []).append(child)
-            elif not aside(child, marked):
-                if child.tag in BLOCK:
-                    above[id(child)] = (child, block)
-                    walk(child, id(child))
-                else:
-                    walk(child, block)
-
-    for node in mains:
-        above[id(node)] = (node, 0)
-        walk(node, id(node))
+    return next(((found, True) for tags in ({"article"}, {"main"}) if (found := articles(page, tags))), (articles(page, {"body"}) or [page.items[0]], False))
+
+
+def hashed(page: Page) -> None:
+    """Marks of all subtrees: hashes of names, attributes, texts with white space made even. It goes from
+    the end of the page to its start, so an element's children are done before it."""
+    below: dict[int, list[bytes]] = {}
+    for at in range(len(page.items) - 1, -1, -1):
+        item = page.items[at]
+        if type(item) is Node:
+            own = f"{item.tag} {' '.join(item.raw.split())}>".encode("utf-8", "surrogatepass")
+            item.mark = xxhash.xxh3_64_intdigest(b"".join((own, *reversed(below.pop(at, ()))))) - (1 << 63)
+            below.setdefault(page.parents[at], []).append(b"<" + item.mark.to_bytes(8, "little", signed=True))
+        elif not item.isspace():
+            below.setdefault(page.parents[at], []).append(" ".join(item.split()).encode("utf-8", "surrogatepass"))
+
+
+@dataclass
+class Outline:
+    """Where a page's main text is: its elements, whether the page marks them, the places of all elements
+    around them or the longest block, and that block's hash."""
+
+    mains: list[Node]
+    marked: bool
+    holders: set[int]
+    longest: set[int]
+    article: int
+
+
+def outline(page: Page, with_longest: bool = True) -> Outline:
+    mains, marked = main_of(page)
+    if not with_longest:
+        return Outline(mains, marked, set(), set(), 0)
+    items, own = page.items, {}
+    for main in mains:
+        at, blocks = main.at + 1, [main]
+        while at < main.end:
+            while at >= blocks[-1].end:
+                blocks.pop()
+            item = items[at]
+            at += 1
+            if type(item) is str:
+                own.setdefault(blocks[-1].at, []).append(item)
+            elif aside(item, marked):
+                at = item.end
+            elif item.tag in BLOCK:
+                blocks.append(item)
     texts = {k: " ".join("".join(x).split()) for k, x in own.items()}
     best = max(texts, key=lambda k: len(texts[k]), default=0)
-    held, at = set(), best
-    while at:
-        held.add(at)
-        at = above[at][1]
-    return xxhash.xxh3_64_intdigest(texts.get(best, "").encode("utf-8", "surrogatepass")), held
+    article = xxhash.xxh3_64_intdigest(texts.get(best, "").encode("utf-8", "surrogatepass"))
+    return Outline(mains, marked, above(page, [m.at for m in mains]), above(page, [best]), article)
 
 
-def size_of(node: Node, most: int) -> int:
-    """Characters of a subtree's text, counted up to about ``most``."""
+def above(page: Page, places: list[int]) -> set[int]:
+    """These places and those of all elements around them."""
+    out: set[int] = set()
+    for at in places:
+        while at and at not in out:
+            out.add(at)
+            at = page.parents[at]
+    return out
+
+
+def short(page: Page, node: Node) -> bool:
+    """Whether a subtree's text has at most ``SHORT`` characters."""
     n = 0
-    for child in node.children:
-        n += len(child) if type(child) is str else size_of(child, most - n)
-        if n > most:
-            break
-    return n
+    for at in range(node.at + 1, node.end):
+        if type(page.items[at]) is str:
+            n += len(page.items[at])
+            if n > SHORT:
+                return False
+    return True
 
 
-def recurring(node: Node, held: set[int]) -> bool:
+def recurring(page: Page, node: Node, found: Outline) -> bool:
     """Whether an element may be template if it recurs beside different articles."""
-    if id(node) in held or node.tag in CONTENT and node.tag not in RECURRING:
+    if node.at in found.longest or node.tag in CONTENT and node.tag not in RECURRING:
         return False
-    return node.tag != "p" or size_of(node, SHORT) <= SHORT
+    return node.tag != "p" or short(page, node)
 
 
-def candidates(root: Node) -> tuple[set[int], set[int], int]:
+def candidates(page: Page) -> tuple[set[int], set[int], int]:
     """Hashes of the subtrees that may be template by the first rule (not what holds the article, nor its
     running text) and by the second, and the hash of the page's longest block."""
-    hashed(root)
-    mains, marked = main_of(root)
-    holders = set(map(id, mains))
-    article, held = longest(mains, marked)
-    out: set[int] = set()
-    beside: set[int] = set()
-
-    def walk(node: Node, inside: bool) -> bool:
-        holds = id(node) in holders
-        inner = inside or holds
-        for child in node.children:
-            if type(child) is Node:
-                holds |= walk(child, inner)
-        if not holds and node.children and node.tag not in ("html", "body", "head"):
-            if not (inside and marked and node.tag in CONTENT):
-                out.add(node.mark)
-            if inside and recurring(node, held):
-                beside.add(node.mark)
-        return holds
-
-    walk(root, False)
-    return out, beside, article
+    hashed(page)
+    found = outline(page)
+    ends = {m.at: m.end for m in found.mains}
+    first: set[int] = set()
+    second: set[int] = set()
+    inside = 0  # where the main element ends that the walk is in
+    for at, item in enumerate(page.items):
+        if type(item) is Node:
+            if at not in found.holders and item.end > at + 1 and item.tag not in ("#root", "html", "body", "head"):
+                within = at < inside
+                if not (within and found.marked and item.tag in CONTENT):
+                    first.add(item.mark)
+                if within and recurring(page, item, found):
+                    second.add(item.mark)
+            inside = max(inside, ends.get(at, 0))
+    return first, second, found.article
 
 
 def host_of(url: str | None) -> str:
@@ -276,12 +333,11 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def main_text(html: str | None, template: set[int]) -> str:
-    root = parse(html or "")
+def main_text(html: str | None, template: frozenset | set) -> str:
+    page = parse(html or "")
     if template:
-        hashed(root)
-    mains, marked = main_of(root)
-    _, article = longest(mains, marked) if template else (0, set())
+        hashed(page)
+    found = outline(page, bool(template))
     blocks: list[str] = []
     held: list[str] = []
 
@@ -291,24 +347,29 @@ def main_text(html: str | None, template: set[int]) -> str:
                 blocks.append(text)
             held.clear()
 
-    def walk(node: Node, inside: bool):
-        for child in node.children:
-            if type(child) is str:
-                held.append(unescape(child) if "&" in child else child)
-            elif child.tag == "br":
+    def is_template(node: Node) -> bool:
+        return node.mark in template and not (found.marked and node.tag in CONTENT) or node.mark ^ BESIDE in template and recurring(page, node, found)
+
+    items = page.items
+    for main in found.mains:
+        at, ends = main.at + 1, []  # ends of the blocks that the walk is in
+        while at < main.end:
+            while ends and at >= ends[-1]:
+                ends.pop()
+                flush()
+            item = items[at]
+            at += 1
+            if type(item) is str:
+                held.append(unescape(item) if "&" in item else item)
+            elif item.tag == "br":
                 held.append("\n")
-            elif aside(child, inside) or template and (child.mark in template and not (marked and child.tag in CONTENT) or child.mark ^ BESIDE in template and recurring(child, article)):
-                if child.tag in BLOCK:
+            elif template and is_template(item) or aside(item, found.marked):
+                if item.tag in BLOCK:
                     flush()
-            elif child.tag in BLOCK:
+                at = item.end
+            elif item.tag in BLOCK:
                 flush()
-                walk(child, inside)
-                flush()
-            else:
-                walk(child, inside)
-
-    for node in mains:
-        walk(node, marked)
+                ends.append(item.end)
         flush()
     return "\n\n".join(blocks)
 
@@ -360,18 +421,26 @@ def templates(pages: DataFrame, *, min_pages: int = 10, share: float = 0.2) -> D
 def extract(pages: DataFrame, *, min_pages: int = 10, share: float = 0.2) -> DataFrame:
     """page_id, url, text of every page (page_id, url, html)."""
     narrow(pages.sparkSession)
-    from .common import written
-
     found, _ = written(templates(pages, min_pages=min_pages, share=share), "site-templates")
     few = (found.agg(F.sum(F.size("template")).alias("n")).first().n or 0) <= SEND
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     @quiet
     def run(batches):
+        known: dict[str, frozenset] = {}
+
+        def template(host: str, batch: pa.RecordBatch, k: int) -> frozenset:
+            if host not in known:
+                if len(known) >= HOSTS:
+                    known.clear()
+                known[host] = frozenset(batch.column(4)[k].as_py() or ())
+            return known[host]
+
         for batch in batches:
-            yield from sized((((page, url, text := main_text(html, set(template or ()))), len(text)) for page, url, html, template in zip(*(c.to_pylist() for c in batch.columns))), schema)
+            rows = enumerate(zip(*(c.to_pylist() for c in batch.columns[:4])))
+            yield from sized((((page, url, text := main_text(html, template(host, batch, k))), len(text)) for k, (page, url, html, host) in rows), schema)
 
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     joined = base.join(F.broadcast(found) if few else found, "host", "left")
-    return joined.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string")
+    return joined.select("page_id", "url", "html", "host", "template").mapInArrow(run, "page_id long, url string, text string")
