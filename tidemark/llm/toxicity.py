@@ -1,14 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Word transducers: insults and threats (words, and stems that stand for all words beginning with
-them) carry weights; targets, negations and reported speech are closed word lists of four languages.
-The clause transducer reads a clause's word classes in order. It starts in a plain state; a target,
-a negation or a verb of speech moves it, for the next ``REACH`` words or to the clause's end; an
-insult or threat emits its weight times the factors of the state: more with a target in reach, less
-after a negation, less in reported speech. A clause's score is the sum of what it emits, and clauses
-without an insult or threat emit nothing, so isolated words of the closed lists never score. The
-document's score is the logistic function of a bias and of its clauses' scores (summed with falling
-returns).
+A clause is read by a cascade of weighted transducers, each a small table of arcs over letters:
+
+- the lexicon reads a word letter by letter (a trie; stems stand for all words that begin with them)
+  and writes one letter for it: an insult or a threat with its weight, a target, a negation, a verb of
+  speech, or a plain word. An insult or threat may also be read as a plain word;
+- insults are hits; threats are hits only if a target is near;
+- the target transducer adds ``TARGETED`` to a hit within ``REACH`` words after a target, or before one
+  (it then promises a target, and a reading whose promise is not kept is none);
+- the negation transducer adds ``NEGATED`` to a hit within ``REACH`` words after a negation;
+- the speech transducer adds ``REPORTED`` to all hits after a verb of speech.
+
+The transducers are composed once. A clause's score is the weight of its best path (weights along a
+path add up, and the best of all paths counts), so a hit that the others weaken below zero is better
+read as a plain word, and words of the closed lists never score by themselves. The document's score is
+the logistic function of a bias and of its clauses' scores (summed with falling returns).
 
 Learning. Insult words and stems and their weights come from labelled documents: patterns (words,
 and prefixes of 5 to 8 letters) that occur in several positive documents after varied words (so that
@@ -27,7 +33,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,11 +51,14 @@ THREATS = "kill hurt destroy punish strangle tuer frapper détruire töten schla
 TARGETS = frozenset("you your yours you're he she they him her them his their this these tu vous toi votre ton ta il elle ils elles ce cette du dich dir ihr euch dein deine sie er diese dieser tú usted ustedes ti te él ella ellos ellas este esta".split())
 NEGATIONS = frozenset("not no never isn't aren't wasn't don't doesn't nobody pas jamais non ni nicht kein keine keinen nie niemals nunca jamás tampoco".split())
 SPEECH = frozenset("said says say told tells quoted wrote writes called claimed reported according dit disent déclaré écrit selon sagte sagt sagen schrieb laut dijo dice dicen escribió según".split())
+CLOSED = TARGETS | NEGATIONS | SPEECH
+#: Different words before a pattern, and different words with a stem, that are enough.
+MANY_BEFORE, MANY_FORMS = 32, 3
 CLAUSE = re.compile(r"[.!?;:\n]")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 REACH = 4
-#: Factors of the states: a target in reach, a negation in reach, speech reported in this clause.
-TARGETED, NEGATED, REPORTED = 1.5, 0.4, 0.6
+#: Weights: a target near a hit, a negation before it, reported speech before it in the clause.
+TARGETED, NEGATED, REPORTED = 0.75, -1.5, -1.0
 
 
 @dataclass
@@ -62,46 +73,154 @@ class Grammar:
         return [*self.words, *self.stems, *self.threats]
 
 
+class Lexicon:
+    """The transducer from words to letters: I insult, H threat, T target, N negation, S speech, w any other."""
+
+    def __init__(self, grammar: Grammar):
+        self.next: list[dict[str, int]] = [{}]
+        self.whole: dict[int, tuple[str, float]] = {}  # state -> what a word writes that ends there
+        self.begun: dict[int, tuple[str, float]] = {}  # state -> what any word writes that goes through it
+        for letter, words in (("H", grammar.threats), ("I", grammar.words)):
+            for word, weight in words.items():
+                self.whole[self.state(word)] = (letter, weight)
+        for stem, weight in grammar.stems.items():
+            self.begun[self.state(stem)] = ("I", weight)
+        for letter, closed in (("S", SPEECH), ("N", NEGATIONS), ("T", TARGETS)):
+            for word in closed:
+                self.whole[self.state(word)] = (letter, 0.0)
+
+    def state(self, word: str) -> int:
+        at = 0
+        for char in word:
+            if char not in self.next[at]:
+                self.next[at][char] = len(self.next)
+                self.next.append({})
+            at = self.next[at][char]
+        return at
+
+    def read(self, word: str) -> list[tuple[str, float]]:
+        """The readings of a word, each a letter and a weight."""
+        at, best = 0, None
+        for char in word:
+            at = self.next[at].get(char, -1)
+            if at < 0:
+                break
+            got = self.begun.get(at)
+            if got and (best is None or got[1] > best[1]):
+                best = got
+        best = self.whole.get(at) or best
+        return [("w", 0.0)] if best is None else [best] if best[0] in "TNS" else [best, ("w", 0.0)]
+
+
+Arc = tuple[str, float, int]  # letter written, weight, next state
+
+
+@dataclass
+class Transducer:
+    """arcs[state][letter read]: the arcs. State 0 is the first; a reading must end in a final state."""
+
+    arcs: list[dict[str, list[Arc]]]
+    final: list[bool]
+
+
+def insults() -> Transducer:
+    """I becomes a hit, x."""
+    return Transducer([{"I": [("x", 0.0, 0)]} | {c: [(c, 0.0, 0)] for c in "wHTNS"}], [True])
+
+
+def threats() -> Transducer:
+    """H becomes h, a hit that needs a target."""
+    return Transducer([{"H": [("h", 0.0, 0)]} | {c: [(c, 0.0, 0)] for c in "wxTNS"}], [True])
+
+
+def targets(reach: int = REACH) -> Transducer:
+    """Hits near a target become y. States: 0, words left of a target's reach (1 to reach), words left
+    within which a promised target must come (reach + 1 to 2 reach)."""
+    arcs: list[dict[str, list[Arc]]] = []
+    for state in range(2 * reach + 1):
+        promised = state - reach if state > reach else 0
+        row: dict[str, list[Arc]] = {"T": [("w", 0.0, reach)]}
+        if promised != 1:
+            after = state - 1 if state else 0
+            row |= {c: [(c, 0.0, after)] for c in "wNSx"}
+            near = [("y", TARGETED, after if state else 2 * reach)]
+            row["x"] = row["x"] + near
+            row["h"] = near
+        arcs.append(row)
+    return Transducer(arcs, [state <= reach for state in range(2 * reach + 1)])
+
+
+def negations(reach: int = REACH) -> Transducer:
+    """Hits get weaker in the reach of a negation. States: words left of it."""
+    arcs = []
+    for state in range(reach + 1):
+        after, weight = max(0, state - 1), NEGATED if state else 0.0
+        arcs.append({"N": [("w", 0.0, reach)]} | {c: [(c, 0.0, after)] for c in "wS"} | {c: [(c, weight, after)] for c in "xy"})
+    return Transducer(arcs, [True] * (reach + 1))
+
+
+def speech() -> Transducer:
+    """Hits get weaker after a verb of speech."""
+    return Transducer([{"S": [("w", 0.0, 1)], "w": [("w", 0.0, state)]} | {c: [(c, REPORTED * state, state)] for c in "xy"} for state in (0, 1)], [True, True])
+
+
+def composed(a: Transducer, b: Transducer) -> Transducer:
+    """b after a: what a writes, b reads; weights add up. States are the pairs that can be reached."""
+    at = {(0, 0): 0}
+    pairs = [(0, 0)]
+    arcs: list[dict[str, list[Arc]]] = []
+    for p, q in pairs:  # grows
+        row: dict[str, list[Arc]] = {}
+        for letter, first in a.arcs[p].items():
+            for written, weight, p2 in first:
+                for out, more, q2 in b.arcs[q].get(written, ()):
+                    if (p2, q2) not in at:
+                        at[p2, q2] = len(pairs)
+                        pairs.append((p2, q2))
+                    row.setdefault(letter, []).append((out, weight + more, at[p2, q2]))
+        arcs.append(row)
+    return Transducer(arcs, [a.final[p] and b.final[q] for p, q in pairs])
+
+
+def cascade() -> Transducer:
+    return reduce(composed, (insults(), threats(), targets(), negations(), speech()))
+
+
+def best_path(machine: Transducer, readings: Iterable[list[tuple[str, float]]]) -> float:
+    """Weight of the best reading that ends in a final state (minus infinity if there is none)."""
+    now = {0: 0.0}
+    for letters in readings:
+        then: dict[int, float] = {}
+        for state, so_far in now.items():
+            row = machine.arcs[state]
+            for letter, weight in letters:
+                for _, more, to in row.get(letter, ()):
+                    got = so_far + weight + more
+                    if got > then.get(to, -math.inf):
+                        then[to] = got
+        now = then
+    return max((w for state, w in now.items() if machine.final[state]), default=-math.inf)
+
+
 class Machine:
-    """The composed transducers of a grammar."""
+    """A grammar's lexicon and the composed transducers."""
 
     def __init__(self, grammar: Grammar):
         import ahocorasick
 
-        self.grammar, self.find = grammar, None
-        self.lengths = sorted({len(s) for s in grammar.stems})
+        self.grammar, self.lexicon, self.cascade, self.find = grammar, Lexicon(grammar), cascade(), None
         if patterns := grammar.patterns():
             self.find = ahocorasick.Automaton()
             for p in patterns:
                 self.find.add_word(p, len(p))
             self.find.make_automaton()
 
-    def weight(self, word: str) -> float:
-        g = self.grammar
-        got = g.words.get(word) or g.threats.get(word)
-        if got:
-            return got
-        return max((g.stems.get(word[:n], 0.0) for n in self.lengths if len(word) >= n), default=0.0)
-
     def clause(self, text: str) -> float:
-        """What the clause transducer emits; state: words left of a target's and a negation's reach, and reported speech."""
-        out, target, negated, reported = 0.0, 0, 0, False
-        words = WORD.findall(text)
-        for k, word in enumerate(words):
-            if w := self.weight(word):
-                near = target or any(x in TARGETS for x in words[k + 1 : k + 1 + REACH])
-                out += w * (TARGETED if near else 1.0) * (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-            target, negated = max(0, target - 1), max(0, negated - 1)
-            if word in TARGETS:
-                target = REACH
-            elif word in NEGATIONS:
-                negated = REACH
-            elif word in SPEECH:
-                reported = True
-        return out
+        return best_path(self.cascade, map(self.lexicon.read, WORD.findall(text)))
 
     def clauses(self, text: str) -> list[tuple[float, str]]:
-        """Score and text of each clause that scores. Only clauses with a pattern in them are read."""
+        """Score and text of each clause that scores. Clauses without an insult or threat weigh 0 on every
+        path, so only those with a pattern in them are read."""
         if self.find is None or not text:
             return []
         low, out, done = text.lower(), [], -1
@@ -113,7 +232,7 @@ class Machine:
             start = max(start, done, 0)
             m = CLAUSE.search(low, last)
             done = m.end() if m else len(low)
-            if got := self.clause(low[start:done]):
+            if (got := self.clause(low[start:done])) > 0:
                 out.append((got, low[start:done]))
         return out
 
@@ -156,15 +275,18 @@ def cover(samples: list[tuple[str, int]], pos: int, neg: int, least: int) -> dic
             continue
         last = ""
         for word in WORD.findall(text.lower()):
+            if word in CLOSED:
+                last = word
+                continue
             for p in (word, *(word[:n] + "*" for n in range(5, min(9, len(word) + 1)))):
                 where[p].add(k)
-                if len(before[p]) < 64:
+                if len(before[p]) < MANY_BEFORE:  # more would not change the tests below
                     before[p].add(last)
-                if p[-1] == "*" and len(forms[p]) < 8:
+                if p[-1] == "*" and len(forms[p]) < MANY_FORMS:
                     forms[p].add(word)
             last = word
     # as many different words before a pattern as half of its documents, or it is a passage that was copied
-    good = {p for p, at in where.items() if len(at) >= least and len(before[p]) >= max(3, min(32, len(at) // 2)) and (p[-1] != "*" or len(forms[p]) >= 3)}
+    good = {p for p, at in where.items() if len(at) >= least and len(before[p]) >= max(3, min(MANY_BEFORE, len(at) // 2)) and (p[-1] != "*" or len(forms[p]) >= MANY_FORMS)}
     clean: Counter = Counter()
     for text, label in samples:
         if not label:
@@ -183,8 +305,6 @@ def cover(samples: list[tuple[str, int]], pos: int, neg: int, least: int) -> dic
         if where[p] & left or len(where[p]) >= 4 * least:
             out[p] = min(3.0, odds[p] / 2.5)
             left -= where[p]
-        if len(out) >= 2000:
-            break
     return out
 
 
