@@ -28,9 +28,11 @@ def test_small_pages(page, text):
 
 
 def test_deep_and_long_pages():
-    deep = "<div>" * 5000 + "core" + "</div>" * 5000
-    assert html.main_text(deep, set()) == "core"
-    html.candidates(html.parse(deep))
+    for depth in (20, 305, 1000, 50_000):
+        deep = "<div>" * depth + "<p>core</p><nav>MENU</nav><p>more</p><form>f</form>" + "</div>" * depth + "<footer>end</footer>"
+        assert html.main_text(deep, set()) == "core\n\nmore"
+        html.candidates(html.parse(deep))
+    assert html.main_text("<b>" * 20_000 + "<p>a</i>" * 20_000, set()) == "\n\n".join("a" * 20_000)
     assert html.main_text("<p>" + "word " * 100_000, set()).count("word") == 100_000
     html.main_text("<a href='" * 2000, set())
 
@@ -61,6 +63,35 @@ def test_templates_beside_different_articles(spark):
     assert all(got[2000 + k] == f"{words(0)}\n\nSee this too\n\nAnd this\n\nSubscribe to our letter\n\nShort end" for k in range(40))
 
 
+def brute_templates(pages, min_pages=10, share=0.2):
+    """Per host the hashes of the first rule, by counting pages in dictionaries."""
+    hosts, seen = {}, {}
+    for _, url, page in pages:
+        host = html.host_of(url)
+        hosts[host] = hosts.get(host, 0) + 1
+        for h in html.candidates(html.parse(page or ""))[0]:
+            seen[host, h] = seen.get((host, h), 0) + 1
+    out = {}
+    for (host, h), n in seen.items():
+        if n >= min_pages and n >= share * hosts[host]:
+            out.setdefault(host, set()).add(h)
+    return out
+
+
+def test_templates_by_brute_force(spark, sf):
+    df = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in df.collect()]
+    first = brute_templates(rows)
+    everything = {(html.host_of(url), h) for _, url, page in rows for h in html.candidates(html.parse(page or ""))[0]}
+    got = {r.host: set(r.template) for r in html.templates(df).collect()}
+    for host, want in first.items():
+        assert want <= got[host]
+    # what is beyond the first rule's subtrees is marked as the second rule's
+    assert all(h in first.get(host, ()) or (host, h) not in everything for host in got for h in got[host])
+    by_host = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert all(by_host[page_id] == html.main_text(page, got.get(html.host_of(url), set())) for page_id, url, page in rows)
+
+
 def test_send_or_join(spark, monkeypatch):
     pages = [(k, "https://a.example/", f"<div><b>menu here</b></div><p>text {k}") for k in range(12)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
@@ -82,21 +113,69 @@ def test_round_trip(turns):
 
 def test_spans_of_black_boxes():
     turns = [("user", "hello"), ("assistant", "<b>hi</b>"), ("user", ""), ("assistant", "bye<")]
-    text, marks = chat.spans(chat.marked, [], turns, 0, "assistant", {})
-    assert text == chat.marked(turns)
+    ((number, text, marks, rewrites),) = chat.rendered(chat.marked, turns)
+    assert number == 0 and text == chat.marked(turns) and not rewrites
     assert [chat.unescaped(text[m[4] : m[5]]) for m in marks] == [t for _, t in turns]
     assert [m[6] for m in marks] == [False, True, False, True]
 
 
-def test_templates_that_rewrite_history():
-    rewriting = lambda turns: f"[{len(turns)}]" + "".join(t for _, t in turns)
-    counting = lambda turns: "".join(f"<{k}:{r}>{t}" for k, (r, t) in enumerate(turns))
-    assert chat.probe(chat.marked) == (True, False)
-    assert chat.probe(rewriting) == (False, True)
-    assert chat.probe(counting) == (False, False)
-    assert chat.spans(rewriting, [], [("user", "a"), ("user", "b")], 0, "assistant", {}) is None
-    text, marks = chat.spans(counting, [], [("user", "a"), ("assistant", "b")], 0, "assistant", {})
-    assert text == "<0:user>a<1:assistant>b" and [m[2:4] for m in marks] == [(0, 9), (9, 23)]
+def brute_spans(template, turns):
+    """What each turn adds, by rendering every prefix of the whole conversation."""
+    out, before = [], ""
+    for k in range(1, len(turns) + 1):
+        now = template(turns[:k])
+        if not now.startswith(before):
+            return None
+        out.append(now[len(before) :])
+        before = now
+    return out
+
+
+def numbered(turns):
+    return "".join(f"<{k}:{r}>{t}" for k, (r, t) in enumerate(turns))
+
+
+def headed(turns):
+    return "begin\n" + chat.marked(turns) if turns else ""
+
+
+def summarised(turns):
+    """Up to ten turns as they are, then a summary of the old ones."""
+    return chat.marked(turns) if len(turns) <= 10 else f"({len(turns) - 10} turns before)" + chat.marked(turns[-10:])
+
+
+def clipped(turns):
+    """Keeps the last 100 turns, so it rewrites history later than any window sees."""
+    return chat.marked(turns[-100:])
+
+
+def separated(turns):
+    """A mark between two turns of one role: what a turn adds depends on the turn before."""
+    return "".join(("|same|" if k and turns[k - 1][0] == r else "") + f"[{r}]{t}" for k, (r, t) in enumerate(turns))
+
+
+@pytest.mark.parametrize("template", [chat.marked, numbered, headed, summarised, clipped, separated])
+@pytest.mark.parametrize("n", [0, 1, 9, 10, 11, 63, 64, 65, 99, 100, 101, 127, 128, 129, 300])
+def test_rendering_against_all_prefixes(template, n):
+    rnd = random.Random(n)
+    turns = [(rnd.choice(["user", "assistant"]), f"text {k} <|x|>") for k in range(n)]
+    want, parts = brute_spans(template, turns), chat.rendered(template, turns)
+    assert any(rewrites for *_, rewrites in parts) == (want is None)
+    assert [number for number, *_ in parts] == list(range(len(parts)))
+    if want is None:
+        assert not parts[-1][2]
+        return
+    assert "".join(text for _, text, _, _ in parts) == (template(turns) if turns else "")
+    marks = [(text, m) for _, text, spans, _ in parts for m in spans]
+    assert [text[m[2] : m[3]] for text, m in marks] == want and [m[0] for _, m in marks] == list(range(n))
+    texts = [text[m[4] : m[5]] for text, m in marks]
+    assert texts == [t if template in (numbered, separated) else chat.escaped(t) for _, t in turns]
+
+
+def test_a_long_conversation_leaves_in_parts():
+    turns = [("user" if k % 2 else "assistant", "x" * 50) for k in range(2000)]
+    parts = chat.rendered(chat.marked, turns)
+    assert len(parts) > 20 and max(len(spans) for _, _, spans, _ in parts) <= 2 * chat.WINDOW
 
 
 def test_conversations(spark):

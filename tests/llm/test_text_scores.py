@@ -6,6 +6,8 @@ import random
 from collections import Counter
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint, langid, quality, toxicity
@@ -110,16 +112,59 @@ GRAMMAR = toxicity.Grammar(words={"idiot": 2.0}, stems={"lowei": 1.5}, threats={
 def test_clause_grammar():
     m = toxicity.Machine(GRAMMAR)
     weight = lambda t: sum(w for w, _ in m.clauses(t))
+    near, negated, reported = toxicity.TARGETED, toxicity.NEGATED, toxicity.REPORTED
     assert weight("a plain sentence.") == 0
     assert weight("An idiot came.") == 2.0
-    assert weight("You are an idiot.") == 3.0 and weight("an idiot, you") == 3.0
-    assert math.isclose(weight("he is not an idiot"), 2.0 * 1.5 * 0.4)
-    assert math.isclose(weight("she said: an idiot"), 2.0) and math.isclose(weight("someone said an idiot came"), 1.2)
+    assert weight("You are an idiot.") == 2.0 + near and weight("an idiot, you") == 2.0 + near
+    assert math.isclose(weight("he is not an idiot"), 2.0 + near + negated)
+    assert math.isclose(weight("she said: an idiot"), 2.0) and math.isclose(weight("someone said an idiot came"), 2.0 + reported)
+    assert weight("someone said not an idiot") == 0  # weaker than nothing: read as a plain word
+    assert weight("kill the lights") == 0 and weight("i will kill you") == 1.0 + near and weight("you should not kill") == 1.0 + near + negated
     assert weight("idiotic idiots") == 0 and weight("der loweischaft da") == 1.5 and weight("floweisch") == 0
     assert len(m.clauses("idiot. fine. idiot!")) == 2
     assert m.score([]) < 0.5 < m.score(m.clauses("you idiot"))
 
 
+def readings(machine, state, letters):
+    """All paths of a transducer over letters: what is written, weight."""
+    if not letters:
+        return [("", 0.0)] if machine.final[state] else []
+    out = []
+    for written, weight, to in machine.arcs[state].get(letters[0], ()):
+        out += [(written + rest, weight + more) for rest, more in readings(machine, to, letters[1:])]
+    return out
+
+
+def brute_best(words):
+    """The cascade without composition: all readings of the lexicon go through one transducer after the other."""
+    now = [("", 0.0)]
+    for letters in words:
+        now = [(text + letter, w + more) for text, w in now for letter, more in letters]
+    for machine in (toxicity.insults(), toxicity.threats(), toxicity.targets(), toxicity.negations(), toxicity.speech()):
+        now = [(written, w + more) for text, w in now for written, more in readings(machine, 0, text)]
+    return max(w for _, w in now)
+
+
+def by_rule(words):
+    """The grammar's meaning, hit by hit."""
+    letters, total, reach = [w[0][0] for w in words], 0.0, toxicity.REACH
+    for k, ((letter, weight), *_) in enumerate(words):
+        if letter in "IH":
+            near = "T" in letters[max(0, k - reach) : k] + letters[k + 1 : k + 1 + reach]
+            if letter == "H" and not near:
+                continue
+            total += max(0.0, weight + toxicity.TARGETED * near + toxicity.NEGATED * ("N" in letters[max(0, k - reach) : k]) + toxicity.REPORTED * ("S" in letters[:k]))
+    return total
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="IHTNSwwww", min_size=1, max_size=9))
+def test_composition_by_brute_force(letters):
+    words = [[(c, 2.0), ("w", 0.0)] if c == "I" else [(c, 1.0), ("w", 0.0)] if c == "H" else [(c, 0.0)] for c in letters]
+    best = toxicity.best_path(toxicity.cascade(), words)
+    assert math.isclose(best, brute_best(words)) and math.isclose(best, by_rule(words))
+
+
 def test_long_text_with_many_matches():
     m = toxicity.Machine(GRAMMAR)
     assert sum(w for w, _ in m.clauses("idiot " * 3000)) == 6000.0
@@ -151,6 +196,22 @@ def test_toxicity_query(spark, sf):
     assert toxicity.predict(real, labels).count() == real.count()
 
 
+def test_toxicity_of_held_out_rows(spark, sf):
+    """The whole query against the operator's definition, clause by clause, and its verdicts on labels it has not seen."""
+    sf = sf.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.predict(docs, labels).collect()}
+    grammar = toxicity.train(docs, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    lexicon, machine = toxicity.Lexicon(grammar), toxicity.cascade()
+    for r in docs.collect()[::70]:
+        clauses = [toxicity.best_path(machine, map(lexicon.read, toxicity.WORD.findall(c))) for c in toxicity.CLAUSE.split((r.text or "").lower())]
+        z = grammar.bias + grammar.slope * math.log1p(sum(clauses))
+        assert math.isclose(got[r.doc_id].score, 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), rel_tol=1e-9)
+    held = [(got[r.doc_id].predicted, r.toxic) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out and r.toxic is not None]
+    right = [p for p, y in held if y]
+    assert sum(right) / len(right) > 0.75 and sum(p for p, y in held if not y) <= 0.03 * len(held)
+
+
 def brute_repeats(words):
     at = {}
     for k in range(len(words) - 7):
