@@ -68,6 +68,23 @@ def test_many_blocks_and_shuffled_ids(spark, monkeypatch):
     assert got == {d: c for d, (_, c) in brute(rows, 3, 80, 100).items()}
 
 
+def test_a_wide_cluster_costs_its_size(spark, monkeypatch):
+    """Hundreds of near copies of one text: members of the largest component do not meet other blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    rnd, base = random.Random(11), random.Random(10).choices(WORDS, k=150)
+    rows = []
+    for k in range(300):
+        words = base[:]
+        for _ in range(rnd.choice([1, 2, 3, 4] if k % 50 else [20])):
+            words[rnd.randrange(len(words))] = rnd.choice(WORDS)
+        rows.append((k, " ".join(words)))
+    met, across = [], ngram_join.across
+    monkeypatch.setattr(ngram_join, "across", lambda left, right, group, *rest: (met.append((left.count(), right.count(), right.select(group, "node").distinct().count())), across(left, right, group, *rest))[1])
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=80, den=100).collect()}
+    assert got == {d: c for d, (_, c) in brute(rows, 3, 80, 100).items()}
+    assert met[-1] == (0, 0, 0) and all(right == members for _, right, members in met), met  # a member is sent once, not once a block
+
+
 def test_edge_rows(spark):
     text = " ".join(WORDS[:60])
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, text), (7, text + " extra"), (None, text), (8, "solo words here"), (8, "solo words here"), (9, "Été un"), (10, "été un"), (11, "x " * 30_000)]

@@ -10,10 +10,10 @@
    another one uses all that are not empty, and if these are too few, one cell more, for such sets of
    its range. Each slice's content is a cell key: no pair above the threshold is lost. A set has cells
    in its own size range and the next; a cell counts if a set of the range itself is in it.
-3. Signature trees. The classes of a group go to blocks of bounded size; for each pair of blocks (one
-   for nearly all groups) a tree is built over either block: a node holds the OR (and the AND) of the
-   token bitmaps below it and their size range. Both trees are traversed together; a pair of nodes is
-   dropped when the largest overlap that bitmaps and sizes allow is below the threshold.
+3. Signature trees. The classes of a group go to blocks of bounded size, and a tree is built over each
+   block: a node holds the OR (and the AND) of the token bitmaps below it and their size range. Two trees
+   (or one with itself) are traversed together; a pair of nodes is dropped when the largest overlap that
+   bitmaps and sizes allow is below the threshold. Groups of several blocks: see ``linked``.
    First the groups are cells, and pairs that bitmaps allow make candidate clusters: in each cell all
    classes are tried with its first one, and trees are built where that leaves several components.
    Then the groups are clusters, and surviving pairs of sets are compared exactly, best bound first.
@@ -33,7 +33,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -255,16 +256,29 @@ class Union:
         return x != y
 
 
-def links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Links (of node names) that join components: among left, or between left and right."""
-    left = sorted(left, key=lambda x: (int(x[1][0]), len(x[1])))
+Set = tuple[int, int, np.ndarray]  # node, component so far, shingles
+Mark = tuple[int, int, int, bytes]  # digest, component so far, elements, bitmap
+
+
+def joined(left: list, right: list) -> Union:
+    """Components of the members of both sides as far as they are known."""
+    union, first = Union(len(left) + len(right)), {}
+    for k, member in enumerate(left + right):
+        union.join(k, first.setdefault(member[1], k))
+    return union
+
+
+def links(left: list[Set], right: list[Set] | None, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Links (of nodes) that join components: among left, or between left and right."""
+    order = lambda x: (int(x[2][0]), len(x[2]))
+    left = sorted(left, key=order)
     same = right is None
-    right = left if same else sorted(right, key=lambda x: (int(x[1][0]), len(x[1])))
+    right = left if same else sorted(right, key=order)
     if not left or not right:
         return
-    sets_a, sets_b = [s for _, s in left], [s for _, s in right]
+    sets_a, sets_b = [s for *_, s in left], [s for *_, s in right]
     bits = bits_of(max(len(x) for x in sets_a + sets_b))
-    tree, over, union = Tree.of(sets_a, bits), 0 if same else len(left), Union(len(left) + len(right))
+    tree, over, union = Tree.of(sets_a, bits), 0 if same else len(left), joined(left, [] if same else right)
     for i, j, bound in traverse(tree, tree if same else Tree.of(sets_b, bits), same, num, den):
         for k in np.argsort(-bound, kind="stable").tolist():
             p, q = int(i[k]), int(j[k])
@@ -276,9 +290,6 @@ def links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]
                 yield left[p][0], right[q][0]
 
 
-Mark = tuple[int, int, int, bytes]  # digest, component so far, elements, bitmap
-
-
 def bridges(left: list[Mark], right: list[Mark] | None, num: int, den: int) -> Iterator[tuple[int, int]]:
     """Pairs whose bitmaps allow the threshold, as far as they join components of such pairs."""
     same = right is None
@@ -287,9 +298,7 @@ def bridges(left: list[Mark], right: list[Mark] | None, num: int, den: int) -> I
         return
     size = min(len(m[3]) for m in (*left, *right))
     trees = [Tree(folded([m[3] for m in side], size), np.array([m[2] for m in side])) for side in ((left,) if same else (left, right))]
-    over, union, first = 0 if same else len(left), Union(len(left) + len(right)), {}
-    for k, mark in enumerate(left if same else left + right):
-        union.join(k, first.setdefault(mark[1], k))
+    over, union = 0 if same else len(left), joined(left, [] if same else right)
     for i, j, _ in traverse(trees[0], trees[-1], same, num, den):
         for p, q in zip(i.tolist(), j.tolist()):
             if union.join(p, over + q):
@@ -325,8 +334,8 @@ def keyed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Adds shingles (as bytes) to the wanted (cluster, digest, doc_id, blocks)."""
-    schema = pa.schema([("cluster", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("blocks", pa.int32()), ("shingles", pa.binary())])
+    """The wanted (cluster, digest, doc_id, blocks) as members of their clusters, with shingles (as bytes)."""
+    schema = pa.schema([("cluster", pa.int64()), ("digest", pa.int64()), ("node", pa.int64()), ("part", pa.int64()), ("blocks", pa.int32()), ("shingles", pa.binary())])
 
     @quiet
     def run(batches):
@@ -338,11 +347,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 for doc, text, cluster, d, blocks in zip(ids, texts, *rest):
                     s = shingles(text, width, words)
                     if digest(s) == d:
-                        yield (cluster, d, doc, blocks, s.tobytes()), 8 * len(s)
+                        yield (cluster, d, doc, doc, blocks, s.tobytes()), 8 * len(s)
 
         yield from sized(rows(), schema)
 
-    return base(docs).join(wanted, "doc_id").select("doc_id", "text", "cluster", "digest", "blocks").mapInArrow(run, "cluster long, digest long, doc_id long, blocks int, shingles binary")
+    return base(docs).join(wanted, "doc_id").select("doc_id", "text", "cluster", "digest", "blocks").mapInArrow(run, "cluster long, digest long, node long, part long, blocks int, shingles binary")
 
 
 def grouped(rows: DataFrame, keys: list[str], work, schema: pa.Schema, ddl: str) -> DataFrame:
@@ -372,26 +381,83 @@ def grouped(rows: DataFrame, keys: list[str], work, schema: pa.Schema, ddl: str)
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def paired(rows: DataFrame, group: str, *columns: str) -> DataFrame:
-    """Rows with ``blocks`` dealt to every pair of blocks of their group: group, i, j, block, and the columns."""
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *columns)
-
-
-def sides(key: tuple, held: list[tuple], make) -> tuple[list, list | None]:
-    """The members of the two blocks of a group (one if they are the same), each class once."""
-    _, i, j = key
-    once = {row[1]: row for row in held}.values()
-    return [make(row) for row in once if row[0] == i], None if i == j else [make(row) for row in once if row[0] == j]
-
-
-def blocked_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) of each cluster's sets (cluster, digest, doc_id, blocks, shingles)."""
-
-    def work(key, held):
-        return links(*sides(key, held, lambda r: (r[2], np.frombuffer(r[3], np.uint64))), num, den) if len(held) > 1 else ()
-
-    return grouped(paired(sets, "cluster", "digest", "doc_id", "shingles"), ["cluster", "i", "j"], work, EDGE, "u long, v long")
+def dealt(rows: DataFrame, salt: int = 0) -> DataFrame:
+    """Rows with the block of their group that they belong to."""
+    return rows.withColumn("block", F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("blocks")).cast("int"))
+
+
+def once(held: list[tuple], make) -> list:
+    """The members among a group's rows (side, digest, node, part, ...), each class once."""
+    return [make(row) for row in {row[1]: row for row in held}.values()]
+
+
+def inside(rows: DataFrame, group: str, columns: list[str], work, make) -> DataFrame:
+    """Links (u, v) among the members of each block."""
+
+    def run(_, held):
+        return work(once(held, make), None) if len(held) > 1 else ()
+
+    return grouped(rows.select(group, "block", F.lit(0).alias("side"), "digest", "node", "part", *columns), [group, "block"], run, EDGE, "u long, v long")
+
+
+def across(left: DataFrame, right: DataFrame, group: str, columns: list[str], work, make) -> DataFrame:
+    """Links (u, v) between members of left and right (group, i, j, ...) of the same group, i and j."""
+    rows = [side.select(group, "i", "j", F.lit(k).alias("side"), "digest", "node", "part", *columns) for k, side in enumerate((left, right))]
+
+    def run(_, held):
+        sides = [once([row for row in held if row[0] == k], make) for k in (0, 1)]
+        return work(*sides) if all(sides) else ()
+
+    return grouped(rows[0].unionByName(rows[1]), [group, "i", "j"], run, EDGE, "u long, v long")
+
+
+def linked(rows: DataFrame, wide: DataFrame | None, known: DataFrame | None, group: str, columns: list[str], work, make, name: str) -> tuple[DataFrame, list[str]]:
+    """Links that join the components of each group's members, and tables to drop.
+
+    rows: group, digest, node, part (component so far), blocks, columns; wide: those of groups of more
+    than one block, if there are any; known: links known before. Members meet in their block first. In
+    wide groups then one member of each component of a block stands for it; these meet in blocks, and so
+    on until a group's are one block. What is in the group's largest component by then is done: only
+    members outside it meet the group's other blocks. So a wide group that hangs together costs its size
+    and not its square, and no pair of two components is left out."""
+    spark = rows.sparkSession
+    found, path = written(inside(dealt(rows), group, columns, work, make), name)
+    paths = [path]
+    if wide is None:
+        return found, paths
+    wide, path = written(dealt(wide), f"{name}-wide")
+    paths.append(path)
+    level, salt, before = wide, 0, None
+    while True:
+        salt += 1
+        parts, path = components(found.unionByName(known) if known is not None else found, f"{name}-parts")
+        tagged = with_part(level, parts)
+        chosen = tagged.groupBy(group, "block", "part").agg(F.min("node").alias("node"))
+        blocks = chosen.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+        count = chosen.count()
+        last = count == before or (blocks.agg(F.max("blocks")).first()[0] or 1) == 1
+        level, level_path = written(dealt(with_part(wide.drop("blocks", "block").join(chosen.select(group, "node").distinct(), [group, "node"]).join(blocks, group), parts), salt), f"{name}-level")
+        more, more_path = written(inside(level, group, columns, work, make), name)
+        found, before = found.unionByName(more), count
+        dropped(spark, path)
+        paths += [level_path, more_path]
+        if last:
+            break
+    parts, path = components(found.unionByName(known) if known is not None else found, f"{name}-parts")
+    tagged, tagged_path = written(with_part(wide, parts), f"{name}-tagged")
+    sizes = tagged.groupBy(group, "part").agg(F.count("*").alias("n")).groupBy(group).agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    outside = tagged.join(sizes, group).filter("part <> largest").drop("largest")
+    strays = outside.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("strays"))
+    left = outside.join(strays, group).withColumn("i", F.pmod(F.xxhash64(F.lit(-1), "node"), F.col("strays")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = tagged.join(strays, group).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("strays") - 1))).withColumn("j", F.col("block"))
+    more, more_path = written(across(left, right, group, columns, work, make), name)
+    dropped(spark, path, tagged_path)
+    return found.unionByName(more), [*paths, more_path]
+
+
+def with_part(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows with ``part`` as it is now: the component of their node among parts (u, v), else what it was."""
+    return rows.join(parts.toDF("node", "now"), "node", "left").withColumn("part", F.coalesce("now", "part")).drop("now")
 
 
 def allowed(edges: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
@@ -426,16 +492,23 @@ def clustered(cells: DataFrame, marks: DataFrame, num: int, den: int) -> tuple[D
     kept = rows.groupBy("cell").agg(F.count("*").alias("k"), F.min("digest").alias("c"), F.max("digest").alias("d"), F.bit_xor(F.xxhash64("digest")).alias("members"), F.bit_xor(F.xxhash64(F.lit(7), "digest")).alias("again"))
     # cells of two classes are settled; of cells with the same members one is enough
     kept = kept.filter("k > 2").groupBy(*same).agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("k") / BLOCK_SETS).cast("int").alias("blocks"))
-    rows = rows.join(kept, "cell").join(marks, "digest")
-
-    def work(key, held):
-        return bridges(*sides(key, held, lambda r: r[1:]), num, den) if len(held) > 1 else ()
-
-    more = grouped(paired(rows, "cell", "digest", "part", "n", "bitmap"), ["cell", "i", "j"], work, EDGE, "u long, v long")
+    kept, kept_path = written(kept, "join-open")
+    rows = rows.join(kept, "cell").join(marks, "digest").withColumn("node", F.col("digest"))
+    wide = rows.filter("blocks > 1") if kept.filter("blocks > 1").limit(1).count() else None
+    more, paths = linked(rows, wide, stars, "cell", ["n", "bitmap"], partial(threshold, bridges, num, den), itemgetter(2, 3, 4, 5), "join-bridges")
     out, path = components(stars.unionByName(more), "join-clusters")
+    dropped(cells.sparkSession, kept_path, *paths)
     return out, [stars_path, path]
 
 
+def threshold(work, num: int, den: int, left: list, right: list | None) -> Iterator[tuple[int, int]]:
+    return work(left, right, num, den)
+
+
+def as_set(row: tuple) -> Set:
+    return row[2], row[3], np.frombuffer(row[4], np.uint64)
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; num / den is the least similarity of a link."""
     spark = docs.sparkSession
@@ -459,8 +532,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     dropped(spark, cells_path, marks_path)
     released(spark)
     few = wanted.count() <= SEND_IDS
-    found, found_path = components(blocked_links(sets_of(docs, F.broadcast(wanted) if few else wanted, width), num, den), "join-links")
-    dropped(spark, *paths, wanted_path)
+    some = wanted.filter("blocks > 1")
+    sets, wide = (sets_of(docs, F.broadcast(x) if few else x, width) if x is not None else None for x in (wanted, some if some.limit(1).count() else None))
+    edges, edge_paths = linked(sets, wide, None, "cluster", ["shingles"], partial(threshold, links, num, den), as_set, "join-edges")
+    found, _ = components(edges, "join-links")
+    dropped(spark, *paths, *edge_paths, wanted_path)
     label = classes.join(found.select(F.col("u").alias("first"), F.col("v").alias("component")), "first", "left").select("n", "digest", F.coalesce("component", "first").alias("component_id"))
     # a table of its own, so that Spark sees a plain join of two exchanges and can split a class of very many copies
     label, _ = written(label, "join-labels")
