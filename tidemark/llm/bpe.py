@@ -21,17 +21,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import kept, narrow, quiet, sized
+from .common import OUT_BYTES, kept, narrow, quiet
 
-#: Bounds of a worker's memory (about 350 bytes a match, 600 a state, 150 a pair); what is full is
-#: emptied and built again as needed.
-CACHE_WORDS, CACHE_STATES, CACHE_PAIRS = 300_000, 80_000, 250_000
+#: Bounds of a worker's memory: matches in each of two generations (about 200 bytes a match); states and
+#: pairs (about 600 and 150 bytes), which are emptied when full and built again as needed.
+CACHE_WORDS, CACHE_STATES, CACHE_PAIRS = 350_000, 120_000, 400_000
 ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, ids array<int>, decoded binary"
 
@@ -80,7 +82,7 @@ class Transducer:
                     self.inner.append(0)
                 node = got
             self.token[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # two neighbours (the first in the high bits) -> whether they fit
         self.split: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
@@ -110,7 +112,7 @@ class Transducer:
 
         The merges inside a and b are undone from the last on; a merge across the border must never
         have been due before the one undone."""
-        got = self.pairs.get((a, b))
+        got = self.pairs.get(a << 32 | b)
         if got is not None:
             return got
         left, right, due, got = a, b, 1 << 40, True
@@ -129,7 +131,7 @@ class Transducer:
                 break
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
-        self.pairs[a, b] = got
+        self.pairs[a << 32 | b] = got
         return got
 
     def step(self, live: tuple, byte: int) -> tuple[State, int]:
@@ -140,7 +142,7 @@ class Transducer:
             if got is None:
                 continue
             if whole < 0 and (t := token[got]) >= 0:
-                fits = last < 0 or pairs.get((last, t))
+                fits = last < 0 or pairs.get(last << 32 | t)
                 if fits or fits is None and self.fits(last, t):
                     whole = t
             if inner[got]:
@@ -181,26 +183,32 @@ class Transducer:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         state, lasts, out = self.start, [], []
+        push = lasts.append
         for at in range(0, len(piece), self.EMIT):
             if lasts and (end := self.settled(lasts)):
                 out += self.path(lasts, end)
                 del lasts[:end]
             for byte in piece[at : at + self.EMIT]:
                 state, last = state[byte]
-                lasts.append(last)
+                push(last)
         return out + self.path(lasts, len(lasts))
 
 
 class Pieces(dict):
-    """The ids of one match of the pattern, remembered."""
+    """The ids of one match of the pattern as little-endian 32-bit integers, remembered in two generations:
+    when the newer one is full it becomes the older one, and what is asked for again comes back."""
 
     def __init__(self, ranks: str):
-        self.encode = Transducer(load_ranks(ranks)).encode
+        self.encode, self.old = Transducer(load_ranks(ranks)).encode, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = array("i", self.encode(piece.encode())).tobytes()
         if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        got = self[piece] = tuple(self.encode(piece.encode()))
+        self[piece] = got
         return got
 
 
@@ -212,8 +220,11 @@ class TextIds:
 
         self.get, self.find = Pieces(ranks).__getitem__, regex.compile(pattern).findall
 
+    def packed(self, text: str) -> bytes:
+        return b"".join(map(self.get, self.find(text)))
+
     def __call__(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.get, self.find(text))))
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
 
 # The UTF-8 automaton: state 0 is a boundary between code points, 8 is an error; others say what
@@ -286,16 +297,28 @@ def base(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
+def id_batches(batches: Iterator[pa.RecordBatch], ids: TextIds, most: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids of each batch of (doc_id, text), cut where the ids have some megabytes."""
+    for batch in batches:
+        docs, held, size = batch.column(0).cast(pa.int64()), [], 0
+        first = 0
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            held.append(ids.packed(text or ""))
+            size += len(held[-1])
+            if size >= most or k + 1 == len(docs):
+                ends = np.cumsum([0, *map(len, held)], dtype=np.int64) // 4
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), size // 4, [None, pa.py_buffer(b"".join(held))]))
+                yield pa.RecordBatch.from_arrays([docs.slice(first, len(held)), lists], schema=IDS)
+                first, held, size = k + 1, [], 0
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Each document's ids: columns doc_id, ids."""
     narrow(docs.sparkSession)
 
     @quiet
     def run(batches: Iterator[pa.RecordBatch]):
-        ids = text_ids(ranks, pattern)
-        for batch in batches:
-            rows = ((doc, ids(text or "")) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            yield from sized(((r, 4 * len(r[1])) for r in rows), IDS)
+        yield from id_batches(batches, text_ids(ranks, pattern))
 
     return base(docs).mapInArrow(run, ENCODED)
 
@@ -325,11 +348,9 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     @quiet
     def run(batches: Iterator[pa.RecordBatch]):
-        ids, table = text_ids(ranks, pattern), token_table(ranks)
-        for batch in batches:
-            rows = ((doc, ids(text or "")) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            for out in sized(((r, 8 * len(r[1])) for r in rows), IDS):
-                yield pa.RecordBatch.from_arrays([*out.columns, restored(out.column(1), table)], schema=BOTH)
+        table = token_table(ranks)
+        for out in id_batches(batches, text_ids(ranks, pattern), OUT_BYTES // 2):
+            yield pa.RecordBatch.from_arrays([*out.columns, restored(out.column(1), table)], schema=BOTH)
 
     return base(docs).mapInArrow(run, DECODED)
 
