@@ -47,8 +47,8 @@ from .common import dropped, narrow, quiet, raw, released, sized, written
 from .graph import components
 
 SPARE = 3
-#: Sets of a block: a bound on their number and on their shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 2_000_000
+#: Sets of a block: a bound on their number and on their shingles. Where only bitmaps meet: on their number.
+BLOCK_SETS, BLOCK_SHINGLES, BLOCK_MARKS = 1024, 4_000_000, 4096
 #: Ids up to which the wanted documents are sent to all executors instead of exchanging all texts.
 SEND_IDS = 1_000_000
 CACHE_WORDS = 400_000
@@ -411,7 +411,7 @@ def across(left: DataFrame, right: DataFrame, group: str, columns: list[str], wo
     return grouped(rows[0].unionByName(rows[1]), [group, "i", "j"], run, EDGE, "u long, v long")
 
 
-def linked(rows: DataFrame, wide: DataFrame | None, known: DataFrame | None, group: str, columns: list[str], work, make, name: str) -> tuple[DataFrame, list[str]]:
+def linked(rows: DataFrame, wide: DataFrame | None, known: DataFrame | None, group: str, columns: list[str], work, make, name: str, most: int) -> tuple[DataFrame, list[str]]:
     """Links that join the components of each group's members, and tables to drop.
 
     rows: group, digest, node, part (component so far), blocks, columns; wide: those of groups of more
@@ -431,23 +431,26 @@ def linked(rows: DataFrame, wide: DataFrame | None, known: DataFrame | None, gro
     while True:
         salt += 1
         parts, path = components(found.unionByName(known) if known is not None else found, f"{name}-parts")
-        tagged = with_part(level, parts)
-        chosen = tagged.groupBy(group, "block", "part").agg(F.min("node").alias("node"))
-        blocks = chosen.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-        count = chosen.count()
-        last = count == before or (blocks.agg(F.max("blocks")).first()[0] or 1) == 1
-        level, level_path = written(dealt(with_part(wide.drop("blocks", "block").join(chosen.select(group, "node").distinct(), [group, "node"]).join(blocks, group), parts), salt), f"{name}-level")
-        more, more_path = written(inside(level, group, columns, work, make), name)
-        found, before = found.unionByName(more), count
-        dropped(spark, path)
-        paths += [level_path, more_path]
+        chosen, chosen_path = written(with_part(level, parts).groupBy(group, "block", "part").agg(F.min("node").alias("node")), f"{name}-chosen")
+        blocks = chosen.groupBy(group).agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+        widest, count = blocks.agg(F.max("blocks")).first()[0] or 1, chosen.count()
+        members = wide.drop("blocks", "block").join(chosen.select(group, "node").distinct(), [group, "node"]).join(blocks, group)
+        more, more_path = written(inside(dealt(with_part(members, parts), salt), group, columns, work, make), name)
+        found = found.unionByName(more)
+        paths.append(more_path)
+        last, before = widest == 1 or count == before, count
+        if not last:
+            level = dealt(wide.drop("blocks", "block").join(chosen.select(group, "node").distinct(), [group, "node"]).join(blocks, group), salt)
+            level, level_path = written(level, f"{name}-level")
+            paths.append(level_path)
+        dropped(spark, path, chosen_path)
         if last:
             break
     parts, path = components(found.unionByName(known) if known is not None else found, f"{name}-parts")
     tagged, tagged_path = written(with_part(wide, parts), f"{name}-tagged")
     sizes = tagged.groupBy(group, "part").agg(F.count("*").alias("n")).groupBy(group).agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
     outside = tagged.join(sizes, group).filter("part <> largest").drop("largest")
-    strays = outside.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("strays"))
+    strays = outside.groupBy(group).agg(F.ceil(F.count("*") / most).cast("int").alias("strays"))
     left = outside.join(strays, group).withColumn("i", F.pmod(F.xxhash64(F.lit(-1), "node"), F.col("strays")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = tagged.join(strays, group).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("strays") - 1))).withColumn("j", F.col("block"))
     more, more_path = written(across(left, right, group, columns, work, make), name)
@@ -491,11 +494,11 @@ def clustered(cells: DataFrame, marks: DataFrame, num: int, den: int) -> tuple[D
     same = ("k", "c", "d", "members", "again")
     kept = rows.groupBy("cell").agg(F.count("*").alias("k"), F.min("digest").alias("c"), F.max("digest").alias("d"), F.bit_xor(F.xxhash64("digest")).alias("members"), F.bit_xor(F.xxhash64(F.lit(7), "digest")).alias("again"))
     # cells of two classes are settled; of cells with the same members one is enough
-    kept = kept.filter("k > 2").groupBy(*same).agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("k") / BLOCK_SETS).cast("int").alias("blocks"))
+    kept = kept.filter("k > 2").groupBy(*same).agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("k") / BLOCK_MARKS).cast("int").alias("blocks"))
     kept, kept_path = written(kept, "join-open")
     rows = rows.join(kept, "cell").join(marks, "digest").withColumn("node", F.col("digest"))
     wide = rows.filter("blocks > 1") if kept.filter("blocks > 1").limit(1).count() else None
-    more, paths = linked(rows, wide, stars, "cell", ["n", "bitmap"], partial(threshold, bridges, num, den), itemgetter(2, 3, 4, 5), "join-bridges")
+    more, paths = linked(rows, wide, stars, "cell", ["n", "bitmap"], partial(threshold, bridges, num, den), itemgetter(2, 3, 4, 5), "join-bridges", BLOCK_MARKS)
     out, path = components(stars.unionByName(more), "join-clusters")
     dropped(cells.sparkSession, kept_path, *paths)
     return out, [stars_path, path]
@@ -534,7 +537,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     few = wanted.count() <= SEND_IDS
     some = wanted.filter("blocks > 1")
     sets, wide = (sets_of(docs, F.broadcast(x) if few else x, width) if x is not None else None for x in (wanted, some if some.limit(1).count() else None))
-    edges, edge_paths = linked(sets, wide, None, "cluster", ["shingles"], partial(threshold, links, num, den), as_set, "join-edges")
+    edges, edge_paths = linked(sets, wide, None, "cluster", ["shingles"], partial(threshold, links, num, den), as_set, "join-edges", BLOCK_SETS)
     found, _ = components(edges, "join-links")
     dropped(spark, *paths, *edge_paths, wanted_path)
     label = classes.join(found.select(F.col("u").alias("first"), F.col("v").alias("component")), "first", "left").select("n", "digest", F.coalesce("component", "first").alias("component_id"))
