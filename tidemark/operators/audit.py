@@ -36,34 +36,13 @@ def merged(d: Dialect, bars: str) -> str:
 
 def hygiene(d: Dialect, bars: str) -> str:
     """Non-finite and huge values of derived columns become null; counts of each kind."""
-    q = f"SELECT symbol, CAST({d.div('Close - Open', 'High - Low')} AS DOUBLE) AS x1, Close * 1e306 * CASE WHEN day(Date) = 1 THEN 1000 ELSE 0.001 END AS x2 FROM ({bars}) b WHERE Close < 90000"
+    q = f"SELECT symbol, CAST({d.div('Close - Open', 'High - Low')} AS DOUBLE) AS x1, Close * CASE WHEN day(Date) = 1 THEN 8e304 ELSE 1e300 END AS x2 FROM ({bars}) b"
     return f"SELECT symbol, count(*) AS n, count(CASE WHEN x1 IS NULL THEN 1 END) AS x1_missing, count(CASE WHEN abs(x2) > 1e308 THEN 1 END) AS x2_replaced, count(CASE WHEN abs(x2) <= 1e308 THEN 1 END) AS x2_kept FROM ({q}) q GROUP BY symbol"
 
 
-def policy_outcomes(d: Dialect, bars: str, h: int = 10) -> str:
-    """First touches of target and stop multiples of the average range: outcome and bars until the extremes."""
-    from tidemark.functions.dialect import frame, lead
-
-    pair = "struct(High, Low)" if d.spark else "{'High': High, 'Low': Low}"
-    q = f"SELECT *, CASE WHEN count(*) OVER {frame(-13, 0)} >= 14 THEN avg(High - Low) OVER {frame(-13, 0)} END AS atr, {lead('Open')} AS entry, {lead('Close', h)} AS last_close, {d.collected(pair)} OVER {frame(1, h)} AS path, {d.collected('High')} OVER {frame(1, h)} AS highs, max(High) OVER {frame(1, h)} AS top FROM ({bars}) b"
-    policies = " UNION ALL ".join(f"SELECT {a} AS target_x, {b} AS stop_x" for a, b in ((1, 1), (2, 1), (2, 2), (3, 1)))
-    touch = f"SELECT symbol, Date, target_x, stop_x, {d.first_index('path', 'e.High >= entry + target_x * atr')} AS t, {d.first_index('path', 'e.Low <= entry - stop_x * atr')} AS s, {'array_position(highs, top)' if d.spark else 'list_position(highs, top)'} AS peak FROM ({q}) q CROSS JOIN ({policies}) p WHERE atr IS NOT NULL AND last_close IS NOT NULL"
-    return f"SELECT target_x, stop_x, count(*) AS n, count(CASE WHEN t IS NOT NULL AND (s IS NULL OR t < s) THEN 1 END) AS targets, count(CASE WHEN s IS NOT NULL AND (t IS NULL OR s <= t) THEN 1 END) AS stops, count(CASE WHEN t IS NULL AND s IS NULL THEN 1 END) AS unresolved, round(avg(CAST(peak AS DOUBLE)), 6) AS mean_bars_to_peak FROM ({touch}) t GROUP BY target_x, stop_x"
-
-
-def exit_utility(d: Dialect, bars: str, h: int = 10) -> str:
-    """Net return at the time exit over the larger of adverse excursion and range, and its quality bucket."""
-    from tidemark.functions.dialect import frame, lead
-    from tidemark.operators.governance import exit_bucket
-
-    q = f"SELECT symbol, Date, {d.div(lead('Close', h), lead('Open'))} - 1 - 0.0005 AS net, {d.div(f'min(Low) OVER {frame(1, h)}', lead('Open'))} - 1 AS mae, {d.div('High - Low', 'Close')} AS span FROM ({bars}) b"
-    return f"""SELECT symbol, Date, round(net, 6) AS net, round(net / greatest(abs(mae), span, 1e-6), 4) AS utility, {exit_bucket('net')} AS bucket,
-CASE WHEN net > 0 AND mae <= -0.03 THEN 1 ELSE 0 END AS early_adverse_recovery FROM ({q}) q WHERE net IS NOT NULL"""
-
-
 def yearly(d: Dialect, bars: str) -> str:
     """Counts and volume by (symbol, year), by year, and in all."""
     return f"SELECT coalesce(symbol, 'ALL') AS symbol, coalesce(CAST(yr AS VARCHAR(10)), 'ALL') AS yr, count(*) AS n, round(sum(Volume), 2) AS volume FROM (SELECT *, year(Date) AS yr FROM ({bars}) b) y GROUP BY GROUPING SETS ((symbol, yr), (yr), ())"
 
 
-VIEWS = {f.__name__: f for f in (checks, inventory, structure, largest_moves, merged, hygiene, policy_outcomes, exit_utility, yearly)}
+VIEWS = {f.__name__: f for f in (checks, inventory, structure, largest_moves, merged, hygiene, yearly)}

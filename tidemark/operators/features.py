@@ -144,13 +144,29 @@ def _oscillators(d: Dialect) -> list[dict[str, str]]:
 OSCILLATORS = Family("oscillators", _oscillators, ("roc_10", "stochastic_14", "bollinger_z_20", "cci_20", "mfi_14"))
 
 
-def _legacy(d: Dialect) -> list[dict[str, str]]:
+def _price(d: Dialect) -> list[dict[str, str]]:
+    """Over bars with ``atr_14``; highs and lows are those of the rows before."""
+    spans = (20, 50, 252)
     return [
-        {**{f"sma_{w}": rolling("avg", "Close", w) for w in (20, 50, 100, 200)}, **{f"hi_{w}": rolling("max", "High", w) for w in (20, 50, 252)}, **{f"lo_{w}": rolling("min", "Low", w) for w in (20, 50, 252)}, "red": flag(f"Close < {lag('Close')}"), "gap": f"{d.div('Open', lag('Close'))} - 1", "close_position": "CASE WHEN High = Low THEN CAST(0.5 AS DOUBLE) ELSE (Close - Low) / (High - Low) END"},
-        {**{f"drawdown_{w}": f"{d.div('Close', f'hi_{w}')} - 1" for w in (20, 50, 252)}, **{f"bounce_{w}": f"{d.div('Close', f'lo_{w}')} - 1" for w in (20, 50, 252)}, "red_days_5": rolling("sum", "red", 5), "red_days_10": rolling("sum", "red", 10)},
+        {
+            **{f"sma_{w}": rolling("avg", "Close", w) for w in (20, 50, 100, 200)},
+            **{f"ph_{w}": rolling("max", "High", w, prior=True) for w in spans}, **{f"pl_{w}": rolling("min", "Low", w, prior=True) for w in spans},
+            "pc": lag("Close"), "vm": rolling("avg", "Volume", 20, 10, prior=True), "atr_pct_14": d.div("atr_14", "Close"), "red": flag(f"Close < {lag('Close')}"),
+        },
+        {
+            **{f"distance_sma_{w}": f"{d.div('Close', f'sma_{w}')} - 1" for w in (20, 50, 100, 200)}, **{f"sma_{w}_slope_5": change(d, f"sma_{w}", 5) for w in (20, 50, 100, 200)},
+            **{f"drawdown_from_high_{w}": f"{d.div('Close', f'ph_{w}')} - 1" for w in spans}, **{f"bounce_from_low_{w}": f"{d.div('Close', f'pl_{w}')} - 1" for w in spans},
+            "window_atr": f"{d.collected('atr_pct_14')} OVER {frame(-251, 0)}", "relative_volume_20": d.div("Volume", "vm"), "gap_pct": f"{d.div('Open', 'pc')} - 1", "return_1d": f"{d.div('Close', 'pc')} - 1", "red_day": "red",
+            "close_position": "CASE WHEN High - Low > 0 THEN (Close - Low) / (High - Low) ELSE CAST(0.5 AS DOUBLE) END", "pullback_count_3": rolling("sum", "red", 3), "pullback_count_5": rolling("sum", "red", 5), "failed_breakdown_20": flag("Low < pl_20 AND Close > pl_20"),
+        },
+        {"atr_percentile_252": share_at_most(d, "window_atr", "atr_pct_14", 252, 60)},
     ]
 
 
-LEGACY = Family("price_action", _legacy, ("sma_20", "sma_50", "sma_100", "sma_200", "gap", "close_position", "drawdown_20", "drawdown_50", "drawdown_252", "bounce_20", "bounce_50", "bounce_252", "red_days_5", "red_days_10"))
+PRICE = Family(
+    "price_action", _price,
+    (*(f"{n}{w}{e}" for w in (20, 50, 100, 200) for n, e in (("sma_", ""), ("distance_sma_", ""), ("sma_", "_slope_5"))), "atr_14", "atr_pct_14", "atr_percentile_252", "relative_volume_20", "close_position", "gap_pct", "return_1d", "red_day", "pullback_count_3", "pullback_count_5",
+     *(f"{n}_{w}" for w in (20, 50, 252) for n in ("drawdown_from_high", "bounce_from_low")), "failed_breakdown_20"),
+)
 
-FAMILIES = {f.name: f for f in (RETURN, MOMENTUM, LEVELS, TREND, VOLATILITY, VOLUME, CANDLES, OSCILLATORS, LEGACY)}
+FAMILIES = {f.name: f for f in (RETURN, MOMENTUM, LEVELS, TREND, VOLATILITY, VOLUME, CANDLES, OSCILLATORS)}

@@ -93,10 +93,8 @@ def generation_summary(d: Dialect, t: str, bars: str) -> str:
 
 
 def robustness(d: Dialect, t: str, bars: str) -> str:
-    """Label of a target from its analogs at three depths, and how many targets have each."""
-    by = f"SELECT t_symbol, count(CASE WHEN label = 'SUPPORTIVE' THEN 1 END) AS good, count(CASE WHEN label = 'CONFLICTING' THEN 1 END) AS bad, count(CASE WHEN label = 'CONCENTRATED' THEN 1 END) AS narrow FROM ({analogs.depths(d, t)}) x GROUP BY t_symbol"
-    label = "CASE WHEN narrow > 0 THEN 'CONCENTRATED' WHEN good = 3 THEN 'ROBUST_SUPPORT' WHEN bad = 3 THEN 'ROBUST_CONFLICT' WHEN good > 0 AND bad > 0 THEN 'UNSTABLE' WHEN good > 0 THEN 'DECAYING_SUPPORT' ELSE 'NO_SUPPORT' END"
-    return f"SELECT label, count(*) AS n FROM (SELECT {label} AS label FROM ({by}) b) l GROUP BY label"
+    """How many targets have each label of support."""
+    return f"SELECT support AS label, count(*) AS n FROM ({analogs.robustness(d, t)}) x GROUP BY support"
 
 
 def split_distributions(d: Dialect, t: str, bars: str) -> str:
@@ -106,8 +104,8 @@ def split_distributions(d: Dialect, t: str, bars: str) -> str:
 
 def holdout_metrics(d: Dialect, t: str, bars: str) -> str:
     """Of the last rows: size, class balance, scores over the base rate, returns, status."""
-    last = f"SELECT *, avg(y) OVER (PARTITION BY scope) AS base FROM ({t}) s WHERE year(Date) >= 1997"
-    by = f"SELECT scope, count(*) AS n, count(DISTINCT Date) AS dates, sum(y) AS positives, avg((p - y) * (p - y)) AS brier, avg((base - y) * (base - y)) AS naive, avg(CASE WHEN p >= 0.55 THEN r END) AS selected_return, count(CASE WHEN p >= 0.55 THEN 1 END) AS selected FROM ({last}) l GROUP BY scope"
+    last = f"SELECT * FROM ({t}) s WHERE year(Date) >= 1997"
+    by = f"SELECT scope, count(*) AS n, count(DISTINCT Date) AS dates, sum(y) AS positives, avg((p - y) * (p - y)) AS brier, avg(y * y) - avg(y) * avg(y) AS naive, avg(CASE WHEN p >= 0.55 THEN r END) AS selected_return, count(CASE WHEN p >= 0.55 THEN 1 END) AS selected FROM ({last}) l GROUP BY scope"
     return f"SELECT scope, n, dates, positives, round(brier, 6) AS brier, round(1 - {d.div('brier', 'naive')}, 6) AS skill, selected, round(selected_return, 6) AS selected_return, CASE WHEN n < 100 THEN 'INSUFFICIENT' WHEN brier < naive THEN 'SKILL' ELSE 'NO_SKILL' END AS status FROM ({by}) b"
 
 
@@ -156,17 +154,19 @@ def evidence(d: Dialect, t: str, bars: str) -> str:
 
 def support(d: Dialect, t: str, bars: str) -> str:
     """Features of each symbol's latest row by distance from the scope's mean in deviations."""
-    stats = f"SELECT *, avg(x1) OVER (PARTITION BY scope) AS a1, stddev_pop(x1) OVER (PARTITION BY scope) AS s1, avg(x2) OVER (PARTITION BY scope) AS a2, stddev_pop(x2) OVER (PARTITION BY scope) AS s2, row_number() OVER (PARTITION BY symbol ORDER BY Date DESC) AS rk FROM ({t}) s"
-    last = f"SELECT * FROM ({stats}) s WHERE rk = 1"
+    stats = f"SELECT scope, avg(x1) AS a1, stddev_pop(x1) AS s1, avg(x2) AS a2, stddev_pop(x2) AS s2 FROM ({t}) s GROUP BY scope"
+    latest = f"SELECT symbol, max(Date) AS at FROM ({t}) s GROUP BY symbol"
+    last = f"SELECT s.symbol, x1, x2, a1, s1, a2, s2 FROM ({t}) s JOIN ({latest}) l ON l.symbol = s.symbol AND l.at = s.Date JOIN ({stats}) m ON m.scope = s.scope"
     long = f"SELECT symbol, 'x1' AS feature, {d.div('x1 - a1', 's1')} AS z FROM ({last}) a UNION ALL SELECT symbol, 'x2' AS feature, {d.div('x2 - a2', 's2')} AS z FROM ({last}) b"
     return f"SELECT symbol, feature, round(z, 5) AS z, CASE WHEN z > 0 THEN 'support' ELSE 'conflict' END AS side, CAST(row_number() OVER (PARTITION BY symbol ORDER BY abs(z) DESC, feature) AS INT) AS rk FROM ({long}) l"
 
 
 def probability_audit(d: Dialect, t: str, bars: str) -> str:
-    """Rows with their chronological fold and probability step."""
+    """Rows with their chronological fold and probability step; steps are numbered among distinct ones."""
     folds = f"SELECT Date, ntile(4) OVER (ORDER BY Date) AS fold FROM (SELECT DISTINCT Date FROM ({t}) s) x"
     ranges = f"SELECT fold, min(Date) AS a, max(Date) AS z FROM ({folds}) f GROUP BY fold"
-    return f"SELECT s.symbol, s.Date, fold, dense_rank() OVER (PARTITION BY scope ORDER BY round(p, 2)) AS step_id FROM ({t}) s JOIN ({ranges}) r ON s.Date BETWEEN r.a AND r.z"
+    steps = f"SELECT scope, step, row_number() OVER (PARTITION BY scope ORDER BY step) AS step_id FROM (SELECT DISTINCT scope, round(p, 2) AS step FROM ({t}) s) u"
+    return f"SELECT s.symbol, s.Date, fold, step_id FROM ({t}) s JOIN ({ranges}) r ON s.Date BETWEEN r.a AND r.z JOIN ({steps}) k ON k.scope = s.scope AND k.step = round(s.p, 2)"
 
 
 def outcome_ranks(d: Dialect, t: str, bars: str) -> str:
@@ -180,21 +180,21 @@ def beats_benchmark(d: Dialect, t: str, bars: str) -> str:
     return f"SELECT s.scope, count(*) AS n, round(avg(CASE WHEN s.r > b.r THEN {ONE} ELSE {ZERO} END), 6) AS beats FROM ({t}) s JOIN ({t}) b ON b.Date = s.Date AND b.symbol = 'S0' WHERE s.symbol <> 'S0' GROUP BY s.scope"
 
 
-def positions(d: Dialect, t: str, bars: str, only: str = "") -> str:
+def positions(d: Dialect, t: str, bars: str) -> str:
     """State of each position by replay of its events."""
-    log = f"SELECT unique_key AS position_id, as_of AS moment, 1 AS k, 'PENDING' AS state FROM ({events.created(d, t, only)}) c WHERE event_type = 'ENTRY_PENDING' UNION ALL SELECT source_key AS position_id, fill_date AS moment, 2 AS k, 'OPEN' AS state FROM ({events.fills(d, t, bars, only)}) f UNION ALL SELECT source_key AS position_id, exit_date AS moment, 3 AS k, 'CLOSED' AS state FROM ({events.exits(d, t, bars, only=only)}) e"
+    log = f"SELECT unique_key AS position_id, as_of AS moment, 1 AS k, 'PENDING' AS state FROM ({events.created(d, t)}) c WHERE event_type = 'ENTRY_PENDING' UNION ALL SELECT source_key AS position_id, fill_date AS moment, 2 AS k, 'OPEN' AS state FROM ({events.fills(d, t, bars)}) f UNION ALL SELECT source_key AS position_id, exit_date AS moment, 3 AS k, 'CLOSED' AS state FROM ({events.exits(d, t, bars)}) e"
     return f"SELECT state, count(*) AS n, min(moment) AS earliest, max(moment) AS latest FROM (SELECT *, row_number() OVER (PARTITION BY position_id ORDER BY moment DESC, k DESC) AS rk FROM ({log}) l) r WHERE rk = 1 GROUP BY state"
 
 
-def lineage(d: Dialect, t: str, bars: str, only: str = "") -> str:
+def lineage(d: Dialect, t: str, bars: str) -> str:
     """Pending entries with their fill and exit; what is missing on the way."""
     return f"""SELECT c.symbol, count(*) AS pending, count(f.source_key) AS filled, count(e.source_key) AS closed, count(CASE WHEN f.source_key IS NULL THEN 1 END) AS unfilled, round(sum(e.net_return), 4) AS net_sum
-FROM ({events.created(d, t, only)}) c LEFT JOIN ({events.fills(d, t, bars, only)}) f ON f.source_key = c.unique_key LEFT JOIN ({events.exits(d, t, bars, only=only)}) e ON e.source_key = c.unique_key WHERE c.event_type = 'ENTRY_PENDING' GROUP BY c.symbol"""
+FROM ({events.created(d, t)}) c LEFT JOIN ({events.fills(d, t, bars)}) f ON f.source_key = c.unique_key LEFT JOIN ({events.exits(d, t, bars)}) e ON e.source_key = c.unique_key WHERE c.event_type = 'ENTRY_PENDING' GROUP BY c.symbol"""
 
 
-def diagnostic_state(d: Dialect, t: str, bars: str, only: str = "") -> str:
+def diagnostic_state(d: Dialect, t: str, bars: str) -> str:
     """Matured rows, span in months and status of a prospective diagnostic."""
-    q = f"SELECT count(*) AS matured, count(DISTINCT {d.ym('exit_date')}) AS months, min(exit_date) AS first_exit, max(exit_date) AS last_exit FROM ({events.exits(d, t, bars, only=only)}) e"
+    q = f"SELECT count(*) AS matured, count(DISTINCT {d.ym('exit_date')}) AS months, min(exit_date) AS first_exit, max(exit_date) AS last_exit FROM ({events.exits(d, t, bars)}) e"
     return f"SELECT matured, months, {d.days('last_exit', 'first_exit')} AS span_days, CASE WHEN matured = 0 THEN 'NO_MATURED_ROWS' WHEN matured < 50 OR months < 3 THEN 'COLLECTING' ELSE 'READY_FOR_REVIEW' END AS status FROM ({q}) q"
 
 
@@ -205,5 +205,3 @@ def exit_calibration(d: Dialect, t: str, bars: str) -> str:
 
 
 VIEWS = {f.__name__: f for f in (effective_policy, eligibility, integrity, families, fold_aggregate, policy_comparison, generation_summary, robustness, split_distributions, holdout_metrics, product_classes, scopes, history_percentile, position_sizes, registry, evidence, support, probability_audit, outcome_ranks, beats_benchmark, positions, lineage, diagnostic_state, exit_calibration)}
-#: Views of the event log, which may be restricted by ``only``.
-OF_EVENTS = (positions, lineage, diagnostic_state)

@@ -1,8 +1,11 @@
 """Metrics of predictions, trades and features, as SQL over a table of scored rows.
 
-A scored row has symbol, Date, scope, sector, p (probability), y (outcome 0 or 1), r (return), mfe,
-mae, x1, x2 (features). Each function gives a query in a dialect; all are one or two aggregations with
-map-side combining, so they scale with the rows, and windows only run over buckets or days.
+A scored row has symbol, Date, scope, sector, p (probability), q (probability that the target comes before
+the stop), er, emfe, emae (expected return and excursions), y (outcome 0 or 1), tbs and sbt (target or stop
+came first), r (return), mfe, mae, dollar_volume, x1, x2 (features). Each function gives a query in a
+dialect. They are aggregations with map-side combining. A scope may hold any number of rows (POOLED holds
+all), so none is ordered in one window: areas under curves come from distinct scores, ranks from buckets
+between sampled quantiles whose counts are known (``ranked``).
 """
 
 from __future__ import annotations
@@ -15,26 +18,48 @@ UTILITY_GRID = [round(0.30 + 0.05 * k, 2) for k in range(9)]
 
 
 def scored(d: Dialect, bars: str, universe: str, h: int = 5) -> str:
-    """Scored rows made of bars: the probability follows the trailing 20-day return, the outcome is the h-day label."""
-    from tidemark.operators.labels import LABELS
+    """Scored rows made of bars with ``label_atr_14``: the probability follows the trailing 20-day return, the
+    expectations the day's range, the outcomes are the h-day labels."""
+    from tidemark.operators.labels import LABELS, TOUCH
 
-    q = f"SELECT *, {d.div('Close', lag('Close', 20))} - 1 AS m20, {d.div('High - Low', 'Close')} AS span FROM ({LABELS[h].select(d, bars)}) l"
-    return f"""SELECT q.symbol, q.Date, u.role AS scope, coalesce(u.sector, '') AS sector, label_end_date, round(1 / (1 + exp(-10 * m20)), 6) AS p, label_bull_positive_return_{h} AS y, label_bull_forward_return_{h} AS r, label_bull_mfe_{h} AS mfe, label_bull_mae_{h} AS mae, m20 AS x1, span AS x2
+    q = f"SELECT *, {d.div('Close', lag('Close', 20))} - 1 AS m20, {d.div('High - Low', 'Close')} AS span FROM ({TOUCH[h].select(d, LABELS[h].select(d, bars))}) l"
+    return f"""SELECT q.symbol, q.Date, u.role AS scope, coalesce(u.sector, '') AS sector, label_end_date, round(1 / (1 + exp(-10 * m20)), 6) AS p, round(1 / (1 + exp(4 * span - 6 * m20)), 6) AS q, round(m20 / 4, 6) AS er, round(span * 1.5, 6) AS emfe, round(-span, 6) AS emae,
+label_bull_positive_return_{h} AS y, bull_target_before_stop AS tbs, bull_stop_before_target AS sbt, label_bull_forward_return_{h} AS r, label_bull_mfe_{h} AS mfe, label_bull_mae_{h} AS mae, Close * Volume AS dollar_volume, m20 AS x1, span AS x2
 FROM ({q}) q JOIN ({universe}) u ON u.symbol = q.symbol WHERE label_end_date IS NOT NULL AND m20 IS NOT NULL AND label_bull_forward_return_{h} IS NOT NULL"""
 
 
-def pooled(t: str) -> str:
+COLUMNS = "symbol, Date, sector, label_end_date, p, q, er, emfe, emae, y, tbs, sbt, r, mfe, mae, dollar_volume, x1, x2"
+
+
+def pooled(d: Dialect, t: str) -> str:
     """Rows once for their scope and once for POOLED."""
-    return f"SELECT * FROM ({t}) a UNION ALL SELECT symbol, Date, 'POOLED' AS scope, sector, label_end_date, p, y, r, mfe, mae, x1, x2 FROM ({t}) b"
+    each = "explode" if d.spark else "unnest"
+    both = d.lit_array("scope", "'POOLED'")
+    return f"SELECT one AS scope, {COLUMNS} FROM (SELECT {each}({both}) AS one, {COLUMNS} FROM ({t}) a) b"
+
+
+def ranked(d: Dialect, t: str, by: str, order: str) -> str:
+    """Rows with ``rn``, their place in their scope by (by, order), and ``n``, the rows of the scope.
+
+    In Spark rows are put between sampled quantiles of ``by`` (64 a scope); a row's place is what the buckets
+    before hold and its place in its bucket, so no window holds a scope."""
+    if not d.spark:
+        return f"SELECT *, row_number() OVER (PARTITION BY scope ORDER BY {by}, {order}) AS rn, count(*) OVER (PARTITION BY scope) AS n FROM ({t}) t"
+    value = f"CAST(unix_date({by}) AS DOUBLE)" if by == "Date" else by
+    cuts = f"SELECT scope AS c_scope, percentile_approx({value}, array({', '.join(f'{k / 64}D' for k in range(1, 64))}), 1000) AS cuts FROM ({t}) t GROUP BY scope"
+    rows = f"SELECT t.*, size(filter(cuts, c -> c < {value})) AS bucket FROM ({t}) t JOIN ({cuts}) c ON c_scope = scope"
+    sizes = f"SELECT scope AS b_scope, bucket AS b, count(*) AS k FROM ({rows}) s GROUP BY scope, bucket"
+    sums = f"SELECT *, sum(k) OVER (PARTITION BY b_scope ORDER BY b) - k AS before, sum(k) OVER (PARTITION BY b_scope) AS n FROM ({sizes}) z"
+    return f"SELECT r.*, before + row_number() OVER (PARTITION BY scope, bucket ORDER BY {by}, {order}) AS rn, n FROM ({rows}) r JOIN ({sums}) b ON b_scope = scope AND b = bucket"
 
 
 def deciles(d: Dialect, t: str) -> str:
     """Rows with ``bin``: ten bins of equal counts by the rank of p, ties broken by symbol and date."""
+    rows = ranked(d, t, "p", "symbol, Date")
+    if d.spark:  # the quantile k / 10 of the ranks 1 to n lies at 1 + (n - 1) k / 10
+        return f"SELECT *, greatest(CAST(ceil(10.0D * (rn - 1) / greatest(n - 1, 1)) AS INT) - 1, 0) AS bin FROM ({rows}) r"
     qs = d.lit_array(*(f"{k / 10}" for k in range(1, 10)))
-    ranked = f"SELECT *, row_number() OVER (PARTITION BY scope ORDER BY p, symbol, Date) AS rn FROM ({t}) t"
-    edges = f"SELECT scope, {'percentile' if d.spark else 'quantile_cont'}(rn, {qs}) AS edges FROM ({ranked}) e GROUP BY scope"
-    below = "size(filter(edges, v -> v < rn))" if d.spark else "len(list_filter(edges, lambda v: v < rn))"
-    return f"SELECT r.*, {below} AS bin FROM ({ranked}) r JOIN ({edges}) e ON e.scope = r.scope"
+    return f"SELECT r.*, len(list_filter(edges, lambda v: round(v, 6) < rn)) AS bin FROM ({rows}) r JOIN (SELECT scope, quantile_cont(rn, {qs}) AS edges FROM ({rows}) e GROUP BY scope) e ON e.scope = r.scope"
 
 
 def calibration_table(d: Dialect, t: str) -> str:
@@ -48,57 +73,78 @@ def calibration_error(d: Dialect, t: str) -> str:
 
 def width_error(d: Dialect, t: str) -> str:
     """Calibration error over ten buckets of equal width, the last one closed."""
-    table = f"SELECT scope, CAST(least(floor(p * 10), 9) AS INT) AS b, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM ({pooled(t)}) s GROUP BY scope, CAST(least(floor(p * 10), 9) AS INT)"
+    table = f"SELECT scope, CAST(least(floor(p * 10), 9) AS INT) AS b, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM ({pooled(d, t)}) s GROUP BY scope, CAST(least(floor(p * 10), 9) AS INT)"
     return f"SELECT scope, round(sum(n * gap) / sum(n), 6) AS ece_width FROM ({table}) g GROUP BY scope"
 
 
 def buckets(d: Dialect, t: str) -> str:
     """Ten probability buckets for each scope, empty ones too."""
-    rows = f"SELECT scope, CAST(least(floor(p * 10), 9) AS INT) AS b, count(*) AS n, avg(p) AS mp, avg(y) AS my, avg(r) AS mr, avg(mfe) AS mm, avg(mae) AS ma FROM ({pooled(t)}) s GROUP BY scope, CAST(least(floor(p * 10), 9) AS INT)"
-    every = f"SELECT scope, b FROM (SELECT DISTINCT scope FROM ({pooled(t)}) x) s CROSS JOIN (SELECT {d.explode_range('0', '9')} AS b) k"
+    rows = f"SELECT scope, CAST(least(floor(p * 10), 9) AS INT) AS b, count(*) AS n, avg(p) AS mp, avg(y) AS my, avg(r) AS mr, avg(mfe) AS mm, avg(mae) AS ma FROM ({pooled(d, t)}) s GROUP BY scope, CAST(least(floor(p * 10), 9) AS INT)"
+    every = f"SELECT scope, b FROM (SELECT DISTINCT scope FROM ({pooled(d, t)}) x) s CROSS JOIN (SELECT {d.explode_range('0', '9')} AS b) k"
     return f"SELECT e.scope, CAST(e.b AS INT) AS bucket, coalesce(n, 0) AS n, round(mp, 6) AS mean_p, round(my, 6) AS realized, round(mr, 6) AS mean_r, round(mm, 6) AS mean_mfe, round(ma, 6) AS mean_mae FROM ({every}) e LEFT JOIN ({rows}) r ON r.scope = e.scope AND r.b = e.b"
 
 
+def reached(d: Dialect, t: str, grid: list[float], sums: dict[str, str]) -> str:
+    """Per scope and threshold of a grid, sums over the rows that reach it. In Spark rows are added up by how
+    many thresholds they reach, and these few sums from the highest down; the oracle repeats rows."""
+    named = ", ".join(f"{e} AS {n}" for n, e in sums.items())
+    if not d.spark:
+        steps = " UNION ALL ".join(f"SELECT {D(x)} AS threshold" for x in grid)
+        return f"SELECT k.scope, threshold, {named} FROM (SELECT DISTINCT scope FROM ({t}) x) k CROSS JOIN ({steps}) g LEFT JOIN ({t}) s ON s.scope = k.scope AND p >= threshold GROUP BY k.scope, threshold"
+    level = " + ".join(f"CAST(p >= {x}D AS INT)" for x in grid)
+    by = f"SELECT scope, {level} AS reach, {named} FROM ({t}) s GROUP BY scope, {level}"
+    steps = ", ".join(f"struct({x}D AS threshold, {k + 1} AS k)" for k, x in enumerate(grid))
+    return f"SELECT scope, threshold, {', '.join(f'coalesce(sum(CASE WHEN reach >= k THEN {n} END), 0) AS {n}' for n in sums)} FROM (SELECT *, inline(array({steps})) FROM ({by}) b) g GROUP BY scope, threshold"
+
+
 def thresholds(d: Dialect, t: str) -> str:
-    """Per threshold: rows that reach it, precision, recall, mean return."""
-    grid = " UNION ALL ".join(f"SELECT {D(x)} AS threshold" for x in GRID)
-    return f"""SELECT scope, threshold, count(CASE WHEN p >= threshold THEN 1 END) AS qualifying, round(avg(CASE WHEN p >= threshold THEN {D(1)} ELSE {D(0)} END), 6) AS rate, round(avg(CASE WHEN p >= threshold THEN y END), 6) AS hit_rate,
-round({d.div('sum(CASE WHEN p >= threshold THEN y ELSE 0 END)', 'sum(y)')}, 6) AS recall, round(avg(CASE WHEN p >= threshold THEN r END), 6) AS mean_r FROM ({pooled(t)}) s CROSS JOIN ({grid}) g GROUP BY scope, threshold"""
+    """Per threshold: rows that reach it, precision, recall, mean return, largest share of a symbol and a sector."""
+    got = reached(d, pooled(d, t), GRID, {"n": "count(p)", "hits": "sum(y)", "returns": "sum(r)"})
+    all_ = f"SELECT scope AS a_scope, count(*) AS rows_in, sum(y) AS positives FROM ({pooled(d, t)}) a GROUP BY scope"
+    return f"""SELECT scope, threshold, n AS qualifying, round(CAST(n AS DOUBLE) / rows_in, 6) AS rate, round({d.div('hits', 'n')}, 6) AS hit_rate, round({d.div('hits', 'positives')}, 6) AS recall, round({d.div('returns', 'n')}, 6) AS mean_r FROM ({got}) g JOIN ({all_}) a ON a_scope = scope"""
 
 
 def utility(d: Dialect, t: str) -> str:
-    """Per threshold: payoff of target rate t and stop rate s as 2 t - s, less cost."""
-    grid = " UNION ALL ".join(f"SELECT {D(x)} AS threshold" for x in UTILITY_GRID)
-    hit, stop = "mfe >= 0.02 AND mae > -0.01", "mae <= -0.01"
-    return f"""SELECT threshold, count(*) AS n, round(target, 6) AS target_rate, round(stop, 6) AS stop_rate, round(1 - target - stop, 6) AS unresolved_rate, round(2 * target - stop, 6) AS payoff, round(2 * target - stop - 0.002, 6) AS payoff_after_cost FROM (
-SELECT threshold, avg(CASE WHEN {hit} THEN {D(1)} ELSE {D(0)} END) OVER (PARTITION BY threshold) AS target, avg(CASE WHEN {stop} THEN {D(1)} ELSE {D(0)} END) OVER (PARTITION BY threshold) AS stop FROM ({t}) s CROSS JOIN ({grid}) g WHERE p >= threshold) q GROUP BY threshold, target, stop"""
+    """Per threshold: payoff of target rate t and stop rate s as 2 t - s (in average ranges), less cost."""
+    got = reached(d, t, UTILITY_GRID, {"n": "count(p)", "targets": "sum(tbs)", "stops": "sum(sbt)", "returns": "sum(r)"})
+    rates = f"SELECT scope, threshold, n, {d.div('targets', 'n')} AS target, {d.div('stops', 'n')} AS stop, {d.div('returns', 'n')} AS mean_r FROM ({got}) g"
+    return f"SELECT scope, threshold, n, round(target, 6) AS target_rate, round(stop, 6) AS stop_rate, round(greatest(0.0, 1 - target - stop), 6) AS unresolved_rate, round(2 * target - stop, 6) AS payoff, round(2 * target - stop - 0.0005, 6) AS payoff_after_cost, round(mean_r, 6) AS mean_return FROM ({rates}) q"
 
 
 def summary(d: Dialect, t: str) -> str:
     """Brier score, skill over the base rate, error sizes, calibration line."""
-    base = f"SELECT *, avg(y) OVER (PARTITION BY scope) AS base FROM ({pooled(t)}) s"
-    return f"""SELECT scope, count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier, round(avg((base - y) * (base - y)), 6) AS naive_brier, round(1 - {d.div('avg((p - y) * (p - y))', 'avg((base - y) * (base - y))')}, 6) AS skill, round(avg(abs(p - y)), 6) AS mae,
-round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(regr_slope(y, p), 5) AS slope, round(regr_intercept(y, p), 5) AS intercept, count(DISTINCT round(p, 12)) AS unique_p FROM ({base}) b GROUP BY scope"""
+    naive = "avg(y * y) - avg(y) * avg(y)" if d.spark else "avg((base - y) * (base - y))"
+    rows = f"({pooled(d, t)})" if d.spark else f"(SELECT *, avg(y) OVER (PARTITION BY scope) AS base FROM ({pooled(d, t)}) s)"
+    return f"""SELECT scope, count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier, round({naive}, 6) AS naive_brier, round(1 - {d.div('avg((p - y) * (p - y))', naive)}, 6) AS skill, round(avg(abs(p - y)), 6) AS mae,
+round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(regr_slope(y, p), 5) AS slope, round(regr_intercept(y, p), 5) AS intercept, count(DISTINCT round(p, 12)) AS unique_p FROM {rows} b GROUP BY scope"""
 
 
 def roc_auc(d: Dialect, t: str) -> str:
-    """Area under the ROC curve from average ranks."""
-    ranked = f"SELECT scope, y, rank() OVER (PARTITION BY scope ORDER BY p) + (count(*) OVER (PARTITION BY scope, p) - 1) / {D(2)} AS rk FROM ({pooled(t)}) s"
-    return f"SELECT scope, round({d.div('sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2', 'sum(y) * (count(*) - sum(y))')}, 6) AS roc_auc FROM ({ranked}) r GROUP BY scope"
+    """Area under the ROC curve: positives above negatives, ties by half. Rows are added up by score first."""
+    if not d.spark:
+        rk = f"SELECT scope, y, rank() OVER (PARTITION BY scope ORDER BY p) + (count(*) OVER (PARTITION BY scope, p) - 1) / 2.0::DOUBLE AS rk FROM ({pooled(d, t)}) s"
+        return f"SELECT scope, round({d.div('sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2', 'sum(y) * (count(*) - sum(y))')}, 6) AS roc_auc FROM ({rk}) r GROUP BY scope"
+    by = f"SELECT scope, p, sum(y) AS pos, count(*) - sum(y) AS neg FROM ({pooled(d, t)}) s GROUP BY scope, p"
+    run = f"SELECT *, sum(neg) OVER (PARTITION BY scope ORDER BY p) - neg AS below FROM ({by}) b"
+    return f"SELECT scope, round({d.div('sum(pos * (below + neg / 2))', 'sum(pos) * sum(neg)')}, 6) AS roc_auc FROM ({run}) r GROUP BY scope"
 
 
 def pr_auc(d: Dialect, t: str) -> str:
     """Average precision: precision at each distinct score times the recall it adds."""
-    by = f"SELECT scope, p, sum(y) AS pos, count(*) AS n FROM ({pooled(t)}) s GROUP BY scope, p"
+    by = f"SELECT scope, p, sum(y) AS pos, count(*) AS n FROM ({pooled(d, t)}) s GROUP BY scope, p"
     down = "OVER (PARTITION BY scope ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     run = f"SELECT scope, pos, sum(pos) {down} AS tp, sum(n) {down} AS seen, sum(pos) OVER (PARTITION BY scope) AS total FROM ({by}) b"
     return f"SELECT scope, round(sum({d.div('pos', 'total')} * tp / seen), 6) AS pr_auc FROM ({run}) r GROUP BY scope"
 
 
 def spearman(d: Dialect, t: str) -> str:
-    rk = "rank() OVER (PARTITION BY scope ORDER BY {0}) + (count(*) OVER (PARTITION BY scope, {0}) - 1) / CAST(2 AS DOUBLE)"
-    ranked = f"SELECT scope, {rk.format('p')} AS a, {rk.format('r')} AS b FROM ({pooled(t)}) s"
-    return f"SELECT scope, round({d.div('covar_pop(a, b)', 'stddev_pop(a) * stddev_pop(b)')}, 6) AS rank_corr FROM ({ranked}) q GROUP BY scope"
+    """Correlation of average ranks. Ties of equal values share the mean of their places."""
+    if not d.spark:
+        rk = "rank() OVER (PARTITION BY scope ORDER BY {0}) + (count(*) OVER (PARTITION BY scope, {0}) - 1) / CAST(2 AS DOUBLE)"
+        return f"SELECT scope, round({d.div('covar_pop(a, b)', 'stddev_pop(a) * stddev_pop(b)')}, 6) AS rank_corr FROM (SELECT scope, {rk.format('p')} AS a, {rk.format('r')} AS b FROM ({pooled(d, t)}) s) q GROUP BY scope"
+    first = f"SELECT scope, p, r, avg(rn) OVER (PARTITION BY scope, p) AS a FROM ({ranked(d, f'SELECT scope, p, r FROM ({pooled(d, t)}) s', 'p', 'r')}) x"
+    second = f"SELECT scope, a, avg(rn) OVER (PARTITION BY scope, r) AS b FROM ({ranked(d, first, 'r', 'a')}) y"
+    return f"SELECT scope, round({d.div('covar_pop(a, b)', 'stddev_pop(a) * stddev_pop(b)')}, 6) AS rank_corr FROM ({second}) z GROUP BY scope"
 
 
 def plateaus(d: Dialect, t: str) -> str:
@@ -111,7 +157,7 @@ def distribution(d: Dialect, t: str) -> str:
     qs = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
     cols = ", ".join(f"round({d.percentile('p', q)}, 4) AS p{int(100 * q):02d}" for q in qs)
     reach = ", ".join(f"count(CASE WHEN p >= {x} THEN 1 END) AS ge_{int(100 * x)}" for x in GRID)
-    return f"SELECT scope, count(*) AS n, round(min(p), 6) AS least, round(max(p), 6) AS most, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS std, round(stddev_pop(p), 6) AS std_pop, {cols}, {reach} FROM ({pooled(t)}) s GROUP BY scope"
+    return f"SELECT scope, count(*) AS n, round(min(p), 6) AS least, round(max(p), 6) AS most, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS std, round(stddev_pop(p), 6) AS std_pop, {cols}, {reach} FROM ({pooled(d, t)}) s GROUP BY scope"
 
 
 def concentration(d: Dialect, t: str) -> str:
@@ -124,8 +170,10 @@ def concentration(d: Dialect, t: str) -> str:
 
 
 def fold_stability(d: Dialect, t: str) -> str:
-    """Three chronological folds of near equal size per scope."""
-    folds = f"SELECT *, ntile(3) OVER (PARTITION BY scope ORDER BY Date, symbol) AS fold FROM ({t}) s"
+    """Three chronological folds of near equal size per scope; the first ones hold one row more."""
+    big = "n % 3 * (n DIV 3 + 1)" if d.spark else "n % 3 * (n // 3 + 1)"
+    size = "(n DIV 3)" if d.spark else "(n // 3)"
+    folds = f"SELECT *, CAST(CASE WHEN rn <= {big} THEN ceil(rn / CAST({size} + 1 AS DOUBLE)) ELSE n % 3 + ceil((rn - {big}) / CAST({size} AS DOUBLE)) END AS INT) AS fold FROM ({ranked(d, t, 'Date', 'symbol')}) s" if d.spark else f"SELECT *, ntile(3) OVER (PARTITION BY scope ORDER BY Date, symbol)::INT AS fold FROM ({t}) s"
     return f"SELECT scope, fold, count(*) AS n, round(avg(r), 6) AS mean_r, round(avg(y), 6) AS hit_rate, round(avg((p - y) * (p - y)), 6) AS brier, min(Date) AS first_date, max(Date) AS last_date FROM ({folds}) f GROUP BY scope, fold"
 
 

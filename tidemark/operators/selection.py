@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 from tidemark.functions.dialect import Dialect
+from tidemark.operators.metrics import D
 
 #: Minimums of the candidate policy.
-POLICY = (("p", 0.55, "probability"), ("r", 0.0, "expected_return"), ("mfe", 0.01, "excursion"))
-ORDER = "p DESC NULLS LAST, symbol, scope"
+POLICY = (("p", 0.55, "probability"), ("er", 0.0, "expected_return"), ("q", 0.5, "target_before_stop"), ("liquidity", 0.5, "liquidity"))
+#: Score, symbol, direction, model: no two candidates of a date are equal in all of them.
+ORDER = "p * er DESC NULLS LAST, symbol, CASE WHEN x1 >= 0 THEN 'Bullish' ELSE 'Bearish' END DESC, scope"
 
 
 def policy(d: Dialect, t: str) -> str:
-    """Each row's reasons against it: missing and below a minimum are different ones; equal passes."""
-    reasons = ", ".join(f"CASE WHEN {c} IS NULL THEN '{n}_missing' WHEN {c} < {x} THEN '{n}_below_minimum' END" for c, x, n in POLICY)
-    return f"SELECT symbol, Date, concat_ws(';', {reasons}) AS reasons, CASE WHEN concat_ws(';', {reasons}) = '' THEN 'ELIGIBLE' ELSE 'REJECTED' END AS status FROM ({t}) s"
+    """Each row's reasons against it: missing, not finite and below a minimum are different ones; equal passes."""
+    reasons = ", ".join(f"CASE WHEN {c} IS NULL THEN '{n}_missing' WHEN isnan({c}) OR abs({c}) > 1e308 THEN '{n}_not_finite' WHEN {c} < {x} THEN '{n}_below_minimum' END" for c, x, n in POLICY)
+    rows = f"SELECT *, least({D('1')}, log10(greatest(dollar_volume, 1)) / 9) AS liquidity FROM ({t}) s"
+    return f"SELECT symbol, Date, concat_ws(';', {reasons}) AS reasons, CASE WHEN concat_ws(';', {reasons}) = '' THEN 'ELIGIBLE' ELSE 'REJECTED' END AS status FROM ({rows}) r"
 
 
 def capped(d: Dialect, t: str, per_date: int = 2, total: int = 500) -> str:
     """At most so many a date, then so many in all, in the canonical order."""
     day = f"SELECT *, row_number() OVER (PARTITION BY Date ORDER BY {ORDER}) AS day_rank FROM ({t}) s"
-    top = f"SELECT * FROM ({day}) d WHERE day_rank <= {per_date} ORDER BY p DESC, Date, symbol LIMIT {total}"
-    return f"SELECT symbol, Date, round(p, 6) AS p, CAST(day_rank AS INT) AS day_rank, CAST(row_number() OVER (ORDER BY p DESC, Date, symbol) AS INT) AS overall_rank FROM ({top}) x"
+    top = f"SELECT * FROM ({day}) d WHERE day_rank <= {per_date} ORDER BY p * er DESC, Date, symbol LIMIT {total}"
+    return f"SELECT symbol, Date, round(p, 6) AS p, CAST(day_rank AS INT) AS day_rank, CAST(row_number() OVER (ORDER BY p * er DESC, Date, symbol) AS INT) AS overall_rank FROM ({top}) x"
 
 
 def scanner_caps(d: Dialect, t: str, cap: int = 1) -> str:
@@ -28,20 +31,6 @@ def scanner_caps(d: Dialect, t: str, cap: int = 1) -> str:
     return f"SELECT symbol, Date, scope, CASE WHEN rk <= {cap} THEN 'CANDIDATE' ELSE 'REJECTED' END AS status, CASE WHEN rk > {cap} THEN 'over_model_cap' ELSE '' END AS reason FROM ({rk}) r"
 
 
-def decisions(d: Dialect, t: str) -> str:
-    """The decision ladder: out of bounds, probability, path, value, score, else act."""
-    from tidemark.operators.governance import exit_bucket
-
-    return f"""SELECT symbol, Date, CASE WHEN abs(x1) > 0.5 THEN 'NO_TRADE_OOD' WHEN p < 0.5 THEN 'NO_TRADE_PROBABILITY' WHEN mae < -0.05 THEN 'NO_TRADE_PATH' WHEN r <= 0 THEN 'NO_TRADE_VALUE' WHEN p * r < 0.002 THEN 'NO_TRADE_SCORE' ELSE 'BUY' END AS decision,
-round(p * r, 6) AS composite_utility, {exit_bucket('r')} AS exit_bucket FROM ({t}) s"""
-
-
-def blockers(d: Dialect, t: str) -> str:
-    """Rejected rows by family of their first reason."""
-    q = f"SELECT *, CASE WHEN reasons LIKE '%probability%' THEN 'probability' WHEN reasons LIKE '%return%' THEN 'value' WHEN reasons LIKE '%excursion%' THEN 'path' ELSE 'other' END AS family FROM ({policy(d, t)}) p WHERE status = 'REJECTED'"
-    return f"SELECT family, count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols, min(Date) AS first_date, max(Date) AS last_date FROM ({q}) q GROUP BY family"
-
-
 def common_session(d: Dialect, t: str) -> str:
     """Latest date on which every symbol has a row."""
     return f"SELECT max(Date) AS common_date FROM (SELECT Date FROM ({t}) s GROUP BY Date HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM ({t}) x)) c"
@@ -70,4 +59,4 @@ def peers(d: Dialect, t: str) -> str:
     return f"SELECT symbol, Date, scope, CAST(row_number() OVER (PARTITION BY Date, scope ORDER BY r DESC, symbol) AS INT) AS peer_rank, CAST(count(*) OVER (PARTITION BY Date, scope) AS INT) AS n_peers FROM ({t}) s"
 
 
-VIEWS = {f.__name__: f for f in (policy, capped, scanner_caps, decisions, blockers, common_session, research_window, splits, calibration_folds, peers)}
+VIEWS = {f.__name__: f for f in (policy, capped, scanner_caps, common_session, research_window, splits, calibration_folds, peers)}

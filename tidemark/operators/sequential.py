@@ -99,19 +99,45 @@ def macd_of(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def share_at_most(x: np.ndarray, width: int, least: int) -> np.ndarray:
     """Share of the trailing rows whose value is at most the current one; a missing current value counts as above all."""
-    out = np.full(len(x), np.nan)
-    for k in range(len(x)):
-        w = x[max(0, k - width + 1) : k + 1]
-        if np.count_nonzero(~np.isnan(w)) >= least:
-            out[k] = np.count_nonzero(w <= x[k]) / len(w)
+    padded = np.concatenate([np.full(width - 1, np.nan), x])
+    frames = np.lib.stride_tricks.sliding_window_view(padded, width)
+    below = (frames <= x[:, None]).sum(axis=1)
+    known = (~np.isnan(frames)).sum(axis=1)
+    return np.where(known >= least, below / np.minimum(np.arange(1, len(x) + 1), width), np.nan)
+
+
+def wilder_many(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``wilder`` for several lengths at once; a column for each."""
+    out = np.full((len(x), len(lengths)), np.nan)
+    known = np.flatnonzero(~np.isnan(x))
+    if not len(known):
+        return out
+    first, state = known[0], np.full(len(lengths), np.nan)
+    seeds = {first + n - 1: k for k, n in enumerate(lengths.tolist()) if first + n <= len(x) and not np.isnan(x[first : first + n]).any()}
+    for k in range(first, len(x)):
+        if not np.isnan(x[k]):
+            state = (state * (lengths - 1) + x[k]) / lengths
+        if k in seeds:
+            state[seeds[k]] = x[first : k + 1].mean()
+        if not np.isnan(x[k]):
+            out[k] = state
     return out
 
 
+def rsi_many(close: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    step = np.diff(close)
+    gain, loss = wilder_many(np.maximum(step, 0.0), lengths), wilder_many(np.maximum(-step, 0.0), lengths)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = 100.0 - 100.0 / (1.0 + gain / loss)
+    value = np.where(loss == 0, np.where(gain == 0, 50.0, 100.0), np.where(gain == 0, 0.0, value))
+    return np.concatenate([np.full((1, len(lengths)), np.nan), np.where(np.isnan(gain), np.nan, value)])[: len(close)]
+
+
 def rsi_of(lengths: tuple[int, ...], wide: bool = True):
     def run(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        out = {}
-        for n in lengths:
-            x = rsi(g["Close"], n)
+        out, every = {}, rsi_many(g["Close"], np.array(lengths))
+        for k, n in enumerate(lengths):
+            x = every[:, k]
             slope = x - later(x, 3)
             out |= {f"rsi_{n}": x, f"rsi_{n}_slope_3": slope, f"rsi_{n}_accel": slope - later(slope, 3)}
             if wide:
@@ -124,6 +150,19 @@ def rsi_of(lengths: tuple[int, ...], wide: bool = True):
     return run
 
 
+def extended(bars: DataFrame, names: list[str]) -> DataFrame:
+    """The bars (symbol, Date, OHLCV) with some of the series of ``ranges_of`` beside them."""
+    columns = ["Open", "High", "Low", "Close", "Volume"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("Date")
+        got = ranges_of({c: pdf[c].to_numpy(dtype=float) for c in columns})
+        return pdf.assign(**{n: got[n] for n in names})
+
+    out = bars.select("symbol", "Date", *columns).groupBy("symbol").applyInPandas(run, "symbol string, Date date, " + ", ".join(f"{n} double" for n in (*columns, *names)))
+    return out.selectExpr("symbol", "Date", *columns, *(f"nanvl({n}, NULL) AS {n}" for n in names))
+
+
 def by_symbol(bars: DataFrame, names: list[str], compute, digits: int | None = None) -> DataFrame:
     """symbol, Date and the named series that ``compute`` makes of a symbol's sorted bars."""
 

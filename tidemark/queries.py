@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.dialect import DUCK, SPARK
-from tidemark import streaming
-from tidemark.operators import analogs, audit, backtest, cross_section, events, features, governance, labels, metrics, models, selection, sequential
+from tidemark import oracles, streaming
+from tidemark.operators import analogs, audit, backtest, cross_section, discovery, events, features, governance, labels, metrics, models, selection, sequential
 from tidemark.sources import bars as source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,14 +22,26 @@ def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | Non
         ORACLE_SQL[name] = sql
 
 
+def ranged(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Bars with average ranges beside them."""
+    return sequential.extended(source.from_trades(spark, sf_dir), list(names))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+_BY_HAND = {"returns": oracles.returns, "trend": oracles.trend, "candles": oracles.candles}
 for _f in features.FAMILIES.values():
-    add(f"features_{_f.name}", lambda s, d, f=_f: f.rounded(source.from_trades(s, d)), _f.sql(source.oracle_bars()))
-for _h in (5, 20):
-    add(f"labels_{_h}", lambda s, d, f=labels.LABELS[_h]: f.rounded(source.from_trades(s, d)), labels.LABELS[_h].sql(source.oracle_bars()))
-    _atr = "SELECT *, CASE WHEN count(High - Low) OVER (PARTITION BY symbol ORDER BY Date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) >= 14 THEN avg(High - Low) OVER (PARTITION BY symbol ORDER BY Date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END AS atr FROM "
-    add(f"first_touch_{_h}", lambda s, d, f=labels.TOUCH[_h], q=_atr: f.rounded(s.sql(q + "{bars}", bars=source.from_trades(s, d))), labels.TOUCH[_h].sql(f"{_atr} ({source.oracle_bars()})"))
+    add(f"features_{_f.name}", lambda s, d, f=_f: f.rounded(source.from_trades(s, d)), _BY_HAND[_f.name]() if _f.name in _BY_HAND else _f.sql(source.oracle_bars()))
+add("features_price_action", lambda s, d: features.PRICE.rounded(ranged(s, d, "atr_14")), oracles.price_action())
+for _h in labels.HORIZONS:
+    add(f"labels_{_h}", lambda s, d, f=labels.LABELS[_h]: f.rounded(source.from_trades(s, d)), oracles.labels(_h))
+    add(f"first_touch_{_h}", lambda s, d, f=labels.TOUCH[_h]: f.rounded(ranged(s, d, "label_atr_14")), oracles.first_touch(_h))
 for _h in (5, 10):
     add(f"legacy_labels_{_h}", lambda s, d, f=labels.LEGACY[_h]: f.rounded(source.from_trades(s, d)), labels.LEGACY[_h].sql(source.oracle_bars()))
+add("audit_policy_outcomes", lambda s, d: rounded(labels.policy_outcomes(ranged(s, d, "label_atr_14"))), oracles.policy_outcomes())
+add("audit_exit_utility", lambda s, d: (lambda u: u.withColumn("utility", F.round("utility", 4)).withColumn("net_return", F.round("net_return", 6)))(labels.time_exit_utility(labels.policy_outcomes(ranged(s, d, "label_atr_14")))), oracles.exit_utility())
 
 add("indicators_ranges", lambda s, d: sequential.ranges(source.from_trades(s, d), 6), sequential.ranges_sql(source.oracle_bars()))
 add("indicators_macd", lambda s, d: sequential.macd(source.from_trades(s, d), 6), sequential.macd_sql(source.oracle_bars()))
@@ -36,20 +49,31 @@ add("indicators_rsi", lambda s, d: sequential.rsi_family(source.from_trades(s, d
 add("indicators_rsi_all", lambda s, d: sequential.rsi_family(source.from_trades(s, d), digits=6))
 for _n, _v in cross_section.VIEWS.items():
     add(f"cross_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, "SELECT * FROM {bars}", "SELECT * FROM {universe}"), bars=source.from_trades(s, d), universe=source.universe(s)), _v(DUCK, source.oracle_bars(), source.universe_sql()))
-for _m, _p in ((metrics, "metric"), (selection, "select")):
-    for _n, _v in _m.VIEWS.items():
-        add(
-            f"{_p}_{_n}",
-            lambda s, d, v=_v: s.sql(v(SPARK, metrics.scored(SPARK, "SELECT * FROM {bars}", "SELECT * FROM {universe}")), bars=source.from_trades(s, d), universe=source.universe(s)),
-            _v(DUCK, metrics.scored(DUCK, source.oracle_bars(), source.universe_sql())),
-        )
+_T, _B, _U = "SELECT * FROM {scored}", "SELECT * FROM {bars}", "SELECT * FROM {universe}"
+
+
+def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored table, kept like the bars it is made of."""
+    return spark.sql(metrics.scored(SPARK, _B, _U), bars=ranged(spark, sf_dir, "label_atr_14").persist(), universe=source.universe(spark)).persist()
 
 
-def scored_sql(d, bars: str, universe: str) -> str:
-    return metrics.scored(d, bars, universe)
+def over_scored(sql: str) -> str:
+    """An oracle over the tables scored and plain (bars)."""
+    made = metrics.scored(DUCK, "SELECT symbol, Date, Open, High, Low, Close, Volume, atr AS label_atr_14 FROM ranged", source.universe_sql())
+    return f"WITH RECURSIVE {oracles.RANGES}, scored AS MATERIALIZED ({made}), plain AS MATERIALIZED (SELECT * EXCLUDE (rn) FROM bars) {sql}"
+
+
+def add_scored(name: str, view, *, bars: bool = False) -> None:
+    """A query over scored rows, or over those and bars."""
+    more, plain = ((_B,), ("SELECT * FROM plain",)) if bars else ((), ())
+    add(name, lambda s, d: s.sql(view(SPARK, _T, *more), scored=scored_rows(s, d), **({"bars": source.from_trades(s, d)} if bars else {})), over_scored(view(DUCK, "SELECT * FROM scored", *plain)))
+
+
+for _m, _p in ((metrics, "metric"), (selection, "select"), (discovery, "discover")):
+    for _n, _v in _m.VIEWS.items():
+        add_scored(f"{_p}_{_n}", _v)
 
 
-_B, _U = "SELECT * FROM {bars}", "SELECT * FROM {universe}"
 RULE = backtest.Rule(length=5, lower_level=40.0)
 for _n, _v in backtest.VIEWS.items():
     add(f"backtest_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, "SELECT * FROM {t}"), t=backtest.ledgers(source.from_trades(s, d), [RULE])), _v(DUCK, backtest.ledger_sql(source.oracle_bars(), RULE)))
@@ -73,7 +97,7 @@ add("portfolio_equity", lambda s, d: (lambda b, f: backtest.daily_equity(b, take
 add("portfolio_metrics", lambda s, d: (lambda b, f: backtest.portfolio_metrics(backtest.daily_equity(b, taken(f)), taken(f)))(*portfolio(s, d)))
 add("portfolio_by_sector", lambda s, d: backtest.group_returns(taken(portfolio(s, d)[1]), "sector"))
 for _n, _v in analogs.VIEWS.items():
-    add(f"analogs_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, metrics.scored(SPARK, _B, _U)), bars=source.from_trades(s, d), universe=source.universe(s)), _v(DUCK, metrics.scored(DUCK, source.oracle_bars(), source.universe_sql())))
+    add_scored(f"analogs_{_n}", _v)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,18 +107,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("analogs_vectors", vectors, analogs.VECTORS_SQL)
 for _n, _v in events.VIEWS.items():
-    # the query takes every date; its oracle is as given and takes the 20th of each month only
-    add(f"events_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, metrics.scored(SPARK, _B, _U), _B), bars=source.from_trades(s, d), universe=source.universe(s)), _v(DUCK, metrics.scored(DUCK, source.oracle_bars(), source.universe_sql()), source.oracle_bars(), only=events.ORACLE_ONLY))
+    add_scored(f"events_{_n}", _v, bars=True)
 for _n, _v in audit.VIEWS.items():
     add(f"audit_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, _B), bars=source.from_trades(s, d)), _v(DUCK, source.oracle_bars()))
 for _n, _v in streaming.VIEWS.items():
     add(f"stream_{_n}", lambda s, d, v=_v: v(s.read.parquet(f"{d}/events.parquet")), streaming.ORACLES[_n])
 
 
-def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(metrics.scored(SPARK, _B, _U), bars=source.from_trades(spark, sf_dir), universe=source.universe(spark))
-
-
 def _predictions(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     rows = scored_rows(spark, sf_dir)
     return models.fit_predict(rows.filter("year(Date) < 1996"), rows.filter("year(Date) >= 1996"), ["x1", "x2"], family).select("symbol", "Date", "probability_up")
@@ -128,5 +147,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY Date ORDER BY return_20 DESC, sy
 SELECT symbol, Date, round(return_5, 6) AS return_5, round(return_20, 6) AS return_20, round(distance_sma_20, 6) AS distance_sma_20, round(forward_return_5, 6) AS forward_return_5, CAST(rk AS INT) AS rk FROM r WHERE rk <= 2"""
 add("flagship", flagship, FLAGSHIP.format(bars=f"({source.oracle_bars(4)})", d=""))
 for _n, _v in governance.VIEWS.items():
-    _given = {"only": events.ORACLE_ONLY} if _v in governance.OF_EVENTS else {}
-    add(f"govern_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, metrics.scored(SPARK, _B, _U), _B), bars=source.from_trades(s, d), universe=source.universe(s)), _v(DUCK, metrics.scored(DUCK, source.oracle_bars(), source.universe_sql()), source.oracle_bars(), **_given))
+    add_scored(f"govern_{_n}", _v, bars=True)

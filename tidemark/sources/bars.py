@@ -13,7 +13,8 @@ from tidemark.functions.dialect import DUCK, SPARK, Dialect
 
 FIELDS = ("Open", "High", "Low", "Close", "Volume")
 SCHEMA = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("Date", T.DateType()), *(T.StructField(f, T.DoubleType()) for f in FIELDS)])
-ALIASES = {"date": "Date", "datetime": "Date", "timestamp": "Date", "open": "Open", "high": "High", "low": "Low", "close": "Close", "adj close": "Adj Close", "adj_close": "Adj Close", "adjclose": "Adj Close", "volume": "Volume", "symbol": "symbol", "ticker": "symbol"}
+# Spellings of column names, in lower case and without blanks around them.
+ALIASES = {"date": "Date", "datetime": "Date", "timestamp": "Date", "open": "Open", "high": "High", "low": "Low", "close": "Close", "adj close": "Adj Close", "adjusted close": "Adj Close", "adjusted_close": "Adj Close", "adj_close": "Adj Close", "adjclose": "Adj Close", "volume": "Volume", "symbol": "symbol", "ticker": "symbol"}
 #: Relative tolerance of the bounds High >= Open, Close >= Low.
 TOLERANCE = 1e-10
 
@@ -27,8 +28,11 @@ GROUP BY symbol, Date"""
 
 
 def from_trades(spark: SparkSession, sf_dir: str, symbols: int = 8) -> DataFrame:
-    """Bars of the lineitem table; one map-side combined aggregation, whatever the number of trades of a day."""
-    return spark.sql(trades_sql(SPARK, symbols), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    """Bars of the lineitem table; one map-side combined aggregation, whatever the number of trades of a day.
+
+    Queries name bars several times and follow one another, so they are kept (in memory, else on local
+    disks; a lost executor's part is computed again). One row a symbol and session, they are small next to trades."""
+    return spark.sql(trades_sql(SPARK, symbols), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")).persist()
 
 
 def oracle_bars(symbols: int = 8) -> str:
@@ -36,8 +40,12 @@ def oracle_bars(symbols: int = 8) -> str:
 
 
 def normalized(df: DataFrame) -> DataFrame:
-    """Known column names in their canonical spelling, whatever their case."""
-    return df.withColumnsRenamed({c: ALIASES[c.strip().lower()] for c in df.columns if c.strip().lower() in ALIASES and ALIASES[c.strip().lower()] != c})
+    """Known column names in their canonical spelling, whatever their case; blanks around names go. Two
+    columns for one name are an error."""
+    names = [ALIASES.get(c.strip().lower(), c.strip()) for c in df.columns]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"several columns for {', '.join(twice)}")
+    return df.toDF(*names)
 
 
 def read_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
