@@ -54,11 +54,59 @@ def test_trades_do_not_overlap():
     assert got[0][3:5] == (12.0, 14.5)
 
 
+def brute_exit(high, low, close, entry, bullish, c):
+    """Bar by bar, as the rule reads."""
+    sign, peak, trough = (1 if bullish else -1), entry, entry
+    for k in range(len(close)):
+        peak, trough = max(peak, high[k]), min(trough, low[k])
+        levels = {}
+        if c.stop is not None and (low[k] <= entry * (1 - c.stop) if bullish else high[k] >= entry * (1 + c.stop)):
+            levels["stop"] = entry * (1 - sign * c.stop)
+        if c.trailing is not None and (low[k] <= peak * (1 - c.trailing) if bullish else high[k] >= trough * (1 + c.trailing)):
+            levels["trailing_stop"] = peak * (1 - c.trailing) if bullish else trough * (1 + c.trailing)
+        if c.target is not None and (high[k] >= entry * (1 + c.target) if bullish else low[k] <= entry * (1 - c.target)):
+            levels["target"] = entry * (1 + sign * c.target)
+        if levels:
+            name = next(iter(levels))
+            return k, "stop_intraday_ambiguous" if len(levels) > 1 else name, levels[name]
+    return len(close) - 1, "time_exit", close[-1]
+
+
+def test_exits_by_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(600):
+        n = int(rng.integers(1, 12))
+        mid = 100 + rng.normal(0, 3, n).cumsum()
+        high, low = mid + rng.uniform(0, 4, n), mid - rng.uniform(0, 4, n)
+        pick = lambda *xs: xs[int(rng.integers(len(xs)))]
+        c = backtest.Portfolio(target=pick(None, 0.03, 0.06), stop=pick(None, 0.02, 0.05), trailing=pick(None, 0.03))
+        bullish = bool(rng.integers(2))
+        got, want = backtest.first_exit(high, low, mid, 100.0, bullish, c), brute_exit(high, low, mid, 100.0, bullish, c)
+        assert got[:2] == want[:2] and abs(got[2] - want[2]) < 1e-9
+
+
 def test_stop_wins_ties():
     c = backtest.Portfolio(target=0.1, stop=0.1)
-    assert backtest.exit_trade([115], [85], [100], 100.0, True, c)[:2] == (0, "stop_intraday_ambiguous")
-    assert backtest.exit_trade([105, 112], [99, 100], [100, 111], 100.0, True, c)[:2] == (1, "target")
-    assert backtest.exit_trade([105], [99], [103], 100.0, True, c) == (0, "time_exit", 103.0)
+    one = lambda *x: backtest.first_exit(*map(np.array, x), 100.0, True, c)
+    assert one([115.0], [85.0], [100.0])[:2] == (0, "stop_intraday_ambiguous")
+    assert one([105.0, 112.0], [99.0, 100.0], [100.0, 111.0])[:2] == (1, "target")
+    assert one([105.0], [99.0], [103.0]) == (0, "time_exit", 103.0)
+
+
+def test_every_candidate_is_audited(spark):
+    bars = make_bars(spark, [(100, 101, 99, 100, 1.0)] * 30)
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)
+    rows = [("A", day(0), "Bullish", 1.0), ("A", day(0), "Bearish", 1.0), ("A", day(29), "Bullish", 1.0), ("A", day(28), "Bullish", 2.0), ("A", day(90), "Bullish", 1.0), ("Z", day(1), "Bullish", 3.0)]
+    candidates = spark.createDataFrame([(*r, "tech", "m") for r in rows], "symbol string, Date date, direction string, score double, sector string, model_id string")
+    config = backtest.Portfolio(target=None, stop=None, sector_fraction=1.0)
+    got = {(r.symbol, r.Date, r.direction): r.audit_reason for r in backtest.admitted(backtest.planned_trades(bars, candidates, config), config).collect()}
+    assert got == {
+        ("A", day(0), "Bearish"): "included", ("A", day(0), "Bullish"): "max_position_per_symbol", ("A", day(29), "Bullish"): "no_future_entry_or_exit_bar",
+        ("A", day(28), "Bullish"): "no_future_entry_or_exit_bar", ("A", day(90), "Bullish"): "signal_date_not_in_frame", ("Z", day(1), "Bullish"): "signal_date_not_in_frame",
+    }
+    wild = make_bars(spark, [(100, 130, 80, 100 + 20 * (k % 2), 1.0) for k in range(30)])
+    one = backtest.planned_trades(wild, candidates.limit(1), backtest.Portfolio(volatility_weights=True)).first()
+    assert 0 < one.planned_weight < 0.02
 
 
 def test_walk_forward_plan():

@@ -42,8 +42,9 @@ class Rule:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
 
 
-def grid(lengths=(5, 9, 14), levels=(25.0, 30.0, 40.0), triggers=("cross_above", "turn_up_below", "recent_reclaim"), trends=("none", "above_sma_50"), holdings=(5, 10)) -> list[Rule]:
-    return [Rule(length=a, lower_level=b, trigger=c, trend=t, holding=h) for a, b, c, t, h in product(lengths, levels, triggers, trends, holdings)]
+def grid(lengths=(5, 9, 14), levels=(25.0, 30.0, 40.0), slopes=(1, 3), triggers=("cross_above", "turn_up_below", "recent_reclaim"), trends=("none", "above_sma_50"), volumes=(None, 1.0), positions=(None, 0.5), holdings=(5,)) -> list[Rule]:
+    """Every combination; the standard one has 432 rules."""
+    return [Rule(length=a, lower_level=b, slope_window=w, trigger=c, trend=t, min_relative_volume=v, min_close_position=p, holding=h) for a, b, w, c, t, v, p, h in product(lengths, levels, slopes, triggers, trends, volumes, positions, holdings)]
 
 
 def signal(bars: dict[str, np.ndarray], rule: Rule, cache: dict | None = None) -> np.ndarray:
@@ -128,10 +129,12 @@ def ledger_view(d: Dialect, t: str) -> str:
 
 
 def trade_summary(d: Dialect, t: str, least: int = 30) -> str:
-    """Per rule and symbol: rates, means, drawdown of the compounded trades, confidence bound and score."""
-    run = "OVER (PARTITION BY rule_id, symbol ORDER BY signal_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    """Per rule and symbol: rates, means, drawdown of the compounded trades, confidence bound and score.
+
+    Trades follow one another by signal date, then symbol, then position, so pooled ledgers have one order too."""
+    run = "OVER (PARTITION BY rule_id, symbol ORDER BY signal_date, traded, signal_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     eq = f"SELECT *, exp(sum(ln(1 + net_return)) {run}) AS equity FROM ({t}) t"
-    dd = f"SELECT *, equity / max(equity) {run} - 1 AS drawdown, avg(net_return) OVER (PARTITION BY rule_id, symbol, year(signal_date)) AS year_mean, row_number() OVER (PARTITION BY rule_id, symbol, year(signal_date) ORDER BY signal_date) AS k FROM ({eq}) e"
+    dd = f"SELECT *, equity / max(equity) {run} - 1 AS drawdown, avg(net_return) OVER (PARTITION BY rule_id, symbol, year(signal_date)) AS year_mean, row_number() OVER (PARTITION BY rule_id, symbol, year(signal_date) ORDER BY signal_date, traded, signal_pos) AS k FROM ({eq}) e"
     by = f"""SELECT rule_id, symbol, count(*) AS n, avg(CASE WHEN net_return > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS win, avg(net_return) AS mean, {d.percentile('net_return', 0.5)} AS median, CASE WHEN count(*) > 1 THEN stddev_samp(net_return) ELSE CAST(0 AS DOUBLE) END AS std,
 {d.div('sum(CASE WHEN net_return > 0 THEN net_return ELSE 0 END)', 'sum(CASE WHEN net_return < 0 THEN -net_return ELSE 0 END)')} AS pf, min(drawdown) AS dd, avg(mfe) AS mfe, avg(mae) AS mae, avg(CASE WHEN k = 1 THEN CASE WHEN year_mean > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END END) AS py FROM ({dd}) d GROUP BY rule_id, symbol"""
     lcb = "mean - 1.645 * std / sqrt(n)"
@@ -148,17 +151,47 @@ def yearly_returns(d: Dialect, t: str) -> str:
     return f"SELECT rule_id, symbol, CAST(year(signal_date) AS INT) AS yr, count(*) AS n, round(exp(sum(ln(1 + net_return))) - 1, 6) AS compounded FROM ({t}) t GROUP BY rule_id, symbol, year(signal_date)"
 
 
-VIEWS = {"ledger": ledger_view, "trade_summary": trade_summary, "trade_curve": trade_curve, "yearly_returns": yearly_returns}
+VIEWS = {"ledger": ledger_view, "trade_summary": lambda d, t: trade_summary(d, f"SELECT *, symbol AS traded FROM ({t}) a"), "trade_curve": trade_curve, "yearly_returns": yearly_returns}
+
+
+PARAMETERS = "rule_id string, length int, lower_level double, slope_window int, trigger string, trend string, min_relative_volume double, min_close_position double, holding int"
 
 
 def grid_search(bars: DataFrame, rules: list[Rule], least: int = 30) -> DataFrame:
-    """Summaries of all rules pooled over symbols, best first: eligible, score, trades, mean."""
+    """Summaries of all rules pooled over symbols, best first: eligible, score, trades, mean. A rule without
+    trades has a row too: no trades, not eligible, no score."""
     spark = bars.sparkSession
-    pooled = ledgers(bars, rules).withColumn("symbol", F.lit("ALL"))
-    out = spark.sql(trade_summary(Dialect(), "SELECT * FROM {t}", least), t=pooled)
-    params = spark.createDataFrame([(r.rule_id, r.length, r.lower_level, r.trigger, r.trend, r.holding) for r in rules], "rule_id string, length int, lower_level double, trigger string, trend string, holding int")
-    order = (F.col("eligible").desc(), F.col("score").desc_nulls_last(), F.col("trade_count").desc(), F.col("mean_return").desc(), F.col("rule_id"))
-    return out.join(F.broadcast(params), "rule_id").drop("symbol").orderBy(*order)
+    pooled = ledgers(bars, rules).withColumn("traded", F.col("symbol")).withColumn("symbol", F.lit("ALL"))
+    out = spark.sql(trade_summary(Dialect(), "SELECT * FROM {t}", least), t=pooled).drop("symbol")
+    params = spark.createDataFrame([(r.rule_id, r.length, r.lower_level, r.slope_window, r.trigger, r.trend, r.min_relative_volume, r.min_close_position, r.holding) for r in rules], PARAMETERS)
+    order = (F.col("eligible").desc(), F.col("score").desc_nulls_last(), F.col("trade_count").desc(), F.col("mean_return").desc_nulls_last(), F.col("rule_id"))
+    return params.join(out, "rule_id", "left").fillna({"trade_count": 0, "eligible": False}).orderBy(*order)
+
+
+def grid_sql(base: str, rules: list[Rule], least: int = 30) -> str:
+    """Oracle of a grid of one holding period: rules as rows, signals by joins, trades by a fold over lists."""
+    lit = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else repr(x)
+    rows = ", ".join(f"({', '.join(map(lit, (r.rule_id, r.length, r.lower_level, r.slope_window, r.trigger, r.trend, r.min_relative_volume, r.min_close_position)))})" for r in rules)
+    hold, cost = rules[0].holding, rules[0].cost_bps / 1e4
+    w = sequential._W
+    b = f"SELECT *, row_number() {w} AS rn, Close - lag(Close) {w} AS step, Volume / avg(Volume) OVER (PARTITION BY symbol ORDER BY Date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS relvol, count(Volume) OVER (PARTITION BY symbol ORDER BY Date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS known, avg(Close) OVER (PARTITION BY symbol ORDER BY Date ROWS 49 PRECEDING) AS m50, lead(Open) {w} AS entry, lead(Close, {hold}) {w} AS leave, max(High) OVER (PARTITION BY symbol ORDER BY Date ROWS BETWEEN 1 FOLLOWING AND {hold} FOLLOWING) AS hi, min(Low) OVER (PARTITION BY symbol ORDER BY Date ROWS BETWEEN 1 FOLLOWING AND {hold} FOLLOWING) AS lo, CASE WHEN High > Low THEN (Close - Low) / (High - Low) ELSE 0.5::DOUBLE END AS place FROM ({base})"
+    b = f"SELECT *, CASE WHEN step IS NOT NULL THEN greatest(step, 0) END AS gain, CASE WHEN step IS NOT NULL THEN greatest(-step, 0) END AS loss FROM ({b})"
+    lengths = sorted({r.length for r in rules})
+    ctes = ", ".join(f"{sequential.wilder_ctes(f'g{n}', 'b', 'gain', n)}, {sequential.wilder_ctes(f'l{n}', 'b', 'loss', n)}" for n in lengths)
+    xs = " UNION ALL ".join(f"SELECT {n} AS length, b.symbol, b.rn, CASE WHEN l.value = 0 THEN CASE WHEN g.value = 0 THEN 50.0 ELSE 100.0 END WHEN g.value = 0 THEN 0.0 ELSE 100.0 - 100.0 / (1.0 + g.value / l.value) END AS x FROM b LEFT JOIN g{n} g USING (symbol, rn) LEFT JOIN l{n} l USING (symbol, rn)" for n in lengths)
+    return f"""WITH RECURSIVE rules(rule_id, length, level, slope, how, trend, vol, pos) AS (VALUES {rows}), b AS ({b}), {ctes}, xs AS MATERIALIZED ({xs}),
+s AS MATERIALIZED (SELECT r.rule_id, b.symbol, b.rn FROM rules r JOIN xs ON xs.length = r.length JOIN b USING (symbol, rn) LEFT JOIN xs p1 ON p1.length = r.length AND p1.symbol = xs.symbol AND p1.rn = xs.rn - 1 LEFT JOIN xs p2 ON p2.length = r.length AND p2.symbol = xs.symbol AND p2.rn = xs.rn - 2 LEFT JOIN xs p3 ON p3.length = r.length AND p3.symbol = xs.symbol AND p3.rn = xs.rn - 3
+WHERE xs.x - CASE r.slope WHEN 1 THEN p1.x WHEN 2 THEN p2.x ELSE p3.x END > 0 AND CASE r.how WHEN 'cross_above' THEN p1.x <= level AND xs.x > level WHEN 'turn_up_below' THEN xs.x <= level ELSE xs.x > level AND (coalesce(p1.x <= level, false) OR coalesce(p2.x <= level, false) OR coalesce(p3.x <= level, false)) END
+AND (r.trend = 'none' OR b.rn >= 50 AND b.Close > m50) AND (vol IS NULL OR known >= 10 AND relvol >= vol) AND (pos IS NULL OR place >= pos)),
+f AS MATERIALIZED (SELECT s.*, b.Date, entry, leave, hi, lo FROM s JOIN b USING (symbol, rn) WHERE leave IS NOT NULL),
+t AS (SELECT rule_id, symbol, unnest(list_reduce(list_transform(list(rn ORDER BY rn), lambda v: [v]), lambda acc, v: CASE WHEN v[1] >= acc[-1] + {hold} THEN list_concat(acc, v) ELSE acc END)) AS rn FROM f GROUP BY rule_id, symbol),
+g AS (SELECT f.rule_id, f.symbol, f.rn, f.Date, leave / entry - 1 - {cost} AS net, hi / entry - 1 AS mfe, lo / entry - 1 AS mae FROM f JOIN t USING (rule_id, symbol, rn)),
+eq AS (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY rule_id ORDER BY Date, symbol, rn ROWS UNBOUNDED PRECEDING)) AS equity FROM g),
+dr AS (SELECT rule_id, min(d) AS dd FROM (SELECT rule_id, equity / max(equity) OVER (PARTITION BY rule_id ORDER BY Date, symbol, rn ROWS UNBOUNDED PRECEDING) - 1 AS d FROM eq) GROUP BY rule_id),
+yr AS (SELECT rule_id, avg((m > 0)::INT) AS py FROM (SELECT rule_id, year(Date) AS y, avg(net) AS m FROM g GROUP BY ALL) GROUP BY rule_id),
+a AS (SELECT rule_id, count(*) AS n, avg((net > 0)::INT) AS win, avg(net) AS mean, quantile_cont(net, 0.5) AS med, coalesce(stddev_samp(net), 0) AS std, sum(greatest(net, 0)) / nullif(sum(greatest(-net, 0)), 0) AS pf, avg(mfe) AS mfe, avg(mae) AS mae FROM g GROUP BY rule_id)
+SELECT r.rule_id, r.length::INT AS length, level::DOUBLE AS lower_level, slope::INT AS slope_window, how AS trigger, r.trend, vol::DOUBLE AS min_relative_volume, pos::DOUBLE AS min_close_position, {hold}::INT AS holding, coalesce(n, 0) AS trade_count, coalesce(n >= {least}, false) AS eligible, round(win, 6) AS win_rate, round(mean, 6) AS mean_return, round(med, 6) AS median_return, round(std, 6) AS return_std, round(pf, 5) AS profit_factor, round(dd, 6) AS max_drawdown,
+round(mfe, 6) AS mean_mfe, round(mae, 6) AS mean_mae, round(py, 6) AS positive_year_fraction, round(mean - 1.645 * std / sqrt(n), 6) AS mean_return_lcb_90, CASE WHEN n >= {least} THEN round((mean - 1.645 * std / sqrt(n)) * ln(1 + n), 6) END AS score FROM rules r LEFT JOIN a USING (rule_id) LEFT JOIN dr USING (rule_id) LEFT JOIN yr USING (rule_id)"""
 
 
 def expanding_plan(n: int, splits: int, gap: int, least_train: int = 252) -> list[tuple[int, int, int, int]]:
@@ -191,80 +224,102 @@ class Portfolio:
     stop: float | None = 0.03
     trailing: float | None = None
     cost_bps: float = 10.0
+    slippage_bps: float = 0.0
     concurrent: int = 5
     per_symbol: int = 1
     sector_fraction: float = 0.6
     gross: float = 1.0
     net: float = 1.0
+    volatility_weights: bool = False
 
+    @property
+    def base_weight(self) -> float:
+        return 1.0 / max(1, self.concurrent)
 
-def exit_trade(high, low, close, entry: float, bullish: bool, c: Portfolio) -> tuple[int, str, float]:
-    """(index, reason, price) of the exit over the bars from entry on; on a bar that touches two levels the stop counts."""
-    sign = 1.0 if bullish else -1.0
-    target = entry * (1 + sign * c.target) if c.target is not None else None
-    stop = entry * (1 - sign * c.stop) if c.stop is not None else None
-    peak = trough = entry
-    for k in range(len(close)):
-        peak, trough = max(peak, high[k]), min(trough, low[k])
-        trail = None if c.trailing is None else peak * (1 - c.trailing) if bullish else trough * (1 + c.trailing)
-        at_target = target is not None and (high[k] >= target if bullish else low[k] <= target)
-        at_stop = stop is not None and (low[k] <= stop if bullish else high[k] >= stop)
-        at_trail = trail is not None and (low[k] <= trail if bullish else high[k] >= trail)
-        if at_target + at_stop + at_trail > 1:
-            return k, "stop_intraday_ambiguous", stop if at_stop else trail
-        if at_stop:
-            return k, "stop", stop
-        if at_trail:
-            return k, "trailing_stop", trail
-        if at_target:
-            return k, "target", target
-    return len(close) - 1, "time_exit", float(close[-1])
-
-
-PLANNED = "symbol string, Date date, direction string, score double, sector string, entry_date date, exit_date date, entry_price double, exit_price double, exit_reason string, gross_return double, net_return double, mfe double, mae double"
+
+#: Daily volatility that a volatility-weighted position aims at.
+TARGET_VOLATILITY = 0.015
+PLANNED = "symbol string, Date date, direction string, score double, sector string, model_id string, known boolean, entry_date date, exit_date date, entry_price double, exit_price double, exit_reason string, gross_return double, net_return double, mfe double, mae double, planned_weight double"
+
+
+def first_exit(high: np.ndarray, low: np.ndarray, close: np.ndarray, entry: float, bullish: bool, c: Portfolio) -> tuple[int, str, float]:
+    """(index, reason, price) of the exit over the bars from entry on: the first bar that touches a level.
+
+    Levels are found for all bars at once; a trailing stop follows the best price so far, this bar's
+    included. If a bar touches several, the stop is taken, or the trailing stop where there is no stop among them."""
+    best, worst = (high, low) if bullish else (-low, -high)
+    level = entry if bullish else -entry
+    goal = np.inf if c.target is None else level + entry * c.target
+    floor = np.full(len(close), -np.inf if c.stop is None else level - entry * c.stop)
+    run = np.maximum.accumulate(np.maximum(best, level))
+    trail = np.full(len(close), -np.inf) if c.trailing is None else run - abs(run) * c.trailing
+    touched = np.stack([worst <= floor, worst <= trail, best >= goal])
+    any_ = touched.any(axis=0)
+    if not any_.any():
+        return len(close) - 1, "time_exit", float(close[-1])
+    k = int(any_.argmax())
+    stopped, trailed, reached = touched[:, k].tolist()
+    price = floor[k] if stopped else trail[k] if trailed else goal
+    reason = "stop_intraday_ambiguous" if stopped + trailed + reached > 1 else "stop" if stopped else "trailing_stop" if trailed else "target"
+    return k, reason, float(abs(price))
 
 
 def planned_trades(bars: DataFrame, candidates: DataFrame, config: Portfolio) -> DataFrame:
-    """Each candidate's (symbol, Date, direction, score, sector) trade, whether admitted or not: symbols in parallel."""
+    """Each candidate's (symbol, Date, direction, score, sector, model_id) trade, symbols in parallel. One whose
+    date has no bar (known is false), or no bar to enter and leave at, stays, without a trade."""
+
+    def weight(close: np.ndarray) -> float:
+        if not config.volatility_weights or len(close) < 11:
+            return config.base_weight
+        moves = (close[1:] / close[:-1] - 1)[-20:]  # of the symbol's last bars, whatever the candidate's date
+        moves = moves[~np.isnan(moves)]
+        v = float(np.std(moves, ddof=1)) if len(moves) >= 10 else 0.0
+        return min(config.base_weight, TARGET_VOLATILITY / v * config.base_weight) if v > 0 else config.base_weight
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("Date").reset_index(drop=True)
         at, out = {d: k for k, d in enumerate(left["Date"])}, []
         o, h, low, c = (left[x].to_numpy(dtype=float) for x in ("Open", "High", "Low", "Close"))
+        w_, slip = weight(c), 2 * config.slippage_bps / 1e4
         for row in right.itertuples():
             k = at.get(row.Date)
             end = None if k is None else min(k + config.horizon, len(left) - 1)
+            head = (row.symbol, row.Date, row.direction, row.score, row.sector, row.model_id, k is not None)
             if end is None or end <= k + 1:
+                out.append((*head, None, None, *[None] * 7, w_))
                 continue
             bull, entry, w = row.direction == "Bullish", o[k + 1], slice(k + 1, end + 1)
-            j, reason, price = exit_trade(h[w], low[w], c[w], entry, bull, config)
+            j, reason, price = first_exit(h[w], low[w], c[w], entry, bull, config)
             gross = (1 if bull else -1) * (price / entry - 1)
             held = slice(k + 1, k + 2 + j)
             mfe, mae = (h[held].max() / entry - 1, low[held].min() / entry - 1) if bull else (entry / low[held].min() - 1, entry / h[held].max() - 1)
-            out.append((row.symbol, row.Date, row.direction, row.score, row.sector, left["Date"][k + 1], left["Date"][k + 1 + j], entry, price, reason, gross, gross - config.cost_bps / 1e4, mfe, mae))
+            out.append((*head, left["Date"][k + 1], left["Date"][k + 1 + j], entry, price, reason, gross, gross - config.cost_bps / 1e4 - slip, mfe, mae, w_))
         return pd.DataFrame(out, columns=[x.split()[0] for x in PLANNED.split(", ")])
 
     return bars.groupBy("symbol").cogroup(candidates.groupBy("symbol")).applyInPandas(run, PLANNED)
 
 
 def admitted(planned: DataFrame, config: Portfolio) -> DataFrame:
-    """The trades a portfolio takes, date by date and best score first, with the reason of every decision.
+    """The trades a portfolio takes, date by date and best score first (then symbol, direction, model), with the
+    reason of every decision; a row for every candidate.
 
     Admission depends on all positions held before it, so it is one sequence; its input is one small
     row for each candidate that passed the caps upstream (a few a day), not the bars."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out, weight = [], [], 1.0 / max(1, config.concurrent)
+        held, out = [], []
         pdf = pdf.drop(columns="one")
-        for row in pdf.sort_values(["Date", "score", "symbol"], ascending=[True, False, True]).itertuples(index=False):
+        for row in pdf.sort_values(["Date", "score", "symbol", "direction", "model_id"], ascending=[True, False, True, True, True]).itertuples(index=False):
             held = [p for p in held if p.exit_date > row.Date]
-            sign = 1 if row.direction == "Bullish" else -1
-            gross, net = weight * (len(held) + 1), weight * (sum(1 if p.direction == "Bullish" else -1 for p in held) + sign)
+            sign, weight = (1 if row.direction == "Bullish" else -1), row.planned_weight
+            gross, net = sum(p.planned_weight for p in held) + weight, sum(p.planned_weight * (1 if p.direction == "Bullish" else -1) for p in held) + weight * sign
             reason = (
                 "max_position_per_symbol" if sum(p.symbol == row.symbol for p in held) >= config.per_symbol
                 else "max_concurrent_positions" if len(held) >= config.concurrent
                 else "sector_concentration_limit" if (sum(p.sector == row.sector for p in held) + 1) / max(1, config.concurrent) > config.sector_fraction
-                else "exposure_limit" if gross > config.gross + 1e-12 or abs(net) > config.net + 1e-12
+                else "signal_date_not_in_frame" if not row.known
+                else "no_future_entry_or_exit_bar" if pd.isna(row.exit_price)
+                else "exposure_limit" if gross > config.gross or abs(net) > config.net
                 else "included"
             )
             if reason == "included":
@@ -313,7 +368,7 @@ def demo_candidates(spark: SparkSession, bars: DataFrame, universe: DataFrame) -
     return spark.sql(
         """WITH f AS (SELECT symbol, Date, try_divide(Close, lag(Close, 20) OVER (PARTITION BY symbol ORDER BY Date)) - 1 AS m FROM {b}),
 r AS (SELECT *, row_number() OVER (PARTITION BY Date ORDER BY m DESC, symbol) AS hi, row_number() OVER (PARTITION BY Date ORDER BY m, symbol) AS lo FROM f WHERE m IS NOT NULL)
-SELECT r.symbol, Date, CASE WHEN hi <= 2 THEN 'Bullish' ELSE 'Bearish' END AS direction, abs(m) AS score, coalesce(u.sector, 'none') AS sector FROM r JOIN {u} u ON u.symbol = r.symbol WHERE hi <= 2 OR lo = 1""",
+SELECT r.symbol, Date, CASE WHEN hi <= 2 THEN 'Bullish' ELSE 'Bearish' END AS direction, abs(m) AS score, coalesce(u.sector, 'unknown') AS sector, u.role AS model_id FROM r JOIN {u} u ON u.symbol = r.symbol WHERE hi <= 2 OR lo = 1""",
         b=bars,
         u=universe,
     )

@@ -45,7 +45,7 @@ WHEN value < {VALUE} THEN 'expected_value_insufficient_after_cost' WHEN score <
 
 
 def decisions(d: Dialect, t: str) -> str:
-    return f"SELECT symbol, Date, scope, direction, decision, reason, status, round(score, 6) AS signal_score, round(footprint, 6) AS footprint_score, round(risk_adjusted, 6) AS risk_adjusted_utility, round(dp * er, 6) AS composite_utility, round(ood_rate, 6) AS ood_feature_rate, round(liquidity, 6) AS liquidity_score FROM ({decided(d, t)}) x"
+    return f"SELECT symbol, Date, scope, direction, decision, reason, status, round(score, 10) AS signal_score, round(footprint, 10) AS footprint_score, round(risk_adjusted, 10) AS risk_adjusted_utility, round(dp * er, 12) AS composite_utility, round(ood_rate, 6) AS ood_feature_rate, round(liquidity, 10) AS liquidity_score FROM ({decided(d, t)}) x"
 
 
 def blocked(d: Dialect, t: str) -> str:
@@ -74,7 +74,7 @@ def top_of(keys: str, order: str, k: int, t: str, name: str = "rk") -> str:
 def top_by_direction(d: Dialect, t: str, k: int = 20) -> str:
     """The best rows of each direction."""
     top = top_of("direction", "score DESC, symbol, Date", k, decided(d, t))
-    return f"SELECT direction, CAST(rk AS INT) AS rk, symbol, Date, round(score, 6) AS signal_score, decision FROM ({top}) x"
+    return f"SELECT direction, CAST(rk AS INT) AS rk, symbol, Date, round(score, 10) AS signal_score, decision FROM ({top}) x"
 
 
 def hypothesis_caps(d: Dialect, t: str, k: int = CAP) -> str:
@@ -91,7 +91,7 @@ def blocked_targets(d: Dialect, t: str) -> str:
     one = f"SELECT symbol, Date, scope, direction, reason, score, concat('top_', direction) AS why, 1 AS k FROM ({top_of('direction', 'score DESC, symbol, scope, Date', 5, b)}) x"
     two = f"SELECT symbol, Date, scope, direction, reason, score, concat('top_', reason) AS why, 2 AS k FROM ({top_of('reason', 'score DESC, symbol, scope, Date', 3, b)}) y WHERE reason IN ({reasons})"
     once = top_of("symbol, Date, scope", "k", 1, f"{one} UNION ALL {two}", "nth")
-    return f"SELECT symbol, Date, scope, direction, reason, round(score, 6) AS signal_score, why FROM ({once}) o"
+    return f"SELECT symbol, Date, scope, direction, reason, round(score, 10) AS signal_score, why FROM ({once}) o"
 
 
 def best_family(d: Dialect, t: str) -> str:

@@ -70,7 +70,7 @@ def sample_state(d: Dialect, scored: str, bars: str) -> str:
     return f"SELECT matured, dates, months, wins, pending - matured AS open_or_blocked, CASE WHEN matured >= 100 AND dates >= 40 AND months >= 6 AND wins >= 20 AND matured - wins >= 20 THEN 'SUFFICIENT' ELSE 'INSUFFICIENT' END AS state FROM ({q}) q CROSS JOIN ({p}) p"
 
 
-VIEWS = {"created": lambda d, s, b: created(d, s), "fills": lambda d, s, b: f"SELECT symbol, as_of, direction, source_key, fill_date, round(fill_price, 6) AS fill_price, round(target_price, 3) AS target_price, round(stop_price, 3) AS stop_price FROM ({fills(d, s, b)}) f", "exits": exits, "marks": marks, "counts": counts, "sample_state": sample_state}
+VIEWS = {"created": lambda d, s, b: created(d, s), "fills": lambda d, s, b: f"SELECT symbol, as_of, direction, source_key, fill_date, round(fill_price, 8) AS fill_price, round(target_price, 2) AS target_price, round(stop_price, 2) AS stop_price FROM ({fills(d, s, b)}) f", "exits": exits, "marks": marks, "counts": counts, "sample_state": sample_state}
 
 
 def appended(log: DataFrame, new: DataFrame) -> DataFrame:

@@ -15,10 +15,6 @@ WILDER = """wi AS (SELECT symbol, 14::BIGINT AS rn, avg(tr) AS state FROM tr WHE
 UNION ALL SELECT w.symbol, t.rn, (w.state * 13 + t.tr) / 14 FROM wi w JOIN tr t ON t.symbol = w.symbol AND t.rn = w.rn + 1)"""
 
 
-def rounded(names, digits: int = 6) -> str:
-    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
-
-
 def price_action() -> str:
     sma = ", ".join(f"CASE WHEN rn >= {w} THEN avg(Close) OVER (win ROWS {w - 1} PRECEDING) END AS sma_{w}" for w in (20, 50, 100, 200))
     prior = ", ".join(f"CASE WHEN rn > {w} THEN max(High) OVER (win ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) END AS ph_{w}, CASE WHEN rn > {w} THEN min(Low) OVER (win ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) END AS pl_{w}" for w in (20, 50, 252))
@@ -63,7 +59,7 @@ o AS (SELECT p.*, t.* EXCLUDE (symbol, Date, target_multiple, stop_multiple), co
 
 
 def policy_outcomes() -> str:
-    return f"""{_outcomes()} SELECT symbol, Date, target_multiple, stop_multiple, round(entry_price, 6) AS entry_price, round(target_price, 6) AS target_price, round(stop_price, 6) AS stop_price, CASE WHEN whole THEN hit::INT::DOUBLE END AS target_before_stop, CASE WHEN whole THEN stopped::INT::DOUBLE END AS stop_before_target, CASE WHEN whole THEN (NOT hit AND NOT stopped)::INT::DOUBLE END AS unresolved,
+    return f"""{_outcomes()} SELECT symbol, Date, target_multiple, stop_multiple, round(entry_price, 8) AS entry_price, round(target_price, 2) AS target_price, round(stop_price, 2) AS stop_price, CASE WHEN whole THEN hit::INT::DOUBLE END AS target_before_stop, CASE WHEN whole THEN stopped::INT::DOUBLE END AS stop_before_target, CASE WHEN whole THEN (NOT hit AND NOT stopped)::INT::DOUBLE END AS unresolved,
 round(forward_return, 6) AS forward_return, round(top / entry_price - 1, 6) AS mfe, round(bottom / entry_price - 1, 6) AS mae, CASE WHEN t <= coalesce(s, 999) THEN t::DOUBLE END AS time_to_target, CASE WHEN s <= coalesce(t, 999) THEN s::DOUBLE END AS time_to_stop, peak::DOUBLE AS time_to_max_favorable, trough::DOUBLE AS time_to_max_adverse,
 CASE WHEN whole THEN (NOT hit AND NOT stopped AND forward_return > 0)::INT::DOUBLE END AS profitable_at_time_exit, CASE WHEN whole THEN (NOT hit AND forward_return > 0)::INT::DOUBLE END AS profitable_despite_failed_tbs FROM o"""
 

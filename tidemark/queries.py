@@ -27,8 +27,9 @@ def ranged(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     return sequential.extended(source.from_trades(spark, sf_dir), list(names))
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """All numbers to so many digits; some columns to others."""
+    return df.select(*(F.round(c, other.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 _BY_HAND = {"returns": oracles.returns, "trend": oracles.trend, "candles": oracles.candles}
@@ -40,8 +41,8 @@ for _h in labels.HORIZONS:
     add(f"first_touch_{_h}", lambda s, d, f=labels.TOUCH[_h]: f.rounded(ranged(s, d, "label_atr_14")), oracles.first_touch(_h))
 for _h in (5, 10):
     add(f"legacy_labels_{_h}", lambda s, d, f=labels.LEGACY[_h]: f.rounded(source.from_trades(s, d)), labels.LEGACY[_h].sql(source.oracle_bars()))
-add("audit_policy_outcomes", lambda s, d: rounded(labels.policy_outcomes(ranged(s, d, "label_atr_14"))), oracles.policy_outcomes())
-add("audit_exit_utility", lambda s, d: (lambda u: u.withColumn("utility", F.round("utility", 4)).withColumn("net_return", F.round("net_return", 6)))(labels.time_exit_utility(labels.policy_outcomes(ranged(s, d, "label_atr_14")))), oracles.exit_utility())
+add("audit_policy_outcomes", lambda s, d: rounded(labels.policy_outcomes(ranged(s, d, "label_atr_14")), entry_price=8, target_price=2, stop_price=2), oracles.policy_outcomes())
+add("audit_exit_utility", lambda s, d: rounded(labels.time_exit_utility(labels.policy_outcomes(ranged(s, d, "label_atr_14"))), utility=4), oracles.exit_utility())
 
 add("indicators_ranges", lambda s, d: sequential.ranges(source.from_trades(s, d), 6), sequential.ranges_sql(source.oracle_bars()))
 add("indicators_macd", lambda s, d: sequential.macd(source.from_trades(s, d), 6), sequential.macd_sql(source.oracle_bars()))
@@ -77,8 +78,8 @@ for _m, _p in ((metrics, "metric"), (selection, "select"), (discovery, "discover
 RULE = backtest.Rule(length=5, lower_level=40.0)
 for _n, _v in backtest.VIEWS.items():
     add(f"backtest_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, "SELECT * FROM {t}"), t=backtest.ledgers(source.from_trades(s, d), [RULE])), _v(DUCK, backtest.ledger_sql(source.oracle_bars(), RULE)))
-add("backtest_grid", lambda s, d: backtest.grid_search(source.from_trades(s, d), backtest.grid()))
-add("backtest_walk_forward", lambda s, d: backtest.walk_forward(source.from_trades(s, d), backtest.grid(lengths=(5, 9), trends=("none",))))
+add("backtest_grid", lambda s, d: backtest.grid_search(source.from_trades(s, d), backtest.grid()), backtest.grid_sql(source.oracle_bars(), backtest.grid()))
+add("backtest_walk_forward", lambda s, d: backtest.walk_forward(source.from_trades(s, d), backtest.grid()))
 
 
 def portfolio(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +90,7 @@ def portfolio(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def taken(df: DataFrame) -> DataFrame:
-    return df.filter("audit_reason = 'included'").drop("audit_reason")
+    return df.filter("audit_reason = 'included'").drop("audit_reason", "planned_weight", "known")
 
 
 add("portfolio_admission", lambda s, d: portfolio(s, d)[1])
