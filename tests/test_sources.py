@@ -26,6 +26,17 @@ def test_provider(spark):
         providers.rows_of(json.dumps({"Error Message": "no such key"}))
 
 
+def test_fallback_and_history(spark, tmp_path):
+    providers.register(spark, "broken", lambda url: (200, BODY) if "AAA" in url else (429, ""))
+    providers.register(spark, "second", lambda url: (200, BODY) if "BBB" in url else (404, ""))
+    path, ask = str(tmp_path / "history.parquet"), lambda: providers.update_history(spark, path, ["broken", "second"], ["AAA", "BBB", "CCC"], "https://x/{symbol}", "2024-01-01", "2024-01-09")
+    for replaced, inserted in ((0, 3), (3, 0)):
+        got = {r.symbol: r for r in ask().collect()}
+        assert (got["AAA"].provider, got["BBB"].provider, got["AAA"].error) == ("broken", "second", None) and "unknown symbol" in got["CCC"].error
+        assert (got["BBB"].replaced, got["BBB"].inserted, got["CCC"].inserted) == (replaced, inserted, 0)
+    assert bars.load(spark, path).count() == 6
+
+
 def test_sample_bars(spark):
     got = providers.sample_bars(spark, ["A", "B"], rows=50)
     assert bars.validated(got).count() == 100
@@ -52,6 +63,14 @@ def test_state_tables(spark, tmp_path):
     assert [state.append(spark, root, "holdout_models", new, "model_id") for _ in range(2)] == [2, 0]
     ran = []
     assert [state.cycle_once(spark, root, "2024-01-02", lambda: ran.append(1)) for _ in range(2)] == ["DONE", "ALREADY_DONE"] and ran == [1]
+    def fails():
+        raise RuntimeError("work failed")
+
+    with pytest.raises(RuntimeError):
+        state.cycle_once(spark, root, "2024-01-03", fails)
+    inner = []
+    assert state.cycle_once(spark, root, "2024-01-03", lambda: inner.append(state.cycle_once(spark, root, "2024-01-03", lambda: ran.append(2)))) == "DONE"
+    assert inner == ["RUNNING"] and ran == [1]
     with pytest.raises(ValueError):
         state.journal(new, new, ["model_id"])
 

@@ -123,6 +123,44 @@ t AS (SELECT symbol, min(rn) AS rn FROM f GROUP BY symbol UNION ALL SELECT n.sym
 SELECT '{rule.rule_id}' AS rule_id, f.symbol, f.Date AS signal_date, entry_date, exit_date, entry AS entry_price, leave AS exit_price, leave / entry - 1 AS gross_return, leave / entry - 1 - {rule.cost_bps / 1e4} AS net_return, hi / entry - 1 AS mfe, lo / entry - 1 AS mae, f.rn - 1 AS signal_pos FROM f JOIN t USING (symbol, rn)"""
 
 
+SIGNALS = "symbol string, Date date, close double, rsi double, relative_volume_20 double, close_position double, last boolean"
+
+
+def signal_table(bars: DataFrame, rule: Rule) -> DataFrame:
+    """The bars where a rule fires, with its indicator, relative volume and place of the close; ``last``: the symbol's last bar."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("Date").reset_index(drop=True)
+        g = {c: pdf[c].to_numpy(dtype=float) for c in ("Open", "High", "Low", "Close", "Volume")}
+        cache: dict = {}
+        fired = np.flatnonzero(signal(g, rule, cache))
+        span = g["High"] - g["Low"]
+        volume = g["Volume"] / pdf["Volume"].shift(1).rolling(20, min_periods=10).mean().to_numpy()
+        place = np.where(span > 0, (g["Close"] - g["Low"]) / np.where(span > 0, span, 1), 0.5)
+        return pd.DataFrame({"symbol": pdf["symbol"][fired], "Date": pdf["Date"][fired], "close": g["Close"][fired], "rsi": cache[rule.length][fired], "relative_volume_20": volume[fired], "close_position": place[fired], "last": fired == len(pdf) - 1})
+
+    out = bars.groupBy("symbol").applyInPandas(run, SIGNALS)
+    return out.withColumn("relative_volume_20", F.expr("nanvl(relative_volume_20, NULL)"))
+
+
+def latest_scan(bars: DataFrame, rule: Rule) -> DataFrame:
+    """Symbols whose last bar fires, with what the rule did on them before."""
+    stats = bars.sparkSession.sql(trade_summary(Dialect(), "SELECT *, symbol AS traded FROM {t}"), t=ledgers(bars, [rule])).select("symbol", "trade_count", "win_rate", "mean_return", "score")
+    return signal_table(bars, rule).filter("last").drop("last").join(stats, "symbol", "left").withColumn("rule_id", F.lit(rule.rule_id))
+
+
+def signals_sql(base: str, rule: Rule) -> str:
+    """Oracle of ``signal_table`` for a rule that crosses above, without filters."""
+    w, n = sequential._W, rule.length
+    prior = "(PARTITION BY symbol ORDER BY Date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+    b = f"SELECT *, row_number() {w} AS rn, Close - lag(Close) {w} AS step, CASE WHEN count(Volume) OVER {prior} >= 10 THEN Volume / avg(Volume) OVER {prior} END AS relvol, max(Date) OVER (PARTITION BY symbol) AS final FROM ({base})"
+    b = f"SELECT *, CASE WHEN step IS NOT NULL THEN greatest(step, 0) END AS gain, CASE WHEN step IS NOT NULL THEN greatest(-step, 0) END AS loss FROM ({b})"
+    return f"""WITH RECURSIVE b AS ({b}), {sequential.wilder_ctes('g', 'b', 'gain', n)}, {sequential.wilder_ctes('l', 'b', 'loss', n)},
+r AS (SELECT b.*, CASE WHEN l.value = 0 THEN CASE WHEN g.value = 0 THEN 50.0 ELSE 100.0 END WHEN g.value = 0 THEN 0.0 ELSE 100.0 - 100.0 / (1.0 + g.value / l.value) END AS x FROM b LEFT JOIN g USING (symbol, rn) LEFT JOIN l USING (symbol, rn))
+SELECT r.symbol, r.Date, round(r.Close, 8) AS close, round(r.x, 6) AS rsi, round(relvol, 6) AS relative_volume_20, round(CASE WHEN High > Low THEN (r.Close - Low) / (High - Low) ELSE 0.5::DOUBLE END, 6) AS close_position, r.Date = final AS last
+FROM r JOIN (SELECT symbol, rn + 1 AS rn, x AS x1 FROM r) p USING (symbol, rn) JOIN (SELECT symbol, rn + {rule.slope_window} AS rn, x AS x3 FROM r) q USING (symbol, rn) WHERE x1 <= {rule.lower_level} AND r.x > {rule.lower_level} AND r.x > x3"""
+
+
 def ledger_view(d: Dialect, t: str) -> str:
     cols = ", ".join(f"round({c}, 6) AS {c}" for c in ("entry_price", "exit_price", "gross_return", "net_return", "mfe", "mae"))
     return f"SELECT rule_id, symbol, signal_date, entry_date, exit_date, {cols}, signal_pos FROM ({t}) t"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dialect import DUCK, SPARK
 from tidemark import oracles, streaming
-from tidemark.operators import analogs, audit, backtest, cross_section, discovery, events, features, governance, labels, metrics, models, selection, sequential
+from tidemark.operators import analogs, audit, backtest, cross_section, discovery, events, features, frame, governance, labels, metrics, models, selection, sequential
 from tidemark.sources import bars as source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,8 @@ for _m, _p in ((metrics, "metric"), (selection, "select"), (discovery, "discover
 RULE = backtest.Rule(length=5, lower_level=40.0)
 for _n, _v in backtest.VIEWS.items():
     add(f"backtest_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, "SELECT * FROM {t}"), t=backtest.ledgers(source.from_trades(s, d), [RULE])), _v(DUCK, backtest.ledger_sql(source.oracle_bars(), RULE)))
+add("backtest_signals", lambda s, d: rounded(backtest.signal_table(source.from_trades(s, d), RULE), close=8), backtest.signals_sql(source.oracle_bars(), RULE))
+add("backtest_latest_scan", lambda s, d: backtest.latest_scan(source.from_trades(s, d), RULE))
 add("backtest_grid", lambda s, d: backtest.grid_search(source.from_trades(s, d), backtest.grid()), backtest.grid_sql(source.oracle_bars(), backtest.grid()))
 add("backtest_walk_forward", lambda s, d: backtest.walk_forward(source.from_trades(s, d), backtest.grid()))
 
@@ -137,6 +139,46 @@ def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("model_regimes", regimes)
 
 
+def whole_frame(spark: SparkSession, sf_dir: str, horizons: tuple[int, ...]) -> DataFrame:
+    return frame.modeling_frame(frame.feature_panel(source.from_trades(spark, sf_dir), source.universe(spark)), frame.label_panel(ranged(spark, sf_dir, "label_atr_14"), horizons))
+
+
+def modeling_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features, ranks, breadth and sectors with the outcomes of two horizons."""
+    out = whole_frame(spark, sf_dir, (5, 20))
+    return rounded(out.drop("Volume"), Close=8)
+
+
+def modeling_frame_sql() -> str:
+    """The oracles of the parts, joined."""
+    parts = [f"({ORACLE_SQL[f'features_{n}']}) f_{n}" for n in features.FAMILIES]
+    once: dict[str, str] = {}
+    for name, family in features.FAMILIES.items():
+        for k in family.keep:
+            once.setdefault(k, f"f_{name}.{k}")
+    ends = ("target_before_stop", "stop_before_target", "time_to_target", "time_to_stop")
+    lab = ", ".join(f"l{h}.* EXCLUDE (symbol, Date, label_end_date), l{h}.label_end_date AS label_end_date_{h}, {', '.join(f't{h}.{x}_{e} AS label_{x}_{e}_{h}' for x in ('bull', 'bear') for e in ends)}" for h in (5, 20))
+    first, *rest = parts
+    joins = " ".join(f"JOIN {x} USING (symbol, Date)" for x in rest)
+    labels_ = " ".join(f"JOIN ({ORACLE_SQL[f'labels_{h}']}) l{h} USING (symbol, Date) JOIN ({ORACLE_SQL[f'first_touch_{h}']}) t{h} USING (symbol, Date)" for h in (5, 20))
+    return f"""SELECT symbol, Date, round(b.Close, 8) AS Close, role, u.sector, {', '.join(once.values())}, r.* EXCLUDE (symbol, Date), w.* EXCLUDE (Date), s.* EXCLUDE (Date, sector), {lab} FROM {first} {joins} JOIN ({source.oracle_bars()}) b USING (symbol, Date) LEFT JOIN ({ORACLE_SQL['cross_strength_ranks']}) r USING (symbol, Date)
+LEFT JOIN ({ORACLE_SQL['cross_breadth']}) w USING (Date) LEFT JOIN ({source.universe_sql()}) u USING (symbol) LEFT JOIN ({ORACLE_SQL['cross_sectors']}) s ON s.Date = b.Date AND s.sector = u.sector {labels_}"""
+
+
+add("modeling_frame", modeling_frame, modeling_frame_sql())
+add("modeling_time_exits", lambda s, d: rounded(frame.with_time_exits(source.from_trades(s, d).select("symbol", "Date"), labels.policy_outcomes(ranged(s, d, "label_atr_14"))), 4))
+add("modeling_hygiene", lambda s, d: (lambda p: frame.hygiene_audit(p, frame.numeric_features(p)))(frame.feature_panel(source.from_trades(s, d), source.universe(s))))
+
+
+def discovery_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame.sanitized(whole_frame(spark, sf_dir, (5,)), DISCOVERY_FEATURES).persist()
+    return frame.discovered(rows, {"POOLED": (), "stock": ("stock",)}, (5,), DISCOVERY_FEATURES, "1996-01-01")
+
+
+DISCOVERY_FEATURES = ["return_5", "return_20", "distance_sma_20", "realized_vol_20", "relative_volume_20", "close_position"]
+add("model_discovery", discovery_loop)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars, trailing returns and trend, rank of a date, forward return: the two strongest of each date."""
     return spark.sql(FLAGSHIP.format(bars="{bars}", d="try_divide"), bars=source.from_trades(spark, sf_dir, 4))

@@ -5,6 +5,8 @@ A bar table has columns symbol, Date, Open, High, Low, Close, Volume; (symbol, D
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,13 +58,25 @@ def read_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataF
     return df.select("symbol", F.expr("try_cast(Date AS DATE)").alias("Date"), *(F.expr(f"try_cast({f} AS DOUBLE)").alias(f) for f in FIELDS))
 
 
+def replaced(spark: SparkSession, path: str, write) -> None:
+    """Write beside a path, then put the result in its place: a crash leaves the old table or the new one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, old, at = (hadoop(f"{path.rstrip('/')}{end}") for end in (f".new-{uuid.uuid4().hex}", f".old-{uuid.uuid4().hex}", ""))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    write(new.toString())
+    if fs.exists(at):
+        fs.rename(at, old)
+    fs.rename(new, at)
+    fs.delete(old, True)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    replaced(df.sparkSession, path, lambda at: df.write.option("header", True).csv(at))
 
 
 def save(df: DataFrame, path: str) -> None:
     """CSV or Parquet by the path's suffix."""
-    write_csv(df, path) if path.endswith(".csv") else df.write.mode("overwrite").parquet(path)
+    write_csv(df, path) if path.endswith(".csv") else replaced(df.sparkSession, path, df.write.parquet)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -94,6 +108,12 @@ def upserted(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.join(new.select("symbol", "Date").distinct(), ["symbol", "Date"], "left_anti").unionByName(new)
 
 
+def upsert_counts(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Per symbol: how many new bars take the place of old ones, and how many are added."""
+    keys = new.select("symbol", "Date").distinct().join(existing.select("symbol", "Date").distinct().withColumn("old", F.lit(1)), ["symbol", "Date"], "left")
+    return keys.groupBy("symbol").agg(F.count("old").alias("replaced"), F.count_if(F.col("old").isNull()).alias("inserted"))
+
+
 def in_window(bars: DataFrame, start: str | None, end: str | None) -> DataFrame:
     """Bars from start to end, both included; the filter reaches the scan."""
     if start:

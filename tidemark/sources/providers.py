@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidemark.sources.bars import ALIASES, FIELDS, SCHEMA
+from tidemark.sources.bars import ALIASES, FIELDS, SCHEMA, load, save, upsert_counts, upserted, validated
 
 Fetch = Callable[[str], tuple[int, str]]
 ERRORS = {401: "the key was refused", 403: "the key lacks access", 404: "unknown symbol", 429: "too many requests"}
@@ -85,6 +85,49 @@ def download(spark: SparkSession, provider: str, symbols: list[str], url: str, s
     return spark.read.format(provider).option("symbols", ",".join(symbols)).option("url", url).option("start", start).option("end", end).load()
 
 
+def download_any(spark: SparkSession, providers: list[str], symbols: list[str], url: str, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """Bars from the first provider that has a symbol's, and (symbol, provider, error) of every symbol: providers
+    are asked in their order, each for the symbols that those before it failed on. Errors are recorded, not raised."""
+    got, left, status = spark.createDataFrame([], SCHEMA), list(symbols), []
+    for provider in providers:
+        failed = []
+        for symbol in left:  # a failing symbol must not take the others with it
+            try:
+                part = download(spark, provider, [symbol], url, start, end).persist()
+                part.count()
+                got, _ = got.unionByName(part), status.append((symbol, provider, None))
+            except Exception as e:  # the provider's own error, whatever its kind
+                failed.append((symbol, provider, reason(e)))
+        left = [s for s, _, _ in failed]
+        if provider == providers[-1]:
+            status += failed
+    return got, spark.createDataFrame(status, "symbol string, provider string, error string")
+
+
+def reason(e: Exception) -> str:
+    """The line of an error (which may hold a worker's whole traceback) that says what was wrong."""
+    lines = [line.strip() for line in str(e).splitlines() if line.strip()] or [type(e).__name__]
+    return next((line for line in reversed(lines) if "Error:" in line), lines[0])[:200]
+
+
+def update_history(spark: SparkSession, path: str, providers: list[str], symbols: list[str], url: str, start: str, end: str) -> DataFrame:
+    """Download, check, merge into the history at a path (new bars take the place of old ones), put it in its place.
+    Returns a row for each symbol: provider, error, bars replaced and inserted. A symbol that fails keeps its history."""
+    new, status = download_any(spark, providers, symbols, url, start, end)
+    try:
+        old = load(spark, path)
+        old.limit(1).count()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = spark.createDataFrame([], SCHEMA)
+    counts = upsert_counts(old, new).persist()
+    counts.count()
+    if new.limit(1).count():
+        save(upserted(old, validated(new)), path)
+    return status.join(counts, "symbol", "left").fillna(0, ["replaced", "inserted"])
+
+
 def sample_bars(spark: SparkSession, symbols: list[str], rows: int = 1200, seed: int = 7, start: str = "2018-01-02") -> DataFrame:
     """Made-up bars: seeded random walks on business days, one task a symbol."""
 

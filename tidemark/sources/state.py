@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.bars import replaced
+
 # Schemas of the state tables.
 TABLES = {
     "models": "model_id string, registered_at timestamp, state string, horizon int, direction string, scope string, metadata_json string",
@@ -31,12 +33,14 @@ def fingerprint(df: DataFrame) -> str:
 
 
 def write_generation(frames: dict[str, DataFrame], root: str, generation: str) -> None:
-    """All frames under root/generation, then the pointer: readers see whole generations only."""
+    """All frames under root/generation, then the pointer: readers see whole generations only. A generation is
+    written once; its name cannot be used again."""
     spark = next(iter(frames.values())).sparkSession
     for name, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{root}/{generation}/{name}")
+        df.write.mode("error").parquet(f"{root}/{generation}/{name}")
     rows = [(generation, name, fingerprint(df)) for name, df in frames.items()]
-    spark.createDataFrame(rows, "generation string, frame string, fingerprint string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_latest")
+    pointer = spark.createDataFrame(rows, "generation string, frame string, fingerprint string").coalesce(1)
+    replaced(spark, f"{root}/_latest", pointer.write.parquet)
 
 
 def read_generation(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -111,13 +115,25 @@ def regimes_cached(spark: SparkSession, root: str, market: DataFrame, columns: l
 
 
 def cycle_once(spark: SparkSession, root: str, day: str, work) -> str:
-    """Run a day's work unless its cycle was recorded; DONE or ALREADY_DONE."""
-    row = spark.sql(f"SELECT DATE '{day}' AS cycle_date, current_timestamp() AS started_at, 'DONE' AS status")
+    """Run a day's work unless its cycle was recorded; DONE, ALREADY_DONE, or RUNNING if another run holds the day.
+
+    A run holds a day by making its lock file, which only one can; it is given back when the work fails, so the
+    day can be tried again. A lock whose run was killed must be removed by hand: nobody can tell it from a slow run."""
     if table(spark, root, "daily_cycles").filter(F.col("cycle_date") == F.to_date(F.lit(day))).limit(1).count():
         return "ALREADY_DONE"
-    work()
-    append(spark, root, "daily_cycles", row, "cycle_date")
-    return "DONE"
+    lock = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_locks/{day}")
+    fs = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.createNewFile(lock):
+        return "RUNNING"
+    try:
+        if table(spark, root, "daily_cycles").filter(F.col("cycle_date") == F.to_date(F.lit(day))).limit(1).count():
+            return "ALREADY_DONE"
+        work()
+        row = spark.sql(f"SELECT DATE '{day}' AS cycle_date, current_timestamp() AS started_at, 'DONE' AS status")
+        append(spark, root, "daily_cycles", row, "cycle_date")
+        return "DONE"
+    finally:
+        fs.delete(lock, False)
 
 
 def prefix(bars: DataFrame, day: str) -> DataFrame:
