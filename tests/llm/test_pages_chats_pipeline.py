@@ -210,6 +210,59 @@ def test_pipeline(spark, sf):
     assert last.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).filter("`sum(length)` <> `max(doc_tokens)`").count() == 0
 
 
+def test_stages_on_rows_of_any_kind(spark, sf):
+    real = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS).collect()]
+    long = ("of the and " * 200 + "\n") * 60
+    odd = [(9001, None, "en", "s", 0), (9002, "", None, "s", 0), (None, real[0][1], None, None, None), (real[1][0], *real[1][1:]), (9003, long, "en", "s", None)]
+    docs = spark.createDataFrame([(*r, 1.0, "x") for r in real + odd], "doc_id long, text string, lang string, source string, n_chars int, component_id double, digest string")
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, docs, sf)
+        assert kept.columns == corpus_pipeline.COLUMNS, name
+        ids = [r.doc_id for r in kept.select("doc_id").collect()]
+        if name == "n-gram Jaccard join":
+            assert len([d for d in ids if d is not None]) == len({d for d in ids if d is not None}) and {9001, 9002} <= set(ids)
+        else:
+            assert not {9001, 9002} & set(ids) and None in ids
+        assert stage(spark, empty, sf).count() == 0
+    packed = corpus_pipeline.STAGES[3][1](spark, docs, sf)
+    tokens = {r.doc_id: r.n for r in packed.groupBy("doc_id").agg({"length": "sum"}).toDF("doc_id", "n").collect()}
+    assert tokens[9001] == tokens[9002] == 1 and len(tokens) == len({r[0] for r in real + odd})
+    assert corpus_pipeline.STAGES[3][1](spark, empty, sf).count() == 0
+
+
+def test_pipeline_by_brute_force(spark, sf):
+    """The kept documents against each stage's definition, document by document."""
+    import numpy as np
+
+    from tidemark.llm import langid, quality
+    from tidemark.llm.common import remainder
+    from test_ngram_join import brute
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    verdict = quality.verdicts(*quality.references(docs))
+    good = {d for d, r in rows.items() if verdict((r.text or "").encode())[-1]}
+    left = docs.filter(docs.doc_id.isin(*good))
+    model = langid.train(left, remainder("doc_id", 3) != 1)
+    known = set()
+    for d in good:
+        raw = langid.encoded(rows[d].text)
+        bits = [sum(langid.coded(tree, g[a:b]).sum() for g, spans in langid.stretches([raw], model.order) for _, a, b in spans) for tree in model.trees]
+        best = int(np.argmin(bits))
+        if langid.has_letter(rows[d].text) and (len(rows[d].text) < langid.LEAST_BYTES or bits[best] <= model.bounds[best] * (len(raw) + 1)):
+            known.add(d)
+    component = brute([(d, rows[d].text) for d in sorted(known)], 5, 80, 100)
+    want = {d for d in known if component[d][1] == d}
+    got = corpus_pipeline.run(spark, sf)
+    assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == want
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(corpus_pipeline.public_tokenizers.path("word_bpe_49k.json"))
+    counts = {r.doc_id: r.doc_tokens for r in got.collect()}
+    assert all(counts[d] == len(whole.encode(rows[d].text, add_special_tokens=False).ids) + 1 for d in sorted(want)[::5])
+
+
 def test_entry_without_this_subpackage(tmp_path):
     """The contract module and the research queries work where the subpackage and the pipeline are gone."""
     root = Path(__file__).resolve().parents[2]
