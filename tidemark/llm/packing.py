@@ -31,7 +31,7 @@ from .common import kept, narrow, quiet, raw, sized
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_length", pa.int64())])
 #: Cached words of a worker in each of two generations (about 200 bytes a word).
-CACHE_WORDS = 350_000
+CACHE_WORDS = 550_000
 Piece = tuple[int | None, int, int, bytes]  # doc_id, start, tokens of its document, little-endian ids
 
 
