@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -249,6 +250,59 @@ def test_quality_query(spark, sf):
     assert quality.filtered(docs).columns == docs.columns
 
 
+def brute_histograms(text):
+    """Shares of character classes and of common words, character by character."""
+    chars, words = Counter(), Counter()
+    for c in text:
+        n = len(c.encode("utf-8", "surrogatepass"))
+        if n > 1:
+            chars["letter2" if n == 2 and c >= "\x80" else "letter3"] += 1
+        elif c == "\n":
+            chars["line"] += 1
+        else:
+            chars["lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "space" if c.isspace() else "symbol" if c in "#*$%&|<>" else "stop" if c in ".,;:!?" else "mark" if c.isprintable() else "other"] += 1
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    for w in re.findall(r"[^\x20\x09-\x0D]+", low):
+        words[w if w in set(quality.COMMON) else ""] += 1
+    return chars, words
+
+
+def brute_distance(a, b):
+    total_a, total_b, out = sum(a.values()), sum(b.values()), 0.0
+    for k in set(a) | set(b):
+        p, q = a[k] / total_a, b[k] / total_b
+        m = (p + q) / 2
+        out += (p * math.log2(p / m) if p else 0) / 2 + (q * math.log2(q / m) if q else 0) / 2
+    return math.sqrt(min(1.0, max(0.0, out)))
+
+
+def test_quality_verdicts_by_brute_force(spark, sf):
+    """The whole query: references, distances and verdicts of all documents from dictionaries."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rows, sums = docs.collect(), {}
+    for r in rows:
+        if r.lang is not None and r.text is not None:
+            for total, one in zip(sums.setdefault(r.lang, (Counter(), Counter())), brute_histograms(r.text)):
+                total.update(one)
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    for r in rows:
+        text = r.text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        again = brute_repeats(words)
+        failed = len(words) < 20 or 100 * again > 30 * len(words)
+        mine = got[r.doc_id]
+        assert (mine.n_words, mine.n_repeat_words, mine.base_failed) == (len(words), again, failed)
+        if not words:
+            assert not mine.kept
+            continue
+        chars, common = brute_histograms(text)
+        apart = {lang: (brute_distance(chars, c), brute_distance(common, w)) for lang, (c, w) in sums.items()}
+        bound = 0.25 + 1.2 / math.sqrt(len(words))
+        ok = any((c <= 0.27 or sum(chars.values()) < 200) and (w <= bound or len(words) < 50) for c, w in apart.values())
+        assert mine.kept == (ok and not failed)
+        assert math.isclose(mine.char_distance, apart[mine.nearest][0], abs_tol=1e-6) and math.isclose(mine.word_distance, apart[mine.nearest][1], abs_tol=1e-6)
+
+
 def brute_digest(text):
     b = b"\x00\x01" + text + b"\xfe\xff"
     count = [0] * 128
