@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_research import make_bars
 
-from tidemark.operators import backtest, features, frame, labels, sequential
+from tidemark.operators import backtest, features, frame, labels, models, sequential
 from tidemark.sources import bars as source
 
 
@@ -113,3 +113,11 @@ def test_saved_tables_replace_whole(spark, tmp_path, walk):
     with pytest.raises(ValueError, match="several columns for Date"):
         source.normalized(spark.createDataFrame([(1, 2)], "date int, timestamp int"))
     assert source.normalized(spark.createDataFrame([(1, 2)], " `Adjusted Close` int, `other ` int")).columns == ["Adj Close", "other"]
+
+
+def test_calibration_slope(spark):
+    rng = np.random.default_rng(3)
+    p = rng.uniform(0.05, 0.95, 4000)
+    rows = [("a", float(x), float(rng.uniform() < x)) for x in p] + [("b", float(x), float(rng.uniform() < 1 / (1 + np.exp(-2 * np.log(x / (1 - x)))))) for x in p] + [("c", 0.5, 1.0)]
+    got = {r.scope: r for r in models.calibration_slope(spark.createDataFrame(rows, "scope string, p double, y double")).collect()}
+    assert abs(got["a"].slope - 1) < 0.1 and abs(got["a"].intercept) < 0.1 and abs(got["b"].slope - 2) < 0.2 and got["c"].slope is None and got["POOLED"].n == 8001

@@ -83,6 +83,21 @@ def calibrated(fit: DataFrame, apply: DataFrame, method: str) -> DataFrame:
     return model.transform(apply).withColumnRenamed("prediction", "calibrated").select(*apply.columns, "calibrated")
 
 
+def calibration_slope(rows: DataFrame, p: str = "p", least: float = 1e-6) -> DataFrame:
+    """Intercept and slope of the outcome's log odds in the prediction's, for each scope (a few) and POOLED: 0 and 1
+    if predictions are calibrated. Scopes with one outcome alone have none."""
+    logit = F.log(F.greatest(F.least(F.col(p), F.lit(1 - least)), F.lit(least)) / (1 - F.greatest(F.least(F.col(p), F.lit(1 - least)), F.lit(least))))
+    data = VectorAssembler(inputCols=["logit"], outputCol="features").transform(rows.select("scope", "y", logit.alias("logit"))).persist()
+    counts = {r.scope: (r.n, r.both) for r in data.groupBy("scope").agg(F.count("*").alias("n"), (F.count_distinct("y") > 1).alias("both")).collect()}
+    out = []
+    for scope in [*sorted(counts), "POOLED"]:
+        n, both = counts.get(scope, (sum(k for k, _ in counts.values()), any(b for _, b in counts.values())))
+        fit = LogisticRegression(labelCol="y", maxIter=100, regParam=0.0).fit(data if scope == "POOLED" else data.filter(F.col("scope") == scope)) if both else None
+        out.append((scope, n, float(fit.intercept) if fit else None, float(fit.coefficients[0]) if fit else None))
+    data.unpersist()
+    return rows.sparkSession.createDataFrame(out, "scope string, n long, intercept double, slope double")
+
+
 def choose_calibrator(scores: DataFrame) -> DataFrame:
     """Of (method, complexity, mean, se) the simplest whose mean is within one standard error of the best."""
     best = scores.orderBy("mean", "complexity").limit(1).select((F.col("mean") + F.col("se")).alias("bound"))

@@ -113,6 +113,7 @@ for _n, _v in events.VIEWS.items():
     add_scored(f"events_{_n}", _v, bars=True)
 for _n, _v in audit.VIEWS.items():
     add(f"audit_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, _B), bars=source.from_trades(s, d)), _v(DUCK, source.oracle_bars()))
+add("stream_deduplicated", lambda s, d: streaming.deduplicated(s.read.parquet(f"{d}/events.parquet").unionByName(s.read.parquet(f"{d}/events.parquet"))).select("event_id", "user_id", "event_type", F.round("value", 4).alias("value")), "SELECT DISTINCT event_id, user_id, event_type, round(value, 4) AS value FROM events")
 for _n, _v in streaming.VIEWS.items():
     add(f"stream_{_n}", lambda s, d, v=_v: v(s.read.parquet(f"{d}/events.parquet")), streaming.ORACLES[_n])
 
@@ -126,6 +127,7 @@ for _f in ("base_rate", "logistic", "boosting"):
     add(f"model_{_f}", lambda s, d, f=_f: _predictions(s, d, f))
 for _f in ("identity", "sigmoid", "isotonic"):
     add(f"calibrate_{_f}", lambda s, d, f=_f: (lambda r: models.calibrated(r.filter("year(Date) < 1996"), r.filter("year(Date) >= 1996"), f).select("symbol", "Date", "calibrated"))(scored_rows(s, d)))
+add("calibrate_slope", lambda s, d: models.calibration_slope(scored_rows(s, d)))
 add("model_screen", lambda s, d: models.screen(scored_rows(s, d), ["x1", "x2"]))
 
 
