@@ -91,3 +91,33 @@ def candles() -> str:
 q AS (SELECT a.symbol, a.rn, CASE WHEN count(*) >= 10 THEN quantile_cont(f.span, 0.8) END AS p80 FROM s a JOIN s f ON f.symbol = a.symbol AND f.rn BETWEEN a.rn - 20 AND a.rn - 1 GROUP BY a.symbol, a.rn)
 SELECT symbol, Date, round(abs(Close - Open) / nullif(High - Low, 0), 6) AS body_pct, round((High - greatest(Open, Close)) / nullif(High - Low, 0), 6) AS upper_wick_pct, round((least(Open, Close) - Low) / nullif(High - Low, 0), 6) AS lower_wick_pct, round((Close - Low) / nullif(High - Low, 0), 6) AS close_position,
 coalesce(High < ph AND Low > pl, false)::INT::DOUBLE AS inside_bar, coalesce(High > ph AND Low < pl, false)::INT::DOUBLE AS outside_bar, coalesce(span > p80, false)::INT::DOUBLE AS expansion_bar, coalesce((least(Open, Close) - Low) / nullif(High - Low, 0) > 0.45 AND (Close - Low) / nullif(High - Low, 0) > 0.55, false)::INT::DOUBLE AS lower_rejection_bar FROM s LEFT JOIN q USING (symbol, rn)"""
+
+
+#: Bars with the returns, the mean and the prior extremes that the cross-section looks at, by joins.
+CROSS = f"""{BARS}, cs AS (SELECT b.symbol, b.Date, b.Volume, b.Close / p1.Close - 1 AS r1, b.Close / p5.Close - 1 AS r5, b.Close / p20.Close - 1 AS r20, b.Close / p63.Close - 1 AS r63, CASE WHEN b.rn >= 50 THEN b.Close > m.mean END AS above, CASE WHEN b.rn > 20 THEN b.Close >= x.top END AS at_high, CASE WHEN b.rn > 20 THEN b.Close <= x.bottom END AS at_low
+FROM bars b {' '.join(f'LEFT JOIN bars p{k} ON p{k}.symbol = b.symbol AND p{k}.rn = b.rn - {k}' for k in (1, 5, 20, 63))} LEFT JOIN LATERAL (SELECT avg(f.Close) AS mean FROM bars f WHERE f.symbol = b.symbol AND f.rn > b.rn - 50 AND f.rn <= b.rn) m ON true LEFT JOIN LATERAL (SELECT max(f.High) AS top, min(f.Low) AS bottom FROM bars f WHERE f.symbol = b.symbol AND f.rn >= b.rn - 20 AND f.rn < b.rn) x ON true)"""
+
+
+def part(test: str) -> str:
+    """Share of rows where a test holds; where it is unknown it does not."""
+    return f"avg(coalesce({test}, false)::INT)"
+
+
+def place(table: str, value: str, keys: str, name: str) -> str:
+    """Average place of a value among those of its group, over their number, by counting smaller and equal ones."""
+    return f"{name} AS (SELECT {', '.join(f'a.{k}' for k in keys.split())}, (count(*) FILTER (WHERE b.{value} < a.{value}) + (count(*) FILTER (WHERE b.{value} = a.{value}) + 1) / 2.0) / count(b.{value})::DOUBLE AS v FROM {table} a JOIN {table} b ON b.Date = a.Date WHERE a.{value} IS NOT NULL GROUP BY {', '.join(f'a.{k}' for k in keys.split())})"
+
+
+def strength_ranks() -> str:
+    ks = (5, 20, 63)
+    return f"WITH {CROSS}, {', '.join(place('cs', f'r{k}', 'symbol Date', f'k{k}') for k in ks)} SELECT symbol, Date, {', '.join(f'round(k{k}.v, 6) AS relative_strength_rank_{k}' for k in ks)} FROM cs {' '.join(f'LEFT JOIN k{k} USING (symbol, Date)' for k in ks)}"
+
+
+def breadth() -> str:
+    return f"""WITH {CROSS} SELECT Date, round({part('r1 > 0')}, 6) AS breadth_advance_pct, round(coalesce(sum(Volume) FILTER (WHERE r1 > 0), 0) / sum(Volume), 6) AS breadth_up_volume_pct, round({part('above')}, 6) AS breadth_above_sma_50_pct, round({part('at_high')}, 6) AS breadth_high_20_pct, round({part('at_low')}, 6) AS breadth_low_20_pct,
+round(stddev_samp(r20), 6) AS breadth_dispersion_20, round(skewness(r20), 4) AS breadth_skew_20 FROM cs GROUP BY Date"""
+
+
+def sectors(universe: str) -> str:
+    return f"""WITH {CROSS}, sd AS (SELECT Date, sector, {part('r1 > 0')} AS advance, {part('above')} AS participation, avg(r20) AS momentum FROM cs JOIN ({universe}) u USING (symbol) WHERE sector IS NOT NULL GROUP BY Date, sector), {place('sd', 'momentum', 'Date sector', 'k')}
+SELECT Date, sector, round(advance, 6) AS sector_breadth_advance_pct, round(participation, 6) AS sector_participation_sma50_pct, round(momentum, 6) AS sector_momentum_mean_20, round(k.v, 6) AS sector_momentum_rank_20 FROM sd LEFT JOIN k USING (Date, sector)"""

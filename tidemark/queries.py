@@ -48,8 +48,9 @@ add("indicators_ranges", lambda s, d: sequential.ranges(source.from_trades(s, d)
 add("indicators_macd", lambda s, d: sequential.macd(source.from_trades(s, d), 6), sequential.macd_sql(source.oracle_bars()))
 add("indicators_rsi", lambda s, d: sequential.rsi_family(source.from_trades(s, d), (2, 14, 50), digits=6), sequential.rsi_sql(source.oracle_bars(), (2, 14, 50)))
 add("indicators_rsi_all", lambda s, d: sequential.rsi_family(source.from_trades(s, d), digits=6))
+_CROSS_BY_HAND = {"strength_ranks": oracles.strength_ranks(), "breadth": oracles.breadth(), "sectors": oracles.sectors(source.universe_sql())}
 for _n, _v in cross_section.VIEWS.items():
-    add(f"cross_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, "SELECT * FROM {bars}", "SELECT * FROM {universe}"), bars=source.from_trades(s, d), universe=source.universe(s)), _v(DUCK, source.oracle_bars(), source.universe_sql()))
+    add(f"cross_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, "SELECT * FROM {bars}", "SELECT * FROM {universe}"), bars=source.from_trades(s, d), universe=source.universe(s)), _CROSS_BY_HAND.get(_n) or _v(DUCK, source.oracle_bars(), source.universe_sql()))
 _T, _B, _U = "SELECT * FROM {scored}", "SELECT * FROM {bars}", "SELECT * FROM {universe}"
 
 
