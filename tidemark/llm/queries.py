@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html, langid, ngram_join, packing, quality, sharding, toxicity
+from . import ball_tree, bpe, chat, fingerprint, html, langid, ngram_join, packing, quality, sharding, toxicity, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -65,6 +65,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(more)))
 
 
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ball_tree.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+    decimal = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(decimal.cast("binary"), 256).alias("centroid_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -76,6 +86,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_html": op9_html,
     "op10_chat": op10_chat,
+    "op12_clustering": op12_clustering,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -95,3 +107,24 @@ UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL S
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
 CAST(sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars, false AS rewrites FROM turns GROUP BY conv_id"""
+
+# Lloyd steps over whole numbers; a floor division that is exact for negative sums
+ORACLE_SQL["op12_clustering"] = r"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT 16)),
+""" + "".join(
+    f"""a{r} AS (SELECT vec_id, x, j, d FROM (SELECT v.vec_id, v.x, c.j, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d, row_number() OVER (PARTITION BY v.r ORDER BY d, c.j) AS k
+FROM (SELECT *, row_number() OVER () AS r FROM v) v CROSS JOIN c{r} c) WHERE k = 1),
+"""
+    + (
+        f"""s{r} AS (SELECT j, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, LATERAL (SELECT unnest(range(1, 65)) AS i) t GROUP BY j, i),
+m{r} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{r} GROUP BY j),
+c{r + 1} AS (SELECT c{r}.j, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} ON m{r}.j = c{r}.j),
+"""
+        if r < 3
+        else ""
+    )
+    for r in range(4)
+) + """t AS (SELECT j, sum(d) AS d FROM a3 GROUP BY j)
+SELECT a3.vec_id, CAST(a3.j AS INTEGER) AS cluster, CAST(a3.d AS BIGINT) AS distance, CAST(t.d AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM t) AS BIGINT) AS inertia,
+sha256(array_to_string(c3.x, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON c3.j = a3.j JOIN t ON t.j = a3.j"""
