@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, bpe, chat, fingerprint, html, langid, ngram_join, packing, quality, sharding, toxicity, whitening
+from . import ball_tree, bpe, chat, fingerprint, html, langid, ngram_join, packing, quality, repeats, sharding, toxicity, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -65,6 +65,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(more)))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.repeats(table(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ball_tree.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
     decimal = F.array_join(F.col("centroid").cast("array<string>"), ",")
@@ -86,6 +92,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_html": op9_html,
     "op10_chat": op10_chat,
+    "op11_repeats": op11_repeats,
     "op12_clustering": op12_clustering,
     "op13_whitening": op13_whitening,
 }
