@@ -121,3 +121,57 @@ round(stddev_samp(r20), 6) AS breadth_dispersion_20, round(skewness(r20), 4) AS
 def sectors(universe: str) -> str:
     return f"""WITH {CROSS}, sd AS (SELECT Date, sector, {part('r1 > 0')} AS advance, {part('above')} AS participation, avg(r20) AS momentum FROM cs JOIN ({universe}) u USING (symbol) WHERE sector IS NOT NULL GROUP BY Date, sector), {place('sd', 'momentum', 'Date sector', 'k')}
 SELECT Date, sector, round(advance, 6) AS sector_breadth_advance_pct, round(participation, 6) AS sector_participation_sma50_pct, round(momentum, 6) AS sector_momentum_mean_20, round(k.v, 6) AS sector_momentum_rank_20 FROM sd LEFT JOIN k USING (Date, sector)"""
+
+
+def forward_log(prefix: str = "", sessions: str | None = None, bars: str = "plain") -> str:
+    """Tables sig, path, pos and events of the forward log, over scored and plain: joins of numbered bars."""
+    only = f"WHERE s.Date IN ({sessions})" if sessions else ""
+    sha = lambda kind, when, suffix: f"sha256(concat_ws('|', '{prefix}{kind}', CAST({when} AS VARCHAR), upper(symbol), direction, model_id, snapshot, {suffix}))"
+    row = lambda kind, when, suffix, source="NULL::VARCHAR", price="NULL::DOUBLE", tp="NULL::DOUBLE", sp="NULL::DOUBLE", mark="NULL::DOUBLE", mfe="NULL::DOUBLE", mae="NULL::DOUBLE", why="NULL::VARCHAR", gross="NULL::DOUBLE", net="NULL::DOUBLE": f"SELECT '{prefix}{kind}' AS event_type, {when} AS as_of, symbol, direction, model_id, snapshot, {sha(kind, when, suffix)} AS unique_key, {source} AS source_key, 5 AS horizon, {price} AS price, {tp} AS target_price, {sp} AS stop_price, {mark} AS mark_return, {mfe} AS mfe, {mae} AS mae, {why} AS reason, {gross} AS gross_return, {net} AS net_return"
+    return f"""nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY Date) AS rn FROM {bars}),
+sig AS (SELECT s.symbol, s.Date AS sd, CASE WHEN x1 >= 0 THEN 'Bullish' ELSE 'Bearish' END AS direction, CASE WHEN x1 >= 0 THEN 1 ELSE -1 END AS side, scope AS model_id, 'scan-' || CAST(s.Date AS VARCHAR) AS snapshot, (CASE WHEN x1 >= 0 THEN p ELSE 1 - p END) >= 0.55 AS live,
+greatest(er, greatest(emfe, 0) * 0.5, 0.005) AS up, greatest(abs(emae), 0.005) AS down, b.rn FROM scored s JOIN nb b ON b.symbol = s.symbol AND b.Date = s.Date {only}),
+pos AS (SELECT *, {sha("ENTRY_PENDING", "sd", "'h5'")} AS id FROM (SELECT g.*, e.Date AS ed, e.Open AS entry, e.Open * (1 + side * up) AS tp, e.Open * (1 - side * down) AS sp FROM sig g LEFT JOIN nb e ON e.symbol = g.symbol AND e.rn = g.rn + 1 WHERE live)),
+held AS (SELECT p.*, b.rn - p.rn AS k, b.Date AS bd, b.High AS hi, b.Low AS lo, b.Close AS c, CASE WHEN side > 0 THEN b.Low <= sp ELSE b.High >= sp END AS at_s, CASE WHEN side > 0 THEN b.High >= tp ELSE b.Low <= tp END AS at_t FROM pos p JOIN nb b ON b.symbol = p.symbol AND b.rn BETWEEN p.rn + 1 AND p.rn + 5),
+ends AS (SELECT id, min(k) FILTER (WHERE at_s OR at_t) AS hit, max(k) AS n FROM held GROUP BY id),
+kept AS (SELECT h.*, coalesce(hit, n) AS last, hit IS NOT NULL OR n = 5 AS done, max(hi) OVER w AS h_, min(lo) OVER w AS l_ FROM held h JOIN ends USING (id) WHERE k <= coalesce(hit, n) WINDOW w AS (PARTITION BY id ORDER BY k)),
+marks AS (SELECT *, CASE WHEN side > 0 THEN c / entry - 1 ELSE entry / c - 1 END AS mr, CASE WHEN side > 0 THEN h_ / entry - 1 ELSE entry / l_ - 1 END AS best, CASE WHEN side > 0 THEN l_ / entry - 1 ELSE entry / h_ - 1 END AS worst FROM kept),
+outs AS (SELECT *, CASE WHEN side > 0 THEN px / entry - 1 ELSE entry / px - 1 END AS gross FROM (SELECT *, CASE WHEN at_s THEN sp WHEN at_t THEN tp ELSE c END AS px, CASE WHEN at_s AND at_t THEN 'stop_intraday_ambiguous' WHEN at_s THEN 'stop' WHEN at_t THEN 'target' ELSE 'time_exit' END AS why FROM marks WHERE k = last AND done)),
+events AS ({row("SIGNAL_REJECTED", "sd", "'h5'")} FROM sig WHERE NOT live UNION ALL {row("SIGNAL_CREATED", "sd", "'h5'")} FROM sig WHERE live UNION ALL {row("ENTRY_PENDING", "sd", "'h5'")} FROM sig WHERE live
+UNION ALL {row("ENTRY_FILLED", "ed", "id, 'h5'", "id", "entry", "tp", "sp")} FROM pos WHERE ed IS NOT NULL UNION ALL {row("TARGET_UPDATED", "ed", "id, 'TARGET_UPDATED'", "id", "tp")} FROM pos WHERE ed IS NOT NULL UNION ALL {row("STOP_UPDATED", "ed", "id, 'STOP_UPDATED'", "id", "sp")} FROM pos WHERE ed IS NOT NULL
+UNION ALL {row("POSITION_MARKED", "bd", "id, CAST(bd AS VARCHAR)", "id", "c", mark="mr", mfe="best", mae="worst")} FROM marks
+UNION ALL {row("EXIT_FILLED", "bd", "id", "id", "px", mark="mr", mfe="best", mae="worst", why="why", gross="gross", net="gross - 0.0005")} FROM outs)"""
+
+
+LOG_ROW = "event_type, as_of, symbol, direction, model_id, snapshot, unique_key, source_key, horizon, round(price + 1.23e-7, 4) AS price, round(target_price + 1.23e-7, 4) AS target_price, round(stop_price + 1.23e-7, 4) AS stop_price, round(mark_return, 6) AS mark_return, round(mfe, 6) AS mfe, round(mae, 6) AS mae, reason, round(gross_return, 6) AS gross_return, round(net_return, 6) AS net_return"
+
+
+def forward_positions() -> str:
+    return """SELECT id AS position, symbol, direction, model_id, sd AS signal_date, ed AS entry_date, round(entry + 1.23e-7, 4) AS entry_price, o.bd AS exit_date, round(o.px + 1.23e-7, 4) AS exit_price, o.why AS exit_reason, round(o.gross - 0.0005, 6) AS net_return, coalesce(m.n, 0) AS n_marks,
+CASE WHEN o.bd IS NOT NULL THEN 'EXIT_FILLED' WHEN ed IS NOT NULL THEN 'ENTRY_FILLED' ELSE 'ENTRY_PENDING' END AS status FROM pos LEFT JOIN (SELECT id, bd, px, why, gross FROM outs) o USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM marks GROUP BY id) m USING (id)"""
+
+
+def holdout(received: str, baseline: str, created: str, least: dict[str, int]) -> dict[str, str]:
+    """Sessions, log, states, gates and evaluation of a holdout run named ``run``."""
+    found = f"""got AS (SELECT Date, count(*) AS n_rows, bool_or(available_at IS NULL) AS unknown, min(available_at) AS first_at FROM ({received}) r WHERE Date > DATE '{baseline}' GROUP BY Date),
+ses AS (SELECT Date, n_rows, NOT unknown AND first_at > TIMESTAMP '{created}' AS available, CASE WHEN unknown THEN 'FINAL_HOLDOUT_BACKFILL_BLOCKED: incomplete ingestion provenance' WHEN first_at <= TIMESTAMP '{created}' THEN 'FINAL_HOLDOUT_BACKFILL_BLOCKED: session was locally available before run creation' ELSE 'ok' END AS reason FROM got),
+seen AS (SELECT * FROM plain WHERE Date <= (SELECT max(Date) FROM ses WHERE available)), {forward_log("FINAL_HOLDOUT_", "SELECT Date FROM ses WHERE available", "seen")}"""
+    short = {"calendar_months": "calendar_months", "matured": "matured_outcomes", "negative": "negative_outcomes", "observation_sessions": "observation_sessions", "positive": "positive_outcomes", "signal_dates": "distinct_signal_dates"}
+    enough = " AND ".join(f"{c} >= {least[c]}" for c in short.values()) + " AND blocked_backfills = 0"
+    rest = ", ".join(f"CASE WHEN {c} < {least[c]} THEN '{n}:' || CAST({least[c]} - {c} AS VARCHAR) END" for n, c in short.items())
+    state = f"""{found}, mods AS (SELECT DISTINCT model_id FROM sig), agg AS (SELECT model_id, count(*) AS matured_outcomes, count(DISTINCT sd) AS distinct_signal_dates, count(DISTINCT strftime(bd, '%Y-%m')) AS calendar_months, count(*) FILTER (WHERE why = 'target') AS positive_outcomes, count(*) FILTER (WHERE why <> 'target') AS negative_outcomes, avg(gross - 0.0005) AS mean_net_return FROM outs GROUP BY model_id),
+open_ AS (SELECT model_id, count(*) FILTER (WHERE ed IS NULL) AS pending_entries, count(*) FILTER (WHERE ed IS NOT NULL AND id NOT IN (SELECT id FROM outs)) AS open_positions FROM pos GROUP BY model_id),
+st0 AS (SELECT 'run' AS run_id, model_id, coalesce(matured_outcomes, 0) AS matured_outcomes, coalesce(distinct_signal_dates, 0) AS distinct_signal_dates, coalesce(calendar_months, 0) AS calendar_months, coalesce(positive_outcomes, 0) AS positive_outcomes, coalesce(negative_outcomes, 0) AS negative_outcomes, coalesce(pending_entries, 0) AS pending_entries, coalesce(open_positions, 0) AS open_positions, mean_net_return,
+(SELECT count(*) FILTER (WHERE available) FROM ses) AS observation_sessions, (SELECT count(*) FILTER (WHERE NOT available) FROM ses) AS blocked_backfills FROM mods LEFT JOIN agg USING (model_id) LEFT JOIN open_ USING (model_id)),
+st AS (SELECT *, blocked_backfills AS invalidated_outcomes, {enough} AS sample_sufficient, matured_outcomes >= {least["early_matured_outcomes"]} AND distinct_signal_dates >= {least["early_distinct_signal_dates"]} AS early_diagnostic_available, concat_ws('; ', {rest}) AS rest FROM st0)"""
+    out = "SELECT run_id, model_id, matured_outcomes, distinct_signal_dates, calendar_months, positive_outcomes, negative_outcomes, pending_entries, open_positions, round(mean_net_return, 6) AS mean_net_return, observation_sessions, blocked_backfills, invalidated_outcomes, sample_sufficient, early_diagnostic_available, CASE WHEN sample_sufficient THEN 'READY_FOR_EVALUATION' WHEN early_diagnostic_available THEN 'EARLY_DIAGNOSTIC_AVAILABLE' ELSE 'COLLECTING' END AS status, CASE WHEN rest = '' THEN 'ready' ELSE rest END AS remaining FROM st"
+    names = [("matured_outcomes", "matured_outcomes_min_100"), ("distinct_signal_dates", "distinct_signal_dates_min_60"), ("observation_sessions", "observation_sessions_min_126"), ("calendar_months", "calendar_months_min_4"), ("positive_outcomes", "positive_class_min_20"), ("negative_outcomes", "negative_class_min_20")]
+    each = [f"SELECT run_id, model_id, 'final_holdout_{g}' AS gate_id, '{m}' AS metric, '>=' AS comparator, {least[m]}::BIGINT AS threshold, {m}::BIGINT AS actual, CASE WHEN {m} >= {least[m]} THEN 'PASS' ELSE 'FAIL' END AS status FROM st" for m, g in names]
+    each += [f"SELECT run_id, model_id, 'final_holdout_{g}', '{m}', '==', 0, {m}, CASE WHEN {m} = 0 THEN 'PASS' ELSE 'FAIL' END FROM st" for g, m in (("backfill_absent", "blocked_backfills"), ("data_integrity_valid", "invalidated_outcomes"))]
+    each += ["SELECT run_id, model_id, 'final_holdout_sample_sufficient', 'sample_sufficient', 'is true', 1, sample_sufficient::INT, CASE WHEN sample_sufficient THEN 'PASS' ELSE 'FAIL' END FROM st"]
+    blocked = "SELECT 'FINAL_HOLDOUT_DATA_INVALIDATED' AS event_type, Date AS as_of, 'RUN' AS symbol, 'n/a' AS direction, 'run' AS model_id, NULL AS snapshot, sha256('FINAL_HOLDOUT_DATA_INVALIDATED|' || CAST(Date AS VARCHAR) || '|RUN|n/a|run||run|' || CAST(Date AS VARCHAR)) AS unique_key, NULL AS source_key, NULL AS horizon, NULL AS price, NULL AS target_price, NULL AS stop_price, NULL AS mark_return, NULL AS mfe, NULL AS mae, reason, NULL AS gross_return, NULL AS net_return FROM ses WHERE NOT available"
+    return {
+        "sessions": f", {found} SELECT Date, n_rows, available, reason FROM ses", "log": f", {found} SELECT {LOG_ROW} FROM events UNION ALL {blocked}", "states": f", {state} {out}", "gates": f", {state} " + " UNION ALL ".join(each),
+        "evaluation": f", {state}, able AS (SELECT bool_or(early_diagnostic_available OR sample_sufficient) AS a FROM st) SELECT run_id, model_id, matured_outcomes, CASE WHEN a THEN round(mean_net_return, 6) END AS mean_net_return, false AS promotable, CASE WHEN NOT a THEN 'EVALUATION_BLOCKED' WHEN sample_sufficient THEN 'READY_FOR_EVALUATION' WHEN early_diagnostic_available THEN 'EARLY_DIAGNOSTIC_AVAILABLE' ELSE 'COLLECTING' END AS status FROM st, able",
+    }
+

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.dialect import DUCK, SPARK
 from tidemark import oracles, streaming
-from tidemark.operators import analogs, audit, backtest, cross_section, discovery, events, features, frame, governance, labels, metrics, models, selection, sequential
+from tidemark.operators import analogs, audit, backtest, cross_section, discovery, events, features, forward, frame, governance, holdout, labels, metrics, models, selection, sequential
 from tidemark.sources import bars as source
+from tidemark.streaming import forward as forward_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -112,6 +115,44 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("analogs_vectors", vectors, analogs.VECTORS_SQL)
 for _n, _v in events.VIEWS.items():
     add_scored(f"events_{_n}", _v, bars=True)
+
+
+def shown(log: DataFrame) -> DataFrame:
+    """Prices have few decimals, so many lie between two roundings: they are moved off by a little first."""
+    prices = [c for c in log.columns if c.endswith("price")]
+    return rounded(log.withColumns({c: F.col(c) + 1.23e-7 for c in prices}), **{c: 4 for c in prices})
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forward.signals(scored_rows(spark, sf_dir))
+
+
+def kept_events(sql: str) -> str:
+    """An oracle over the tables of the forward log."""
+    return over_scored(f", {oracles.forward_log()} {sql}")
+
+
+_LOG_SQL = kept_events(f"SELECT {oracles.LOG_ROW} FROM events")
+add("forward_log", lambda s, d: shown(forward.log(source.from_trades(s, d), scans(s, d))), _LOG_SQL)
+add("forward_stream", lambda s, d: shown(forward_stream.replayed(source.from_trades(s, d), scans(s, d))), _LOG_SQL)
+add("forward_positions", lambda s, d: shown(forward.positions(forward.log(source.from_trades(s, d), scans(s, d)))), kept_events(oracles.forward_positions()))
+RUN = holdout.Run("run", dt.datetime(1997, 1, 15), dt.date(1996, 12, 31))
+
+
+def holdout_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return holdout.log(source.from_trades(spark, sf_dir), scans(spark, sf_dir), source.received(spark, sf_dir), RUN)
+
+
+def holdout_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(holdout.states(holdout_log(spark, sf_dir), source.received(spark, sf_dir), RUN))
+
+
+_HOLDOUT_SQL = oracles.holdout(source.received_sql(DUCK), "1996-12-31", "1997-01-15 00:00:00", asdict(RUN.policy))
+add("holdout_sessions", lambda s, d: holdout.sessions(source.received(s, d), RUN), over_scored(_HOLDOUT_SQL["sessions"]))
+add("holdout_log", lambda s, d: shown(holdout_log(s, d)), over_scored(_HOLDOUT_SQL["log"]))
+add("holdout_states", holdout_states, over_scored(_HOLDOUT_SQL["states"]))
+add("holdout_gates", lambda s, d: holdout.gates(holdout_states(s, d), RUN), over_scored(_HOLDOUT_SQL["gates"]))
+add("holdout_evaluation", lambda s, d: holdout.evaluated(holdout_states(s, d), RUN, diagnostic_only=True), over_scored(_HOLDOUT_SQL["evaluation"]))
 for _n, _v in audit.VIEWS.items():
     add(f"audit_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, _B), bars=source.from_trades(s, d)), _v(DUCK, source.oracle_bars()))
 add("stream_deduplicated", lambda s, d: streaming.deduplicated(s.read.parquet(f"{d}/events.parquet").unionByName(s.read.parquet(f"{d}/events.parquet"))).select("event_id", "user_id", "event_type", F.round("value", 4).alias("value")), "SELECT DISTINCT event_id, user_id, event_type, round(value, 4) AS value FROM events")

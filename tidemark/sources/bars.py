@@ -37,6 +37,16 @@ def from_trades(spark: SparkSession, sf_dir: str, symbols: int = 8) -> DataFrame
     return spark.sql(trades_sql(SPARK, symbols), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")).persist()
 
 
+def received(spark: SparkSession, sf_dir: str, symbols: int = 8) -> DataFrame:
+    """When the last trade of each bar of ``from_trades`` was received: symbol, Date, available_at. The trade table has no such
+    time; orders stand in for it, each received up to 19 days after the trade."""
+    return spark.sql(received_sql(SPARK, symbols), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def received_sql(d: Dialect, symbols: int = 8) -> str:
+    return f"SELECT concat('S', CAST(l_suppkey % {symbols} AS VARCHAR(20))) AS symbol, CAST(l_shipdate AS DATE) AS Date, max(CAST(CAST(l_shipdate AS DATE) + CAST(l_orderkey % 20 AS INT) AS TIMESTAMP)) AS available_at FROM {d.table('lineitem')} GROUP BY 1, 2"
+
+
 def oracle_bars(symbols: int = 8) -> str:
     return trades_sql(DUCK, symbols)
 
