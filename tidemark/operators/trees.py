@@ -190,11 +190,10 @@ def histograms(rows: DataFrame, wanted: list[Wanted], recent: dict[int, list[Tre
                         if not len(mine):
                             continue
                         held = sums.setdefault(slots[k][node], np.zeros((3, p, bins)))
-                        for f in some:
-                            b = xu[mine, f]
-                            held[0, f] += np.bincount(b, minlength=bins)
-                            held[1, f] += np.bincount(b, g[mine], bins)
-                            held[2, f] += np.bincount(b, h[mine], bins)
+                        cell = (xu[np.ix_(mine, some)] + np.arange(len(some)) * bins).ravel()
+                        for j, weight in enumerate((None, g[mine], h[mine])):
+                            got = np.bincount(cell, None if weight is None else np.repeat(weight, len(some)), len(some) * bins)
+                            held[j, some] += got.reshape(-1, bins)
         for slot, held in sums.items():
             cell = np.flatnonzero(held[0].reshape(-1))
             flat = held.reshape(3, -1)[:, cell].astype(np.int64)
@@ -220,29 +219,28 @@ class Split:
 def best_split(hist: np.ndarray, l2: float, least: int, features: list[int], some_bins: dict[int, list[int]] | None = None) -> Split | None:
     """The split of the largest gain; of equal ones the first feature, the smallest bin, missing to the left. some_bins: which bins may be
     the last of the left side."""
-    n, g, h = hist[0], hist[1] / SCALE, hist[2] / SCALE
-    best = None
-    for f in features:
-        total_n, total_g, total_h = n[f].sum(), g[f].sum(), h[f].sum()
-        whole = total_g * total_g / (total_h + l2)
-        for missing in (True, False):
-            if not missing and not n[f, 0]:
-                continue
-            first = 0 if missing else 1
-            left_n, left_g, left_h = (np.cumsum(v[f, first:]) for v in (n, g, h))
-            right_n, right_g, right_h = total_n - left_n, total_g - left_g, total_h - left_h
-            ok = (left_n >= least) & (right_n >= least) & (left_h >= LEAST_HESSIAN) & (right_h >= LEAST_HESSIAN)
-            if some_bins is not None:
-                may = np.zeros(len(ok), bool)
-                may[[b - first for b in some_bins[f] if b >= first]] = True
-                ok &= may
-            if not ok.any():
-                continue
-            gain = np.where(ok, left_g**2 / np.where(ok, left_h + l2, 1) + right_g**2 / np.where(ok, right_h + l2, 1) - whole, -np.inf)
-            k = int(gain.argmax())
-            if gain[k] > 1e-10 and (best is None or gain[k] > best.gain):
-                best = Split(float(gain[k]), f, k + first, missing)
-    return best
+    n, g, h = hist[0][features], hist[1][features] / SCALE, hist[2][features] / SCALE
+    total_n, total_g, total_h = (v.sum(1)[:, None, None] for v in (n, g, h))
+    sides = []  # of each feature: missing to the left, to the right
+    for v in (n, g, h):
+        known = v.copy()
+        known[:, 0] = 0
+        sides.append(np.cumsum(np.stack([v, known], 1), 2))
+    left_n, left_g, left_h = sides
+    right_n, right_g, right_h = total_n - left_n, total_g - left_g, total_h - left_h
+    ok = (left_n >= least) & (right_n >= least) & (left_h >= LEAST_HESSIAN) & (right_h >= LEAST_HESSIAN)
+    ok[:, 1] &= n[:, :1] > 0
+    ok[:, 1, 0] = False
+    if some_bins is not None:
+        may = np.zeros((len(features), 1, n.shape[1]), bool)
+        for k, f in enumerate(features):
+            may[k, 0, some_bins[f]] = True
+        ok &= may
+    if not ok.any():
+        return None
+    gain = np.where(ok, left_g**2 / np.where(ok, left_h + l2, 1) + right_g**2 / np.where(ok, right_h + l2, 1) - total_g**2 / np.maximum(total_h + l2, 1e-300), -np.inf)
+    k, side, bin_ = np.unravel_index(int(gain.argmax()), gain.shape)
+    return Split(float(gain[k, side, bin_]), features[k], int(bin_), side == 0) if gain[k, side, bin_] > 1e-10 else None
 
 
 def sums_of(hist: np.ndarray) -> tuple[float, float]:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dialect import DUCK, SPARK
 from tidemark import oracles, streaming
-from tidemark.operators import analogs, audit, backtest, cross_section, discovery, events, features, forward, frame, governance, holdout, labels, metrics, models, selection, sequential
+from tidemark.operators import analogs, audit, backtest, cross_section, discovery, events, features, forward, frame, governance, holdout, importance, labels, metrics, models, screening, selection, sequential, trees
 from tidemark.sources import bars as source
+from tidemark.sources import shared
 from tidemark.streaming import forward as forward_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,6 +220,67 @@ def discovery_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.discovered(rows, {"POOLED": (), "stock": ("stock",)}, (5,), DISCOVERY_FEATURES, "1996-01-01")
 
 
+def learning(spark: SparkSession, sf_dir: str, of: list[str], feature_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows to learn from (outcome known before 1996) and to judge on, a unit a scope: 0 is POOLED, the others by role."""
+    bars, universe = source.from_trades(spark, sf_dir), source.universe(spark)
+    outcomes = labels.LABELS[5].rounded(bars).select("symbol", "Date", F.col("label_end_date").alias("end"), F.col("label_bull_positive_return_5").cast("double").alias("y"))
+    rows = feature_rows.select("symbol", "Date", *of).join(outcomes, ["symbol", "Date"]).join(F.broadcast(universe.select("symbol", "role")), "symbol").filter("y IS NOT NULL")
+    roles = [r.role for r in universe.select("role").distinct().orderBy("role").collect()]  # a few scopes
+    own = F.element_at(F.create_map(*(F.lit(x) for k, r in enumerate(roles) for x in (r, k + 1))), F.col("role"))
+    rows = rows.withColumn("unit", F.explode(F.array(F.lit(0), own)))
+    return rows.filter("end < '1996-01-01'"), rows.filter("Date >= '1996-01-01'")
+
+
+LEARNED_FROM = ("returns", "trend", "volatility")
+
+
+def _learned(spark: SparkSession, sf_dir: str, fit) -> tuple[DataFrame, dict[int, trees.Model], list[str]]:
+    """Holdout rows in bins, the models of all scopes, and the features."""
+    bars = source.from_trades(spark, sf_dir)
+    parts = [features.FAMILIES[n].rounded(bars) for n in LEARNED_FROM]
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.join(more.select("symbol", "Date", *(c for c in more.columns if c not in whole.columns)), ["symbol", "Date"])
+    of = frame.numeric_features(whole.drop("Close", "Volume"))
+    train, test = learning(spark, sf_dir, of, whole)
+    train = shared.written(train, "learning")
+    cuts = trees.cut_points(train, of)
+    models_ = fit(trees.binned(train, of, cuts, ["unit", "y"]), len(of), 66)
+    return shared.written(trees.binned(test, of, cuts, ["unit", "symbol", "Date", "y"]), "judging"), models_, of
+
+
+def _tree_predictions(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
+    rows, models_, of = _learned(spark, sf_dir, fit)
+    return rounded(trees.predicted(rows, models_, len(of), ["unit", "symbol", "Date", "y"]))
+
+
+_BOOST = lambda r, p, b: trees.boosted(r, p, b, trees.Boosting())
+add("model_histogram_boosting", lambda s, d: _tree_predictions(s, d, _BOOST))
+_FOREST = lambda r, p, b: trees.randomised(r, p, b, trees.Randomised())
+add("model_randomised_trees", lambda s, d: _tree_predictions(s, d, _FOREST))
+
+
+def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature with what its family adds up to beside it; of forests, which take a few jobs to grow."""
+    rows, models_, of = _learned(spark, sf_dir, _FOREST)
+    found = shared.written(importance.importance(rows, models_, of, ["symbol", "Date"]), "importance")
+    family = {c: n for n in LEARNED_FROM for c in features.FAMILIES[n].keep}
+    named = F.element_at(F.create_map(*(F.lit(x) for pair in family.items() for x in pair)), F.col("feature"))
+    return found.withColumn("family", named).join(importance.by_family(found, family).select("unit", "family", "sum_delta", "positive_sum_delta", "top_feature"), ["unit", "family"])
+
+
+add("model_importance", lambda s, d: rounded(_importance(s, d)))
+
+
+def feature_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All numeric features of the panel, on rows of all scopes whose outcome was known before 1996."""
+    panel = frame.feature_panel(source.from_trades(spark, sf_dir), source.universe(spark))
+    of = [c for c in frame.numeric_features(panel) if c not in ("Close", "Volume")]
+    train, _ = learning(spark, sf_dir, of, panel)
+    return rounded(screening.screened(shared.written(train.filter("unit = 0"), "screening"), of, "y"))
+
+
+add("model_feature_screen", feature_screen)
 DISCOVERY_FEATURES = ["return_5", "return_20", "distance_sma_20", "realized_vol_20", "relative_volume_20", "close_position"]
 add("model_discovery", discovery_loop)
 
