@@ -8,13 +8,13 @@ More targets than one broadcast should hold go block by block, each with a scan
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.sources.shared import shared_dir
 from tidemark.functions.dialect import Dialect
 
 #: Targets that are broadcast at a time, about.
@@ -76,18 +76,12 @@ def nearest_vectors(vectors: DataFrame, targets: DataFrame, k: int = 5) -> DataF
     blocks = -(-targets.count() // BLOCK_TARGETS)
     if blocks <= 1:
         return _nearest(vectors, targets, k)
-    spark, out = vectors.sparkSession, f"{_shared(vectors.sparkSession)}/tidemark/analogs-{uuid.uuid4().hex}"
+    spark, out = vectors.sparkSession, f"{shared_dir(vectors.sparkSession)}/tidemark/analogs-{uuid.uuid4().hex}"
     for b in range(blocks):
         _nearest(vectors, targets.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), k).write.mode("append").parquet(out)
     return spark.read.parquet(out)
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
-
-
 def _nearest(vectors: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     t = F.broadcast(targets.select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("target")))
     square = F.aggregate(F.zip_with("embedding", "target", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)

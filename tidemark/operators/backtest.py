@@ -318,7 +318,7 @@ def planned_trades(bars: DataFrame, candidates: DataFrame, config: Portfolio) ->
         left = left.sort_values("Date").reset_index(drop=True)
         at, out = {d: k for k, d in enumerate(left["Date"])}, []
         o, h, low, c = (left[x].to_numpy(dtype=float) for x in ("Open", "High", "Low", "Close"))
-        w_, slip = weight(c), 2 * config.slippage_bps / 1e4
+        w_, slip = weight(c), config.slippage_bps / 1e4  # of the whole trade
         for row in right.itertuples():
             k = at.get(row.Date)
             end = None if k is None else min(k + config.horizon, len(left) - 1)

@@ -78,10 +78,12 @@ def top_by_direction(d: Dialect, t: str, k: int = 20) -> str:
 
 
 def hypothesis_caps(d: Dialect, t: str, k: int = CAP) -> str:
-    """Candidates of a hypothesis (scope and direction) in a month beyond its cap stay, as rejected by it."""
-    q = f"SELECT symbol, Date, scope, direction, score, {d.ym('Date')} AS month FROM ({decided(d, t)}) x WHERE status = 'SHADOW_ONLY'"
-    rk = f"SELECT *, row_number() OVER (PARTITION BY scope, direction, month ORDER BY score DESC, symbol, Date) AS rk FROM ({q}) q"
-    return f"SELECT symbol, Date, scope, direction, month, CAST(rk AS INT) AS rk, CASE WHEN rk <= {k} THEN 'CANDIDATE' ELSE 'REJECTED' END AS status, CASE WHEN rk > {k} THEN 'candidate_cap_per_hypothesis' ELSE '' END AS reason FROM ({rk}) r"
+    """Candidates of a hypothesis (scope and direction; ``t`` is a snapshot) beyond its cap stay, as rejected by policy. Missing scores come last, as -1."""
+    q = f"SELECT symbol, Date, scope, direction, decision, status, coalesce(score, -1) AS score FROM ({decided(d, t)}) x WHERE decision = 'BUY_CANDIDATE' OR decision = 'SELL_SHORT_CANDIDATE'"
+    kept = f"SELECT symbol AS k_symbol, Date AS k_date, scope AS k_scope FROM ({top_of('scope, direction', 'score DESC, symbol, Date', k, q)}) z"
+    over = "k_symbol IS NULL"
+    return f"""SELECT symbol, Date, scope, direction, CASE WHEN {over} THEN 'REJECTED_BY_POLICY' ELSE decision END AS decision, CASE WHEN {over} THEN 'REJECTED_BY_POLICY' ELSE status END AS status, CASE WHEN {over} THEN 'candidate_cap_per_hypothesis' ELSE '' END AS rejection_reason
+FROM ({q}) q LEFT JOIN ({kept}) c ON k_symbol = symbol AND k_date = Date AND k_scope = scope"""
 
 
 def blocked_targets(d: Dialect, t: str) -> str:
@@ -104,9 +106,10 @@ def best_family(d: Dialect, t: str) -> str:
 def drift(d: Dialect, t: str) -> str:
     """Features, probabilities, returns and calibration of recent rows against training rows, each with its limit."""
     both = lambda x, f="avg": tuple(f"{f}(CASE WHEN {w} THEN {x} END)" for w in (TRAIN, f"NOT ({TRAIN})"))
-    shift = " + ".join(f"abs({b} - {a}) / stddev_pop(CASE WHEN {TRAIN} THEN {x} END)" for x in FEATURES for a, b in (both(x),))
+    shift = " + ".join(f"coalesce(abs({b} - {a}) / nullif(stddev_pop(CASE WHEN {TRAIN} THEN {x} END), 0), 0)" for x in FEATURES for a, b in (both(x),))
+    varied = " + ".join(f"CASE WHEN stddev_pop(CASE WHEN {TRAIN} THEN {x} END) > 0 THEN 1 ELSE 0 END" for x in FEATURES)  # a feature that does not vary says nothing
     (pa, pb), (ra, rb), (ba, bb) = both("p"), both("r"), both("(p - y) * (p - y)")
-    one = f"SELECT ({shift}) / {len(FEATURES)} AS feature_distribution_mean_abs_z, abs({pb} - {pa}) AS prediction_probability_mean_shift, abs({rb} - {ra}) AS realized_performance_mean_return_shift, {bb} - {ba} AS calibration_brier_deterioration FROM ({t}) s"
+    one = f"SELECT ({shift}) / nullif({varied}, 0) AS feature_distribution_mean_abs_z, abs({pb} - {pa}) AS prediction_probability_mean_shift, abs({rb} - {ra}) AS realized_performance_mean_return_shift, {bb} - {ba} AS calibration_brier_deterioration FROM ({t}) s"
     limits = (("feature_distribution_mean_abs_z", 2.5), ("prediction_probability_mean_shift", 0.20), ("realized_performance_mean_return_shift", 0.02), ("calibration_brier_deterioration", 0.05))
     return " UNION ALL ".join(f"SELECT '{n}' AS metric, round({n}, 6) AS v, CAST({x} AS DOUBLE) AS threshold, CASE WHEN {n} > {x} THEN 1 ELSE 0 END AS alert FROM ({one}) o{k}" for k, (n, x) in enumerate(limits))
 
@@ -140,11 +143,18 @@ def contradictions(d: Dialect, t: str) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS check_name, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS n, coalesce(min(scope), '') AS example FROM ({g}) g{k} WHERE {w}" for k, (n, w) in enumerate(tests))
 
 
+def edge_label() -> str:
+    """What a model may be called (fixed labels), from promoted_at, state, eligible, holdout_status and run_status."""
+    return """CASE WHEN state IS NULL THEN 'RESEARCH ONLY' WHEN promoted_at IS NOT NULL OR (state = 'CHAMPION' AND eligible AND holdout_status = 'FINAL_HOLDOUT') THEN 'PROMOTED' WHEN holdout_status = 'FINAL_HOLDOUT' AND eligible THEN 'FINAL-HOLDOUT QUALIFIED'
+WHEN run_status IS NOT NULL AND NOT (run_status = 'INVALIDATED' OR run_status = 'CLOSED') THEN 'SHADOW VALIDATION' WHEN state = 'CANDIDATE' OR state = 'CHALLENGER' THEN 'DEVELOPMENT CANDIDATE' ELSE 'RESEARCH ONLY' END"""
+
+
 def edge_status(d: Dialect, t: str) -> str:
-    """What a scope's model may be called, by its gates and its last rows."""
-    held = f"SELECT scope, count(*) AS n, count(DISTINCT Date) AS dates FROM ({t}) h WHERE year(Date) >= 1997 GROUP BY scope"
-    q = f"SELECT p.scope, p.decision, coalesce(n, 0) AS n, coalesce(dates, 0) AS dates FROM ({metrics.promotion(d, t)}) p LEFT JOIN ({held}) h ON h.scope = p.scope"
-    return f"SELECT scope, decision, n, dates, CASE WHEN decision = 'ELIGIBLE' AND dates >= 120 THEN 'FINAL_HOLDOUT_QUALIFIED' WHEN dates > 0 AND decision = 'ELIGIBLE' THEN 'SHADOW_VALIDATION' WHEN dates > 0 THEN 'DEVELOPMENT_CANDIDATE' ELSE 'RESEARCH_ONLY' END AS edge_status FROM ({q}) q"
+    """A scope's model by its gates: eligible ones are challengers; a scope with rows from 1997 on has a holdout run, which is evaluated from 120 dates on."""
+    held = f"SELECT scope, count(DISTINCT Date) AS dates FROM ({t}) h WHERE year(Date) >= 1997 GROUP BY scope"
+    q = f"""SELECT p.scope, p.decision, coalesce(dates, 0) AS dates, p.decision = 'ELIGIBLE' AS eligible, CASE WHEN p.decision = 'ELIGIBLE' THEN 'CHALLENGER' ELSE 'CANDIDATE' END AS state, CAST(NULL AS TIMESTAMP) AS promoted_at,
+CASE WHEN dates >= 120 AND p.decision = 'ELIGIBLE' THEN 'FINAL_HOLDOUT' END AS holdout_status, CASE WHEN dates > 0 THEN 'COLLECTING' END AS run_status FROM ({metrics.promotion(d, t)}) p LEFT JOIN ({held}) h ON h.scope = p.scope"""
+    return f"SELECT scope, decision, state, dates, {edge_label()} AS edge_status FROM ({q}) q"
 
 
 VIEWS = {f.__name__: f for f in (decisions, blockers, blocker_report, top_by_direction, hypothesis_caps, blocked_targets, best_family, drift, live_bounds, contract, path_targets, contradictions, edge_status)}

@@ -69,17 +69,38 @@ def read_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataF
 
 
 def replaced(spark: SparkSession, path: str, write) -> None:
-    """Write beside a path, then put the result in its place: a crash leaves the old table or the new one."""
+    """Write beside a path, then put the result in its place. A step that fails raises, and the old table is put back;
+    the old one goes only once the new one is in place. A crash between the two renames leaves both tables beside the
+    path, under names that end in .old- and .new-; ``mended`` puts the old one back."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     new, old, at = (hadoop(f"{path.rstrip('/')}{end}") for end in (f".new-{uuid.uuid4().hex}", f".old-{uuid.uuid4().hex}", ""))
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    write(new.toString())
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
+    try:
+        write(new.toString())
+    except Exception:
+        fs.delete(new, True)
+        raise
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        fs.delete(new, True)
+        raise OSError(f"cannot move {at.toString()} aside; it is as it was")
+    if not fs.rename(new, at):
+        if had and not fs.rename(old, at):
+            raise OSError(f"cannot put {new.toString()} in place; the old table is {old.toString()}")
+        fs.delete(new, True)
+        raise OSError(f"cannot put a new table at {at.toString()}; it is as it was")
     fs.delete(old, True)
 
 
+def mended(spark: SparkSession, path: str) -> bool:
+    """After a crash between two renames: put the old table back where nothing is at the path. Whether that was so."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = hadoop(path.rstrip("/"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [] if fs.exists(at) else [s.getPath() for s in fs.globStatus(hadoop(f"{path.rstrip('/')}.old-*")) or []]
+    return len(old) == 1 and bool(fs.rename(old[0], at))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     replaced(df.sparkSession, path, lambda at: df.write.option("header", True).csv(at))
 
