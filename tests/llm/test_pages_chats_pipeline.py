@@ -2,6 +2,7 @@ import hashlib
 import random
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -272,3 +273,20 @@ def test_entry_without_this_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op') for n in q) and 'flagship' in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, timeout=120)
+
+
+@pytest.mark.parametrize("mark", ["<a ", "<!", '<a "', "</a ", "<a '", "<", "<?x ", "<a <!-", ">>> <a ", "<p>x<a ", "<![CDAT <b "])
+def test_broken_markup_takes_linear_time(mark):
+    """Megabytes of tags that never end; a > before or behind them changes nothing."""
+    began = time.process_time()
+    for page in (mark * (2_000_000 // len(mark)), "<p>one</p>" + mark * (1_000_000 // len(mark)), mark * (1_000_000 // len(mark)) + ">"):
+        html.parse(page)
+    assert time.process_time() - began < 12
+
+
+def test_what_never_ends():
+    texts = lambda page: "".join(x for x in html.parse(page).items if isinstance(x, str))
+    assert texts("<p><![CDATA[abcdef</p></article>") == "abcdef</p></article>"
+    assert texts("<p>a<![CDATA[b]]>c") == "abc" and texts("<p>a<![CDATA[b") == "ab" and texts("<p>x</p><![CDATA[a > b") == "xa > b"
+    assert texts("<p>a<!-- b > c") == "a" and texts("<p>a<!-- b -->c<!-- d") == "ac" and texts("<p>a<!-->b") == "a"
+    assert texts("<p>a < b <c") == "a < b <c" and texts("a <b c") == "a <b c"

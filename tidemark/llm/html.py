@@ -84,6 +84,8 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.S,
 )
+#: What may begin behind the last > of a page: it has no end there.
+ENDLESS = re.compile(r"<!--|<!\[CDATA\[")
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAMES = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -152,19 +154,28 @@ class Page:
 
 def parse(html: str) -> Page:
     page, at, n, lower = Page(), 0, len(html), None
-    match = TOKEN.search
+    last = html.rfind(">") + 1  # no tag ends behind it, so none is looked for there: each search ends at a tag, or is the last
     while at < n:
-        m = match(html, at)
+        m = TOKEN.search(html, at, last) if at < last else None
+        m = m or ENDLESS.search(html, max(at, last))
         if m is None:
             page.text(html[at:])
             break
         if m.start() > at:
             page.text(html[at : m.start()])
-        at = m.end()
+        at, whole = m.end(), m[0]
+        if whole.startswith("<!--"):
+            if not whole.endswith("-->") or len(whole) < 7:
+                break  # a comment to the end of the page
+            continue
+        if whole.startswith("<![CDATA["):
+            ended = whole.endswith("]]>") and len(whole) > 11
+            page.text((whole[9:-3] if ended else html[m.start() + 9 :]).replace("&", "&amp;"))
+            if not ended:
+                break
+            continue
         name = m[2] or m[5]
         if name is None:
-            if m[0].startswith("<![CDATA["):
-                page.text(m[0][9:-3].replace("&", "&amp;"))
             continue
         name = name.lower()
         if m[1] or m[4]:
