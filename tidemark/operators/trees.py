@@ -30,6 +30,8 @@ from tidemark.sources.shared import written
 SCALE = float(1 << 24)
 #: Least sum of second derivatives on a side.
 LEAST_HESSIAN = 1e-3
+#: Rows of one task of a pass: passes are many, so small tables take few tasks.
+TASK_ROWS = 50_000
 #: Trees after which the scores so far are written.
 EVERY = 12
 
@@ -297,7 +299,8 @@ def boosted(rows: DataFrame, p: int, bins: int, how: Boosting) -> dict[int, Mode
     base = {u: (math.log(m / (1 - m)) if 0 < m < 1 else math.copysign(20.0, m - 0.5)) if how.loss == "log_loss" else m for u, m in mean.items()}
     models = {u: Model(base[u], [], how.loss) for u in stats}
     start = F.element_at(F.create_map(*(F.lit(x) for u in base for x in (int(u), float(base[u])))), F.col("unit")) if base else F.lit(0.0)
-    table = written(rows.select("unit", "y", start.alias("score"), "bins"), "boosting")
+    tasks = -(-sum(n for n, _ in stats.values()) // TASK_ROWS) or 1
+    table = written(rows.select("unit", "y", start.alias("score"), "bins").repartition(tasks), "boosting")
     recent: dict[int, list[Tree]] = {u: [] for u in stats}
     for k in range(how.trees if stats else 0):
         growing = {u: Growing(how, p) for u in sorted(stats)}
@@ -351,8 +354,9 @@ def random_bins(hist: np.ndarray, features: list[int], seed: int, *of) -> dict[i
 
 def randomised(rows: DataFrame, p: int, bins: int, how: Randomised) -> dict[int, Model]:
     """A forest of extremely randomised trees of each unit, all trees of all units a level at a time. Its prediction is the mean of leaves' means."""
-    units = sorted(r.unit for r in rows.select("unit").distinct().collect())
-    table = written(rows.select("unit", "y", F.lit(0.0).alias("score"), "bins"), "randomised")
+    sizes = {r.unit: r["count"] for r in rows.groupBy("unit").count().collect()}  # a row a unit
+    units, tasks = sorted(sizes), -(-sum(sizes.values()) // TASK_ROWS) or 1
+    table = written(rows.select("unit", "y", F.lit(0.0).alias("score"), "bins").repartition(tasks), "randomised")
     forest = {(u, t): Tree() for u in units for t in range(how.trees)}
     frontier = {key: [0] for key in forest}
     for depth in range(how.depth + 1):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dialect import DUCK, SPARK
 from tidemark import oracles, streaming
-from tidemark.operators import analogs, audit, backtest, cross_section, discovery, events, features, forward, frame, governance, holdout, importance, labels, metrics, models, screening, selection, sequential, trees
+from tidemark.operators import analogs, asof, audit, backtest, cross_section, discovery, events, features, forward, frame, governance, holdout, importance, labels, metrics, models, screening, selection, sequential, trees
 from tidemark.sources import bars as source
 from tidemark.sources import shared
 from tidemark.streaming import forward as forward_stream
@@ -154,6 +154,19 @@ add("holdout_log", lambda s, d: shown(holdout_log(s, d)), over_scored(_HOLDOUT_S
 add("holdout_states", holdout_states, over_scored(_HOLDOUT_SQL["states"]))
 add("holdout_gates", lambda s, d: holdout.gates(holdout_states(s, d), RUN), over_scored(_HOLDOUT_SQL["gates"]))
 add("holdout_evaluation", lambda s, d: holdout.evaluated(holdout_states(s, d), RUN, diagnostic_only=True), over_scored(_HOLDOUT_SQL["evaluation"]))
+
+
+def evidence_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every bar, decided on at the end of its session, the latest bar of its symbol whose trades had been received by then."""
+    bars = source.from_trades(spark, sf_dir)
+    decisions = bars.select(F.concat_ws("|", "symbol", F.col("Date").cast("string")).alias("id"), "symbol", F.col("Date").alias("session"), F.date_add("Date", 1).cast("timestamp").alias("decided_at"))
+    evidence = source.received(spark, sf_dir).join(bars.select("symbol", "Date", "Close"), ["symbol", "Date"]).select("symbol", F.col("Date").alias("session"), F.col("available_at").alias("retrieved_at"), F.col("Close").alias("value"))
+    return rounded(asof.latest(decisions, evidence))
+
+
+add("evidence_seen", evidence_seen, f"""WITH b AS ({source.oracle_bars()}), e AS (SELECT symbol, r.Date, available_at, Close FROM ({source.received_sql(DUCK)}) r JOIN b USING (symbol, Date)),
+s AS (SELECT b.symbol, b.Date, max(row(e.Date, e.available_at, e.Close)) AS m FROM b JOIN e ON e.symbol = b.symbol AND e.Date <= b.Date AND e.available_at <= CAST(b.Date + 1 AS TIMESTAMP) GROUP BY 1, 2)
+SELECT s.symbol || '|' || CAST(s.Date AS VARCHAR) AS id, e.Date AS session, e.available_at AS retrieved_at, round(e.Close, 6) AS value FROM s JOIN e ON e.symbol = s.symbol AND row(e.Date, e.available_at, e.Close) = s.m""")
 for _n, _v in audit.VIEWS.items():
     add(f"audit_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, _B), bars=source.from_trades(s, d)), _v(DUCK, source.oracle_bars()))
 add("stream_deduplicated", lambda s, d: streaming.deduplicated(s.read.parquet(f"{d}/events.parquet").unionByName(s.read.parquet(f"{d}/events.parquet"))).select("event_id", "user_id", "event_type", F.round("value", 4).alias("value")), "SELECT DISTINCT event_id, user_id, event_type, round(value, 4) AS value FROM events")
