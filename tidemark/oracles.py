@@ -143,11 +143,11 @@ UNION ALL {row("POSITION_MARKED", "bd", "id, CAST(bd AS VARCHAR)", "id", "c", ma
 UNION ALL {row("EXIT_FILLED", "bd", "id", "id", "px", mark="mr", mfe="best", mae="worst", why="why", gross="gross", net="gross - 0.0005")} FROM outs)"""
 
 
-LOG_ROW = "event_type, as_of, symbol, direction, model_id, snapshot, unique_key, source_key, horizon, round(price + 1.23e-7, 4) AS price, round(target_price + 1.23e-7, 4) AS target_price, round(stop_price + 1.23e-7, 4) AS stop_price, round(mark_return, 6) AS mark_return, round(mfe, 6) AS mfe, round(mae, 6) AS mae, reason, round(gross_return, 6) AS gross_return, round(net_return, 6) AS net_return"
+LOG_ROW = "event_type, as_of, symbol, direction, model_id, snapshot, unique_key, source_key, horizon, round(price + 1.23e-7, 4) AS price, round(target_price + 1.23e-7, 4) AS target_price, round(stop_price + 1.23e-7, 4) AS stop_price, round(mark_return, 8) AS mark_return, round(mfe, 8) AS mfe, round(mae, 8) AS mae, reason, round(gross_return, 8) AS gross_return, round(net_return, 8) AS net_return"
 
 
 def forward_positions() -> str:
-    return """SELECT id AS position, symbol, direction, model_id, sd AS signal_date, ed AS entry_date, round(entry + 1.23e-7, 4) AS entry_price, o.bd AS exit_date, round(o.px + 1.23e-7, 4) AS exit_price, o.why AS exit_reason, round(o.gross - 0.0005, 6) AS net_return, coalesce(m.n, 0) AS n_marks,
+    return """SELECT id AS position, symbol, direction, model_id, sd AS signal_date, ed AS entry_date, round(entry + 1.23e-7, 4) AS entry_price, o.bd AS exit_date, round(o.px + 1.23e-7, 4) AS exit_price, o.why AS exit_reason, round(o.gross - 0.0005, 8) AS net_return, coalesce(m.n, 0) AS n_marks,
 CASE WHEN o.bd IS NOT NULL THEN 'EXIT_FILLED' WHEN ed IS NOT NULL THEN 'ENTRY_FILLED' ELSE 'ENTRY_PENDING' END AS status FROM pos LEFT JOIN (SELECT id, bd, px, why, gross FROM outs) o USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM marks GROUP BY id) m USING (id)"""
 
 

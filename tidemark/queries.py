@@ -119,9 +119,9 @@ for _n, _v in events.VIEWS.items():
 
 
 def shown(log: DataFrame) -> DataFrame:
-    """Prices have few decimals, so many lie between two roundings: they are moved off by a little first."""
+    """Prices have few decimals, so many lie between two roundings: they are moved off by a little first. Returns have seven where a target or stop decides."""
     prices = [c for c in log.columns if c.endswith("price")]
-    return rounded(log.withColumns({c: F.col(c) + 1.23e-7 for c in prices}), **{c: 4 for c in prices})
+    return rounded(log.withColumns({c: F.col(c) + 1.23e-7 for c in prices}), 8, **{c: 4 for c in prices})
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,12 +161,12 @@ def evidence_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = source.from_trades(spark, sf_dir)
     decisions = bars.select(F.concat_ws("|", "symbol", F.col("Date").cast("string")).alias("id"), "symbol", F.col("Date").alias("session"), F.date_add("Date", 1).cast("timestamp").alias("decided_at"))
     evidence = source.received(spark, sf_dir).join(bars.select("symbol", "Date", "Close"), ["symbol", "Date"]).select("symbol", F.col("Date").alias("session"), F.col("available_at").alias("retrieved_at"), F.col("Close").alias("value"))
-    return rounded(asof.latest(decisions, evidence))
+    return rounded(asof.latest(decisions, evidence), 8)
 
 
 add("evidence_seen", evidence_seen, f"""WITH b AS ({source.oracle_bars()}), e AS (SELECT symbol, r.Date, available_at, Close FROM ({source.received_sql(DUCK)}) r JOIN b USING (symbol, Date)),
 s AS (SELECT b.symbol, b.Date, max(row(e.Date, e.available_at, e.Close)) AS m FROM b JOIN e ON e.symbol = b.symbol AND e.Date <= b.Date AND e.available_at <= CAST(b.Date + 1 AS TIMESTAMP) GROUP BY 1, 2)
-SELECT s.symbol || '|' || CAST(s.Date AS VARCHAR) AS id, e.Date AS session, e.available_at AS retrieved_at, round(e.Close, 6) AS value FROM s JOIN e ON e.symbol = s.symbol AND row(e.Date, e.available_at, e.Close) = s.m""")
+SELECT s.symbol || '|' || CAST(s.Date AS VARCHAR) AS id, e.Date AS session, e.available_at AS retrieved_at, round(e.Close, 8) AS value FROM s JOIN e ON e.symbol = s.symbol AND row(e.Date, e.available_at, e.Close) = s.m""")
 for _n, _v in audit.VIEWS.items():
     add(f"audit_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, _B), bars=source.from_trades(s, d)), _v(DUCK, source.oracle_bars()))
 add("stream_deduplicated", lambda s, d: streaming.deduplicated(s.read.parquet(f"{d}/events.parquet").unionByName(s.read.parquet(f"{d}/events.parquet"))).select("event_id", "user_id", "event_type", F.round("value", 4).alias("value")), "SELECT DISTINCT event_id, user_id, event_type, round(value, 4) AS value FROM events")
