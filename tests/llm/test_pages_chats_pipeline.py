@@ -173,6 +173,52 @@ def test_rendering_against_all_prefixes(template, n):
     assert texts == [t if template in (numbered, separated) else chat.escaped(t) for _, t in turns]
 
 
+def by_length(wrong):
+    """Templates that write another first line for prefixes of some lengths only."""
+    return lambda turns: ("long\n" if len(turns) in wrong else "chat\n") + chat.marked(turns)
+
+
+@pytest.mark.parametrize("wrong", [range(70, 101), {65}, {97}, {129}, {130, 131}, {255}, {299}, {300}, {301}])
+@pytest.mark.parametrize("n", [120, 300])
+def test_prefixes_of_every_length_are_compared(wrong, n):
+    turns = [("user" if k % 2 else "assistant", f"text {k}") for k in range(n)]
+    template = by_length(wrong)
+    parts = chat.rendered(template, turns)
+    assert any(rewrites for *_, rewrites in parts) == (brute_spans(template, turns) is None)
+
+
+@pytest.mark.parametrize("budget", [0, 5_000, 200_000])
+@pytest.mark.parametrize("template", [chat.marked, numbered, headed, summarised, clipped, separated, by_length({1000}), by_length(range(200, 2001))])
+def test_past_the_budget_windows_and_whole_prefixes_decide(monkeypatch, budget, template):
+    monkeypatch.setattr(chat, "BUDGET", budget)
+    rnd = random.Random(budget)
+    for n in (3, 64, 130, 1000):
+        turns = [(rnd.choice(["user", "assistant"]), f"text {k}") for k in range(n)]
+        want, parts = brute_spans(template, turns), chat.rendered(template, turns)
+        assert any(rewrites for *_, rewrites in parts) == (want is None)
+        if want is not None:
+            assert "".join(text for _, text, _, _ in parts) == template(turns)
+            assert [text[m[2] : m[3]] for _, text, spans, _ in parts for m in spans] == want
+
+
+def test_whole_prefixes_past_the_budget_cost_in_proportion(monkeypatch):
+    """Rendered characters stay below a multiple of the text: windows, and EFFORT times the text for whole prefixes."""
+    monkeypatch.setattr(chat, "BUDGET", 100_000)
+    seen = []
+
+    def counted(turns):
+        text = chat.marked(turns)
+        seen.append((len(turns), len(text)))
+        return text
+
+    turns = [("user" if k % 2 else "assistant", "x" * 50) for k in range(3000)]
+    chat.rendered(counted, turns)
+    size = len(chat.marked(turns))
+    assert sum(length for _, length in seen) < 100_000 + (chat.EFFORT + 2 * chat.WINDOW + 8) * size
+    whole = [count for count, _ in seen if count > 2 * chat.WINDOW]
+    assert len(whole) > 20 and max(b - a for a, b in zip(whole, whole[1:])) < 200
+
+
 def test_a_long_conversation_leaves_in_parts():
     turns = [("user" if k % 2 else "assistant", "x" * 50) for k in range(2000)]
     parts = chat.rendered(chat.marked, turns)
