@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -39,6 +40,18 @@ def test_pairs_agree_with_merges():
             assert machine.fits(a, b) == (machine.merged(machine.bytes[a] + machine.bytes[b]) == [a, b])
 
 
+def test_long_distinct_matches_stay_within_bytes(monkeypatch, library):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 50_000)
+    rnd, ids = random.Random(5), bpe.TextIds(PATH, PATTERN)
+    pieces = ids.get.__self__
+    for n in (3, 40, 400, 3000):
+        for _ in range(60):
+            text = " ".join("".join(rnd.choices("abcdefgh", k=n)) for _ in range(4))
+            assert ids(text) == library.encode_ordinary(text)
+            assert max(sum(len(p) + len(i) for p, i in one.items()) for one in (pieces, pieces.old)) < 60_000
+    assert max(map(len, pieces)) <= bpe.LONG
+
+
 def test_small_caches_give_the_same(monkeypatch, library):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
     monkeypatch.setattr(bpe, "CACHE_STATES", 5)

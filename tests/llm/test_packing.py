@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -26,6 +27,23 @@ def test_words_give_the_tokenizer_ids():
         assert got == ids_of(TEXTS)
 
 
+def test_long_distinct_words_stay_within_bytes(monkeypatch):
+    """Texts of long distinct words: what a worker remembers is bounded by bytes, and ids are right."""
+    for name, value in (("CACHE_BYTES", 100_000), ("LONG", 2000), ("HELD_BYTES", 20_000)):
+        monkeypatch.setattr(packing, name, value)
+    rnd, tokens = random.Random(3), packing.WordTokens(PATH)
+    words = ["".join(rnd.choices("abcdefghij0123456789/", k=n)) + rnd.choice(["", "!", "&&"]) for n in [300] * 1500 + [5000] * 30]
+    rnd.shuffle(words)
+    texts = [" ".join(words[k : k + 10]) for k in range(0, len(words), 10)] + [" ".join(words[:10])] * 2
+    most = 0
+    got = []
+    for ids in tokens([t.encode() for t in texts]):
+        got.append(np.frombuffer(ids, "<u4").tolist())
+        most = max(most, *(sum(len(w) + len(i) for w, i in one.items()) for one in (tokens, tokens.old)))
+    assert got == ids_of(texts)
+    assert most < 4 * 100_000 and max(map(len, tokens), default=0) <= 2000
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab .,'İ́é&\n\t1", max_size=30), max_size=8))
 def test_any_words(texts):

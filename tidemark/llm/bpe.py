@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame
 
 from .common import OUT_BYTES, kept, narrow, quiet
 
-#: Bounds of a worker's memory: matches in each of two generations (about 200 bytes a match); states and
-#: pairs (about 600 and 150 bytes), which are emptied when full and built again as needed.
-CACHE_WORDS, CACHE_STATES, CACHE_PAIRS = 350_000, 120_000, 400_000
+#: Bounds of a worker's memory: matches in each of two generations (about 200 bytes a match), and their
+#: characters and bytes of ids; states and pairs (about 600 and 150 bytes), which are emptied when full and built
+#: again as needed. Matches of more than LONG characters are not remembered.
+CACHE_WORDS, CACHE_BYTES, CACHE_STATES, CACHE_PAIRS, LONG = 350_000, 48 << 20, 120_000, 400_000, 1024
 ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, ids array<int>, decoded binary"
 
@@ -200,14 +201,19 @@ class Pieces(dict):
 
     def __init__(self, ranks: str):
         self.encode, self.old = Transducer(load_ranks(ranks)).encode, {}
+        self.bytes = 0
 
     def __missing__(self, piece: str) -> bytes:
         got = self.old.get(piece)
         if got is None:
             got = array("i", self.encode(piece.encode())).tobytes()
-        if len(self) >= CACHE_WORDS:
+        if len(piece) > LONG:
+            return got
+        self.bytes += len(piece) + len(got)
+        if len(self) >= CACHE_WORDS or self.bytes >= CACHE_BYTES:
             self.old = dict(self)
             self.clear()
+            self.bytes = len(piece) + len(got)
         self[piece] = got
         return got
 

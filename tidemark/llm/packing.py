@@ -30,8 +30,10 @@ from .common import kept, narrow, quiet, raw, sized
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_length", pa.int64())])
-#: Cached words of a worker in each of two generations (about 200 bytes a word).
-CACHE_WORDS = 550_000
+#: Cached words of a worker in each of two generations (about 200 bytes a word), and bytes of words and ids there. Words
+#: beyond LONG bytes are not remembered. Words, and bytes of texts, that are looked up before missing ones are learned.
+CACHE_WORDS, CACHE_BYTES, LONG = 550_000, 96 << 20, 4096
+HELD_WORDS, HELD_BYTES = 500_000, 16 << 20
 Piece = tuple[int | None, int, int, bytes]  # doc_id, start, tokens of its document, little-endian ids
 
 
@@ -52,6 +54,7 @@ class WordTokens(dict):
         self.batch = Tokenizer.from_file(path).encode_batch_fast
         (self.mark,) = self.batch([self.MARK.decode()], add_special_tokens=False)[0].ids
         self.old: dict[bytes, bytes] = {}
+        self.bytes = 0  # of the words learned since the last generation, and of their ids
 
     def add(self, new: set[bytes]) -> None:
         """Learn words that are not known yet."""
@@ -98,7 +101,7 @@ class WordTokens(dict):
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """The ids of each text, as bytes. Each word is looked up once; words that were missing are
         learned many at a time and filled in."""
-        held, todo, size = [], set(), 0
+        held, todo, size, read = [], set(), 0, 0
         for text in texts:
             text = text or b""
             words = (text if b"<|" in text else text.lower()).split()  # case matters in the names of added tokens
@@ -108,20 +111,27 @@ class WordTokens(dict):
             todo.update(new)
             held.append((found, holes, new))
             size += len(words)
-            if size > 500_000:
+            read += len(text)
+            if size > HELD_WORDS or read > HELD_BYTES:
                 yield from self._filled(held, todo)
-                held, todo, size = [], set(), 0
+                held, todo, size, read = [], set(), 0, 0
         yield from self._filled(held, todo)
 
     def _filled(self, held: list[tuple[list, list[int], list[bytes]]], todo: set[bytes]) -> Iterator[bytes]:
-        if len(self) + len(todo) > CACHE_WORDS:
+        if len(self) + len(todo) > CACHE_WORDS or self.bytes > CACHE_BYTES:
             self.old = dict(self)
             self.clear()
+            self.bytes = 0
         self.add(todo)
         for found, holes, new in held:
             for k, word in zip(holes, new):
                 found[k] = self[word]
             yield b"".join(found)
+        self.bytes += sum(map(len, todo)) + sum(len(self[word]) for word in todo)
+        for word in todo:
+            if len(word) > LONG:
+                self.pop(word, None)
+                self.pop(word.rstrip(self.SIGNS), None)
 
 
 def word_tokens(path: str) -> WordTokens:
