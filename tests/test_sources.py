@@ -37,6 +37,52 @@ def test_fallback_and_history(spark, tmp_path):
     assert bars.load(spark, path).count() == 6
 
 
+def test_errors_are_rows_of_one_job(spark):
+    """10,000 symbols, many failing in every way: one job, a plan of one scan, every symbol settled once."""
+
+    def first(url):
+        n = int(url.rsplit("/", 1)[1])
+        if n % 7 == 0:
+            raise ConnectionError("reset")
+        return {1: (429, ""), 2: (404, ""), 3: (200, "{"), 4: (200, json.dumps({"message": "no plan"})), 5: (503, "")}.get(n % 7, (200, BODY))
+
+    def second(url):
+        n = int(url.rsplit("/", 1)[1])
+        return (200, BODY) if n % 2 else (403, "")
+
+    providers.register(spark, "first", first)
+    providers.register(spark, "second", second)
+    names, context = [str(n) for n in range(10_000)], spark.sparkContext
+    context.setJobGroup("one-download", "")
+    got, status = providers.download_any(spark, ["first", "second"], [*names, "0", "1"], "https://x/{symbol}", "2024-01-01", "2024-01-03", attempts=2, wait=0.0)
+    assert len(context.statusTracker().getJobIdsForGroup("one-download")) == 1
+    context.setJobGroup("later", "")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    kept = {r.symbol: r for r in status.collect()}
+    assert len(kept) == status.count() == 10_000
+    for name in names:
+        n, row = int(name), kept[name]
+        want = ("first", True) if n % 7 == 6 else ("second", n % 2 == 1)
+        assert (row.provider, row.error is None) == want
+    assert "lacks access" in kept["0"].error
+    bars.validated(got)
+    assert got.count() == 2 * sum(r.error is None for r in kept.values())
+
+
+def test_tries_of_one_symbol(spark):
+    """Busy and broken providers are asked again; those that refuse, or whose answer makes no sense, are not."""
+    for name, answer in (("busy", (429, "")), ("refuses", (401, "")), ("senseless", (200, "[1]")), ("good", (200, BODY))):
+        providers.register(spark, name, lambda url, a=answer: a)
+    order = ["busy", "refuses", "senseless", "good"]
+    rows = providers.answers(spark, order, ["A"], "{symbol}", "2024-01-01", "2024-01-09", attempts=3, wait=0.0).collect()
+    tries = [(r.provider, r.attempt, r.last) for r in rows if r.Date is None]
+    assert tries == [("busy", 1, False), ("busy", 2, False), ("busy", 3, False), ("refuses", 1, False), ("senseless", 1, False), ("good", 1, True)]
+    assert [r.Date.day for r in rows if r.Date] == [2, 3, 4]
+    rows = providers.answers(spark, order[:1], ["A"], "{symbol}", "2024-01-01", "2024-01-09", attempts=2, wait=0.0).collect()
+    assert [(r.attempt, r.last) for r in rows] == [(1, False), (2, True)]
+    assert providers.answers(spark, order, [], "{symbol}", "2024", "2025").count() == 0
+
+
 def test_sample_bars(spark):
     got = providers.sample_bars(spark, ["A", "B"], rows=50)
     assert bars.validated(got).count() == 100

@@ -13,7 +13,7 @@ from tidemark.functions.dialect import DUCK, SPARK
 from tidemark import oracles, streaming
 from tidemark.operators import analogs, asof, audit, backtest, cross_section, discovery, events, features, forward, frame, governance, holdout, importance, labels, metrics, models, screening, selection, sequential, trees
 from tidemark.sources import bars as source
-from tidemark.sources import shared
+from tidemark.sources import providers, shared
 from tidemark.streaming import forward as forward_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,25 @@ for _h in (5, 10):
 add("audit_policy_outcomes", lambda s, d: rounded(labels.policy_outcomes(ranged(s, d, "label_atr_14")), entry_price=8, target_price=2, stop_price=2), oracles.policy_outcomes())
 add("audit_exit_utility", lambda s, d: rounded(labels.time_exit_utility(labels.policy_outcomes(ranged(s, d, "label_atr_14"))), utility=4), oracles.exit_utility())
 
+def downloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars fetched from two providers (staged answers: the first lacks S3 and S7, the
+    second has S0 and S3, nobody knows S7 and S99): every symbol's provider, error, bars."""
+    bars, path = source.from_trades(spark, sf_dir), shared.fresh(spark, "answers")
+    providers.staged(bars.filter("symbol NOT IN ('S3', 'S7')"), f"{path}/first")
+    providers.staged(bars.filter("symbol IN ('S0', 'S3')"), f"{path}/second")
+    for name in ("first", "second"):
+        providers.register(spark, f"staged-{name}", providers.staged_fetch(f"{path}/{name}"))
+    names = [r.symbol for r in source.universe(spark).select("symbol").collect()]
+    got, status = providers.download_any(spark, ["staged-first", "staged-second"], [*names, "S99"], "{symbol}", "1993-01-01", "1996-12-31", attempts=2)
+    by = got.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("Date").alias("first"), F.max("Date").alias("last"), F.round(F.sum("Volume"), 4).alias("volume"), F.round(F.sum("Close"), 4).alias("closes"))
+    return status.join(by, "symbol", "left").fillna(0, ["bars"])
+
+
+add("sources_download", downloaded, f"""WITH t AS ({source.oracle_bars()}), wanted AS (SELECT unnest(['S0', 'S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S99']) AS symbol),
+held AS (SELECT symbol, count(*) FILTER (WHERE inside) AS bars, min(Date) FILTER (WHERE inside) AS first, max(Date) FILTER (WHERE inside) AS last, round(sum(Volume) FILTER (WHERE inside), 4) AS volume, round(sum(Close) FILTER (WHERE inside), 4) AS closes
+FROM (SELECT *, Date BETWEEN DATE '1993-01-01' AND DATE '1996-12-31' AS inside FROM t) b WHERE symbol <> 'S7' GROUP BY symbol)
+SELECT w.symbol, CASE WHEN w.symbol IN ('S3', 'S7', 'S99') OR h.symbol IS NULL THEN 'staged-second' ELSE 'staged-first' END AS provider, CASE WHEN h.symbol IS NULL THEN concat(w.symbol, ': unknown symbol') END AS error, coalesce(bars, 0) AS bars, first, last, volume, closes
+FROM wanted w LEFT JOIN held h ON h.symbol = w.symbol""")
 add("indicators_ranges", lambda s, d: sequential.ranges(source.from_trades(s, d), 6), sequential.ranges_sql(source.oracle_bars()))
 add("indicators_macd", lambda s, d: sequential.macd(source.from_trades(s, d), 6), sequential.macd_sql(source.oracle_bars()))
 add("indicators_rsi", lambda s, d: sequential.rsi_family(source.from_trades(s, d), (2, 14, 50), digits=6), sequential.rsi_sql(source.oracle_bars(), (2, 14, 50)))
