@@ -27,7 +27,7 @@ def bounds(d: Dialect, t: str) -> str:
 
 
 def components(d: Dialect, t: str) -> str:
-    """Rows with the parts of their score."""
+    """Rows with the parts of their score (fixed weights and scales)."""
     rate = " + ".join(f"CASE WHEN {x} < {x}_lo OR {x} > {x}_hi THEN {ONE} ELSE {ZERO} END" for x in FEATURES)
     q = f"""SELECT s.*, CASE WHEN x1 >= 0 THEN 'BUY' ELSE 'SELL_SHORT' END AS direction, CASE WHEN x1 >= 0 THEN p ELSE 1 - p END AS dp, CASE WHEN x1 >= 0 THEN q ELSE 1 - q END AS tp, abs(er) - {COST} AS value, ({rate}) / {len(FEATURES)} AS ood_rate, {unit("log10(greatest(dollar_volume, 1)) / 9")} AS liquidity FROM ({t}) s CROSS JOIN ({bounds(d, t)}) b"""
     parts = f"SELECT *, {unit('(value + 0.02) / 0.07')} AS value_score, {unit('emfe / 0.10')} AS mfe_score, {unit('1 - abs(emae) / 0.10')} AS mae_score FROM ({q}) q"

@@ -39,29 +39,29 @@ def integrity(d: Dialect, t: str, bars: str) -> str:
 
 # Feature families and what puts a feature into them; the first rule that fits decides.
 FAMILY_RULES = (
-    ("trend_structure", "is", "Open High Low Close"),
-    ("volume_participation", "is", "Volume"),
-    ("returns_momentum", "begins", "return_ log_return_ momentum_ up_streak down_streak"),
-    ("trend_structure", "begins", "distance_sma sma_ trend_ pullback recovery gap_ support resistance range_position distance_prior"),
-    ("volatility_range", "begins", "atr_ atr_pct realized_vol upside_vol downside_vol range_pct range_percentile volatility overnight"),
-    ("volume_participation", "contains", "volume"),
-    ("volume_participation", "begins", "obv price_volume"),
-    ("candle_geometry", "begins", "body upper_wick lower_wick close_position inside_bar outside_bar expansion_bar lower_rejection"),
-    ("rsi_family", "begins", "rsi_"),
-    ("technical_primitives", "begins", "roc_ stochastic macd bollinger keltner cci mfi adx_ plus_di_ minus_di_"),
-    ("market_relative", "begins", "relative_return_vs_spy relative_return_vs_qqq relative_return_vs_iwm relative_return_vs_dia rolling_beta rolling_corr residual_return"),
-    ("sector_relative", "contains", "sector"),
-    ("inverse_leveraged", "begins", "inverse_"),
-    ("relationship_graph", "begins", "relationship_"),
-    ("breadth", "begins", "breadth_"),
-    ("regime", "begins", "market_regime"),
+    ("trend_structure", "is", ("Open", "High", "Low", "Close")),
+    ("volume_participation", "is", ("Volume",)),
+    ("returns_momentum", "begins", ("return_", "log_return_", "momentum_", "up_streak", "down_streak")),
+    ("trend_structure", "begins", ("distance_sma", "sma_", "trend_", "pullback", "recovery", "gap_", "support", "resistance", "range_position", "distance_prior")),
+    ("volatility_range", "begins", ("atr_", "atr_pct", "realized_vol", "upside_vol", "downside_vol", "range_pct", "range_percentile", "volatility", "overnight")),
+    ("volume_participation", "contains", ("volume",)),
+    ("volume_participation", "begins", ("obv", "price_volume")),
+    ("candle_geometry", "begins", ("body", "upper_wick", "lower_wick", "close_position", "inside_bar", "outside_bar", "expansion_bar", "lower_rejection")),
+    ("rsi_family", "begins", ("rsi_",)),
+    ("technical_primitives", "begins", ("roc_", "stochastic", "macd", "bollinger", "keltner", "cci", "mfi", "adx_", "plus_di_", "minus_di_")),
+    ("market_relative", "begins", ("relative_return_vs_spy", "relative_return_vs_qqq", "relative_return_vs_iwm", "relative_return_vs_dia", "rolling_beta", "rolling_corr", "residual_return")),
+    ("sector_relative", "contains", ("sector",)),
+    ("inverse_leveraged", "begins", ("inverse_",)),
+    ("relationship_graph", "begins", ("relationship_",)),
+    ("breadth", "begins", ("breadth_",)),
+    ("regime", "begins", ("market_regime",)),
 )
 OTHER = "technical_primitives"
 
 
 def family_of(feature: str) -> str:
     fits = {"is": feature.__eq__, "begins": feature.startswith, "contains": feature.__contains__}
-    return next((family for family, how, words in FAMILY_RULES if any(map(fits[how], words.split()))), OTHER)
+    return next((family for family, how, words in FAMILY_RULES if any(map(fits[how], words))), OTHER)
 
 
 def families(d: Dialect, t: str, bars: str) -> str:
@@ -70,7 +70,7 @@ def families(d: Dialect, t: str, bars: str) -> str:
 
     names = sorted({k for f in FAMILIES.values() for k in f.keep} | {"rsi_14", "breadth_up_volume_pct", "market_regime_label", "relative_return_vs_sector_20", "spy_return_5", "inverse_confirmation_63", "adx_14", "rolling_beta_vs_spy_63"})
     test = {"is": lambda w: f"feature = '{w}'", "begins": lambda w: d.begins("feature", w), "contains": lambda w: f"contains(feature, '{w}')"}
-    case = " ".join(f"WHEN {' OR '.join(map(test[how], words.split()))} THEN '{family}'" for family, how, words in FAMILY_RULES)
+    case = " ".join(f"WHEN {' OR '.join(map(test[how], words))} THEN '{family}'" for family, how, words in FAMILY_RULES)
     rows = " UNION ALL ".join(f"SELECT '{n}' AS feature" for n in names)
     return f"SELECT feature, CASE {case} ELSE '{OTHER}' END AS family FROM ({rows}) n"
 

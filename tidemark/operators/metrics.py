@@ -97,18 +97,39 @@ def reached(d: Dialect, t: str, grid: list[float], sums: dict[str, str]) -> str:
     return f"SELECT scope, threshold, {', '.join(f'coalesce(sum(CASE WHEN reach >= k THEN {n} END), 0) AS {n}' for n in sums)} FROM (SELECT *, inline(array({steps})) FROM ({by}) b) g GROUP BY scope, threshold"
 
 
+def crowded(d: Dialect, t: str, grid: list[float], keys: dict[str, str]) -> str:
+    """Per scope and threshold that rows reach, how many of those rows share the commonest value of each key. In Spark
+    rows are added up by scope, keys and how many thresholds they reach; the oracle counts the rows of each threshold."""
+    if not d.spark:
+        steps = " UNION ALL ".join(f"SELECT {D(x)} AS threshold" for x in grid)
+        one = lambda n, e: f"SELECT scope, threshold, max(c) AS {n} FROM (SELECT scope, threshold, {e} AS v, count(*) AS c FROM ({t}) s JOIN ({steps}) g ON p >= threshold GROUP BY scope, threshold, {e}) {n}_c GROUP BY scope, threshold"
+    else:
+        level = " + ".join(f"CAST(p >= {x}D AS INT)" for x in grid)
+        steps = ", ".join(f"struct({x}D AS threshold, {k + 1} AS k)" for k, x in enumerate(grid))
+        by = f"SELECT scope, {', '.join(f'{e} AS {n}' for n, e in keys.items())}, {level} AS reach, count(*) AS c FROM ({t}) s WHERE p >= {grid[0]}D GROUP BY scope, {', '.join(keys.values())}, {level}"
+        one = lambda n, e: f"SELECT scope, threshold, max(c) AS {n} FROM (SELECT scope, threshold, {n}, sum(c) AS c FROM (SELECT *, inline(array({steps})) FROM ({by}) b) g WHERE reach >= k GROUP BY scope, threshold, {n}) {n}_c GROUP BY scope, threshold"
+    first, *more = keys
+    joined = " ".join(f"JOIN ({one(n, keys[n])}) {n}_t ON {n}_t.scope = {first}_t.scope AND {n}_t.threshold = {first}_t.threshold" for n in more)
+    return f"SELECT {first}_t.scope AS c_scope, {first}_t.threshold AS c_threshold, {', '.join(keys)} FROM ({one(first, keys[first])}) {first}_t {joined}"
+
+
 def thresholds(d: Dialect, t: str) -> str:
-    """Per threshold: rows that reach it, precision, recall, mean return, largest share of a symbol and a sector."""
-    got = reached(d, pooled(d, t), GRID, {"n": "count(p)", "hits": "sum(y)", "returns": "sum(r)"})
+    """Per threshold: rows that reach it, precision, recall, mean return and excursions, largest share of a symbol and of a year."""
+    got = reached(d, pooled(d, t), GRID, {"n": "count(p)", "hits": "sum(y)", "returns": "sum(r)", "ups": "sum(mfe)", "downs": "sum(mae)"})
+    most = crowded(d, pooled(d, t), GRID, {"of_symbol": "symbol", "of_year": "year(Date)"})
     all_ = f"SELECT scope AS a_scope, count(*) AS rows_in, sum(y) AS positives FROM ({pooled(d, t)}) a GROUP BY scope"
-    return f"""SELECT scope, threshold, n AS qualifying, round(CAST(n AS DOUBLE) / rows_in, 6) AS rate, round({d.div('hits', 'n')}, 6) AS hit_rate, round({d.div('hits', 'positives')}, 6) AS recall, round({d.div('returns', 'n')}, 6) AS mean_r FROM ({got}) g JOIN ({all_}) a ON a_scope = scope"""
+    return f"""SELECT scope, threshold, n AS qualifying, round(CAST(n AS DOUBLE) / rows_in, 6) AS rate, round({d.div('hits', 'n')}, 6) AS hit_rate, round({d.div('hits', 'positives')}, 6) AS recall, round({d.div('returns', 'n')}, 6) AS mean_r,
+round({d.div('ups', 'n')}, 6) AS mean_mfe, round({d.div('downs', 'n')}, 6) AS mean_mae, round(CAST(of_symbol AS DOUBLE) / n, 6) AS symbol_concentration, round(CAST(of_year AS DOUBLE) / n, 6) AS year_concentration
+FROM ({got}) g JOIN ({all_}) a ON a_scope = scope LEFT JOIN ({most}) m ON c_scope = scope AND c_threshold = threshold"""
 
 
 def utility(d: Dialect, t: str) -> str:
-    """Per threshold: payoff of target rate t and stop rate s as 2 t - s (in average ranges), less cost."""
+    """Per threshold: payoff of target rate t and stop rate s as 2 t - s (in average ranges), less cost; largest share of a
+    symbol and of a sector."""
     got = reached(d, t, UTILITY_GRID, {"n": "count(p)", "targets": "sum(tbs)", "stops": "sum(sbt)", "returns": "sum(r)"})
+    most = crowded(d, t, UTILITY_GRID, {"of_symbol": "symbol", "of_sector": "sector"})
     rates = f"SELECT scope, threshold, n, {d.div('targets', 'n')} AS target, {d.div('stops', 'n')} AS stop, {d.div('returns', 'n')} AS mean_r FROM ({got}) g"
-    return f"SELECT scope, threshold, n, round(target, 6) AS target_rate, round(stop, 6) AS stop_rate, round(greatest(0.0, 1 - target - stop), 6) AS unresolved_rate, round(2 * target - stop, 6) AS payoff, round(2 * target - stop - 0.0005, 6) AS payoff_after_cost, round(mean_r, 6) AS mean_return FROM ({rates}) q"
+    return f"SELECT scope, threshold, n, round(target, 6) AS target_rate, round(stop, 6) AS stop_rate, round(greatest(0.0, 1 - target - stop), 6) AS unresolved_rate, round(2 * target - stop, 6) AS payoff, round(2 * target - stop - 0.0005, 6) AS payoff_after_cost, round(mean_r, 6) AS mean_return, round(CAST(of_symbol AS DOUBLE) / n, 6) AS symbol_concentration, round(CAST(of_sector AS DOUBLE) / n, 6) AS sector_concentration FROM ({rates}) q LEFT JOIN ({most}) m ON c_scope = scope AND c_threshold = threshold"
 
 
 def summary(d: Dialect, t: str) -> str:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
+# Parts of names of columns that look ahead.
 FORBIDDEN = ("time_exit", "utility", "profitable_despite_failed_tbs", "early_adverse_recovery")
 
 
