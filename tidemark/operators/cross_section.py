@@ -25,25 +25,39 @@ def base_features(d: Dialect, bars: str) -> str:
     return f"SELECT *, {d.div('Close', 'sma_50')} - 1 AS distance_sma_50, {d.div('Close', 'h20')} - 1 AS distance_prior_high_20, {d.div('Close', 'l20')} - 1 AS distance_prior_low_20 FROM ({q}) q"
 
 
+def ranks_of(rows: str) -> str:
+    """Ranks of returns among the symbols of a date; rows: a query with the returns."""
+    return f"SELECT symbol, Date, {', '.join(f'round({pct_rank(f"return_{k}", "Date")}, 6) AS relative_strength_rank_{k}' for k in (5, 20, 63))} FROM ({rows}) f"
+
+
 def strength_ranks(d: Dialect, bars: str, universe: str) -> str:
-    return f"SELECT symbol, Date, {', '.join(f'round({pct_rank(f"return_{k}", "Date")}, 6) AS relative_strength_rank_{k}' for k in (5, 20, 63))} FROM ({base_features(d, bars)}) f"
+    return ranks_of(base_features(d, bars))
 
 
 def share(test: str) -> str:
     return f"avg(CASE WHEN {test} THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)"
 
 
-def breadth(d: Dialect, bars: str, universe: str) -> str:
+def breadth_of(d: Dialect, rows: str) -> str:
     return f"""SELECT Date, round({share('return_1 > 0')}, 6) AS breadth_advance_pct, round({d.div('sum(CASE WHEN return_1 > 0 THEN Volume ELSE 0 END)', 'sum(Volume)')}, 6) AS breadth_up_volume_pct,
 round({share('distance_sma_50 > 0')}, 6) AS breadth_above_sma_50_pct, round({share('distance_prior_high_20 >= 0')}, 6) AS breadth_high_20_pct, round({share('distance_prior_low_20 <= 0')}, 6) AS breadth_low_20_pct,
-round(stddev_samp(return_20), 6) AS breadth_dispersion_20, round({d.adjusted_skew('return_20')}, 4) AS breadth_skew_20 FROM ({base_features(d, bars)}) f GROUP BY Date"""
+round(stddev_samp(return_20), 6) AS breadth_dispersion_20, round({d.adjusted_skew('return_20')}, 4) AS breadth_skew_20 FROM ({rows}) f GROUP BY Date"""
 
 
-def sectors(d: Dialect, bars: str, universe: str) -> str:
-    daily = f"SELECT Date, sector, {share('return_1 > 0')} AS advance, {share('distance_sma_50 > 0')} AS participation, avg(return_20) AS momentum FROM ({base_features(d, bars)}) f JOIN ({universe}) u ON f.symbol = u.symbol WHERE sector IS NOT NULL GROUP BY Date, sector"
+def breadth(d: Dialect, bars: str, universe: str) -> str:
+    return breadth_of(d, base_features(d, bars))
+
+
+def sectors_of(rows: str) -> str:
+    """Momentum and participation of a sector; rows: a query with the features and the sector."""
+    daily = f"SELECT Date, sector, {share('return_1 > 0')} AS advance, {share('distance_sma_50 > 0')} AS participation, avg(return_20) AS momentum FROM ({rows}) f WHERE sector IS NOT NULL GROUP BY Date, sector"
     return f"SELECT Date, sector, round(advance, 6) AS sector_breadth_advance_pct, round(participation, 6) AS sector_participation_sma50_pct, round(momentum, 6) AS sector_momentum_mean_20, round({pct_rank('momentum', 'Date')}, 6) AS sector_momentum_rank_20 FROM ({daily}) s"
 
 
+def sectors(d: Dialect, bars: str, universe: str) -> str:
+    return sectors_of(f"SELECT f.*, u.sector FROM ({base_features(d, bars)}) f JOIN ({universe}) u ON f.symbol = u.symbol")
+
+
 def on_spine(d: Dialect, bars: str) -> str:
     """Close of every symbol on every date of the union calendar."""
     return f"SELECT c.Date, c.symbol, b.Close FROM (SELECT x.Date, y.symbol FROM (SELECT DISTINCT Date FROM ({bars}) a) x CROSS JOIN (SELECT DISTINCT symbol FROM ({bars}) b) y) c LEFT JOIN ({bars}) b ON b.Date = c.Date AND b.symbol = c.symbol"

@@ -251,3 +251,20 @@ def rsi_sql(base: str, lengths: tuple[int, ...]) -> str:
         ctes += [f"y{n} AS (SELECT symbol, Date, round(x, 6) AS rsi_{n}, round(slope, 6) AS rsi_{n}_slope_3, round(slope - lag(slope, 3) {_W}, 6) AS rsi_{n}_accel, CASE WHEN known >= 60 THEN round(CASE WHEN x IS NULL THEN 0.0 ELSE len(list_filter(xs, lambda v: v <= x))::DOUBLE / n END, 6) END AS rsi_{n}_percentile_252, round(x - low, 6) AS rsi_{n}_distance_low_zone, round(x - high, 6) AS rsi_{n}_distance_high_zone FROM z{n})"]
     first = lengths[0]
     return f"{', '.join(ctes)} SELECT * FROM y{first} " + " ".join(f"JOIN y{n} USING (symbol, Date)" for n in lengths[1:])
+
+
+def rsi_all_sql(base: str, lengths: tuple[int, ...] = RSI_LENGTHS, digits: int = 4) -> str:
+    """The same columns as ``rsi_sql`` for many lengths: one recursion whose state is an average gain and loss of each symbol and length."""
+    own, prior = ("(PARTITION BY symbol, k ORDER BY rn ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)", "(PARTITION BY symbol, k ORDER BY rn ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)")
+    lagged = "OVER (PARTITION BY symbol, k ORDER BY rn)"
+    shown = {"": "x", "_slope_3": "slope", "_accel": "accel", "_percentile_252": "pct", "_distance_low_zone": "x - low", "_distance_high_zone": "x - high"}
+    cols = ", ".join(f"round(max(CASE WHEN k = {n} THEN {e} END), {digits}) AS rsi_{n}{end}" for n in lengths for end, e in shown.items())
+    return f"""WITH RECURSIVE b AS (SELECT symbol, Date, row_number() {_W} AS rn, Close - lag(Close) {_W} AS step FROM ({base}) b),
+ks AS (SELECT CAST(unnest({list(lengths)}) AS BIGINT) AS k),
+seed AS (SELECT symbol, k, k + 1 AS rn, avg(greatest(step, 0)) AS gain, avg(greatest(-step, 0)) AS loss FROM b JOIN ks ON rn BETWEEN 2 AND k + 1 GROUP BY symbol, k HAVING count(step) = k),
+w AS (SELECT * FROM seed UNION ALL SELECT w.symbol, w.k, b.rn, (w.gain * (w.k - 1) + greatest(b.step, 0)) / w.k, (w.loss * (w.k - 1) + greatest(-b.step, 0)) / w.k FROM w JOIN b ON b.symbol = w.symbol AND b.rn = w.rn + 1),
+r AS (SELECT b.symbol, b.Date, b.rn, ks.k, CASE WHEN loss = 0 THEN CASE WHEN gain = 0 THEN 50.0 ELSE 100.0 END WHEN gain = 0 THEN 0.0 ELSE 100.0 - 100.0 / (1.0 + gain / loss) END AS x FROM b CROSS JOIN ks LEFT JOIN w ON w.symbol = b.symbol AND w.rn = b.rn AND w.k = ks.k),
+z AS (SELECT *, x - lag(x, 3) {lagged} AS slope, list(x) OVER {own} AS xs, count(x) OVER {own} AS known, count(*) OVER {own} AS n,
+CASE WHEN count(x) OVER {prior} >= 60 THEN quantile_cont(x, 0.2) OVER {prior} END AS low, CASE WHEN count(x) OVER {prior} >= 60 THEN quantile_cont(x, 0.8) OVER {prior} END AS high FROM r),
+y AS (SELECT symbol, Date, k, x, slope, slope - lag(slope, 3) {lagged} AS accel, low, high, CASE WHEN known >= 60 THEN CASE WHEN x IS NULL THEN 0.0 ELSE len(list_filter(xs, lambda v: v <= x))::DOUBLE / n END END AS pct FROM z)
+SELECT symbol, Date, {cols} FROM y GROUP BY symbol, Date"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dialect import DUCK, SPARK
 from tidemark import oracles, streaming
-from tidemark.operators import analogs, asof, audit, backtest, cross_section, discovery, events, features, forward, frame, governance, holdout, importance, labels, metrics, models, screening, selection, sequential, trees
+from tidemark.operators import analogs, asof, audit, backtest, cross_section, discovery, events, features, forward, frame, governance, holdout, importance, labels, metrics, models, screening, selection, sequential, trees, whole
 from tidemark.sources import bars as source
 from tidemark.sources import providers, shared
 from tidemark.streaming import forward as forward_stream
@@ -70,7 +70,7 @@ FROM wanted w LEFT JOIN held h ON h.symbol = w.symbol""")
 add("indicators_ranges", lambda s, d: sequential.ranges(source.from_trades(s, d), 6), sequential.ranges_sql(source.oracle_bars()))
 add("indicators_macd", lambda s, d: sequential.macd(source.from_trades(s, d), 6), sequential.macd_sql(source.oracle_bars()))
 add("indicators_rsi", lambda s, d: sequential.rsi_family(source.from_trades(s, d), (2, 14, 50), digits=6), sequential.rsi_sql(source.oracle_bars(), (2, 14, 50)))
-add("indicators_rsi_all", lambda s, d: sequential.rsi_family(source.from_trades(s, d), digits=6))
+add("indicators_rsi_all", lambda s, d: sequential.rsi_family(source.from_trades(s, d), digits=6), sequential.rsi_all_sql(source.oracle_bars(), digits=6))
 _CROSS_BY_HAND = {"strength_ranks": oracles.strength_ranks(), "breadth": oracles.breadth(), "sectors": oracles.sectors(source.universe_sql())}
 for _n, _v in cross_section.VIEWS.items():
     add(f"cross_{_n}", lambda s, d, v=_v: s.sql(v(SPARK, "SELECT * FROM {bars}", "SELECT * FROM {universe}"), bars=source.from_trades(s, d), universe=source.universe(s)), _CROSS_BY_HAND.get(_n) or _v(DUCK, source.oracle_bars(), source.universe_sql()))
@@ -221,7 +221,7 @@ def whole_frame(spark: SparkSession, sf_dir: str, horizons: tuple[int, ...]) ->
 
 
 def modeling_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features, ranks, breadth and sectors with the outcomes of two horizons."""
+    """Features made by windows, ranks, breadth and sectors with the outcomes of two horizons; ``modeling_frame_whole`` has all."""
     out = whole_frame(spark, sf_dir, (5, 20))
     return rounded(out.drop("Volume"), Close=8)
 
@@ -243,6 +243,48 @@ LEFT JOIN ({ORACLE_SQL['cross_breadth']}) w USING (Date) LEFT JOIN ({source.univ
 
 
 add("modeling_frame", modeling_frame, modeling_frame_sql())
+
+
+def modeling_frame_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature family, four benchmarks, all RSI lengths, the outcomes of five horizons; digits as the oracles of the parts have them."""
+    out = whole.modeling_frame(source.from_trades(spark, sf_dir), source.universe(spark)).drop("Open", "High", "Low", "Volume", "sector_proxy")
+    digits = {"Close": 8, "breadth_skew_20": 4} | {c: 4 for c in out.columns if c.startswith(("rsi_", "relationship_lead_lag"))} | {c: 5 for c in out.columns if c.startswith(("rolling_beta", "rolling_corr"))}
+    return rounded(out, **digits)
+
+
+def modeling_frame_whole_sql() -> str:
+    """The oracles of the parts, joined."""
+    bars, universe = source.oracle_bars(), source.universe_sql()
+    named: dict[str, str] = {}  # of a name that several parts have the first counts
+    parts = {**{f"f_{n}": ORACLE_SQL[f"features_{n}"] for n in features.FAMILIES}, "f_price": ORACLE_SQL["features_price_action"], "i_ranges": ORACLE_SQL["indicators_ranges"], "i_macd": ORACLE_SQL["indicators_macd"], "i_rsi": sequential.rsi_all_sql(bars), "c_ranks": ORACLE_SQL["cross_strength_ranks"], "c_regimes": ORACLE_SQL["cross_regimes"], "c_sector": cross_section.sector_relative(DUCK, bars, universe)}
+    kept = {**{f"f_{n}": f.keep for n, f in features.FAMILIES.items()}, "f_price": features.PRICE.keep, "i_ranges": sequential.RANGE_NAMES, "i_macd": sequential.MACD_NAMES, "i_rsi": sequential.rsi_names(sequential.RSI_LENGTHS), "c_ranks": [f"relative_strength_rank_{k}" for k in (5, 20, 63)]}
+    for part, names in kept.items():
+        for n in names:
+            named.setdefault(n, f"{part}.{n}")
+    for n in ("trend_score", "volatility_score", "label"):
+        named[f"market_regime_{n}"] = f"c_regimes.market_regime_{n}"
+    named |= {"regime_conditioned_return_20": "c_regimes.regime_conditioned_return_20", "sector_return_20": "c_sector.sector_return_20", "relative_return_vs_sector_20": "c_sector.relative_return_vs_sector_20", "sector_divergence_20": "c_sector.relative_return_vs_sector_20", "sector_trend_agreement": "c_sector.sector_trend_agreement"}
+    for b in whole.BENCHMARKS:
+        part, s = f"m_{b}", b.lower()
+        parts[part] = cross_section.benchmark(DUCK, bars, universe, b)
+        for k in (5, 20):
+            named |= {f"{s}_return_{k}": f"{part}.bm_return_{k}", f"relative_return_vs_{s}_{k}": f"{part}.relative_return_{k}"}
+        named |= {f"rolling_beta_vs_{s}_63": f"{part}.rolling_beta_63", f"rolling_corr_vs_{s}_63": f"{part}.rolling_corr_63", f"residual_return_vs_{s}_1": f"{part}.residual_return_1", f"benchmark_trend_agreement_vs_{s}": f"{part}.trend_agreement"}
+    for h in labels.HORIZONS:
+        parts |= {f"l_{h}": ORACLE_SQL[f"labels_{h}"], f"t_{h}": ORACLE_SQL[f"first_touch_{h}"]}
+        named |= {n: f"l_{h}.{n}" for n in labels.LABELS[h].keep} | {f"label_end_date_{h}": f"l_{h}.label_end_date"} | {f"label_{n}_{h}": f"t_{h}.{n}" for n in labels.TOUCH[h].keep}
+    edge = "SELECT * FROM rel WHERE edge = '{}_{}'"
+    for a, b in whole.EDGES:
+        for stem, width in (("relationship_corr", 63), ("relationship_divergence", 5), ("relationship_lead_lag", 5), ("relationship_mutual_info", 63), ("inverse_confirmation", 63), ("relationship_breakdown", 63)):
+            named[f"{stem}_{a.lower()}_{b.lower()}_{width}"] = f"e_{a}{b}.{stem}_{width}"
+    joins = " ".join(f"LEFT JOIN ({q}) {n} ON {n}.symbol = b.symbol AND {n}.Date = b.Date" for n, q in parts.items())
+    joins += " ".join(f" LEFT JOIN ({edge.format(a, b)}) e_{a}{b} ON e_{a}{b}.Date = b.Date" for a, b in whole.EDGES)
+    joins += f" LEFT JOIN ({universe}) u ON u.symbol = b.symbol LEFT JOIN ({ORACLE_SQL['cross_breadth']}) w ON w.Date = b.Date LEFT JOIN ({ORACLE_SQL['cross_sectors']}) s ON s.Date = b.Date AND s.sector = u.sector"
+    return f"""WITH rel AS ({cross_section.relationships(DUCK, bars, universe, whole.EDGES)})
+SELECT b.symbol, b.Date, round(b.Close, 8) AS Close, role, u.sector, w.* EXCLUDE (Date), s.* EXCLUDE (Date, sector), {', '.join(f'{e} AS {n}' for n, e in named.items())} FROM ({bars}) b {joins}"""
+
+
+add("modeling_frame_whole", modeling_frame_whole, modeling_frame_whole_sql())
 add("modeling_time_exits", lambda s, d: rounded(frame.with_time_exits(source.from_trades(s, d).select("symbol", "Date"), labels.policy_outcomes(ranged(s, d, "label_atr_14"))), 4))
 add("modeling_hygiene", lambda s, d: (lambda p: frame.hygiene_audit(p, frame.numeric_features(p)))(frame.feature_panel(source.from_trades(s, d), source.universe(s))))
 
