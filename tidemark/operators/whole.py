@@ -28,6 +28,8 @@ from tidemark.sources.shared import written
 
 #: Symbols that benchmarks, proxies and relationships may name together.
 MOST_NAMED = 64
+#: Partitions by symbol for each core.
+TASKS_A_CORE = 4
 #: Rows of a window against a benchmark, and how many of them must be known (fixed values).
 WIDTH, LEAST = 63, 40
 BENCHMARKS = ("S0", "S1", "S2", "S6")
@@ -152,7 +154,9 @@ def modeling_frame(bars: DataFrame, universe: DataFrame, horizons: tuple[int, ..
     proxies = {r.sector_proxy for r in universe.select("sector_proxy").distinct().limit(MOST_NAMED + 2).collect() if r.sector_proxy}
     m = market(bars, {*benchmarks, *proxies, *(s for e in edges for s in e)})
     ranged = sequential.extended(bars, ["atr_14", "label_atr_14"])
-    known = ranged.join(universe.select("symbol", "role", "sector", "sector_proxy"), "symbol", "left")
+    # a bar is little to read and much work, so adaptive merging of small partitions, which goes by bytes, is kept off: a stated number of them
+    spread = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    known = ranged.join(universe.select("symbol", "role", "sector", "sector_proxy"), "symbol", "left").repartition(spread, "symbol")
     panel = frame.panel(known, feature_families() + label_families(horizons), ("atr_14", "label_atr_14", "role", "sector", "sector_proxy"))
     table = written(with_series(panel, m, benchmarks), "frame")
     models.reject_leakage([c for c in table.columns if c not in frame.KEYS and not c.startswith("label_")])
