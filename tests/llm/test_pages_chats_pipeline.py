@@ -219,6 +219,39 @@ def test_whole_prefixes_past_the_budget_cost_in_proportion(monkeypatch):
     assert len(whole) > 20 and max(b - a for a, b in zip(whole, whole[1:])) < 200
 
 
+@pytest.mark.parametrize("wrong", [203, 222, 230, 241, 257])
+def test_a_large_conversation_is_compared_at_every_length(wrong):
+    """Its renderings have some 650 million characters; a template that rewrites at one length alone is found."""
+    turns = [("user" if k % 2 else "assistant", "x" * 20_000) for k in range(260)]
+    seen = []
+    template = by_length({wrong})
+
+    def counted(turns):
+        seen.append(len(turns))
+        return template(turns)
+
+    assert chat.rendered(counted, turns) == [(0, template(turns), [], True)]
+    assert set(range(1, wrong + 1)) <= set(seen)
+
+
+@pytest.mark.parametrize("n", [100, 127, 128, 129, 300, 1000])
+def test_a_rewritten_conversation_is_rendered_whole_at_any_length(n):
+    turns = [("user" if k % 2 else "assistant", f"text {k}") for k in range(n)]
+    for template in (summarised, clipped, by_length({n - 1}), by_length({n})):
+        if brute_spans(template, turns) is None:
+            assert chat.rendered(template, turns) == [(0, template(turns), [], True)]
+
+
+def test_under_a_budget_what_was_left_out_is_not_known(spark):
+    turns = [("user" if k % 2 else "assistant", f"text {k}") for k in range(300)]
+    for template, n, want in ((chat.marked, 300, None), (chat.marked, 10, False), (summarised, 300, True), (by_length({300}), 300, True)):
+        assert {rewrites for *_, rewrites in chat.rendered(template, turns[:n], budget=0)} == {want}
+    assert {rewrites for *_, rewrites in chat.rendered(chat.marked, turns)} == {False}
+    df = spark.createDataFrame([(c, k, *turns[k]) for c, n in ((1, 300), (2, 10)) for k in range(n)], "conv_id long, turn long, role string, text string")
+    found = lambda **given: {r.conv_id: r.rewrites for r in chat.digests(chat.format_conversations(df, **given)).collect()}
+    assert found(budget=0) == {1: None, 2: False} and found() == {1: False, 2: False}
+
+
 def test_a_long_conversation_leaves_in_parts():
     turns = [("user" if k % 2 else "assistant", "x" * 50) for k in range(2000)]
     parts = chat.rendered(chat.marked, turns)

@@ -6,21 +6,19 @@ is the new turn's span. Where in it the text lies is found with two probe texts
 first and last character. If an output does not begin with the one before, the template rewrites
 history; then there are no spans, and the row says so.
 
-Every prefix is rendered whole, so ``rewrites`` is what comparing all of them gives, until the renderings
-of one conversation have ``BUDGET`` characters more than ``EFFORT`` times its text (some 1,600 turns of 200
-characters; a second or a few of work). All prefixes of a longer conversation would cost the square of its length, so
-from there on the older half of a window of ``WINDOW`` turns may leave it: if each turn of the newer half
-(but the first, which may carry a header) adds the same when rendered with that half alone. So every turn
-is rendered with two different pasts and must add the same. If it does not, the template looks further
-back, and this conversation keeps all its turns in the window, each prefix whole. Beside the windows whole
-prefixes are still rendered and compared with what the turns added one by one: one whenever ``EFFORT``
-times the text that came since the last pays for it, and the last prefix in any case. What such a
-conversation can hide is a template that rewrites at lengths between two of these alone. All this holds for
-conversations of at most ``WHOLE`` characters (a bound of a task's memory); longer ones rest on the windows
-alone from there on, and pass through a task in bounded memory.
-
-Conversations are dealt by conv_id and sorted by turn within partitions; turns stream through and
-leave in parts.
+Every prefix of every conversation is rendered whole and compared with the one before, whatever its length. A
+black box may rewrite at any one length, so nothing less can tell; the renderings of a conversation have about half
+the product of its turns and its characters, and one conversation is one task's. All its turns and its
+rendering are in that task's memory.
+
+Who does not want to pay for that may give a ``budget``: then a conversation's renderings have at most so many characters more
+than ``EFFORT`` times its text before a window of ``WINDOW`` turns moves, whose older half leaves if each turn of the newer half
+(but the first, which may carry a header) adds the same when rendered with that half alone; if it does not, all
+turns stay. Whole prefixes are rendered beside it whenever ``EFFORT`` times the text since the last pays for one, and at the
+end. Where prefixes were left out and none of the others rewrites, ``rewrites`` is null (not known), never false. No query gives a budget.
+
+Conversations are dealt by conv_id and sorted by turn within partitions. A conversation leaves in parts of ``WINDOW`` turns;
+one that rewrites history leaves as one part, rendered whole, without spans.
 
 Defined cases: a null text is empty, and so is a null role; turns with equal or null numbers are
 ordered by number (nulls first), role, text; rows with a null conv_id form one conversation; repeated
@@ -43,10 +41,10 @@ from .common import narrow, quiet, sized
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-#: Turns of a window, half of which leave it when it is full. Characters up to which all turns are kept.
-WINDOW, WHOLE = 64, 1 << 26
-#: Rendered characters that whole prefixes of one conversation may have: at first, and for each character of text.
-BUDGET, EFFORT = 1 << 28, 32
+#: Turns of a part, and of the window under a budget, half of which leave it when it is full.
+WINDOW = 64
+#: Rendered characters that whole prefixes of one conversation may have: at first (None: as many as all prefixes have), and under a budget for each character of text.
+BUDGET, EFFORT = None, 32
 PART = "conv_id long, part int, formatted string, spans array<struct<turn:long,role:string,start:long,end:long,text_start:long,text_end:long,loss:boolean>>, rewrites boolean"
 SPAN = pa.struct([("turn", pa.int64()), ("role", pa.string()), *((n, pa.int64()) for n in ("start", "end", "text_start", "text_end")), ("loss", pa.bool_())])
 PARTS = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("formatted", pa.string()), ("spans", pa.list_(SPAN)), ("rewrites", pa.bool_())])
@@ -66,7 +64,8 @@ def unescaped(text: str) -> str:
 
 def marked(turns: list[Turn]) -> str:
     """The template of the query: each turn between control strings; a role is one line."""
-    return "".join(f"{OPEN}{role_line(role)}\n{escaped(text)}{CLOSE}\n" for role, text in turns)
+    lines = {role: role_line(role) for role in {role for role, _ in turns}}
+    return "".join([f"{OPEN}{lines[role]}\n{escaped(text)}{CLOSE}\n" for role, text in turns])
 
 
 def role_line(role: str) -> str:
@@ -89,9 +88,9 @@ def read_back(formatted: str) -> Iterator[Turn]:
         raise ValueError("text after the last turn")
 
 
-def added(template: Template, context: list[Turn], turns: list[Turn]) -> list[str] | None:
-    """What each turn adds to the rendering of those before it; None if the template rewrites history."""
-    out, before, so_far = [], template(context) if context else "", list(context)
+def added(template: Template, context: list[Turn], turns: list[Turn], before: str = "") -> list[str] | None:
+    """What each turn adds to the rendering of those before it (of context: ``before``); None if the template rewrites history."""
+    out, so_far = [], list(context)
     for turn in turns:
         so_far.append(turn)
         now = template(so_far)
@@ -102,9 +101,9 @@ def added(template: Template, context: list[Turn], turns: list[Turn]) -> list[st
     return out
 
 
-def frame(template: Template, context: list[Turn], role: str) -> tuple[str, str] | None:
-    """What the template puts before and after the text of a turn."""
-    got = [added(template, context, [(role, probe)]) for probe in ("Ax0", "Bx1")]
+def frame(template: Template, context: list[Turn], role: str, before: str) -> tuple[str, str] | None:
+    """What the template puts before and after the text of a turn, behind context and its rendering."""
+    got = [added(template, context, [(role, probe)], before) for probe in ("Ax0", "Bx1")]
     if None in got:
         return None
     a, b = got[0][0], got[1][0]
@@ -121,58 +120,61 @@ def within(around: tuple[str, str] | None, new: str) -> tuple[int, int] | None:
 
 
 class Conversation:
-    """One conversation while its turns come in: renders prefixes, hands out parts."""
+    """One conversation while its turns come in: renders prefixes, hands out parts at its end."""
 
-    def __init__(self, template: Template, loss_role: str, frames: dict):
+    def __init__(self, template: Template, loss_role: str, frames: dict, budget: int | None = None):
         self.template, self.loss_role, self.frames = template, loss_role, frames
-        self.window: list[Turn] = []  # the turns that are rendered
+        self.all: list[Turn] = []
+        self.window: list[Turn] = []  # the turns that are rendered: all, unless a budget is spent
         self.before = ""  # their rendering
         self.adds: list[str] = []  # what each of them added
-        self.all: list[Turn] | None = []  # all turns, while they are few enough
-        self.sum, self.size, self.count = hashlib.sha256(), 0, 0
-        self.whole, self.credit = True, BUDGET  # whether the window still holds all turns; characters that may be rendered
-        self.held: list[tuple[str, str, tuple]] = []  # role, added, place of the text; not handed out yet
-        self.late: list[Turn] = []  # from the turn on that rewrote history
-        self.parts, self.local, self.rewrites = 0, True, False
+        self.held: list[tuple[str, str, tuple]] = []  # role, added, place of the text of each turn
+        self.sum, self.size = hashlib.sha256(), 0
+        self.credit = BUDGET if budget is None else budget  # characters that may be rendered; None: no bound
+        self.whole, self.local = True, True  # whether every prefix was rendered whole; whether the window may move
+        self.rewrites: bool | None = False
 
     def add(self, turn: Turn) -> None:
-        self.count += 1
-        if self.all is not None:
-            self.all.append(turn)
+        self.all.append(turn)
+        if self.rewrites:
+            return
         self.window.append(turn)
-        now = "" if self.rewrites else self.template(self.window)
-        if self.rewrites or not now.startswith(self.before):
+        now = self.template(self.window)
+        if not now.startswith(self.before):
             self.rewrites = True
-            self.late.append(turn)
             return
-        new, self.before = now[len(self.before) :], now
-        self.adds.append(new)
+        new = now[len(self.before) :]
         self.held.append((turn[0], new, self.place(turn[0], new) or (None, None)))
+        self.before = now
+        if self.credit is not None:
+            self.spend(new, now)
+
+    def place(self, role: str, new: str) -> tuple[int, int] | None:
+        key = (self.window[-2][0] if len(self.window) > 1 else None, role)
+        got = within(self.frames.get(key), new)
+        if got is None:
+            around = frame(self.template, self.window[:-1], role, self.before)
+            got = within(around, new)
+            if len(self.frames) < 1000:
+                self.frames[key] = around
+        return got
+
+    def spend(self, new: str, now: str) -> None:
+        """Under a budget: whether the next prefix is rendered whole."""
+        self.adds.append(new)
         self.sum.update(new.encode("utf-8", "surrogatepass"))
         self.size += len(new)
         self.credit += EFFORT * len(new)
         if self.whole:
             self.credit -= len(now)
-            self.whole = self.credit > 0 and self.size <= WHOLE
+            self.whole = self.credit > 0
             return
-        if self.size > WHOLE and self.local and self.parts:
-            self.all = None
         if self.local and len(self.window) >= WINDOW:
             self.shift()
         if self.credit >= self.size:
             self.check()
             self.credit -= self.size
 
-    def place(self, role: str, new: str) -> tuple[int, int] | None:
-        key = (self.window[-2][0] if len(self.window) > 1 else None, role)
-        got = within(self.frames.get(key), new)
-        if got is None:
-            around = frame(self.template, self.window[:-1], role)
-            got = within(around, new)
-            if len(self.frames) < 1000:
-                self.frames[key] = around
-        return got
-
     def shift(self) -> None:
         """Let the older half go if the newer one is rendered alike without it."""
         newer = self.window[-(WINDOW // 2) :]
@@ -184,49 +186,43 @@ class Conversation:
 
     def check(self) -> None:
         """Compare the rendering of all turns so far with what they added one by one."""
-        if self.all is not None and len(self.window) < self.count:
+        if len(self.window) < len(self.all):
             whole = self.template(self.all).encode("utf-8", "surrogatepass")
             self.rewrites |= hashlib.sha256(whole).digest() != self.sum.digest()
 
-    def ready(self) -> bool:
-        return self.local and not self.rewrites and len(self.held) >= WINDOW and self.count >= 2 * WINDOW
-
-    def part(self, last: bool = False) -> tuple[int, str, list[tuple], bool]:
-        """The turns held so far: number of the part, rendering, spans, and whether history was rewritten."""
-        if last:
+    def parts(self) -> Iterator[tuple[int, str, list[tuple], bool | None]]:
+        """Number of the part, rendering, spans, and whether history was rewritten (null: not known)."""
+        if not self.rewrites:
             self.check()
-        if self.rewrites and not self.parts and self.all is not None:
-            return 0, self.template(self.all), [], True
-        at, first, spans = 0, self.count - len(self.held), []
-        for k, (role, new, (start, end)) in enumerate(self.held):
-            place = (None, None) if start is None else (at + start, at + end)
-            if not self.rewrites:
+        if self.rewrites:
+            yield 0, self.template(self.all), [], True
+            return
+        known = False if len(self.window) == len(self.all) else None
+        for number, first in enumerate(range(0, max(1, len(self.held)), WINDOW)):
+            at, held, spans = 0, self.held[first : first + WINDOW], []
+            for k, (role, new, (start, end)) in enumerate(held):
+                place = (None, None) if start is None else (at + start, at + end)
                 spans.append((first + k, role, at, at + len(new), *place, role == self.loss_role and start is not None))
-            at += len(new)
-        text = "".join(new for _, new, _ in self.held) + (self.template(self.late) if self.late else "")
-        out = self.parts, text, spans, self.rewrites
-        self.held, self.parts = [], self.parts + 1
-        return out
+                at += len(new)
+            yield number, "".join([new for _, new, _ in held]), spans, known
 
 
-def rendered(template: Template, turns: list[Turn], loss_role: str = "assistant") -> list[tuple[int, str, list[tuple], bool]]:
+def rendered(template: Template, turns: list[Turn], loss_role: str = "assistant", *, budget: int | None = None) -> list[tuple[int, str, list[tuple], bool | None]]:
     """The parts of one conversation given whole."""
-    return list(conversation_parts(Conversation(template, loss_role, {}), iter(turns)))
+    return list(conversation_parts(Conversation(template, loss_role, {}, budget), iter(turns)))
 
 
-def conversation_parts(one: Conversation, turns: Iterator[Turn]) -> Iterator[tuple[int, str, list[tuple], bool]]:
+def conversation_parts(one: Conversation, turns: Iterator[Turn]) -> Iterator[tuple[int, str, list[tuple], bool | None]]:
     for turn in turns:
         one.add(turn)
-        if one.ready():
-            yield one.part()
-    yield one.part(last=True)
+    yield from one.parts()
 
 
-def format_conversations(turns: DataFrame, template: Template = marked, *, loss_role: str = "assistant") -> DataFrame:
+def format_conversations(turns: DataFrame, template: Template = marked, *, loss_role: str = "assistant", budget: int | None = None) -> DataFrame:
     """Parts of formatted conversations (columns conv_id, turn, role, text), in order within a partition.
 
-    spans: of each turn, where it lies in its part, where its text lies, and whether it is learned. A
-    conversation rewrites history if one of its parts says so."""
+    spans: of each turn, where it lies in its part, where its text lies, and whether it is learned. All
+    parts of a conversation say whether it rewrites history; null only under a budget that was spent."""
     narrow(turns.sparkSession)
 
     @quiet
@@ -239,7 +235,7 @@ def format_conversations(turns: DataFrame, template: Template = marked, *, loss_
 
         def rows():
             for conv, group in groupby(streamed(), key=itemgetter(0)):
-                for number, text, marks, rewrites in conversation_parts(Conversation(template, loss_role, frames), ((role or "", text or "") for _, role, text in group)):
+                for number, text, marks, rewrites in conversation_parts(Conversation(template, loss_role, frames, budget), ((role or "", text or "") for _, role, text in group)):
                     yield (conv, number, text, marks, rewrites), len(text) + 64 * len(marks)
 
         yield from sized(rows(), PARTS)
@@ -254,12 +250,12 @@ def digests(parts: DataFrame) -> DataFrame:
 
     class Sum:
         def __init__(self, conv):
-            self.conv, self.n, self.chars, self.learned, self.rewrites = conv, 0, 0, 0, False
+            self.conv, self.n, self.chars, self.learned = conv, 0, 0, 0
             self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
         def add(self, formatted, marks, rewrites):
             self.chars += len(formatted)
-            self.rewrites |= rewrites
+            self.rewrites = rewrites
             for role, text in read_back(formatted):
                 self.n += 1
                 self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
