@@ -3,22 +3,20 @@
 Targets are few by construction (the latest rows, or blocked ones chosen by rank); history is all
 earlier rows. The join is a broadcast of the targets against one scan of history, so it costs
 targets times history and no shuffle of history; top-k keeps k rows a target in each task first.
-More targets than one broadcast should hold go block by block, each with a scan of its own.
+Nearest vectors have as many targets as one row in twenty, and are found block against block (``neighbours``).
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.sources.shared import shared_dir
 from tidemark.functions.dialect import Dialect
+from tidemark.operators import neighbours
 
-#: Targets that are broadcast at a time, about.
-BLOCK_TARGETS = 10_000
+#: Targets of one block of nearest_vectors.
+BLOCK_TARGETS = 16384
 
 
 def nearest(d: Dialect, scored: str, k: int = 25) -> str:
@@ -69,25 +67,10 @@ VIEWS = {"listed": listed, "depths": depths, "robustness": robustness}
 
 
 def nearest_vectors(vectors: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
-    """The k nearest vectors (vec_id, embedding) of each target by Euclidean distance, itself left out.
-
-    Targets are cut in blocks by a hash of their ids. If there are several, each block's result is
-    written before the next begins, so that one block at a time is broadcast."""
-    blocks = -(-targets.count() // BLOCK_TARGETS)
-    if blocks <= 1:
-        return _nearest(vectors, targets, k)
-    spark, out = vectors.sparkSession, f"{shared_dir(vectors.sparkSession)}/tidemark/analogs-{uuid.uuid4().hex}"
-    for b in range(blocks):
-        _nearest(vectors, targets.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), k).write.mode("append").parquet(out)
-    return spark.read.parquet(out)
-
-
-def _nearest(vectors: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    t = F.broadcast(targets.select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("target")))
-    square = F.aggregate(F.zip_with("embedding", "target", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.crossJoin(t).filter("vec_id <> target_id").select("target_id", "vec_id", F.sqrt(square).alias("distance"))
-    w = Window.partitionBy("target_id").orderBy("distance", "vec_id")
-    return pairs.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+    """The k nearest vectors (vec_id, embedding) of each target by Euclidean distance, then id, itself left out.
+    Distances that are null come last."""
+    w = Window.partitionBy("target_id").orderBy(F.asc_nulls_last("distance"), "vec_id")
+    return neighbours.partial(vectors, targets, k, BLOCK_TARGETS).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
 
 
 VECTORS_SQL = """SELECT target_id, vec_id, round(distance, 4) AS distance, CAST(rk AS INT) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY distance, vec_id) AS rk FROM (
